@@ -7,6 +7,7 @@ import importlib
 #: query name -> module of this package that defines it
 NAMES = {
     "op5_simhash_near_dedup": "simhash",
+    "op9_benchmark_decontamination": "decontaminate",
 }
 
 
