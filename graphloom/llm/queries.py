@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this package that defines it
 NAMES = {
+    "op1_toxicity": "toxicity",
+    "op3_quality_classifier": "quality",
     "op5_simhash_near_dedup": "simhash",
     "op9_benchmark_decontamination": "decontaminate",
 }
