@@ -130,7 +130,8 @@ def word_odds(rows: DataFrame, least: int = 4, keep: int = 500) -> dict[str, flo
                 tally[int(label)].update(words_and_stems(text or ""))
                 tally[int(label)][" "] += 1  # documents; no word has a space
         words = list(tally[0].keys() | tally[1].keys())
-        yield pd.DataFrame({"word": words, "n0": [tally[0][x] for x in words], "n1": [tally[1][x] for x in words]})
+        if words:
+            yield pd.DataFrame({"word": words, "n0": [tally[0][x] for x in words], "n1": [tally[1][x] for x in words]})
 
     counts = rows.select("text", "label").mapInPandas(present, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     all_ = counts.where(F.col("word") == " ").first()
