@@ -27,7 +27,7 @@ LEXICON = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted tus ustedes".split())
 STEM = 5  # letters of a word's stem
 REACH = 6  # words between an insult and a second person
-LEET = str.maketrans("013457@$!|", "oleastasil")
+LEET = [str.maketrans("0134578@$!|", one) for one in ("oieastbasii", "oleastbasll")]
 STRIP = string.punctuation + "«»„“”‘’¡¿…"
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"$%&*#@|<>{}[]\\^~_=+")] = True
@@ -70,8 +70,8 @@ def toxic(text: str, words: list[str], counted: Counter, learned: dict[str, floa
         if plain in LEXICON:
             hits[word] += k
         elif not plain.isalpha() and len(plain) > 2:
-            bare = plain.translate(LEET)
-            if bare in LEXICON or "".join(c for c in bare if c.isalpha()) in LEXICON:
+            bare = [plain.translate(t) for t in LEET]
+            if any(x in LEXICON or "".join(c for c in x if c.isalpha()) in LEXICON for x in bare):
                 hidden += k
                 hits[word] += k
         odds = learned.get(plain)
