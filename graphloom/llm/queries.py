@@ -9,6 +9,7 @@ NAMES = {
     "op1_toxicity": "toxicity",
     "op3_quality_classifier": "quality",
     "op5_simhash_near_dedup": "simhash",
+    "op7_sentencepiece": "pieces",
     "op8_language_id": "language",
     "op9_benchmark_decontamination": "decontaminate",
 }
