@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import importlib
 
+from graphloom.llm import topk
+
 #: query name -> module of this package that defines it
 NAMES = {
     "op1_toxicity": "toxicity",
+    "op2_exact_topk": "topk",
     "op3_quality_classifier": "quality",
+    "op4_html_extraction": "dom",
     "op5_simhash_near_dedup": "simhash",
     "op7_sentencepiece": "pieces",
     "op8_language_id": "language",
@@ -25,4 +29,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator over whole tables; the rest is tested against brute force."""
-    return {}
+    return {"op2_exact_topk": topk.ORACLE}
