@@ -13,6 +13,7 @@ NAMES = {
     "op3_quality_classifier": "quality",
     "op4_html_extraction": "dom",
     "op5_simhash_near_dedup": "simhash",
+    "op6_sharding": "sharding",
     "op7_sentencepiece": "pieces",
     "op8_language_id": "language",
     "op9_benchmark_decontamination": "decontaminate",
