@@ -8,6 +8,7 @@ from graphloom.llm import topk
 
 #: query name -> module of this package that defines it
 NAMES = {
+    "op10_lm_scoring": "brown",
     "op1_toxicity": "toxicity",
     "op2_exact_topk": "topk",
     "op3_quality_classifier": "quality",
