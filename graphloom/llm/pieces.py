@@ -28,7 +28,8 @@ from graphloom.llm.common import materialise, table
 
 MARK = "▁"
 CHUNK = 1 << 15
-BATCH = 128
+#: characters or ids that are in the library's hands at once
+AT_ONCE = 1 << 18
 
 
 def default_model() -> str:
@@ -37,6 +38,18 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _runs(items: list) -> Iterator[tuple[int, int]]:
+    """Slices of the items of about ``AT_ONCE`` elements in all, and at most 1024 items."""
+    lo, n = 0, 0
+    for k, x in enumerate(items):
+        if k > lo and (n + len(x) > AT_ONCE or k - lo >= 1024):
+            yield lo, k
+            lo, n = k, 0
+        n += len(x)
+    if lo < len(items):
+        yield lo, len(items)
+
+
 class Pieces:
     """A SentencePiece BPE model with byte fallback."""
 
@@ -56,14 +69,21 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for at in range(0, len(texts), BATCH):
-            out += [np.array(x, np.int32) for x in self.sp.encode(texts[at : at + BATCH], num_threads=1)]
+        for lo, hi in _runs(texts):
+            out += [np.array(x, np.int32) for x in self.sp.encode(texts[lo:hi], num_threads=1)]
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         out = []
-        for at in range(0, len(ids), BATCH):
-            out += self.sp.decode([x.tolist() for x in ids[at : at + BATCH]], num_threads=1)
+        for lo, hi in _runs(ids):
+            out += self.sp.decode([x.tolist() for x in ids[lo:hi]], num_threads=1)
+        return out
+
+    def gives_back(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether decoding gives each text back."""
+        out = []
+        for lo, hi in _runs(ids):
+            out += [a == b for a, b in zip(self.decode(ids[lo:hi]), texts[lo:hi])]
         return out
 
     def merge(self, text: str) -> list[str]:
@@ -322,29 +342,27 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     path = path or default_model()
     base = docs.drop("token_ids", "n_tokens", "round_trip")
 
-    @F.pandas_udf("array<int>")
-    def encode(text: pd.Series) -> pd.Series:
+    @F.pandas_udf("ids array<int>, same boolean")
+    def encode(text: pd.Series) -> pd.DataFrame:
         known = text.notna().to_numpy()
-        found = iter(pieces(path).encode(text[known].tolist()))
-        return pd.Series([next(found) if k else None for k in known], dtype=object)
+        texts = text[known].tolist()
+        found = pieces(path).encode(texts)
+        ids, same = np.full(len(text), None, object), np.full(len(text), None, object)
+        for k, x, y in zip(np.flatnonzero(known), found, pieces(path).gives_back(found, texts)):
+            ids[k], same[k] = x, y
+        return pd.DataFrame({"ids": ids, "same": same})
 
     @F.pandas_udf("boolean")
     def same(ids: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(ids), BATCH):
-            part, want = ids[at : at + BATCH].tolist(), text[at : at + BATCH].tolist()
-            known = [k for k, (x, t) in enumerate(zip(part, want)) if x is not None and t is not None]
-            back = dict(zip(known, pieces(path).decode([part[k] for k in known])))
-            out += [back[k] == want[k] if k in back else None for k in range(len(part))]
-        return pd.Series(out, dtype=object)
+        return pd.Series(pieces(path).gives_back(ids.tolist(), text.tolist()), dtype=bool)
 
     short = F.coalesce(F.length("text") <= chunk, F.lit(True))
-    done = base.where(short).withColumn("token_ids", encode("text"))
+    done = base.where(short).withColumn("__found", encode("text")).withColumns({"token_ids": F.col("__found.ids"), "round_trip": F.col("__found.same")}).drop("__found")
     long_ = base.where(~short).withColumn("__key", F.sha2("text", 256))
     ids = _encode_giants(long_.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk)
     rest = long_.join(ids.select(F.col("key").alias("__giant"), F.col("ids").alias("token_ids")), F.col("__key") == F.col("__giant"))
-    both = done.unionByName(rest.drop("__key", "__giant"))
-    return both.withColumns({"n_tokens": F.size("token_ids").cast("long"), "round_trip": same("token_ids", "text")})
+    both = done.unionByName(rest.drop("__key", "__giant").withColumn("round_trip", same("token_ids", "text")))
+    return both.select(*base.columns, "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).cast("long").alias("n_tokens"), "round_trip")
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, ids: str = "token_ids") -> DataFrame:
