@@ -166,12 +166,12 @@ def openapi(surface: DataFrame, title: str = "api", version: str = "1.0.0") -> D
         F.transform("auth_chain", lambda a: F.create_map(a, F.array().cast("array<string>"))).alias("security"),
         F.struct(F.struct(F.lit("OK").alias("description")).alias("200")).alias("responses"),
     )
-    last = surface.groupBy("path", F.lower("method").alias("method")).agg(F.max_by(operation, F.struct("handler", "file", "line")).alias("op"))
-    by_path = last.groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "op")))).alias("ops"))
-    whole = by_path.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", F.to_json("ops").alias("ops"))))).alias("paths"))
-    joined = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("paths"), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ","), F.lit("}"))
+    last = surface.groupBy("path", F.lower("method").alias("method")).agg(F.max_by(F.to_json(operation), F.struct("handler", "file", "line")).alias("op"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    members = lambda k, v: F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, v))), lambda e: F.concat(quoted(e[k]), F.lit(":"), e[v])), ","), F.lit("}"))
+    by_path = last.groupBy("path").agg(members("method", "op").alias("ops"))
     head = F.lit(f'{{"openapi":"3.0.0","info":{{"title":"{title}","version":"{version}"}},"paths":')
-    return whole.select(F.concat(head, joined, F.lit("}")).alias("document"))
+    return by_path.agg(F.concat(head, members("path", "ops"), F.lit("}")).alias("document"))
 
 
 # --- security -------------------------------------------------------------------------------------------------------

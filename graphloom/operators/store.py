@@ -138,7 +138,7 @@ class GraphStore:
         versions = self._versions(name)
         if not versions:
             return self.spark.createDataFrame([], ddl)
-        return schema.conform(self.spark.read.option("basePath", f"{self.path}/{name}/{versions[-1]}").parquet(f"{self.path}/{name}/{versions[-1]}"), ddl)
+        return schema.conform(self.spark.read.schema(ddl).parquet(f"{self.path}/{name}/{versions[-1]}"), ddl)
 
     def _fs(self):
         jvm = self.spark._jvm

@@ -20,14 +20,25 @@ def walk(spark: SparkSession, root: str, languages: list[str] | None = None, exc
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_file_kb * 1024)
     base = root.split("://")[-1].lstrip("/")
     relative = F.regexp_replace(F.col("path"), rf"^.*?{base.replace('.', chr(92) + '.')}/", "")
-    ignored = ""
-    top = found.where(F.col("path").endswith(f"{base}/.gitignore")).select(F.decode("content", "utf-8")).first()
-    if top:
-        ignored = top[0]
+    ignored = _read_text(spark, f"{root}/.gitignore")
     rows = found.select(relative.alias("path"), F.col("length").alias("size"), "content")
     return accept(rows, languages, (exclude or []), paths.ignore_patterns(ignored), max_file_kb)
 
 
+def _read_text(spark: SparkSession, path: str) -> str:
+    """A small file by its path, which Spark's readers pass over if its name begins with a dot; empty if there is none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def accept(files: DataFrame, languages: list[str] | None = None, exclude: list[str] = (), ignored: list[str] = (), max_file_kb: int = MAX_FILE_KB) -> DataFrame:
     """The filters of ``walk`` on rows (path, size, ...), with the language added; ``go`` also admits gomod."""
     path = F.col("path")
@@ -56,7 +67,7 @@ def go_mod_nodes(files: DataFrame, repo_slug: str) -> DataFrame:
     Of a module that several lines name the first counts.
     """
     lines = files.where(paths.base_name(F.col("path")) == "go.mod").select("path", F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("pos", "line"))
-    clean = F.trim(F.regexp_replace("line", "//.*$", ""))
+    clean = F.regexp_replace(F.regexp_replace("line", "//.*$", ""), r"^\s+|\s+$", "")
     own = F.regexp_extract(clean, r"^module\s+\"?([^\s\"]+)", 1)
     single = F.regexp_extract(clean, r"^require\s+([^\s(]+)\s+(v\S+)", 1)
     block = F.regexp_extract(clean, r"^([^\s()/]+[^\s()]*)\s+(v\S+)$", 1)
