@@ -137,7 +137,7 @@ def _product(alo, ahi, blo, bhi, same, at_once: int) -> Iterator[tuple[np.ndarra
         first = last
 
 
-def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, forest: _Forest, at_once: int = 1 << 18) -> None:
+def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, forest: _Forest, at_once: int = 1 << 16) -> None:
     """Join the trie of sorted ``keys`` (top ``bits`` bits of uint64) with itself, or its parts before and from ``cut``.
 
     ``accept(i, j)`` says which row pairs, within the budget on the keys, are links; links go to ``forest``.
@@ -274,7 +274,7 @@ def _grouped(keys: DataFrame, bits: int, budget: int, leaf_rows: int, step: int
     return keys.mapInPandas(deal, schema), [int(x) for x in starts], pairs
 
 
-def trie_links(keys: DataFrame, budget: int, leaf_rows: int = 1 << 16) -> DataFrame:
+def trie_links(keys: DataFrame, budget: int, leaf_rows: int = 1 << 18) -> DataFrame:
     """Spanning links (a, b) of the graph on distinct long ``key`` values that differ in at most ``budget`` bits."""
     dealt, starts, pairs = _grouped(keys.select("key"), 64, budget, leaf_rows)
     begin, ends = np.array(starts, np.uint64), np.array(pairs, np.int64).reshape(-1, 2)
@@ -302,7 +302,7 @@ def fingerprint_column(k: int):
     return fingerprint
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, leaf_rows: int = 1 << 16) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, leaf_rows: int = 1 << 18) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) for every row of ``docs``.
 
     Rows whose fingerprints differ in at most ``budget`` bits are linked; the component is the smallest doc_id
@@ -327,19 +327,55 @@ def expected_bits(similarity: float, bits: int) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
+NEAREST = 3
+
+
+class _Doubts:
+    """Doubtful pairs: held where one of the two is among the other's nearest ``NEAREST``, else linked if not farther
+    apart than ``middle``."""
+
+    def __init__(self, forest: _Forest, middle: float, at_once: int = 1 << 19) -> None:
+        self.forest, self.middle, self.at_once = forest, middle, at_once
+        self.held, self.new, self.size = np.zeros((0, 3), np.int64), [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        self.new.append(np.stack([i, j, far], 1).astype(np.int64))
+        self.size += len(i)
+        if self.size > self.at_once:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """The held pairs that are still apart."""
+        pairs = np.unique(np.concatenate([self.held, *self.new]), axis=0)
+        pairs = pairs[self.forest.label[pairs[:, 0]] != self.forest.label[pairs[:, 1]]]
+        row, which = np.r_[pairs[:, 0], pairs[:, 1]], np.tile(np.arange(len(pairs)), 2)
+        order = np.lexsort((which, pairs[which, 2], row))
+        first = np.r_[True, np.diff(row[order]) != 0] if len(row) else np.zeros(0, bool)
+        rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
+        keep = np.zeros(len(pairs), bool)
+        keep[which[order][rank < NEAREST]] = True
+        rest = pairs[~keep & (pairs[:, 2] <= self.middle)]
+        self.forest.add(rest[:, 0], rest[:, 1])
+        held = pairs[keep]
+        self.held, self.new, self.size = held[self.forest.label[held[:, 0]] != self.forest.label[held[:, 1]]], [], 0
+        return self.held[:, 0], self.held[:, 1]
+
+
 def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lanes: int, slice_bits: int, slice_budget: int, leaf_rows: int) -> DataFrame:
     """Links (a, b, sure) between distinct texts (``node`` long, ``lane0``.. longs).
 
     Each slice of ``slice_bits`` bits of the long fingerprint is one trie self-join.  Pairs that it finds are
     measured on the whole fingerprint: far below the distance expected at ``similarity`` they are links, around
-    it they are doubtful (``sure`` false: the caller compares the shingles), above it dropped.  A task returns a
-    spanning forest of its sure links, and its nearest doubtful pair for every two trees of it.
+    it they are doubtful, above it dropped.  Of the doubtful pairs those of each text's nearest ``NEAREST`` others
+    come back with ``sure`` false, and the caller compares their shingles; the rest, which only large families of
+    similar texts have, are decided by the distance itself.  A task returns a spanning forest of its links.
     """
     total = 64 * lanes
     mean = expected_bits(similarity, total)
     spread = np.sqrt(mean * (1 - mean / total))
     sure_at, doubt_at = int(mean - 1.5 * spread), int(mean + 2.2 * spread)
     names = [f"lane{i}" for i in range(lanes)]
+
     def joiner(begin: np.ndarray, ends: np.ndarray):
         def join(pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf["key"].to_numpy(np.int64).view(np.uint64)
@@ -348,24 +384,20 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
             every = np.stack([pdf[c].to_numpy(np.int64)[order] for c in names], 1).view(np.uint64)
             a, b = ends[int(pdf["pair"].iloc[0])]
             forest = _Forest(len(x))
-            doubtful: list[np.ndarray] = []
+            doubts = _Doubts(forest, mean)
 
             def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 far = np.bitwise_count(every[i] ^ every[j]).sum(1)
                 doubt = (far > sure_at) & (far <= doubt_at)
-                doubtful.append(np.stack([i[doubt], j[doubt], far[doubt]], 1))
+                doubts.add(i[doubt], j[doubt], far[doubt])
                 return far <= sure_at
 
             cut = None if a == b else int(np.searchsorted(x, begin[b]))
             if cut != 0 and cut != len(x):
                 walk(x, cut, slice_bits, slice_budget, accept, forest)
+            i, j = doubts.settle()
             linked = np.flatnonzero(forest.label != np.arange(len(x)))
-            out = [pd.DataFrame({"a": node[linked], "b": node[forest.label[linked]], "sure": True})]
-            if doubtful:
-                d = pd.DataFrame(np.concatenate(doubtful), columns=["i", "j", "far"]).astype("int64")
-                d["p"], d["q"] = forest.label[d["i"]], forest.label[d["j"]]
-                d = d[d["p"] != d["q"]].sort_values(["far", "i", "j"]).drop_duplicates(["p", "q"])
-                out.append(pd.DataFrame({"a": node[d["i"]], "b": node[d["j"]], "sure": False}))
+            out = [pd.DataFrame({"a": node[linked], "b": node[forest.label[linked]], "sure": True}), pd.DataFrame({"a": node[i], "b": node[j], "sure": False})]
             return pd.concat(out)
 
         return join
@@ -384,7 +416,7 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slice_bits: int = 32,
-                         slice_budget: int = 3, leaf_rows: int = 1 << 16) -> DataFrame:
+                         slice_budget: int = 3, leaf_rows: int = 1 << 18) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest doc_id (nulls last).
 
     Near duplicates share ``similarity`` of their sets of ``shingle``-word shingles, directly or through others;
