@@ -23,6 +23,8 @@ ORDER = 4
 #: documents of each language that the models are estimated from, about (chosen by a hash of the id)
 TRAINING_ROWS = 1_500
 CHARS_AT_ONCE = 1 << 19
+#: letters below which a text's cross-entropy is no ground for rejection
+FEW = 30
 SPACE = 32
 _letters: list[np.ndarray] = []
 
@@ -59,7 +61,7 @@ class LanguageModels:
     seen: list[tuple[np.ndarray, np.ndarray]]  # for orders 1..ORDER: sorted hashes, log probabilities
     back: list[tuple[np.ndarray, np.ndarray]]  # for orders 2..ORDER: sorted context hashes, log back-off weights
     sharpness: float = 20.0
-    worst: np.ndarray | None = None  # highest accepted cross-entropy of each language
+    worst: float = np.inf  # highest accepted cross-entropy
 
     def log_probs(self, c: np.ndarray) -> np.ndarray:
         """Natural log probability of each character under each language."""
@@ -127,7 +129,7 @@ class LanguageModels:
         score = odds[np.arange(len(texts)), best] / odds.sum(1)
         known = chars > 0
         lang = np.where(known, np.array(self.langs, object)[best], "und")
-        fits = known & (entropy[np.arange(len(texts)), best] <= (np.inf if self.worst is None else self.worst[best]))
+        fits = known & ((entropy[np.arange(len(texts)), best] <= self.worst) | (chars < FEW))
         return lang, np.where(known, score, 0.0), fits
 
 
@@ -209,7 +211,7 @@ def fit(docs: DataFrame, train) -> LanguageModels:
     """Models from the rows of (doc_id, text, lang) for which ``train`` holds, about ``TRAINING_ROWS`` a language.
 
     Rows without text, language or id take no part.  Without any, every text is ``und``.  Sharpness and the
-    rejection bounds are set on the same sample.
+    rejection bound are set on the same sample.
     """
     rows = docs.select("doc_id", "text", "lang").where(train & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -236,11 +238,10 @@ def fit(docs: DataFrame, train) -> LanguageModels:
         gap = entropy - entropy.min(1, keepdims=True)
         loss = {s: float((s * gap[np.arange(len(own)), own] + np.log(np.exp(-s * gap).sum(1))).mean()) for s in (1, 2, 5, 10, 20, 50)}
         model.sharpness = min(loss, key=lambda s: (loss[s], s))
-    model.worst = np.full(len(langs), np.inf)
-    for k in range(len(langs)):
-        e = entropy[own == k, k]
-        if len(e) >= 20:
-            model.worst[k] = np.quantile(e, 0.99) + max(1.0, 6 * e.std())
+    # mixed texts fit no language well: the bound is one for all, beyond what the hardest language shows in training
+    own_entropy = [entropy[own == k, k] for k in range(len(langs)) if (own == k).sum() >= 20]
+    if own_entropy:
+        model.worst = max(float(np.quantile(e, 0.99) + max(1.0, 6 * e.std())) for e in own_entropy) + 0.5
     return model
 
 
