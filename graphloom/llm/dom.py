@@ -151,7 +151,7 @@ def features(page: Page) -> np.ndarray:
     in_link, junk, article = [False] * n, [False] * n, [False] * n  # so far down from the root
     for k in range(1, n):
         up, tag = page.parent[k], page.tags[k]
-        junk[k] = junk[up] or tag in JUNK_TAGS or bool(page.words[k] and JUNK_WORDS.search(page.words[k]))
+        junk[k] = junk[up] or tag in JUNK_TAGS or bool(page.words[k] and (JUNK_WORDS.search(page.words[k]) or COMMENT_WORDS.search(page.words[k])))
         article[k] = not junk[k] and (article[up] or tag in KINDS["article"])
         in_link[k] = page.tags[k] == "a" or in_link[page.parent[k]]
         links[k] = page.tags[k] == "a"
