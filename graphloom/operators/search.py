@@ -259,3 +259,36 @@ def needs_summary(label: Column, summary: Column, docstring: Column, body: Colum
 
 def idf(n: int, df: int) -> float:
     return math.log1p((n - df + 0.5) / (df + 0.5))
+
+
+# --- approximate search -------------------------------------------------------------------------------------------
+
+
+def approximate_search(nodes: DataFrame, query: list[float], k: int = 10, id_column: str = "node_id", column: str = "embedding", tables: int = 8, bucket: float = 1.5, least: int = 3, seed: int = 7) -> DataFrame:
+    """Up to ``k`` nodes like ``vector_search`` gives, from random-projection buckets of the normalised vectors.
+
+    A bucket is a slab of width ``bucket`` across a random direction.  Every row is compared with the query's slab in each
+    of ``tables`` directions and scored only if it shares ``least`` of them or more, so a few of the best may be missing.
+    The exact scan is the contract; stored with the rows, the bucket numbers make this a filter that reaches the scan.
+    """
+    mine = bucket_numbers(query, tables, bucket, seed)
+    rows = nodes.where((F.size(column) == len(query)) & (vectors.norm(F.col(column)) > 0))
+    shared = sum((b == F.lit(m)).cast("int") for b, m in zip(bucket_columns(F.col(column), len(query), tables, bucket, seed), mine))
+    return vector_scores(rows.where(shared >= least), query, id_column, column).orderBy(F.desc("score"), id_column).limit(k)
+
+
+def _directions(dim: int, tables: int, seed: int) -> list[list[float]]:
+    import random
+
+    rng = random.Random(seed)
+    return [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(tables)]
+
+
+def bucket_columns(v: Column, dim: int, tables: int, bucket: float, seed: int) -> list[Column]:
+    """Bucket numbers of a vector column in each random direction."""
+    return [F.floor(vectors.dot(v, _literal(d)) / vectors.norm(v) / bucket) for d in _directions(dim, tables, seed)]
+
+
+def bucket_numbers(v: list[float], tables: int, bucket: float, seed: int) -> list[int]:
+    size = math.sqrt(sum(float(x) ** 2 for x in v)) or 1.0
+    return [math.floor(sum(a * float(b) for a, b in zip(d, v)) / size / bucket) for d in _directions(len(v), tables, seed)]

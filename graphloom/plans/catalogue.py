@@ -695,3 +695,110 @@ def _(t):
 def _(t):
     both = t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey"))
     return both.exceptAll(t.nation.where("n_regionkey = 0").select("n_nationkey"))
+
+
+# --- listings, notations and small rules ------------------------------------------------------------------------------
+
+
+@query("list_files_limit", " SELECT DISTINCT file_path FROM nodes WHERE starts_with(file_path, 'parts/') ORDER BY file_path LIMIT 10")
+def _(t):
+    return store.list_files(g.nodes(t), "parts/", 10)[0]
+
+
+@query("graph_snapshot", """, light AS (SELECT node_id, label FROM nodes ORDER BY node_id LIMIT 2000) SELECT from_id, to_id FROM calls WHERE from_id IN (SELECT node_id FROM light) AND to_id IN (SELECT node_id FROM light)""")
+def _(t):
+    return store.snapshot(g.nodes(t), g.calls(t))[1].select("from_id", "to_id")
+
+
+@query("scan_edges", " SELECT 'calls' AS label, from_id, to_id FROM calls UNION ALL SELECT 'tests', from_id, to_id FROM tests")
+def _(t):
+    edges = g.calls(t).unionByName(g.tests(t)).unionByName(g.defines(t))
+    return store.scan_edges(edges, ["calls", "tests"]).select("label", "from_id", "to_id")
+
+
+@query("merge_update", "SELECT c_custkey, c_name, coalesce(CASE WHEN c_custkey % 4 = 0 THEN 'NEW' END, c_mktsegment) AS c_mktsegment FROM customer", graph=False)
+def _(t):
+    changes = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "NEW").alias("c_mktsegment"))
+    return store.merge_update(t.customer.select("c_custkey", "c_name", "c_mktsegment"), changes, "c_custkey", ["c_mktsegment"])
+
+
+@query("numeric_props", "SELECT event_id, TRY_CAST(regexp_replace(props, '[^0-9]', '', 'g') AS INTEGER) AS from_line FROM events", graph=False)
+def _(t):
+    from graphloom import schema
+
+    edges = t.events.select("event_id", F.create_map(F.lit("from_line"), F.col("props")).alias("props"))
+    return schema.numeric_props(edges).select("event_id", "from_line")
+
+
+@query("reembed_set", " SELECT node_id FROM nodes WHERE label = 'nation' UNION SELECT from_id FROM defines UNION SELECT to_id FROM defines")
+def _(t):
+    return search.to_reembed(store.scan_nodes(g.nodes(t), labels=["nation"]), g.defines(t))
+
+
+@query("plan_counts", " SELECT 'label' AS kind, label AS value, count(*) AS n FROM nodes GROUP BY label")
+def _(t):
+    from graphloom.engine import plan_counts
+
+    return plan_counts(g.nodes(t).withColumn("language", F.lit(None).cast("string")), g.calls(t))
+
+
+@query("temporal_range", """, v AS (SELECT user_id AS node_id, 'u' || user_id % 3 AS label, min(ts) AS lo, max(ts) AS hi, arg_min(event_id, ts) AS a, arg_max(event_id, ts) AS b FROM events GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hi, node_id) AS rn FROM v WHERE hi >= TIMESTAMP '2024-01-05 00:00:00' AND hi <= TIMESTAMP '2024-01-30 00:00:00') SELECT node_id, label, CASE WHEN a = b THEN 'added' ELSE 'modified' END AS change FROM r WHERE rn <= 100""")
+def _(t):
+    nodes = t.events.groupBy(F.col("user_id").alias("node_id")).agg(F.min_by("event_id", "ts").alias("introduced_commit"), F.max_by("event_id", "ts").alias("last_modified_commit"), F.max("ts").alias("last_modified_at"))
+    nodes = nodes.withColumn("label", F.concat(F.lit("u"), (F.col("node_id") % 3).cast("string")))
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return analyze.temporal_range(nodes, at("2024-01-05 00:00:00"), at("2024-01-30 00:00:00")).select("node_id", "label", "change")
+
+
+@query("severity_floor", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' ELSE 'high' END AS severity FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", graph=False)
+def _(t):
+    p = F.col("o_orderpriority")
+    level = F.when(p == "1-URGENT", "critical").when(p == "2-HIGH", "high").when(p == "3-MEDIUM", "medium").otherwise("low")
+    return analyze.at_least(t.orders.select("o_orderkey", level.alias("severity")), "high")
+
+
+@query("delta_sync", "SELECT c_custkey FROM customer WHERE NOT (c_custkey % 3 = 0 OR c_custkey % 5 = 0)", graph=False)
+def _(t):
+    local = t.customer.select("c_custkey", F.col("c_mktsegment").alias("content_hash"))
+    known = local.where((F.col("c_custkey") % 3 == 0) | (F.col("c_custkey") % 5 == 0))
+    return sync.delta(local, known, ["c_custkey"]).select("c_custkey")
+
+
+@query("needs_summary", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND n_chars >= 50 AND lang <> 'de'", graph=False)
+def _(t):
+    name = F.when(F.col("lang") == "de", "TestX").otherwise("Do")
+    return t.documents.where(search.needs_summary(F.lit("function"), F.lit(None).cast("string"), F.lit(""), F.col("text"), name, F.lit(0), F.col("n_chars"))).select("doc_id")
+
+
+@query("log_parse", "SELECT CAST(event_id AS VARCHAR) AS hash, 'user ' || user_id AS author, event_type || '|' || value AS message FROM events", graph=False)
+def _(t):
+    from graphloom.sources import gitlog
+
+    line = F.concat_ws("|", F.col("event_id").cast("string"), F.concat(F.lit("user "), F.col("user_id").cast("string")), F.lit("1700000000"), F.concat_ws("|", "event_type", F.col("value").cast("string")))
+    return gitlog.parse_log(t.events.select(line.alias("value"))).select("hash", "author", "message")
+
+
+@query("numstat_parse", "SELECT 'x/b' || p_partkey || '/f.go' AS path, CAST(p_size AS INTEGER) AS additions, CAST(p_partkey % 2 AS INTEGER) AS deletions, CASE WHEN p_size > 0 AND p_partkey % 2 = 0 THEN 'added' ELSE 'modified' END AS status FROM part", graph=False)
+def _(t):
+    from graphloom.sources import gitlog
+
+    line = F.concat_ws("\t", F.col("p_size").cast("string"), (F.col("p_partkey") % 2).cast("string"), F.concat(F.lit("x/{a => b"), F.col("p_partkey").cast("string"), F.lit("}/f.go")))
+    return gitlog.parse_numstat(t.part.select(line.alias("value")))
+
+
+@query("line_excerpt", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:4], chr(10)) AS excerpt FROM documents WHERE text IS NOT NULL", graph=False)
+def _(t):
+    return t.documents.where("text is not null").select("doc_id", text.excerpt(F.col("text"), F.lit(10), F.lit(10)).alias("excerpt"))
+
+
+@query("convergence_gates", """SELECT conv_id AS session, count(*) >= 3 AND count(*) FILTER (role = 'system') = 0 AS converged FROM conversations GROUP BY conv_id""", graph=False)
+def _(t):
+    n = lambda c: F.count_if(c)
+    state = t.conversations.groupBy(F.col("conv_id").alias("session")).agg(F.count("*").alias("delegations"), F.lit(5).alias("high_priority"), F.lit(0).alias("open_high"), F.lit(1).alias("last_novel"), F.lit(0).alias("previous_novel"), F.lit(0).alias("hypotheses"), F.lit(0).alias("concluded"), n(F.col("role") == "system").alias("unresolved"))
+    return memory.convergence(state).select("session", "converged")
+
+
+@query("ext_sliding", "SELECT window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start FROM events) GROUP BY window_start", graph=False)
+def _(t):
+    return changefeed.sliding(t.events, "1 hour", "30 minutes").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")

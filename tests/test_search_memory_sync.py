@@ -132,3 +132,14 @@ def test_import_newest_wins(spark):
     got = {r.node_id: (r.content_hash, r.body, r.action) for r in sync.merge_import(local, other, ["node_id"]).collect()}
     assert got == {"same": ("h", "x", "unchanged"), "old": ("i", "x", "updated"), "new": ("h", "x", "older"), "mine": ("h", "x", "local"), "theirs": ("i", None, "inserted")}
     assert {r.node_id for r in sync.delta(local, other, ["node_id"]).collect()} == {"old", "new", "mine"}
+
+
+def test_approximate_search_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    met, of = 0, 0
+    for q in (0, 7, 42):
+        v = list(rows.where(F.col("vec_id") == q).first().embedding)
+        want = {r.vec_id for r in search.vector_search(rows, v, 5, id_column="vec_id").collect()}
+        got = {r.vec_id for r in search.approximate_search(rows, v, 5, id_column="vec_id").collect()}
+        met, of = met + len(want & got), of + len(want)
+    assert met >= 0.8 * of
