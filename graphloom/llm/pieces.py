@@ -104,7 +104,7 @@ class Pieces:
         key = (a, b)
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 1 << 17:
                 self.known.clear()
             found = self.known[key] = self.merge(a + b) == [a, b]
         return found
