@@ -327,7 +327,7 @@ def expected_bits(similarity: float, bits: int) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-NEAREST = 3
+NEAREST = 4
 
 
 class _Doubts:
@@ -373,7 +373,7 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
     total = 64 * lanes
     mean = expected_bits(similarity, total)
     spread = np.sqrt(mean * (1 - mean / total))
-    sure_at, doubt_at = int(mean - 1.5 * spread), int(mean + 2.2 * spread)
+    sure_at, doubt_at = int(mean - 3.2 * spread), int(mean + 2.2 * spread)
     names = [f"lane{i}" for i in range(lanes)]
 
     def joiner(begin: np.ndarray, ends: np.ndarray):
@@ -384,7 +384,7 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
             every = np.stack([pdf[c].to_numpy(np.int64)[order] for c in names], 1).view(np.uint64)
             a, b = ends[int(pdf["pair"].iloc[0])]
             forest = _Forest(len(x))
-            doubts = _Doubts(forest, mean)
+            doubts = _Doubts(forest, mean - 1.5 * spread)
 
             def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 far = np.bitwise_count(every[i] ^ every[j]).sum(1)
