@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EAGER_FROM = 4
+EAGER_FROM = 3
 DEFAULT_DEPTH = 5
 _own: list[str] = []
 

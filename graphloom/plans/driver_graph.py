@@ -52,8 +52,8 @@ def nodes(t: Tables) -> DataFrame:
 
 
 def _edge(df: DataFrame, label: str, a: str, ka: str, b: str, kb: str, distinct: bool = False) -> DataFrame:
-    out = df.select(F.lit(label).alias("label"), _id(a, ka).alias("from_id"), _id(b, kb).alias("to_id"))
-    out = out.distinct() if distinct else out
+    keys = df.select(ka, kb).distinct() if distinct else df.select(ka, kb)  # repeats go while the keys are numbers
+    out = keys.select(F.lit(label).alias("label"), _id(a, ka).alias("from_id"), _id(b, kb).alias("to_id"))
     return out.withColumn("call_site", F.concat("from_id", F.lit(":"), F.lit("1")))
 
 
