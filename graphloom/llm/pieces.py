@@ -86,6 +86,10 @@ class Pieces:
             out += [a == b for a, b in zip(self.decode(ids[lo:hi]), texts[lo:hi])]
         return out
 
+    def says(self, ids: np.ndarray, text: str) -> bool:
+        """Whether ids from the middle of a text decode to ``text``; a full stop in front keeps a leading space."""
+        return self.sp.decode([self.id["."], *ids.tolist()]) == "." + text
+
     def merge(self, text: str) -> list[str]:
         """BPE of a short text in space marks: the best-scored adjacent pair is joined first, leftmost of equals."""
         parts = list(text)
@@ -295,7 +299,7 @@ def encode_in_chunks(model: Pieces, text: str, size: int) -> list[int]:
 
 
 def _encode_giants(giants: DataFrame, path: str, size: int) -> DataFrame:
-    """(key, ids) of the distinct (key, text) rows of ``giants``."""
+    """(key, ids, same) of the distinct (key, text) rows of ``giants``; ``same``: every chunk decodes to its text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pieces(path)
@@ -326,11 +330,15 @@ def _encode_giants(giants: DataFrame, path: str, size: int) -> DataFrame:
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pieces(path)
         for pdf in batches:
-            ids = [np.array(trace(model, r.chunk, r.lo, r.hi, *pickle.loads(r.ends)), np.int32) for r in pdf.itertuples()]
-            yield pd.DataFrame({"key": pdf["key"], "part": pdf["part"], "ids": ids})
+            for r in pdf.itertuples():  # a chunk at a time
+                entry, exit_ = pickle.loads(r.ends)
+                ids = np.array(trace(model, r.chunk, r.lo, r.hi, entry, exit_), np.int32)
+                span = r.chunk[r.lo + entry[1] : r.hi + (exit_[1] if exit_ else 0)]
+                same = model.says(ids, span.replace(MARK, " "))
+                yield pd.DataFrame({"key": pd.Series([r.key], dtype=object), "part": [r.part], "ids": [ids], "same": [same]})
 
-    traced = chunks.join(ends, ["key", "part"]).mapInPandas(back, "key string, part int, ids array<int>")
-    return traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
+    traced = chunks.join(ends, ["key", "part"]).mapInPandas(back, "key string, part int, ids array<int>, same boolean")
+    return traced.groupBy("key").agg(F.bool_and("same").alias("same"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -352,16 +360,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
             ids[k], same[k] = x, y
         return pd.DataFrame({"ids": ids, "same": same})
 
-    @F.pandas_udf("boolean")
-    def same(ids: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series(pieces(path).gives_back(ids.tolist(), text.tolist()), dtype=bool)
-
     short = F.coalesce(F.length("text") <= chunk, F.lit(True))
     done = base.where(short).withColumn("__found", encode("text")).withColumns({"token_ids": F.col("__found.ids"), "round_trip": F.col("__found.same")}).drop("__found")
     long_ = base.where(~short).withColumn("__key", F.sha2("text", 256))
     ids = _encode_giants(long_.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk)
-    rest = long_.join(ids.select(F.col("key").alias("__giant"), F.col("ids").alias("token_ids")), F.col("__key") == F.col("__giant"))
-    both = done.unionByName(rest.drop("__key", "__giant").withColumn("round_trip", same("token_ids", "text")))
+    rest = long_.join(ids.select(F.col("key").alias("__giant"), F.col("ids").alias("token_ids"), F.col("same").alias("__same")), F.col("__key") == F.col("__giant"))
+    both = done.unionByName(rest.withColumn("round_trip", F.col("__same") & ~F.col("text").contains(MARK)).drop("__key", "__giant", "__same"))
     return both.select(*base.columns, "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).cast("long").alias("n_tokens"), "round_trip")
 
 
