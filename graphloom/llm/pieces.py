@@ -21,8 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import materialise, table
 
@@ -30,6 +32,7 @@ MARK = "▁"
 CHUNK = 1 << 15
 #: characters or ids that are in the library's hands at once
 AT_ONCE = 1 << 18
+SHORT_BATCH = 512
 
 
 def default_model() -> str:
@@ -350,18 +353,27 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     path = path or default_model()
     base = docs.drop("token_ids", "n_tokens", "round_trip")
 
-    @F.pandas_udf("ids array<int>, same boolean")
-    def encode(text: pd.Series) -> pd.DataFrame:
-        known = text.notna().to_numpy()
-        texts = text[known].tolist()
-        found = pieces(path).encode(texts)
-        ids, same = np.full(len(text), None, object), np.full(len(text), None, object)
-        for k, x, y in zip(np.flatnonzero(known), found, pieces(path).gives_back(found, texts)):
-            ids[k], same[k] = x, y
-        return pd.DataFrame({"ids": ids, "same": same})
+    names, text_at = [*base.columns, "token_ids", "round_trip"], base.columns.index("text")
+    schema = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with ids and round trip, in short batches: ids stay in flat buffers, never as Python numbers."""
+        model = pieces(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SHORT_BATCH):
+                part = batch.slice(at, SHORT_BATCH)
+                texts = part.column(text_at).to_pylist()
+                known = [k for k, t in enumerate(texts) if t is not None]
+                found = model.encode([texts[k] for k in known])
+                same = dict(zip(known, model.gives_back(found, [texts[k] for k in known])))
+                ids = dict(zip(known, found))
+                sizes = [len(ids[k]) if k in ids else 0 for k in range(len(texts))]
+                flat = np.concatenate([np.zeros(0, np.int32), *found])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in texts]))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([same.get(k) for k in range(len(texts))], pa.bool_())], names=names)
 
     short = F.coalesce(F.length("text") <= chunk, F.lit(True))
-    done = base.where(short).withColumn("__found", encode("text")).withColumns({"token_ids": F.col("__found.ids"), "round_trip": F.col("__found.same")}).drop("__found")
+    done = base.where(short).mapInArrow(encode, schema)
     long_ = base.where(~short).withColumn("__key", F.sha2("text", 256))
     ids = _encode_giants(long_.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk)
     rest = long_.join(ids.select(F.col("key").alias("__giant"), F.col("ids").alias("token_ids"), F.col("same").alias("__same")), F.col("__key") == F.col("__giant"))
