@@ -13,13 +13,17 @@ thousands of near copies cost about their size; a task returns a spanning forest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.common import materialise, table
 from graphloom.llm.components import connected_components
@@ -53,7 +57,12 @@ def _ones(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[str | None], k: int, lanes: int = 1) -> np.ndarray:
     """One row of ``lanes`` unsigned 64-bit words for each text; zeros for a text without words."""
-    out = np.zeros((len(texts), lanes), np.uint64)
+    return fingerprints_of((shingle_hashes(text, k) for text in texts), len(texts), lanes)
+
+
+def fingerprints_of(hashes: Iterable[np.ndarray], rows: int, lanes: int) -> np.ndarray:
+    """``fingerprints`` of ``rows`` texts by the hashes of their shingles."""
+    out = np.zeros((rows, lanes), np.uint64)
     held: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
@@ -73,8 +82,7 @@ def fingerprints(texts: list[str | None], k: int, lanes: int = 1) -> np.ndarray:
         held.clear()
 
     n = 0
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text, k)
+    for i, h in enumerate(hashes):
         if not len(h):
             continue
         if n + len(h) > SHINGLES_AT_ONCE:
@@ -90,10 +98,14 @@ def fingerprints(texts: list[str | None], k: int, lanes: int = 1) -> np.ndarray:
 
 
 class _Forest:
-    """Vectorised union-find over row numbers; a label is the smallest row of its component."""
+    """Vectorised union-find over row numbers; a label is the smallest row of its component.
+
+    ``used`` has the pairs that joined two components, a spanning forest of the pairs added.
+    """
 
     def __init__(self, n: int) -> None:
         self.label = np.arange(n)
+        self.used: list[np.ndarray] = []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -102,7 +114,11 @@ class _Forest:
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.label, high, low)
+            won = np.flatnonzero(self.label[high] == low)
+            won = won[np.unique(high[won], return_index=True)[1]]
+            self.used.append(np.stack([i[won], j[won]], 1))
             while True:
                 up = self.label[self.label]
                 if (up == self.label).all():
@@ -331,11 +347,10 @@ NEAREST = 4
 
 
 class _Doubts:
-    """Doubtful pairs: held where one of the two is among the other's nearest ``NEAREST``, else linked if not farther
-    apart than ``middle``."""
+    """Doubtful pairs, held where one of the two is among the other's nearest ``NEAREST``."""
 
-    def __init__(self, forest: _Forest, middle: float, at_once: int = 1 << 19) -> None:
-        self.forest, self.middle, self.at_once = forest, middle, at_once
+    def __init__(self, forest: _Forest, at_once: int = 1 << 19) -> None:
+        self.forest, self.at_once = forest, at_once
         self.held, self.new, self.size = np.zeros((0, 3), np.int64), [], 0
 
     def add(self, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
@@ -354,21 +369,17 @@ class _Doubts:
         rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
         keep = np.zeros(len(pairs), bool)
         keep[which[order][rank < NEAREST]] = True
-        rest = pairs[~keep & (pairs[:, 2] <= self.middle)]
-        self.forest.add(rest[:, 0], rest[:, 1])
-        held = pairs[keep]
-        self.held, self.new, self.size = held[self.forest.label[held[:, 0]] != self.forest.label[held[:, 1]]], [], 0
+        self.held, self.new, self.size = pairs[keep], [], 0
         return self.held[:, 0], self.held[:, 1]
 
 
-def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lanes: int, slice_bits: int, slice_budget: int, leaf_rows: int) -> DataFrame:
-    """Links (a, b, sure) between distinct texts (``node`` long, ``lane0``.. longs).
+def fingerprint_pairs(texts: DataFrame, similarity: float, lanes: int, slice_bits: int, slice_budget: int, leaf_rows: int) -> DataFrame:
+    """Pairs (a, b) of distinct texts (``node`` long, ``lane0``.. longs) that their fingerprints propose as near duplicates.
 
     Each slice of ``slice_bits`` bits of the long fingerprint is one trie self-join.  Pairs that it finds are
-    measured on the whole fingerprint: far below the distance expected at ``similarity`` they are links, around
-    it they are doubtful, above it dropped.  Of the doubtful pairs those of each text's nearest ``NEAREST`` others
-    come back with ``sure`` false, and the caller compares their shingles; the rest, which only large families of
-    similar texts have, are decided by the distance itself.  A task returns a spanning forest of its links.
+    measured on the whole fingerprint: of those far below the distance expected at ``similarity`` a task proposes
+    a spanning forest, of those around it each text's nearest ``NEAREST`` others.  Nothing is decided here: the
+    caller compares the shingles of what is proposed, and ``set_join`` finds what is not.
     """
     total = 64 * lanes
     mean = expected_bits(similarity, total)
@@ -384,7 +395,7 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
             every = np.stack([pdf[c].to_numpy(np.int64)[order] for c in names], 1).view(np.uint64)
             a, b = ends[int(pdf["pair"].iloc[0])]
             forest = _Forest(len(x))
-            doubts = _Doubts(forest, mean - 1.5 * spread)
+            doubts = _Doubts(forest)
 
             def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 far = np.bitwise_count(every[i] ^ every[j]).sum(1)
@@ -396,9 +407,8 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
             if cut != 0 and cut != len(x):
                 walk(x, cut, slice_bits, slice_budget, accept, forest)
             i, j = doubts.settle()
-            linked = np.flatnonzero(forest.label != np.arange(len(x)))
-            out = [pd.DataFrame({"a": node[linked], "b": node[forest.label[linked]], "sure": True}), pd.DataFrame({"a": node[i], "b": node[j], "sure": False})]
-            return pd.concat(out)
+            i, j = np.concatenate([np.stack([i, j], 1), *forest.used]).T
+            return pd.DataFrame({"a": node[i], "b": node[j]})
 
         return join
 
@@ -410,9 +420,153 @@ def near_duplicate_links(texts: DataFrame, shingle: int, similarity: float, lane
             keys = texts.select("node", *names, key.bitwiseAND(F.lit(mask).cast("long")).alias("key"))
             dealt, starts, pairs = _grouped(keys, slice_bits, slice_budget, leaf_rows)
 
-            links = dealt.groupBy("pair").applyInPandas(joiner(np.array(starts, np.uint64), np.array(pairs, np.int64).reshape(-1, 2)), "a long, b long, sure boolean")
+            links = dealt.groupBy("pair").applyInPandas(joiner(np.array(starts, np.uint64), np.array(pairs, np.int64).reshape(-1, 2)), "a long, b long")
             found = links if found is None else found.union(links)
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")).where("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+# --- the exact set join -----------------------------------------------------------------------------------
+
+#: cells of the shingle counts, and the pieces that they travel in
+CELLS, PIECES = 1 << 22, 64
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def scan_texts(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """One pass over (doc_id, node, text): (doc_id, node, l) with the fingerprint's lanes for each row, and rows
+    (piece, counts) with each task's counts of shingles by a hash."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.uint32)
+
+        def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+            for text in texts:
+                h = shingle_hashes(text.as_py(), shingle)
+                counts[_cells(h)] += np.uint32(1)
+                yield h
+
+        for batch in batches:
+            n = batch.num_rows
+            long = fingerprints_of(hashes(batch.column("text")), n, lanes).view(np.int64)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, n * lanes + 1, lanes), pa.int32()), pa.array(long.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("node"), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        parts = [(k, part) for k, part in enumerate(np.split(counts, PIECES)) if part.any()]
+        if parts:
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()),
+                 pa.array([zlib.compress(part.tobytes(), 1) for _, part in parts], pa.binary())], names)
+
+    names = ["doc_id", "node", "l", "piece", "counts"]
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.select("doc_id", "node", "text").mapInArrow(scan, f"doc_id {kind}, node long, l array<long>, piece int, counts binary")
+
+
+def shingle_levels(scanned: DataFrame) -> np.ndarray:
+    """How common the shingles of each cell are, from 0 to 255 on a logarithmic scale; ``CELLS`` bytes."""
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CELLS // PIECES, np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.uint32)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "levels": [np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8).tobytes()]})
+
+    out = np.zeros((PIECES, CELLS // PIECES), np.uint8)
+    for r in scanned.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(level, "piece int, levels binary").toLocalIterator():
+        out[r.piece] = np.frombuffer(r.levels, np.uint8)
+    return out.ravel()
+
+
+def shared_prefixes(texts: DataFrame, shingle: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """(token, node, n, pos): the shingles that two distinct texts or more (node, text) have in their prefixes.
+
+    A text's ``n`` shingles are ordered from the rarest cell to the commonest.  Two texts of ``similarity`` or more
+    share at least ``similarity * n`` of them, hence one of the first ``n - ceil(similarity * n) + 1``, whatever the
+    cells' counts are.  Texts without words share one token.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level = shared.value
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("node")
+            for at in range(0, len(pdf), 512):
+                tokens, sizes, widths = [], [], []
+                for text in pdf["text"].iloc[at : at + 512]:
+                    h = np.unique(shingle_hashes(text, shingle))
+                    n = len(h)
+                    p = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                    tokens.append(h[np.argsort(level[_cells(h)], kind="stable")[:p]] if n else np.zeros(1, np.uint64))
+                    sizes.append(n)
+                    widths.append(len(tokens[-1]))
+                every, width = np.concatenate(tokens), np.array(widths)
+                yield pd.DataFrame({
+                    "token": every.view(np.int64), "node": np.repeat(pdf["node"].to_numpy(np.int64)[at : at + 512], width),
+                    "n": np.repeat(np.array(sizes, np.int32), width), "pos": (np.arange(len(every)) - np.repeat(np.cumsum(width) - width, width)).astype(np.int32),
+                })
+
+    def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows, sorted by token and node, of tokens with several nodes; the last token waits for the next batch."""
+        waiting: list[pd.DataFrame] = []
+
+        def closed(pdf: pd.DataFrame) -> pd.DataFrame:
+            token, node = pdf["token"].to_numpy(), pdf["node"].to_numpy()
+            pdf = pdf[np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]]
+            again = pdf["token"].to_numpy()[1:] == pdf["token"].to_numpy()[:-1]
+            return pdf[np.r_[False, again] | np.r_[again, False]]
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = pdf["token"].iloc[-1]
+            if waiting and waiting[-1]["token"].iloc[-1] == last == pdf["token"].iloc[0]:
+                waiting.append(pdf)
+                continue
+            cut = int(np.searchsorted(pdf["token"].to_numpy(), last))
+            done = [*waiting, pdf.iloc[:cut]] if cut or waiting else []
+            waiting = [pdf.iloc[cut:]]
+            if done:
+                yield closed(pd.concat(done))
+        if waiting:
+            yield closed(pd.concat(waiting))
+
+    schema = "token long, node long, n int, pos int"
+    dealt = texts.mapInPandas(prefixes, schema).repartition("token").sortWithinPartitions("token", "node")
+    return dealt.mapInPandas(repeated, schema)
+
+
+def neighbour_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """A first proposal (a, b): in each token's texts, ordered by size, neighbours and the pairs with the middle one."""
+    of = W.partitionBy("token")
+    by = of.orderBy("n", "node")
+    rows = prefixes.withColumns({"rank": F.row_number().over(by), "all": F.count("*").over(of), "here": F.struct("node", "n"), "before": F.lag(F.struct("node", "n")).over(by)})
+    rows = rows.withColumn("middle", F.max(F.when(F.col("rank") == F.floor((F.col("all") + 1) / 2), F.col("here"))).over(of))
+    ends = rows.select("here", F.explode(F.array("before", "middle")).alias("there")).where("there is not null and here.node <> there.node")
+    alike = F.least("here.n", "there.n") >= similarity * F.greatest("here.n", "there.n") - 1e-9
+    return ends.where(alike).select(F.least("here.node", "there.node").alias("a"), F.greatest("here.node", "there.node").alias("b")).distinct()
+
+
+def apart_pairs(prefixes: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different components (node, component) that can have ``similarity`` by their prefixes.
+
+    Of two components of a token's texts one is not its largest, so only the others' texts are paired with all.  The
+    first token that two texts share bounds what they share: nothing before it, at most everything after it.
+    """
+    rows = materialise(prefixes.join(part, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("g")))
+    main = rows.groupBy("token", "g").count().groupBy("token").agg(F.max(F.struct("count", "g")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    open_ = rows.join(main.select("token", F.col("m.g").alias("main")), "token")
+    x, y = open_.where("g <> main").alias("x"), open_.alias("y")
+    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") != F.col("y.g")) & fits)
+    ends = [F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.pos").alias("pos")) for s in "xy"]
+    ends = met.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q"))
+    first = ends.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("m"), F.col("q.n").alias("n")).agg(F.min(F.struct("p.pos", F.col("q.pos").alias("other"))).alias("at"))
+    most = F.least(F.col("m") - F.col("at.pos"), F.col("n") - F.col("at.other"))
+    return first.where(most >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slice_bits: int = 32,
@@ -420,22 +574,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """``docs`` with one row of each group of near duplicates: that with the smallest doc_id (nulls last).
 
     Near duplicates share ``similarity`` of their sets of ``shingle``-word shingles, directly or through others;
-    texts equal byte for byte always do.  Candidates come from the tries of the long SimHash's slices; doubtful
-    ones are settled by comparing the shingle sets.  Texts without words are copies of each other.  Repeated rows
-    count as copies.  All columns of ``docs`` are kept.  Distinct texts are named by 64 bits of XXH64.
+    texts equal byte for byte always do.  Every link is a comparison of two shingle sets.  The tries of the long
+    SimHash's slices and the shared prefixes propose a first lot; then every pair of different components that the
+    prefixes allow is compared, so no pair of that similarity stays apart.  Texts without words are copies of each
+    other.  Repeated rows count as copies.  All columns of ``docs`` are kept.  Distinct texts are named by 64 bits
+    of XXH64.
     """
-
-    @F.pandas_udf("array<long>")
-    def lanes_of(text: pd.Series) -> pd.Series:
-        return pd.Series(list(fingerprints(text.tolist(), shingle, lanes).view(np.int64)))
-
     plain = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialise(docs.select("doc_id", F.xxhash64(plain).alias("node"), lanes_of("text").alias("l")))
+    scanned = materialise(scan_texts(docs.select("doc_id", F.xxhash64(plain).alias("node"), "text"), shingle, lanes))
     named = materialise(
-        rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(F.col("l")[i]).alias(f"lane{i}") for i in range(lanes)))
+        scanned.where("piece is null").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(F.col("l")[i]).alias(f"lane{i}") for i in range(lanes)))
     )
-    links = materialise(near_duplicate_links(named, shingle, similarity, lanes, slice_bits, slice_budget, leaf_rows))
     text_of = docs.select(F.xxhash64(plain).alias("node"), F.col("text"))
+    prefixes = materialise(shared_prefixes(text_of, shingle, similarity, shingle_levels(scanned)))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -446,15 +597,20 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
             out.append(both >= similarity * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    doubtful = links.where("not sure").select("a", "b")
-    ends = doubtful.select(F.col("a").alias("node")).union(doubtful.select(F.col("b").alias("node"))).distinct()
-    texts = text_of.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    settled = (
-        doubtful.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        .where(alike("ta", "tb")).select("a", "b")
-    )
-    part = materialise(connected_components(links.where("sure").select("a", "b").union(settled)))
+    def compared(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = text_of.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return (
+            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+            .where(alike("ta", "tb")).select("a", "b")
+        )
+
+    proposed = materialise(fingerprint_pairs(named, similarity, lanes, slice_bits, slice_budget, leaf_rows).union(neighbour_pairs(prefixes, similarity)).distinct())
+    links = materialise(compared(proposed))
+    part = materialise(connected_components(links))
+    rest = materialise(apart_pairs(prefixes, part, similarity).join(proposed, ["a", "b"], "left_anti"))
+    part = materialise(connected_components(links.union(compared(rest))))
     chosen = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node")))
     groups = named.join(part.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("g"))
     stay = groups.groupBy("g").agg(chosen.alias("s")).select(F.col("s.node").alias("__node"), F.col("s.least").alias("__least"))

@@ -103,3 +103,19 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, node string"), leaf_rows=16)
     assert got.columns == ["doc_id", "text", "node"]
     assert sorted(r.doc_id for r in got.collect()) == sorted({min(i for i, g in enumerate(truth) if g == h) for h in truth} | {1000})
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+
+
+def test_families_below_the_threshold_stay_whole(spark):
+    rng = random.Random(7)
+    line = " ".join(f"line{i}" for i in range(12))
+    swamped = [" ".join([*[line] * 40, *(f"own{t}x{rng.randrange(10**6)}" for _ in range(200))]) for t in range(20)]
+    core = [f"core{i}" for i in range(400)]
+    close = []  # about 0.73 of any two texts' shingles are shared
+    for t in range(120):
+        close.append(" ".join([*core, *(f"tail{t}x{i}" for i in range(73))] if t % 2 else [*(f"head{t}x{i}" for i in range(73)), *core]))
+    assert kept_ids(spark, swamped + close) == set(range(140))
