@@ -436,15 +436,15 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def scan_texts(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """One pass over (doc_id, node, text): (doc_id, node, l) with the fingerprint's lanes for each row, and rows
-    (piece, counts) with each task's counts of shingles by a hash."""
+    """One pass over (doc_id, node, text): (doc_id, node, l) with the lanes of the fingerprint of each row's set of
+    shingles, and rows (piece, counts) with each task's counts of shingles by a hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
 
         def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             for text in texts:
-                h = shingle_hashes(text.as_py(), shingle)
+                h = np.unique(shingle_hashes(text.as_py(), shingle))
                 counts[_cells(h)] += np.uint32(1)
                 yield h
 

@@ -119,3 +119,12 @@ def test_families_below_the_threshold_stay_whole(spark):
     for t in range(120):
         close.append(" ".join([*core, *(f"tail{t}x{i}" for i in range(73))] if t % 2 else [*(f"head{t}x{i}" for i in range(73)), *core]))
     assert kept_ids(spark, swamped + close) == set(range(140))
+
+
+def test_pipeline_fingerprints_are_of_sets(spark):
+    rng = random.Random(9)
+    words = [f"p{rng.randrange(10**6)}" for _ in range(1000)]
+    texts = [" ".join(words), " ".join([*words[:500], *words[480:500] * 10, *words[500:]])]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, node long, text string").coalesce(1)
+    lanes = [np.array(r.l, np.int64) for r in simhash.scan_texts(docs, 5, 4).where("piece is null").orderBy("doc_id").collect()]
+    assert np.bitwise_count((lanes[0] ^ lanes[1]).view(np.uint64)).sum() < 20
