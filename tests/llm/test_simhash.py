@@ -128,3 +128,15 @@ def test_pipeline_fingerprints_are_of_sets(spark):
     docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, node long, text string").coalesce(1)
     lanes = [np.array(r.l, np.int64) for r in simhash.scan_texts(docs, 5, 4).where("piece is null").orderBy("doc_id").collect()]
     assert np.bitwise_count((lanes[0] ^ lanes[1]).view(np.uint64)).sum() < 20
+
+
+def test_isolated_pairs_at_the_threshold_are_all_found(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):  # each of 6 changes breaks five of 300 shingles: 270 of 330 are shared
+        words = [f"q{rng.randrange(10**9)}" for _ in range(304)]
+        changed = list(words)
+        for at in range(6):
+            changed[20 + 45 * at] = f"other{rng.randrange(10**9)}"
+        texts += [" ".join(words), " ".join(changed)]
+    assert kept_ids(spark, texts) == set(range(0, 300, 2))
