@@ -15,6 +15,7 @@ from graphloom import schema
 from graphloom.operators import analyze, derive, link, search, store, traverse
 from graphloom.operators.extract import runner
 from graphloom.sources import files, gitlog
+from graphloom.storage import cut
 
 
 class Engine:
@@ -36,18 +37,18 @@ class Engine:
         old = store.scan_nodes(self.store.nodes, repo_slug)
         changed = file_nodes if reparse else store.changed_files(file_nodes, old.where(F.col("label") == "file"))
         todo = found.join(changed.select(F.col("file_path").alias("path")), "path", "left_semi")
-        parsed = traverse._cut(runner.parse_files(todo))
+        parsed = cut(runner.parse_files(todo))
         code = runner.merge_methods(runner.nodes_of(parsed, repo_slug))
         mods = files.go_mod_nodes(todo, repo_slug)
         new = schema.conform(changed, schema.NODES).unionByName(schema.conform(code, schema.NODES)).unionByName(schema.conform(mods, schema.NODES))
-        new = traverse._cut(store.keep_generated(new, old))
+        new = cut(store.keep_generated(new, old))
         touched = todo.select(F.col("path").alias("file_path"))
         gone = store.stale_nodes(old, found.select(F.col("path").alias("file_path"))).select("repo_slug", "node_id")
         again = old.join(touched, "file_path", "left_semi").select("repo_slug", "node_id")
-        drop = traverse._cut(gone.unionByName(again).distinct())
+        drop = cut(gone.unionByName(again).distinct())
         kept = old.join(drop, ["repo_slug", "node_id"], "left_anti")
-        symbols = traverse._cut(kept.select("node_id", "label", "name", "qualified", "file_path", "methods").unionByName(new.select("node_id", "label", "name", "qualified", "file_path", "methods")))
-        linked = traverse._cut(link.link_all(runner.edges_of(parsed, repo_slug), symbols).withColumn("repo_slug", F.lit(repo_slug)))
+        symbols = cut(kept.select("node_id", "label", "name", "qualified", "file_path", "methods").unionByName(new.select("node_id", "label", "name", "qualified", "file_path", "methods")))
+        linked = cut(link.link_all(runner.edges_of(parsed, repo_slug), symbols).withColumn("repo_slug", F.lit(repo_slug)))
         if not drop.isEmpty():
             self.store.delete(drop)
         if self.embed_fn and not fast:

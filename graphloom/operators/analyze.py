@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ids, paths
 from graphloom.operators import link, traverse
+from graphloom.storage import cut
 
 # --- trace and blast radius -----------------------------------------------------------------------------------------
 
@@ -64,7 +65,7 @@ def diff_impact(diffs: DataFrame, edges: DataFrame, nodes: DataFrame, labels: li
 
     One search from all changed symbols at once; a changed symbol is not affected by itself or others.
     """
-    changed = overlapping(nodes.where(F.col("label").isin("function", "class")), diff_ranges(diffs))
+    changed = cut(overlapping(nodes.where(F.col("label").isin("function", "class")), diff_ranges(diffs)).select("node_id", "qualified", "file_path"))
     hit = blast_radius(changed.select("node_id"), edges, nodes, labels, max_depth).join(changed.select("node_id"), "node_id", "left_anti")
     test = F.coalesce(F.col("file_path").contains("_test.go"), F.lit(False))
     rows = changed.select("node_id", "qualified", "file_path", F.lit(0).alias("hop"), F.lit("changed").alias("role"))

@@ -2,35 +2,23 @@
 
 Hops are shortest-path lengths and carry the edge that was taken.  A start node is never emitted.  Each level joins
 the frontier with the oriented edges, keeps one row per (seed, node) and drops what was visited before, so the work
-of a level is bounded by the edges however many paths there are.  Up to ``EAGER_FROM`` levels are one lazy plan;
-deeper searches cut lineage at every level and stop when a frontier is empty.
+of a level is bounded by the edges however many paths there are.  Below ``EAGER_FROM`` levels a search is one lazy
+plan; deeper ones make the oriented edges once, cut lineage at every level, send a frontier of counted, bounded size to
+the edges (a larger one is shuffled to them), and stop when a frontier is empty.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.storage import cut, release
+
 EAGER_FROM = 3
 DEFAULT_DEPTH = 5
-_own: list[str] = []
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the folder that the session's spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="graphloom-"))
-        base = _own[0]
-    path = f"{base}/levels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: rows of a frontier up to which it is sent to all tasks, so that the edges stay where they are
+SENT_FRONTIER = 200_000
 
 
 def oriented(edges: DataFrame, direction: str = "forward", labels: list[str] | None = None) -> DataFrame:
@@ -50,24 +38,33 @@ def _bfs(seeds: DataFrame, steps: DataFrame, depth: int, labels: list[str] | Non
     """
     keys = ["seed_id", "walk"]
     none = F.lit(None).cast("string")
+    eager = depth >= EAGER_FROM
     frontier = seeds.select("seed_id", F.explode(F.array(*map(F.lit, labels or ["*"]))).alias("walk"), "node_id")
+    at = steps.withColumnRenamed("label", "edge_label")
+    if eager:  # the edges are made once, however many levels read them
+        at, frontier = cut(at), cut(frontier.distinct())
     visited = frontier.select(*keys, "node_id")
-    out = None
+    out, rows_ahead = None, frontier.count() if eager else None
     for hop in range(1, depth + 1):
-        at = steps.withColumnRenamed("label", "edge_label")
-        met = frontier.select(*keys, F.col("node_id").alias("src")).join(at, "src")
+        ahead = frontier.select(*keys, F.col("node_id").alias("src"))
+        if eager and rows_ahead <= SENT_FRONTIER:
+            ahead = F.broadcast(ahead)
+        met = at.join(ahead, "src")
         if labels:
             met = met.where(F.col("walk") == F.col("edge_label"))
         best = met.groupBy(*keys, F.col("dst").alias("node_id")).agg(F.min(F.struct("src", "edge_label", "call_site")).alias("via"))
         new = best.join(visited, [*keys, "node_id"], "left_anti")
-        if depth >= EAGER_FROM:
-            new = _cut(new)
-            if new.isEmpty():
+        if eager:
+            new = cut(new)
+            rows_ahead = new.count()
+            if not rows_ahead:
                 break
         rows = new.select("seed_id", "node_id", F.lit(hop).alias("hop"), F.col("via.src").alias("parent_id"), F.col("via.edge_label").alias("label"), F.col("via.call_site").alias("call_site"))
         out = rows if out is None else out.unionByName(rows)
         frontier = new.select(*keys, "node_id")
         visited = visited.unionByName(frontier)
+    if eager:
+        release(at)
     if out is None:
         out = frontier.where("false").select("seed_id", "node_id", F.lit(0).alias("hop"), none.alias("parent_id"), none.alias("label"), none.alias("call_site"))
     return out
@@ -133,6 +130,7 @@ def neighbour_rows(edges: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFra
     )
     most = F.element_at(F.create_map(*(F.lit(x) for kv in NEIGHBOUR_LIMITS.items() for x in kv)), F.col("kind"))
     ranked = found.withColumn("__n", F.row_number().over(W.partitionBy("center", "kind").orderBy("other_qualified", "other_id", F.col("detail").asc_nulls_first())))
+    ranked = ranked.where(F.col("__n") <= max(NEIGHBOUR_LIMITS.values()))  # a plain number: windows are cut before the shuffle
     return ranked.where(F.col("__n") <= most).select(F.col("center").alias("node_id"), "kind", "other_id", "other_qualified", "detail")
 
 
@@ -169,7 +167,7 @@ def field_flow_edges(seeds: DataFrame, edges: DataFrame, field_path: str | None
     for d in range(1, depth + 1):
         met = frontier.select(F.col("node_id").alias("src")).join(flow, "src")
         if depth >= EAGER_FROM:
-            met = _cut(met)
+            met = cut(met)
             if met.isEmpty():
                 break
         rows = met.select(F.lit(d).alias("depth"), F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "label", "field_path", "mutation_type", "arg_expr")
