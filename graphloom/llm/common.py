@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from graphloom.storage import cut as materialise
+from graphloom.storage import new_folder, release
+
+__all__ = ["ascii_lower", "bounded_labelled", "fold_is", "join_spread", "materialise", "new_folder", "release", "slices", "table"]
+
+#: a key with more rows than this and than a ten-thousandth of all rows is joined by itself
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+#: characters of text that a Python function holds at once, beside one longer text
+CHARS_AT_ONCE = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="graphloom-"))
-    return _own_dir[0]
+def slices(texts: list[str | None], most_rows: int = 512, most_chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of ``texts`` of at most ``most_rows`` rows and, beyond a run's first text, ``most_chars`` characters."""
+    start, chars = 0, 0
+    for k, text in enumerate(texts):
+        n = len(text) if text else 0
+        if k > start and (k - start >= most_rows or chars + n > most_chars):
+            yield start, k
+            start, chars = k, 0
+        chars += n
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start here and survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row a ``key`` and in ``members`` how many of ``rows`` have it.
+
+    Keys with many rows, at most ``HOT_KEYS`` as each has over a ten-thousandth of the ``total``, are sent to the rows,
+    so no task gets all rows of one; the others are shuffled.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(keyed.where(F.col(members) > bound).drop(members))
+    cold = keyed.where(F.col(members) <= bound).drop(members)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def fold_is(doc_id: Column, mod: int, value: int) -> Column:
@@ -54,5 +68,5 @@ def bounded_labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    # at most `bound` (id, label) pairs of 12 bytes: safe to broadcast
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # at most `bound` (id, label) pairs of 12 bytes: safe to broadcast; the rows are read several times, so they are cut
+    return materialise(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"))

@@ -1,16 +1,19 @@
+import math
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm import topk
+from graphloom.llm import sql, topk
 
 
 def brute(rows, k=5, every=50):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for q in sorted({i for i, _ in ok}):
         if q % every == 0:
-            met = sorted((-int((a * b).sum()), c) for c, b in ok if c != q)[:k]
+            a = min(v for i, v in ok if i == q)
+            met = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ok if c != q)[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(met)]
     return sorted(out)
 
@@ -40,8 +43,27 @@ def test_large_components_stay_exact(spark):
     assert sorted(map(tuple, topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0).collect())) == brute(rows)
 
 
+def test_products_beyond_floating_point(spark):
+    big = [[100_000_001.0 / 256] * 5, [100_000_003.0 / 256] * 5, [-100_000_007.0 / 256] * 4 + [3e6 / 256], [2e9 / 256, -2e9 / 256, 1.0, 0.0, 1.0 / 256]]
+    docs = spark.createDataFrame([(50 * i, v, 0) for i, v in enumerate(big)], "vec_id long, embedding array<double>, score int")
+    got = sorted(map(tuple, topk.top_k(docs, F.col("vec_id") % 50 == 0).collect()))
+    assert got == brute([(50 * i, v) for i, v in enumerate(big)])
+    assert (0, 1, 50, 50000002000000015) in got
+
+
+def test_repeated_ids_and_a_very_common_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 120, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(240)]
+    rows += [(i, [2.0, 2.0, -1.0, 0.5]) for i in range(0, 700)] + [(50, [2.0, 2.0, -1.0, 0.5])] * 9
+    want = brute(rows)
+    assert sorted(map(tuple, topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, block=4).collect())) == want
+    con = duckdb.connect()
+    con.register("embeddings", frame(spark, rows).select("vec_id", "embedding").toArrow())
+    assert sorted(con.sql(sql.EXACT_TOPK).fetchall()) == want
+
+
 def test_whole_table_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
-    assert sorted(con.sql(topk.ORACLE).fetchall()) == sorted(tuple(r) for r in topk.op2_exact_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
+    assert sorted(con.sql(sql.EXACT_TOPK).fetchall()) == sorted(tuple(r) for r in topk.op2_exact_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
