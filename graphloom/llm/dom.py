@@ -9,10 +9,12 @@ grammar of page layouts; others can be given to ``train``.
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
+import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import slices, table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
-)
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: what stands in a tag after its name: a quote holds a ``>`` only after an equals sign and where it is closed
+INSIDE = re.compile(r"(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+", re.S)
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math".split())
@@ -50,6 +54,8 @@ KINDS = {
 }
 KIND_OF = {tag: n for n, tags in enumerate(KINDS.values()) for tag in tags}
 INLINE = len(KINDS) - 1
+FRAME = frozenset("html body main".split())
+LEAST_SHARE = 0.4  # of the page's text that a wrapper has at least
 JUNK_TAGS = frozenset("nav footer aside dialog form menu button".split())
 JUNK_WORDS = re.compile(
     r"(?<![a-z])(?:nav|navbar|navigation|menu|sidebar|side|rail|footer|foot|header|masthead|banner|ad|ads|adv|advert|advertisement|adsense|sponsor|sponsored|promo|promotion|"
@@ -76,7 +82,10 @@ def parse(source: str | None) -> Page:
     """Elements and text of a page; never fails.  Missing end tags are implied, stray ones skipped."""
     page = Page(["#root"], [""], [False], [-1], [])
     stack, at = [0], 0
+    open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+    seen_root: set[str] = set()
     source = source or ""
+    quotes_hold = True
 
     def put(text: str) -> None:
         if text:
@@ -90,37 +99,66 @@ def parse(source: str | None) -> Page:
         for node in stack[depth:]:
             if page.tags[node] in BLOCK:
                 page.text.append((node, "\0"))
+            open_at[page.tags[node]].pop()
         del stack[depth:]
 
-    for m in iter(lambda: TOKEN.search(source, at), None):
+    def nearest(tags: Iterable[str]) -> int:
+        """Place in the stack of the innermost open element of these tags; 0 if there is none."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def past(mark: str, start: int) -> tuple[int, int]:
+        """Where ``mark`` stands from ``start`` on, and what follows it; the end of the page for both without one."""
+        k = source.find(mark, start)
+        return (k, k + len(mark)) if k >= 0 else (len(source), len(source))
+
+    while True:
+        m = MARKUP.search(source, at)
+        if not m:
+            break
         put(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:].removesuffix("]]>"))
+        if m[0] == "<!--":
+            end = COMMENT_END.search(source, m.end())
+            at = end.end() if end else len(source)
             continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if page.tags[stack[k]] == tag), 0)
-            if depth:
-                close_to(depth)
+        if m[0] == "<![CDATA[":
+            end, at = past("]]>", m.end())
+            put(source[m.end() : end])
+            continue
+        if m[0] in ("<!", "<?"):
+            at = past(">", m.end())[1]
+            continue
+        name = NAME.match(source, m.end() - 1)
+        tag, closing = name[0].lower(), m[0][1] == "/"
+        end = INSIDE.match(source, name.end()).end() if quotes_hold else source.find(">", name.end())
+        if not 0 <= end < len(source):  # every ``>`` from here on is quoted: from now on quotes hold none
+            quotes_hold = False
+            end = source.find(">", name.end())
+            if end < 0:
+                put(source[m.start() :])
+                at = len(source)
+                break
+        inside, at = source[name.end() : end], end + 1
+        if closing:
+            if open_at.get(tag):
+                close_to(open_at[tag][-1])
             elif tag == "br":
                 put(" ")
             continue
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if page.tags[stack[k]] in ("p", "table", "button", "td", "th")), 0)
+            depth = nearest(("p", "table", "button", "td", "th"))
             if depth and page.tags[stack[depth]] == "p":
                 close_to(depth)
         if tag in CLOSED_BY:
             closed, holders = CLOSED_BY[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[k]] in holders:
-                    break
-                if page.tags[stack[k]] in closed:
-                    close_to(k)
-        attributes = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-        if tag in ("html", "body") and tag in page.tags:
-            continue
+            floor = nearest(holders)
+            ends = [places[k] for t in closed if (places := open_at.get(t)) and (k := bisect.bisect_right(places, floor)) < len(places)]
+            if ends:
+                close_to(min(ends))
+        attributes = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(inside)} if inside.strip() else {}
+        if tag in ("html", "body"):
+            if tag in seen_root:
+                continue
+            seen_root.add(tag)
         boundary(tag)
         if tag in VOID:
             continue
@@ -129,15 +167,17 @@ def parse(source: str | None) -> Page:
         page.words.append(" ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-").replace("-", " "))
         page.hidden.append("hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", ""))))
         page.parent.append(stack[-1])
+        if inside.endswith("/") and tag in ("svg", "math", "path"):
+            continue
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        if m[0].endswith("/>") and tag in ("svg", "math", "path"):
-            stack.pop()
-        elif tag in RAW:
+        if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             put(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
+            open_at[tag].pop()
             stack.pop()
-    put(source[at:] if not source.startswith("<", at) or TOKEN.match(source, at) else source[at:])
+    put(source[at:])
     close_to(1)
     return page
 
@@ -145,14 +185,52 @@ def parse(source: str | None) -> Page:
 FEATURES = ["bias", "junk_words", "comment_words", "text_words", "hidden", "own_text", "long_own_text", "link_density", "subtree_text", "sentences", "short", "copyright", "many_links", "in_junk", "in_article"] + [f"is_{k}" for k in KINDS]
 
 
+def called_junk(page: Page, total: np.ndarray) -> list[bool]:
+    """Elements whose tag or names call all that stands in them junk; ``total`` is the text below each element.
+
+    The names of the page's frame (``html``, ``body``, ``main``, an ``article`` that is no comment) say nothing about
+    its text, nor do those of a wrapper: an element with the better part of the page's text that has a main heading,
+    ``main`` or ``article`` in it, or without which hardly any text would be left that nothing calls junk.
+    """
+    n = len(page.tags)
+    called = [False] * n
+    for k in range(1, n):
+        tag, words = page.tags[k], page.words[k]
+        comment = bool(words and COMMENT_WORDS.search(words))
+        if tag in FRAME or tag == "article" and not (comment and not TEXT_WORDS.search(words)):
+            continue
+        called[k] = tag in JUNK_TAGS or comment or bool(words and JUNK_WORDS.search(words))
+    every = float(total[0])
+    if not any(called) or not every:
+        return called
+    heading, article, inner = [False] * n, [False] * n, np.zeros(n)  # of what stands below; text below called elements
+    for k in range(n - 1, 0, -1):
+        tag, up = page.tags[k], page.parent[k]
+        inner[up] += total[k] if called[k] else inner[k]
+        if not called[k] or total[k] >= LEAST_SHARE * every:
+            heading[up] = heading[up] or heading[k] or tag in ("h1", "main")
+            article[up] = article[up] or article[k] or tag == "article"
+    free, inside = every - float(inner[0]), [False] * n
+    for k in range(1, n):
+        inside[k] = inside[page.parent[k]]
+        if inside[k] or not called[k]:
+            continue
+        share = float(total[k]) / every
+        # a list of comments may hold articles of its own
+        leads = heading[k] or (article[k] and not (page.words[k] and COMMENT_WORDS.search(page.words[k])))
+        if share >= LEAST_SHARE and leads or share >= 0.5 and free < 0.05 * every:
+            called[k] = False
+            free += float(total[k] - inner[k])
+        else:
+            inside[k] = True
+    return called
+
+
 def features(page: Page) -> np.ndarray:
     n = len(page.tags)
     own, linked, stops, marks, links = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     in_link, junk, article = [False] * n, [False] * n, [False] * n  # so far down from the root
     for k in range(1, n):
-        up, tag = page.parent[k], page.tags[k]
-        junk[k] = junk[up] or tag in JUNK_TAGS or bool(page.words[k] and (JUNK_WORDS.search(page.words[k]) or COMMENT_WORDS.search(page.words[k])))
-        article[k] = not junk[k] and (article[up] or tag in KINDS["article"])
         in_link[k] = page.tags[k] == "a" or in_link[page.parent[k]]
         links[k] = page.tags[k] == "a"
     for node, text in page.text:
@@ -167,6 +245,11 @@ def features(page: Page) -> np.ndarray:
         for x in whole:
             x[page.parent[k]] += x[k]
     total, of_links, all_stops, all_links = whole
+    called = called_junk(page, total)
+    for k in range(1, n):
+        up, tag = page.parent[k], page.tags[k]
+        junk[k] = junk[up] or called[k]
+        article[k] = not junk[k] and (article[up] or tag in KINDS["article"])
     x = np.zeros((n, len(FEATURES)))
     for k in range(n):
         words = page.words[k]
@@ -200,6 +283,14 @@ class Forest:
         return cls(parent, kind, np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else [])
 
 
+FEW = 3
+
+
+def _log_add(a: float, b: float) -> float:
+    top, low = (a, b) if a >= b else (b, a)
+    return top + math.log1p(math.exp(low - top))
+
+
 def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of each element (n x 2) and of each parent-child pair (n x 2 x 2; roots: zeros).
 
@@ -208,11 +299,29 @@ def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np
     n = len(unary)
     up, below = np.zeros((n, 2)), unary.copy()  # message to the parent; what an element knows from below
     for level in forest.levels[:0:-1]:
+        if len(level) <= FEW:  # deep and narrow: plain numbers are faster than short arrays
+            for k in level.tolist():
+                (a, b), (c, d) = pair[forest.kind[k]].tolist()
+                x, y = below[k].tolist()
+                up[k] = _log_add(a + x, b + y), _log_add(c + x, d + y)
+                below[forest.parent[k]] += up[k]
+            continue
         score = pair[forest.kind[level]] + below[level][:, None, :]
         up[level] = np.logaddexp(score[:, :, 0], score[:, :, 1])
         np.add.at(below, forest.parent[level], up[level])
     belief, both = below.copy(), np.zeros((n, 2, 2))
     for level in forest.levels[1:]:
+        if len(level) <= FEW:
+            for k in level.tolist():
+                p, q = (belief[forest.parent[k]] - up[k]).tolist()
+                (a, b), (c, d) = pair[forest.kind[k]].tolist()
+                x, y = below[k].tolist()
+                joint = (p + a + x, p + b + y, q + c + x, q + d + y)
+                belief[k] = _log_add(joint[0], joint[2]), _log_add(joint[1], joint[3])
+                top = max(joint)
+                share = [math.exp(z - top) for z in joint]
+                both[k] = np.array(share).reshape(2, 2) / sum(share)
+            continue
         above = belief[forest.parent[level]] - up[level]
         joint = above[:, :, None] + pair[forest.kind[level]] + below[level][:, None, :]
         belief[level] = np.logaddexp(joint[:, 0], joint[:, 1])
@@ -352,6 +461,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[Page, np.ndarray]
             after.append(rng.choice([f"<footer>&copy; {w(1, 3)} &middot; {w(3, 14)}</footer>", f"<footer><p>{w(5, 25)}</p><ul>{_links(rng, 3)}</ul></footer>", f'<div class="footer"><p>&copy; {w(3, 20)}</p></div>']))
         rng.shuffle(before)
         wrap = rng.choice([("", ""), ("<div class=wrapper>", "</div>"), ('<div id="page"><div class="container">', "</div></div>")])
+        if rng.random() < 0.3:  # layouts named after what stands beside the text
+            names = " ".join(rng.sample(["has-sidebar", "no-sidebar", "sidebar-right", "comments-open", "no-comments", "page-tags", "has-share", "has-banner", "widget-area", "one-side", "social-article", "layout"], rng.randint(1, 3)))
+            wrap = rng.choice([(f'<div class="{names}">{wrap[0]}', f"{wrap[1]}</div>"), (f'<form action="/" class="{names}">{wrap[0]}', f"{wrap[1]}</form>"), (f'{wrap[0]}<section id="{names.split()[0]}">', f"</section>{wrap[1]}")])
         source = (
             f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{w(2, 8)}</title><style>p{{}}</style><script>x('</p>')</script></head><body>{wrap[0]}{''.join(before)}"
             f"<x-main>{opening}{body}{closing}</x-main>{''.join(after)}{wrap[1]}</body></html>"
@@ -398,9 +510,9 @@ def extract_main_text(pages: DataFrame, model: DomModel | None = None) -> DataFr
 
     @F.pandas_udf("string")
     def extract(source: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(source), 64):
-            out += shared.value.extract(source[at : at + 64].tolist())
+        out, sources = [], source.tolist()
+        for lo, hi in slices(sources, 64, 1 << 22):
+            out += shared.value.extract(sources[lo:hi])
         return pd.Series(out, dtype=object)
 
     return pages.select("page_id", "url", extract("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

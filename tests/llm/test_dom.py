@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -73,3 +74,44 @@ def test_odd_pages(spark, model):
 def test_inline_tags_do_not_split_words_and_blocks_do(model):
     page = "<article><h1>Heads</h1><p>un<b>broken</b> wo<i>rd</i>s in the text here, as it should be.</p><p>next<br>line of the text, and so on.</p></article>"
     assert model.extract([page]) == ["Heads unbroken words in the text here, as it should be. next line of the text, and so on."]
+
+
+NAMES = ["has-sidebar", "single single-post no-sidebar comments-open", "no-comments", "sidebar-right", "page-tags", "has-share", "has-banner", "widget-area", "one-side", "two-side-layout", "social-article"]
+TEXT = "A heading First paragraph of the piece, with a few words in it. Second paragraph, which says a little more than the first one did."
+ARTICLE = "<article><h1>A heading</h1><p>First paragraph of the piece, with a few words in it.</p><p>Second paragraph, which says a little more than the first one did.</p></article>"
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_wrappers_do_not_empty_an_article(model, name):
+    pages = [f'<html><body class="{name}">{ARTICLE}</body></html>', f'<body><div class="{name}">{ARTICLE}</div></body>', f'<body><div id="{name.split()[0]}"><div class="wrap {name}">{ARTICLE}</div></div></body>',
+             f'<body><main class="{name}">{ARTICLE}</main><footer>&copy; Someone</footer></body>']
+    assert model.extract(pages) == [TEXT] * 4
+
+
+def test_a_form_around_the_page(model):
+    page = f"<body><form action='/x' id='aspnetForm'><nav><a href='/'>Home</a> <a href='/b'>More</a></nav>{ARTICLE}<footer><p>&copy; 2024 Someone, all rights reserved.</p></footer></form></body>"
+    assert model.extract([page]) == [TEXT]
+
+
+def test_long_comments_and_side_columns_stay_out_inside_wrappers(model):
+    comments = "".join(f"<article class='comment'><p>Comment {k}: I do not agree with what was said here, and I say so at some length, as one does.</p></article>" for k in range(6))
+    side = "<div class='sidebar'><h4>More</h4><ul><li><a href=/a>Another story</a><li><a href=/b>One more</a></ul></div>"
+    for name in ("has-sidebar comments-open", "layout"):
+        assert model.extract([f"<body class='{name}'><div class='{name}'>{ARTICLE}{side}<section id='comments'><h3>6 comments</h3>{comments}</section></div></body>"]) == [TEXT]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "deep words" + "</div>" * 8000, '<a "' * 20_000, "<a href='x" * 20_000, '<p title="' * 10_000 + ">", "<li>" * 20_000, "<p>" * 20_000, "<table><tr><td>" * 5000, "<!--" * 20_000, "<body>" * 20_000, "</p>" * 20_000])
+def test_hostile_pages_take_no_time(page):
+    began = time.process_time()
+    dom.parse(page)
+    assert time.process_time() - began < 0.5
+
+
+def test_deep_pages_are_extracted_in_time(model):
+    began = time.process_time()
+    model.extract(["<div>" * 8000 + "words " * 50 + "</div>" * 8000])
+    assert time.process_time() - began < 3
+
+
+def test_quotes_in_tags():
+    assert [t for _, t in dom.parse("<p title=\"a > b\">one</p> <p title='>'>two</p> <p title=\"open>three</p> <a>four</a>").text if t.strip("\0 ")] == ["one", "two", "three", "four"]
