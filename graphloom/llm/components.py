@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise
+from graphloom.llm.common import join_spread, materialise, release
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    moved = join_spread(both.where("v > u"), least, "u", "n", 2 * total).where("v <> m")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_spread(down, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -26,19 +27,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Nodes are longs.  Links with a null end are ignored; self links and repeats do no harm; an empty link
     table gives an empty result.  Work per round is a few aggregations of at most as many rows as there are
-    links, and the number of rounds grows with the logarithm of the longest chain.
+    links, and the number of rounds grows with the logarithm of the longest chain.  The links of a hub, a node with
+    very many, are never brought together.
     """
     edges = materialise(
         links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
         .where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    state = None
-    while True:
-        edges = materialise(_small_star(_large_star(edges)))
+    state, total = None, edges.count()
+    while total:
+        before, edges = edges, materialise(_small_star(materialise(_large_star(edges, total)), total))
+        release(before)
         row = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        now = tuple(row)
-        if now == state or now[0] == 0:
+        now, total = tuple(row), row[0]
+        if now == state:
             break
         state = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,27 +5,31 @@ a shorter text is one shingle), XXH64 (seed 42) hashes it, and a bit is set if i
 hashes.  Lane 0 is that 64-bit fingerprint; further lanes mix the same hashes again and lengthen it.
 
 Self-join: fingerprints form a binary trie.  Pairs of trie nodes are walked down together, the bits in which
-they differ add up, and a pair is dropped once they exceed the budget.  The top of the trie (its leaves hold at
-most ``leaf_rows`` fingerprints) is walked on the driver; each surviving pair of leaves is one group that a task
-walks to the bottom.  Inside a task, ranges that are already one component need no further walk, so groups of
-thousands of near copies cost about their size; a task returns a spanning forest, never all pairs.
+they differ add up, and a pair is dropped once they exceed the budget.  The top of the trie (its leaves hold a
+bounded share of the fingerprints) is known to the driver; each pair of leaves within the budget is one group that a
+task walks to the bottom.  With more than one leaf the trie is built budget + 1 times, each time with another block
+of the bits on top: two fingerprints within the budget agree in one whole block, so only leaves that agree in the
+top block are paired and a fingerprint goes to few groups however many leaves there are.  Inside a task, ranges that
+are already one component need no further walk, so groups of thousands of near copies cost about their size; a task
+returns a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import join_spread, materialise, release, slices, table
 from graphloom.llm.components import connected_components
 
 ONE = np.uint64(1)
@@ -153,18 +157,30 @@ def _product(alo, ahi, blo, bhi, same, at_once: int) -> Iterator[tuple[np.ndarra
         first = last
 
 
-def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, forest: _Forest, at_once: int = 1 << 16) -> None:
+def _alongside(alo, ahi, blo, bhi, same, run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of long node pairs: each row of the left side with ``run`` rows about as far into the right side."""
+    for a, b, c, d, one in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist(), same.tolist()):
+        for lo in range(a, b, 1 << 14):
+            i = np.arange(lo, min(b, lo + (1 << 14)))
+            there = i if one else c + (i - a) * (d - c) // (b - a) - run // 2
+            for step in range(1, run + 1):
+                j = there + step
+                inside = (j >= c) & (j < d)
+                yield i[inside], j[inside]
+
+
+def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, forest: _Forest, at_once: int = 1 << 16, run: int = 0) -> None:
     """Join the trie of sorted ``keys`` (top ``bits`` bits of uint64) with itself, or its parts before and from ``cut``.
 
-    ``accept(i, j)`` says which row pairs, within the budget on the keys, are links; links go to ``forest``.
+    ``accept(i, j)`` says which row pairs, within the budget on the keys, are links; links go to ``forest``.  With ``run``
+    the row pairs of long runs of equal keys are only those about as far into one run as into the other.
     """
     n = len(keys)
-    ones = {}
 
     def middle(lo, hi, depth):
-        if depth not in ones:
-            ones[depth] = np.r_[0, np.cumsum((keys >> np.uint64(63 - depth)) & ONE).astype(np.int64)]
-        return hi - (ones[depth][hi] - ones[depth][lo])
+        """Where the keys of a node turn from bit 0 to bit 1 at ``depth``."""
+        prefix = (keys[lo] >> np.uint64(64 - depth)) << ONE if depth else np.zeros(len(lo), np.uint64)
+        return np.clip(np.searchsorted(keys, (prefix | ONE) << np.uint64(63 - depth)), lo, hi)
 
     for step in (1, 2, 3):  # neighbours in key order: most near copies join here, and their ranges need no walk
         i = np.arange(n - step)
@@ -185,6 +201,16 @@ def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, fore
         alo, ahi, blo, bhi, diff = a.T
         same = alo == blo
         small = ((ahi - alo) * (bhi - blo) <= 16) | (depth == bits)
+        if run and depth == bits:
+            long_ = (ahi - alo) * (bhi - blo) > run * run
+            for i, j in _alongside(alo[long_], ahi[long_], blo[long_], bhi[long_], same[long_], run):
+                near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+                near &= forest.label[i] != forest.label[j]
+                i, j = i[near], j[near]
+                ok = accept(i, j)
+                forest.add(i[ok], j[ok])
+            small &= ~long_
+            alo, ahi, blo, bhi, diff, same, small = (z[~long_] for z in (alo, ahi, blo, bhi, diff, same, small))
         for i, j in _product(alo[small], ahi[small], blo[small], bhi[small], same[small], at_once):
             near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (forest.label[i] != forest.label[j])
             i, j = i[near], j[near]
@@ -207,105 +233,146 @@ def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, fore
 
 # --- the walk over the top of the trie --------------------------------------------------------------------
 
-
-def trie_leaves(keys: DataFrame, bits: int, leaf_rows: int, step: int = 6) -> list[tuple[int, int]]:
-    """Leaves (prefix, depth) of the trie's top, in order: each holds at most ``leaf_rows`` keys or is ``bits`` deep.
-
-    ``keys`` has a long ``key`` whose top ``bits`` bits count.  Each round counts the children, ``step`` bits
-    further down, of the prefixes that are still too full.
+#: leaves that a trie has at least before they grow with the fingerprints
+LEAVES = 1 << 14
+
+
+class Tops:
+    """Leaves of several tries (numbered) and the pairs of leaves that are walked, all of bounded number."""
+
+    def __init__(self, leaves: dict[int, list[tuple[int, int]]], tries: int, block: int, budget: int) -> None:
+        self.starts, self.base, pairs, base = [], [], [], 0
+        for t in range(tries):
+            mine = sorted(leaves.get(t, []), key=lambda x: x[0] << (64 - x[1]))
+            self.starts.append(np.array([p << (64 - d) for p, d in mine], np.uint64))
+            self.base.append(base)
+            found = leaf_pairs(self.starts[-1], np.array([d for _, d in mine], np.int64), block, budget)
+            pairs.append(found + base)
+            base += len(mine)
+        self.pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        self.begin = np.concatenate(self.starts) if self.starts else np.zeros(0, np.uint64)
+        two = self.pairs[:, 0] != self.pairs[:, 1]
+        leaf, pair = np.r_[self.pairs[:, 0], self.pairs[two, 1]], np.r_[np.arange(len(self.pairs)), np.flatnonzero(two)]
+        self.flat = pair[np.argsort(leaf, kind="stable")]
+        self.width = np.bincount(leaf, minlength=base).astype(np.int64)
+        self.first = np.cumsum(self.width) - self.width
+
+    def of(self, trie: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Leaves of keys."""
+        out = np.zeros(len(key), np.int64)
+        for t in np.unique(trie):
+            mine = trie == t
+            out[mine] = self.base[t] + np.searchsorted(self.starts[t], key[mine], side="right") - 1
+        return out
+
+
+def trie_leaves(keys: DataFrame, bits: int, leaf_rows: int, step: int = 12) -> dict[int, list[tuple[int, int]]]:
+    """Leaves (prefix, depth) of the top of each trie: each holds at most ``leaf_rows`` keys or is ``bits`` deep.
+
+    ``keys`` has the trie's number in ``t`` and a long ``key`` whose top ``bits`` bits count.  Each round counts the
+    children, ``step`` bits further down, of the prefixes that are still too full.
     """
     spark = keys.sparkSession
-    leaves, open_, depth = [], [(0, 0)], 0
-    while open_:
+    leaves: dict[int, list[tuple[int, int]]] = {}
+    open_, depth = None, 0
+    while open_ is None or open_:
         deeper = min(bits, depth + step)
-        at = keys.select(F.shiftrightunsigned("key", 64 - deeper).alias("p") if deeper else F.lit(0).alias("p"))
+        at = keys.select("t", F.shiftrightunsigned("key", 64 - deeper).alias("p"))
         if depth:
-            full = spark.createDataFrame([(p,) for p, _ in open_], "q long")
-            at = at.join(F.broadcast(full), F.shiftright("p", deeper - depth) == F.col("q"), "left_semi")  # at most rows / leaf_rows prefixes
-        counts = {r["p"]: r["count"] for r in at.groupBy("p").count().toLocalIterator()}
-        level = {(p, d): sum(counts.get((p << (deeper - d)) + x, 0) for x in range(1 << (deeper - d))) for p, d in open_}
-        too_full = []
+            full = spark.createDataFrame(open_, "t int, q long")  # as many prefixes as there are keys / leaf_rows, at most
+            at = at.join(F.broadcast(full), (at["t"] == full["t"]) & (F.shiftright("p", deeper - depth) == F.col("q")), "left_semi")
+        sums: dict[tuple[int, int, int], int] = {}
+        for r in at.groupBy("t", "p").count().toLocalIterator():
+            for d in range(depth, deeper + 1):
+                name = (r["t"], r["p"] >> (deeper - d), d)
+                sums[name] = sums.get(name, 0) + r["count"]
+        level = [(t, q, depth) for t, q in open_] if depth else sorted({(t, 0, 0) for t, _, _ in sums})
+        open_, depth = [], deeper
         while level:
-            below = {}
-            for (p, d), n in level.items():
-                if n <= leaf_rows or d == bits:
-                    leaves.append((p, d))
-                elif d == deeper:
-                    too_full.append((p, d))
-                else:
-                    for c in (2 * p, 2 * p + 1):
-                        below[(c, d + 1)] = sum(counts.get((c << (deeper - d - 1)) + x, 0) for x in range(1 << (deeper - d - 1)))
-            level = below
-        open_, depth = too_full, deeper
-    return sorted(leaves, key=lambda x: x[0] << (64 - x[1]))
-
-
-def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Numbers of the leaves (first <= second) that differ in at most ``budget`` bits of their common depth."""
-    number = {leaf: k for k, leaf in enumerate(leaves)}
-    pairs, stack = [], [((0, 0), (0, 0), 0)]
-    while stack:
-        a, b, diff = stack.pop()
-        if diff > budget:
-            continue
-        if a in number and b in number:
-            pairs.append((number[a], number[b]))
-            continue
-        down = lambda x: [x] if x in number else [(2 * x[0], x[1] + 1), (2 * x[0] + 1, x[1] + 1)]
-        for c in down(a):
-            for d in down(b):
-                if a == b and c > d:
-                    continue
-                common = min(c[1], d[1])
-                e = ((c[0] >> (c[1] - common)) ^ (d[0] >> (d[1] - common))).bit_count()
-                stack.append((c, d, e))
-    return pairs
-
-
-def _grouped(keys: DataFrame, bits: int, budget: int, leaf_rows: int, step: int = 6) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
-    """``keys`` dealt to pairs of leaves: its columns and ``pair``, a row for each pair that its leaf is in."""
-    leaves = trie_leaves(keys, bits, leaf_rows, step)
-    starts = np.array([p << (64 - d) if d else 0 for p, d in leaves], np.uint64)
-    pairs = leaf_pairs(leaves, budget)
-    of = [[] for _ in leaves]
-    for k, (a, b) in enumerate(pairs):
-        of[a].append(k)
-        if b != a:
-            of[b].append(k)
-    width, flat = np.array([len(x) for x in of]), np.array([k for x in of for k in x], np.int64)
-    first = np.r_[0, np.cumsum(width)[:-1]].astype(np.int64)
+            t, p, d = level.pop()
+            if sums.get((t, p, d), 0) <= leaf_rows or d == bits:
+                leaves.setdefault(t, []).append((p, d))
+            elif d == deeper:
+                open_.append((t, p))
+            else:
+                level += [(t, 2 * p, d + 1), (t, 2 * p + 1, d + 1)]
+    return leaves
+
+
+def leaf_pairs(starts: np.ndarray, depths: np.ndarray, block: int, budget: int) -> np.ndarray:
+    """Pairs (first <= second) of sorted leaves that agree in the top ``block`` bits, as far as both reach, and differ in
+    at most ``budget`` bits of their common depth."""
+    n, out = len(starts), [np.zeros((0, 2), np.int64)]
+    if n == 1:
+        return np.zeros((1, 2), np.int64)
+    lo = 0
+    while lo < n:
+        hi = n if not block else max(lo + 1, int(np.searchsorted(starts, np.uint64(((int(starts[lo]) >> (64 - block)) + 1 << (64 - block)) - 1), side="right")))
+        for at in range(lo, hi, 256):
+            i = np.arange(at, min(hi, at + 256))
+            common = np.minimum(depths[i][:, None], depths[None, lo:hi])
+            differ = (starts[i][:, None] ^ starts[None, lo:hi]) >> (64 - common).astype(np.uint64)
+            a, b = np.nonzero((np.bitwise_count(differ) <= budget) & (i[:, None] <= np.arange(lo, hi)[None]))
+            out.append(np.stack([i[a], b + lo], 1))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _rotated(key: Column, by: int, bits: int) -> Column:
+    """The top ``bits`` bits of ``key`` turned left."""
+    turned = F.shiftleft(key, by).bitwiseOR(F.shiftrightunsigned(key, bits - by)) if by else key
+    return turned if bits == 64 else turned.bitwiseAND(F.lit(-(1 << (64 - bits))))
+
+
+def dealt(rows: DataFrame, keys_of: list[Column], bits: int, budget: int, leaf_rows: int, join, schema: str) -> DataFrame:
+    """``join(rows of one group, the second leaf's first key or None)`` of every pair of leaves.
+
+    ``rows`` has one key in each of ``keys_of``, whose top ``bits`` bits count; a group has its columns, ``key``, turned by
+    ``by`` bits.  Leaves hold at most ``leaf_rows`` rows, or more if there would be more than about ``LEAVES``.
+    """
+    total = rows.count()
+    leaf_rows = max(leaf_rows, total // LEAVES)
+    turns = budget + 1 if total > leaf_rows else 1
+    width = bits // turns
+    tries = [F.struct(F.lit(k * turns + r).alias("t"), F.lit(r * width).alias("by"), _rotated(s, r * width, bits).alias("key")) for k, s in enumerate(keys_of) for r in range(turns)]
+    keys = rows.select("*", F.explode(F.array(*tries)).alias("__k")).select(*rows.columns, "__k.*")
+    tops = Tops(trie_leaves(keys.select("t", "key"), bits, leaf_rows), len(tries), width if turns > 1 else 0, budget)
+    shared = rows.sparkSession.sparkContext.broadcast(tops)  # a few numbers for each of a bounded number of leaves
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tops = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            leaf = np.searchsorted(starts, pdf["key"].to_numpy(np.int64).view(np.uint64), side="right") - 1
             for at in range(0, len(pdf), 4096):
-                own = leaf[at : at + 4096]
-                row = np.repeat(np.arange(len(own)), width[own])
-                k = np.arange(len(row)) - np.repeat(np.cumsum(width[own]) - width[own], width[own])
-                yield pdf.iloc[at : at + 4096].iloc[row].assign(pair=flat[first[own][row] + k])
+                part = pdf.iloc[at : at + 4096]
+                own = tops.of(part["t"].to_numpy(np.int64), part["key"].to_numpy(np.int64).view(np.uint64))
+                n = tops.width[own]
+                row = np.repeat(np.arange(len(own)), n)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield part.iloc[row].assign(pair=tops.flat[tops.first[own][row] + k])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", pair long"
-    return keys.mapInPandas(deal, schema), [int(x) for x in starts], pairs
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = shared.value.pairs[int(pdf["pair"].iloc[0])]
+        return join(pdf, None if a == b else shared.value.begin[b])
 
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", pair long"
+    return keys.mapInPandas(deal, columns).groupBy("pair").applyInPandas(group, schema)
 
-def trie_links(keys: DataFrame, budget: int, leaf_rows: int = 1 << 18) -> DataFrame:
+
+def trie_links(keys: DataFrame, budget: int, leaf_rows: int = 1 << 15) -> DataFrame:
     """Spanning links (a, b) of the graph on distinct long ``key`` values that differ in at most ``budget`` bits."""
-    dealt, starts, pairs = _grouped(keys.select("key"), 64, budget, leaf_rows)
-    begin, ends = np.array(starts, np.uint64), np.array(pairs, np.int64).reshape(-1, 2)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        a, b = ends[int(pdf["pair"].iloc[0])]
+    def join(pdf: pd.DataFrame, second: np.uint64 | None) -> pd.DataFrame:
+        x, by = np.sort(pdf["key"].to_numpy(np.int64).view(np.uint64)), np.uint64(pdf["by"].iloc[0])
         forest = _Forest(len(x))
-        cut = None if a == b else int(np.searchsorted(x, begin[b]))
+        cut = None if second is None else int(np.searchsorted(x, second))
         if cut != 0 and cut != len(x):
             walk(x, cut, 64, budget, lambda i, j: np.ones(len(i), bool), forest)
         linked = np.flatnonzero(forest.label != np.arange(len(x)))
-        return pd.DataFrame({"a": x[linked].view(np.int64), "b": x[forest.label[linked]].view(np.int64)})
+        back = (x >> by) | (x << (np.uint64(64) - by)) if by else x
+        return pd.DataFrame({"a": back[linked].view(np.int64), "b": back[forest.label[linked]].view(np.int64)})
 
-    return dealt.groupBy("pair").applyInPandas(join, "a long, b long")
+    rows = keys.select(F.col("key").alias("whole"))
+    return dealt(rows, [F.col("whole")], 64, budget, leaf_rows, join, "a long, b long")
 
 
 def fingerprint_column(k: int):
@@ -313,12 +380,13 @@ def fingerprint_column(k: int):
 
     @F.pandas_udf("long")
     def fingerprint(text: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints(text.tolist(), k)[:, 0].view(np.int64))
+        texts = text.tolist()
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *(fingerprints(texts[lo:hi], k)[:, 0].view(np.int64) for lo, hi in slices(texts, 4096))]))
 
     return fingerprint
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, leaf_rows: int = 1 << 18) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, leaf_rows: int = 1 << 15) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) for every row of ``docs``.
 
     Rows whose fingerprints differ in at most ``budget`` bits are linked; the component is the smallest doc_id
@@ -326,24 +394,58 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, leaf_
     repeated.  A null doc_id never names a component unless all of it is null.  Empty in, empty out.
     """
     rows = materialise(docs.select("doc_id", fingerprint_column(shingle)(F.col("text")).alias("key")))
-    named = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("least")))
+    named = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = materialise(trie_links(named, budget, leaf_rows))
     part = materialise(connected_components(links))
-    inside = part.join(named, part.node == named.key).groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = part.join(inside, "component").select(F.col("node").alias("key"), "component_id")
-    of = named.join(moved, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
+    about = part.join(named, part["node"] == named["key"]).select("key", "component", "least")
+    inside = about.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    moved = materialise(join_spread(about.select("key", "component"), inside, "component", "members", part.count()).select(F.col("key").alias("node"), "component_id"))
+    of = named.join(moved, named["key"] == moved["node"], "left").select("key", "n", F.coalesce("component_id", "least").alias("component_id"))
+    joined = join_spread(rows, materialise(of), "key", "n", rows.count())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- near duplicates of a given shingle similarity ---------------------------------------------------------
 
 
+class _Words(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
+_words = _Words()
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``k`` words, mixed from the hashes of the words.
+
+    A shorter text is one run; a text without words has none.
+    """
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    run = min(k, n)
+    h = np.full(n - run + 1, run, np.uint64)
+    for i in range(run):
+        h = (h ^ w[i : n - run + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(_mix(h, 1))
+
+
 def expected_bits(similarity: float, bits: int) -> float:
     """Bits of ``bits`` in which two equally long texts of that Jaccard similarity are expected to differ."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-NEAREST = 4
+#: proposals of a task for one text among those neither near nor far, and neighbours looked at in a run of equal slices
+NEAREST, RUN = 4, 32
 
 
 class _Doubts:
@@ -378,8 +480,9 @@ def fingerprint_pairs(texts: DataFrame, similarity: float, lanes: int, slice_bit
 
     Each slice of ``slice_bits`` bits of the long fingerprint is one trie self-join.  Pairs that it finds are
     measured on the whole fingerprint: of those far below the distance expected at ``similarity`` a task proposes
-    a spanning forest, of those around it each text's nearest ``NEAREST`` others.  Nothing is decided here: the
-    caller compares the shingles of what is proposed, and ``set_join`` finds what is not.
+    a spanning forest, of those around it each text's nearest ``NEAREST`` others, and of a long run of texts with one
+    slice the neighbours in the order of their fingerprints.  Nothing is decided here: the caller compares the
+    shingles of what is proposed, and the prefix join finds what is not.
     """
     total = 64 * lanes
     mean = expected_bits(similarity, total)
@@ -387,48 +490,37 @@ def fingerprint_pairs(texts: DataFrame, similarity: float, lanes: int, slice_bit
     sure_at, doubt_at = int(mean - 3.2 * spread), int(mean + 2.2 * spread)
     names = [f"lane{i}" for i in range(lanes)]
 
-    def joiner(begin: np.ndarray, ends: np.ndarray):
-        def join(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf["key"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(x, kind="stable")
-            x, node = x[order], pdf["node"].to_numpy(np.int64)[order]
-            every = np.stack([pdf[c].to_numpy(np.int64)[order] for c in names], 1).view(np.uint64)
-            a, b = ends[int(pdf["pair"].iloc[0])]
-            forest = _Forest(len(x))
-            doubts = _Doubts(forest)
-
-            def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                far = np.bitwise_count(every[i] ^ every[j]).sum(1)
-                doubt = (far > sure_at) & (far <= doubt_at)
-                doubts.add(i[doubt], j[doubt], far[doubt])
-                return far <= sure_at
-
-            cut = None if a == b else int(np.searchsorted(x, begin[b]))
-            if cut != 0 and cut != len(x):
-                walk(x, cut, slice_bits, slice_budget, accept, forest)
-            i, j = doubts.settle()
-            i, j = np.concatenate([np.stack([i, j], 1), *forest.used]).T
-            return pd.DataFrame({"a": node[i], "b": node[j]})
-
-        return join
-
-    found = None
-    for lane in range(lanes):
-        for part in range(64 // slice_bits):
-            key = F.shiftleft(F.col(f"lane{lane}"), part * slice_bits)
-            mask = -(1 << (64 - slice_bits)) if slice_bits < 64 else -1
-            keys = texts.select("node", *names, key.bitwiseAND(F.lit(mask).cast("long")).alias("key"))
-            dealt, starts, pairs = _grouped(keys, slice_bits, slice_budget, leaf_rows)
-
-            links = dealt.groupBy("pair").applyInPandas(joiner(np.array(starts, np.uint64), np.array(pairs, np.int64).reshape(-1, 2)), "a long, b long")
-            found = links if found is None else found.union(links)
+    def join(pdf: pd.DataFrame, second: np.uint64 | None) -> pd.DataFrame:
+        x, every = pdf["key"].to_numpy(np.int64).view(np.uint64), np.stack([pdf[c].to_numpy(np.int64) for c in names], 1).view(np.uint64)
+        order = np.lexsort((*every.T[::-1], x))
+        x, every, node = x[order], every[order], pdf["node"].to_numpy(np.int64)[order]
+        forest = _Forest(len(x))
+        doubts = _Doubts(forest)
+
+        def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            far = np.bitwise_count(every[i] ^ every[j]).sum(1)
+            doubt = (far > sure_at) & (far <= doubt_at)
+            doubts.add(i[doubt], j[doubt], far[doubt])
+            return far <= sure_at
+
+        cut = None if second is None else int(np.searchsorted(x, second))
+        if cut != 0 and cut != len(x):
+            walk(x, cut, slice_bits, slice_budget, accept, forest, run=RUN)
+        i, j = doubts.settle()
+        i, j = np.concatenate([np.stack([i, j], 1), *forest.used]).T
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    parts = [_rotated(F.shiftleft(F.col(f"lane{lane}"), part * slice_bits), 0, slice_bits) for lane in range(lanes) for part in range(64 // slice_bits)]
+    found = dealt(texts.select("node", *names), parts, slice_bits, slice_budget, leaf_rows, join, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-# --- the exact set join -----------------------------------------------------------------------------------
+# --- the exact prefix join --------------------------------------------------------------------------------
 
 #: cells of the shingle counts, and the pieces that they travel in
 CELLS, PIECES = 1 << 22, 64
+#: rows of a shingle beyond which they are dealt to several tasks
+SPREAD_ROWS = 2_000
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -436,15 +528,15 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def scan_texts(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """One pass over (doc_id, node, text): (doc_id, node, l) with the lanes of the fingerprint of each row's set of
-    shingles, and rows (piece, counts) with each task's counts of shingles by a hash."""
+    """One pass over (doc_id, node, other, text): (doc_id, node, other, l) with the lanes of the fingerprint of each row's
+    set of shingles, and rows (piece, counts) with each task's counts of shingles by a hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
 
         def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             for text in texts:
-                h = np.unique(shingle_hashes(text.as_py(), shingle))
+                h = shingle_set(text.as_py(), shingle)
                 counts[_cells(h)] += np.uint32(1)
                 yield h
 
@@ -453,17 +545,17 @@ def scan_texts(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
             long = fingerprints_of(hashes(batch.column("text")), n, lanes).view(np.int64)
             held = pa.ListArray.from_arrays(pa.array(np.arange(0, n * lanes + 1, lanes), pa.int32()), pa.array(long.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                [batch.column("doc_id"), batch.column("node"), batch.column("other"), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         parts = [(k, part) for k, part in enumerate(np.split(counts, PIECES)) if part.any()]
         if parts:
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()),
+                [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()),
                  pa.array([zlib.compress(part.tobytes(), 1) for _, part in parts], pa.binary())], names)
 
-    names = ["doc_id", "node", "l", "piece", "counts"]
+    names = ["doc_id", "node", "other", "l", "piece", "counts"]
     kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select("doc_id", "node", "text").mapInArrow(scan, f"doc_id {kind}, node long, l array<long>, piece int, counts binary")
+    return docs.select("doc_id", "node", "other", "text").mapInArrow(scan, f"doc_id {kind}, node long, other long, l array<long>, piece int, counts binary")
 
 
 def shingle_levels(scanned: DataFrame) -> np.ndarray:
@@ -481,70 +573,95 @@ def shingle_levels(scanned: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def prefix_rows(n, similarity: float):
+    """How many of a text's ``n`` shingles, rarest first, must hold one that it shares with an alike text of its size or less."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def short_prefix_rows(n, similarity: float):
+    """The same for an alike text of its size or more."""
+    return n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
+
+
 def shared_prefixes(texts: DataFrame, shingle: int, similarity: float, levels: np.ndarray) -> DataFrame:
-    """(token, node, n, pos): the shingles that two distinct texts or more (node, text) have in their prefixes.
+    """(token, salt, parts, node, n, pos, short): the shingles that two distinct texts or more (node, text) have in their prefixes.
 
     A text's ``n`` shingles are ordered from the rarest cell to the commonest.  Two texts of ``similarity`` or more
     share at least ``similarity * n`` of them, hence one of the first ``n - ceil(similarity * n) + 1``, whatever the
-    cells' counts are.  Texts without words share one token.
+    cells' counts are; the one that is not larger has it in a ``short`` prefix.  Texts without words share one token.
+    The rows of a shingle whose cell is very full are dealt to ``parts`` numbered by ``salt``.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(levels)
+    load = np.maximum(0, 2 ** (levels / 8.0) - 1)
+    full = max(SPREAD_ROWS, 8 * float(load.mean()))
+    shared = texts.sparkSession.sparkContext.broadcast((levels, np.where(load > full, np.ceil(load / full), 1).astype(np.int32)[np.flatnonzero(load > full)], np.flatnonzero(load > full)))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = shared.value
+        level, crowd, crowded = shared.value
         for pdf in batches:
             pdf = pdf.drop_duplicates("node")
-            for at in range(0, len(pdf), 512):
+            texts, nodes = pdf["text"].tolist(), pdf["node"].to_numpy(np.int64)
+            for lo, hi in slices(texts):
                 tokens, sizes, widths = [], [], []
-                for text in pdf["text"].iloc[at : at + 512]:
-                    h = np.unique(shingle_hashes(text, shingle))
+                for text in texts[lo:hi]:
+                    h = shingle_set(text, shingle)
                     n = len(h)
-                    p = n - int(np.ceil(similarity * n - 1e-9)) + 1
-                    tokens.append(h[np.argsort(level[_cells(h)], kind="stable")[:p]] if n else np.zeros(1, np.uint64))
+                    order = np.argsort(level[_cells(h)], kind="stable")[: int(prefix_rows(n, similarity))]
+                    tokens.append(h[order] if n else np.zeros(1, np.uint64))
                     sizes.append(n)
                     widths.append(len(tokens[-1]))
-                every, width = np.concatenate(tokens), np.array(widths)
+                every, width, size = np.concatenate(tokens), np.array(widths), np.array(sizes, np.int64)
+                pos = np.arange(len(every)) - np.repeat(np.cumsum(width) - width, width)
+                node, cell = np.repeat(nodes[lo:hi], width), _cells(every)
+                at = np.minimum(np.searchsorted(crowded, cell), max(0, len(crowded) - 1))
+                parts = np.where(crowded[at] == cell, crowd[at], 1) if len(crowded) else np.ones(len(cell), np.int32)
+                salt = (_mix(node.view(np.uint64), 3) % parts.astype(np.uint64)).astype(np.int32)
                 yield pd.DataFrame({
-                    "token": every.view(np.int64), "node": np.repeat(pdf["node"].to_numpy(np.int64)[at : at + 512], width),
-                    "n": np.repeat(np.array(sizes, np.int32), width), "pos": (np.arange(len(every)) - np.repeat(np.cumsum(width) - width, width)).astype(np.int32),
+                    "token": every.view(np.int64), "salt": salt, "parts": parts.astype(np.int32), "node": node, "n": np.repeat(size, width).astype(np.int32),
+                    "pos": pos.astype(np.int32), "short": pos < np.repeat(short_prefix_rows(size, similarity), width),
                 })
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows, sorted by token and node, of tokens with several nodes; the last token waits for the next batch."""
-        waiting: list[pd.DataFrame] = []
-
-        def closed(pdf: pd.DataFrame) -> pd.DataFrame:
-            token, node = pdf["token"].to_numpy(), pdf["node"].to_numpy()
-            pdf = pdf[np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]]
-            again = pdf["token"].to_numpy()[1:] == pdf["token"].to_numpy()[:-1]
-            return pdf[np.r_[False, again] | np.r_[again, False]]
-
+        """The rows, sorted by token, salt and node, of tokens with several nodes or parts; only the last row waits for the next batch."""
+        waiting, linked = None, False  # the last row, and whether the one before it has its token
         for pdf in batches:
+            if waiting is not None:
+                pdf = pd.concat([waiting, pdf])
             if not len(pdf):
                 continue
-            last = pdf["token"].iloc[-1]
-            if waiting and waiting[-1]["token"].iloc[-1] == last == pdf["token"].iloc[0]:
-                waiting.append(pdf)
-                continue
-            cut = int(np.searchsorted(pdf["token"].to_numpy(), last))
-            done = [*waiting, pdf.iloc[:cut]] if cut or waiting else []
-            waiting = [pdf.iloc[cut:]]
-            if done:
-                yield closed(pd.concat(done))
-        if waiting:
-            yield closed(pd.concat(waiting))
-
-    schema = "token long, node long, n int, pos int"
-    dealt = texts.mapInPandas(prefixes, schema).repartition("token").sortWithinPartitions("token", "node")
-    return dealt.mapInPandas(repeated, schema)
+            token, salt, node = (pdf[c].to_numpy() for c in ("token", "salt", "node"))
+            like = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            new = np.r_[True, ~(like & (node[1:] == node[:-1]))]
+            pdf, token, salt = pdf[new], token[new], salt[new]
+            like = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            before, after = np.r_[linked, like], np.r_[like, False]
+            keep = before | after | (pdf["parts"].to_numpy() > 1)
+            waiting, linked = pdf.iloc[-1:], bool(before[-1])
+            yield pdf[:-1][keep[:-1]]
+        if waiting is not None and (linked or waiting["parts"].iloc[0] > 1):
+            yield waiting
+
+    schema = "token long, salt int, parts int, node long, n int, pos int, short boolean"
+    spread = texts.mapInPandas(prefixes, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    return spread.mapInPandas(repeated, schema)
+
+
+def _chain(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each group, by size, with the one before them and the middle one: structs here, before, middle."""
+    of = W.partitionBy(*keys)
+    by = of.orderBy("n", "node")
+    here = F.struct("node", "n")
+    rows = rows.withColumns({"rank": F.row_number().over(by), "all": F.count("*").over(of), "here": here, "before": F.lag(here).over(by)})
+    return rows.withColumn("middle", F.max(F.when(F.col("rank") == F.floor((F.col("all") + 1) / 2), F.col("here"))).over(of))
 
 
 def neighbour_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """A first proposal (a, b): in each token's texts, ordered by size, neighbours and the pairs with the middle one."""
-    of = W.partitionBy("token")
-    by = of.orderBy("n", "node")
-    rows = prefixes.withColumns({"rank": F.row_number().over(by), "all": F.count("*").over(of), "here": F.struct("node", "n"), "before": F.lag(F.struct("node", "n")).over(by)})
-    rows = rows.withColumn("middle", F.max(F.when(F.col("rank") == F.floor((F.col("all") + 1) / 2), F.col("here"))).over(of))
+    """A first proposal (a, b): in each token's texts, ordered by size, neighbours and the pairs with the middle one.
+
+    A token dealt to several parts is chained in each, then the parts' middles are.
+    """
+    rows = _chain(prefixes, ["token", "salt"])
+    middles = rows.where("parts > 1 and here = middle").select("token", "node", "n")
+    rows = rows.select("here", "before", "middle").unionByName(_chain(middles, ["token"]).select("here", "before", "middle"))
     ends = rows.select("here", F.explode(F.array("before", "middle")).alias("there")).where("there is not null and here.node <> there.node")
     alike = F.least("here.n", "there.n") >= similarity * F.greatest("here.n", "there.n") - 1e-9
     return ends.where(alike).select(F.least("here.node", "there.node").alias("a"), F.greatest("here.node", "there.node").alias("b")).distinct()
@@ -553,53 +670,77 @@ def neighbour_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
 def apart_pairs(prefixes: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of different components (node, component) that can have ``similarity`` by their prefixes.
 
-    Of two components of a token's texts one is not its largest, so only the others' texts are paired with all.  The
-    first token that two texts share bounds what they share: nothing before it, at most everything after it.
+    The smaller of two alike texts has their first common shingle in its short prefix; nothing before that shingle is
+    common, at most all from it on.  Of two components of a token's texts one is not its largest, so texts of the
+    largest meet only those of the others, never each other.  A token dealt to parts meets the smaller side in each.
     """
-    rows = materialise(prefixes.join(part, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("g")))
+    rows = materialise(prefixes.join(part, "node", "left").select("token", "salt", "parts", "node", "n", "pos", "short", F.coalesce("component", "node").alias("g")))
     main = rows.groupBy("token", "g").count().groupBy("token").agg(F.max(F.struct("count", "g")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
-    open_ = rows.join(main.select("token", F.col("m.g").alias("main")), "token")
-    x, y = open_.where("g <> main").alias("x"), open_.alias("y")
-    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") != F.col("y.g")) & fits)
-    ends = [F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.pos").alias("pos")) for s in "xy"]
-    ends = met.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q"))
-    first = ends.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("m"), F.col("q.n").alias("n")).agg(F.min(F.struct("p.pos", F.col("q.pos").alias("other"))).alias("at"))
-    most = F.least(F.col("m") - F.col("at.pos"), F.col("n") - F.col("at.other"))
-    return first.where(most >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
+    open_ = rows.join(main.select("token", F.col("m.g").alias("main")), "token").withColumn("few", F.col("g") != F.col("main"))
+    open_ = materialise(open_.select("token", "salt", "parts", "node", "n", "pos", "short", "g", "few"))
+
+    def met(many: DataFrame, few: DataFrame) -> DataFrame:
+        """``few`` (spread over all parts of its tokens) against ``many``."""
+        few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        x, y = many.alias("x"), few.alias("y")
+        before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+        fits = F.when(before, F.col("x.short")).otherwise(F.col("y.short"))
+        most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+        fits = fits & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6) & (F.col("x.g") != F.col("y.g"))
+        found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & fits)
+        return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    short, rest, few = F.col("short"), ~F.col("short"), F.col("few")
+    # a pair needs a short side: (short, not main) with all, and (short, main) with those that are neither
+    pairs = met(open_, open_.where(few & short)).union(met(open_.where(~few & short), open_.where(few & rest)))
+    return pairs.distinct()
+
+
+def _name(text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slice_bits: int = 32,
-                         slice_budget: int = 3, leaf_rows: int = 1 << 18) -> DataFrame:
+                         slice_budget: int = 3, leaf_rows: int = 1 << 18, name=_name) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest doc_id (nulls last).
 
     Near duplicates share ``similarity`` of their sets of ``shingle``-word shingles, directly or through others;
     texts equal byte for byte always do.  Every link is a comparison of two shingle sets.  The tries of the long
     SimHash's slices and the shared prefixes propose a first lot; then every pair of different components that the
     prefixes allow is compared, so no pair of that similarity stays apart.  Texts without words are copies of each
-    other.  Repeated rows count as copies.  All columns of ``docs`` are kept.  Distinct texts are named by 64 bits
-    of XXH64.
+    other.  Repeated rows count as copies.  All columns of ``docs`` are kept.  Texts are told apart by 128 bits: those
+    that share the first 64 but not the others are named by the others.
     """
     plain = F.coalesce(F.col("text"), F.lit(""))
-    scanned = materialise(scan_texts(docs.select("doc_id", F.xxhash64(plain).alias("node"), "text"), shingle, lanes))
-    named = materialise(
-        scanned.where("piece is null").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(F.col("l")[i]).alias(f"lane{i}") for i in range(lanes)))
-    )
-    text_of = docs.select(F.xxhash64(plain).alias("node"), F.col("text"))
-    prefixes = materialise(shared_prefixes(text_of, shingle, similarity, shingle_levels(scanned)))
+    first, other = name(plain)
+    scanned = materialise(scan_texts(docs.select("doc_id", first.alias("node"), other.alias("other"), "text"), shingle, lanes))
+    by_name = scanned.where("piece is null").groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    shared = [r.node for r in by_name.where("lo <> hi").select("node").collect()]  # none, or a handful beyond 10**9 texts
+    node = F.when(first.isin(shared), other).otherwise(first) if shared else first
+    rows = scanned.where("piece is null")
+    rows = rows.withColumn("node", F.when(F.col("node").isin(shared), F.col("other")).otherwise(F.col("node"))) if shared else rows
+    named = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(F.col("l")[i]).alias(f"lane{i}") for i in range(lanes))))
+    text_of = docs.select(node.alias("node"), "doc_id", "text")
+    prefixes = materialise(shared_prefixes(text_of.select("node", "text"), shingle, similarity, shingle_levels(scanned)))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = lru_cache(64)(lambda text: shingle_set(text, shingle))
         out = []
         for x, y in zip(a, b):
-            p, q = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = known(x), known(y)
+            both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
             out.append(both >= similarity * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
     def compared(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = text_of.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        # one row of each text: copies are told apart by their ids, so those of one text never meet in a task
+        chosen = materialise(ends.join(named.select("node", "least"), "node"))
+        theirs = (text_of["node"] == chosen["node"]) & text_of["doc_id"].eqNullSafe(chosen["least"])
+        texts = text_of.join(chosen, theirs, "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        texts = materialise(texts)
         return (
             pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -613,10 +754,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     part = materialise(connected_components(links.union(compared(rest))))
     chosen = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node")))
     groups = named.join(part.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("g"))
-    stay = groups.groupBy("g").agg(chosen.alias("s")).select(F.col("s.node").alias("__node"), F.col("s.least").alias("__least"))
-    kept = docs.withColumns({"__node": F.xxhash64(plain), "__id": F.col("doc_id").cast("long")})
-    match = (kept["__node"] == stay["__node"]) & kept["__id"].eqNullSafe(stay["__least"])
-    return kept.join(stay, match, "left_semi").dropDuplicates(["__node", "__id"]).drop("__node", "__id")
+    stay = materialise(groups.groupBy("g").agg(chosen.alias("s")).select(F.col("s.node").alias("__node"), F.col("s.least").alias("__least")))
+    kept = docs.withColumns({"__node": node, "__id": F.col("doc_id")})
+    kept = kept.join(stay, (kept["__node"] == stay["__node"]) & kept["__id"].eqNullSafe(stay["__least"]), "left_semi")
+    # rows that repeat both id and text: few, or none
+    again = rows.groupBy("node", "doc_id").count().where("count > 1").select(F.col("node").alias("__again"), F.col("doc_id").alias("__again_id"))
+    again = materialise(again.join(stay, (F.col("__again") == F.col("__node")) & F.col("__again_id").eqNullSafe(F.col("__least")), "left_semi"))
+    release(scanned, prefixes, proposed)
+    if again.isEmpty():
+        return kept.drop("__node", "__id")
+    repeats = (kept["__node"] == again["__again"]) & kept["__id"].eqNullSafe(again["__again_id"])
+    once = kept.join(again, repeats, "left_semi").dropDuplicates(["__node", "__id"])
+    return kept.join(again, repeats, "left_anti").unionByName(once).drop("__node", "__id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
+from graphloom.llm.components import connected_components
 
 
 def brute_fingerprint(text, k):
@@ -63,10 +66,23 @@ def test_walk_finds_every_component():
 
 
 def test_leaf_pairs_cover_budget():
-    leaves = [(0, 1), (0b100, 3), (0b101, 3), (0b11, 2)]
-    got = set(simhash.leaf_pairs(leaves, 0))
-    assert got == {(0, 0), (1, 1), (2, 2), (3, 3)}
-    assert set(simhash.leaf_pairs(leaves, 3)) == {(a, b) for a in range(4) for b in range(a, 4)}
+    starts, depths = np.array([0, 0b100 << 61, 0b101 << 61, 0b11 << 62], np.uint64), np.array([1, 3, 3, 2])
+    pairs = lambda block, budget: {tuple(p) for p in simhash.leaf_pairs(starts, depths, block, budget).tolist()}
+    assert pairs(0, 0) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert pairs(0, 3) == {(a, b) for a in range(4) for b in range(a, 4)}
+    assert pairs(1, 3) == {(0, 0), *((a, b) for a in range(1, 4) for b in range(a, 4))}
+
+
+def test_trie_links_do_not_depend_on_the_leaves(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64) | (np.uint64(5) << np.uint64(60))
+    flips = np.uint64(1) << rng.integers(0, 64, (30, 20), dtype=np.uint64)
+    keys = np.unique(np.concatenate([base, (base[:, None] ^ flips).ravel(), ((base[:, None] ^ flips) ^ flips[::-1]).ravel()]))
+    frame = spark.createDataFrame(pd.DataFrame({"key": keys.view(np.int64)}))
+    want = brute_components([int(k) for k in keys.view(np.int64)], lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    for leaf_rows in (1 << 15, 40, 3):
+        got = {r.node: r.component for r in connected_components(simhash.trie_links(frame, 2, leaf_rows)).collect()}
+        assert {k: got.get(k, k) for k in want} == want
 
 
 def test_components_against_brute_force(spark):
@@ -125,7 +141,7 @@ def test_pipeline_fingerprints_are_of_sets(spark):
     rng = random.Random(9)
     words = [f"p{rng.randrange(10**6)}" for _ in range(1000)]
     texts = [" ".join(words), " ".join([*words[:500], *words[480:500] * 10, *words[500:]])]
-    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, node long, text string").coalesce(1)
+    docs = spark.createDataFrame([(i, i, i, t) for i, t in enumerate(texts)], "doc_id long, node long, other long, text string").coalesce(1)
     lanes = [np.array(r.l, np.int64) for r in simhash.scan_texts(docs, 5, 4).where("piece is null").orderBy("doc_id").collect()]
     assert np.bitwise_count((lanes[0] ^ lanes[1]).view(np.uint64)).sum() < 20
 
@@ -140,3 +156,50 @@ def test_isolated_pairs_at_the_threshold_are_all_found(spark):
             changed[20 + 45 * at] = f"other{rng.randrange(10**9)}"
         texts += [" ".join(words), " ".join(changed)]
     assert kept_ids(spark, texts) == set(range(0, 300, 2))
+
+
+def exact_kept(texts, shingle=5, similarity=0.8):
+    """Ids that stay if all pairs of shingle sets are compared."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    near = lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9
+    return set(brute_components(range(len(texts)), near).values())
+
+
+def test_families_of_all_sizes_against_all_pairs(spark):
+    """Families of 2 to 60 texts at random similarities around the threshold: just what exact comparison keeps stays."""
+    rng = random.Random(21)
+    texts = []
+    for size in (2, 3, 5, 9, 17, 60):
+        core = [f"c{rng.randrange(10**9)}" for _ in range(240)]
+        for _ in range(size):
+            words = list(core)
+            for _ in range(rng.randint(0, 8)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(words[rng.randint(0, 12) : len(words) - rng.randint(0, 12)]))
+    texts += ["short text here", "short text here", "short  text HERE", "one two three four five six", "one two three four five seven", "", None, " "]
+    assert kept_ids(spark, texts) == exact_kept(texts)
+
+
+def test_small_leaves_hot_shingles_and_colliding_names_change_nothing(spark, monkeypatch):
+    rng = random.Random(22)
+    line = [f"line{i}" for i in range(30)]
+    texts = []
+    for k in range(300):  # a passage that nearly all texts share, with few words of their own
+        texts.append(" ".join([*line, *(f"own{k % 200}x{i}" for i in range(rng.choice([2, 4, 6])))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = exact_kept(texts)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(simhash, "SPREAD_ROWS", 20)
+    names = lambda text: (F.pmod(F.xxhash64(text), F.lit(7)), F.xxhash64(F.lit(7), text))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, leaf_rows=16, name=names).collect()} == want
+
+
+def test_near_duplicates_of_nothing_and_repeated_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, __n long")
+    assert simhash.drop_near_duplicates(docs).collect() == []
+    rows = [(1, "a b c", 1), (1, "a b c", 2), (2, "a b c", 3), (None, "z", 4), (None, "z", 5), (3, None, 6)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, least long")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == [(False, 1, "a b c"), (False, 3, ""), (True, 0, "z")]
