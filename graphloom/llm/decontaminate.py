@@ -9,7 +9,6 @@ located by walking to a sampled position; their spans are merged per document.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import materialise, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHARD_WORDS = 1 << 22
-BENCHMARK_WORDS = 20_000_000
+#: characters of the items whose windows a task holds at once, about; a larger benchmark goes round in several sets
+SET_CHARS = 80_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -185,16 +185,22 @@ def _split(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return names, np.split(values, first[1:])
 
 
-def load_windows(benchmark: DataFrame, window: int = 10) -> Windows:
-    """Windows of the benchmark, a stated query set; over ``BENCHMARK_WORDS`` characters it is refused.
+def window_sets(benchmark: DataFrame, window: int = 10, set_chars: int = SET_CHARS) -> Iterator[tuple[Windows, bool]]:
+    """Windows of the benchmark, a stated query set, in sets of items of about ``set_chars`` characters at most, and
+    whether a set is the last.
 
-    Items without id or text take no part; repeated items count once.
+    Items without id or text take no part; repeated items count once.  An item is never split.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 8 * BENCHMARK_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; split it into sets of at most {8 * BENCHMARK_WORDS}")
-    return Windows([tuple(r) for r in items.collect()], window)
+    sets = max(1, -(-2 * (items.agg(F.sum(F.length("text"))).first()[0] or 0) // set_chars)) if set_chars else 1
+    for k in range(sets):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(sets)) == k) if sets > 1 else items
+        yield Windows([tuple(r) for r in mine.collect()], window), k == sets - 1
+
+
+def load_windows(benchmark: DataFrame, window: int = 10) -> Windows:
+    """All windows of a benchmark that fits in one set."""
+    return next(window_sets(benchmark, window, 0))[0]
 
 
 def _shards(texts: list[str | None], windows: Windows) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -211,29 +217,51 @@ def _shards(texts: list[str | None], windows: Windows) -> Iterator[tuple[int, li
         yield start, held
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, set_chars: int = SET_CHARS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one; a document word inside
     any occurrence is hit.  A null or wordless text has no words and no hits; repeated rows are each reported;
-    with an empty benchmark nothing is hit.
+    with an empty benchmark nothing is hit.  A benchmark of several sets is searched set by set: each row carries the
+    hit spans and the items found so far to the next.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_windows(benchmark, window))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = shared.value
-        for pdf in batches:
-            texts, out = pdf["text"].tolist(), []
-            for _, shard in _shards(texts, windows):
-                for words, hit, item in zip(shard, *windows.scan(shard)):
-                    names = ",".join(windows.items[i] for i in item)
-                    out.append((len(words), len(hit), len(item), hashlib.sha256(names.encode()).hexdigest(), len(hit) > 0))
-            found = pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), found], axis=1)
-
-    return docs.select("doc_id", "text").mapInPandas(
-        scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+    rows = docs.select("doc_id", "text").withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
+
+    def scan(shared, columns: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            windows = shared.value
+            for pdf in batches:
+                texts = pdf["text"].tolist()
+                for start, shard in _shards(texts, windows):
+                    part, spans, items, sizes = pdf.iloc[start : start + len(shard)], [], [], []
+                    for words, hit, item, old, named in zip(shard, *windows.scan(shard), part["spans"], part["items"]):
+                        spans.append(merged(np.asarray(old, np.int64), hit) if len(hit) else old)
+                        items.append(sorted({*named, *(windows.items[i] for i in item)}) if len(item) else named)
+                        sizes.append(len(words))
+                    yield part.assign(spans=spans, items=items, n_words=sizes)[columns]
+
+        return run
+
+    for windows, last in window_sets(benchmark, window, set_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(windows)  # about ``set_chars`` characters' windows
+        out = rows.drop("text") if last else rows  # texts go on only to another set
+        rows = rows.mapInPandas(scan(shared, out.columns), out.schema)
+        rows = rows if last else materialise(rows)
+    # spans are sorted ends: first word, word after the last, and so on
+    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    names = F.array_join("items", ",")
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def merged(spans: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Flat sorted spans (first, after the last, ...) with the sorted positions ``hit`` taken in."""
+    cut = np.flatnonzero(np.diff(hit) > 1)
+    more = np.stack([hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]] + 1], 1)
+    every = np.concatenate([spans.reshape(-1, 2), more])
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(every[:, 1])
+    new = np.r_[True, every[1:, 0] > reach[:-1]]
+    return np.stack([every[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(every) - 1]]], 1).ravel()
 
 
 def _cut(text: str, hit: np.ndarray) -> str:
@@ -251,31 +279,46 @@ def _cut(text: str, hit: np.ndarray) -> str:
     return b"".join(kept).decode("utf-8", "replace").strip() if kept else text
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, set_chars: int = SET_CHARS) -> DataFrame:
     """``docs`` with every benchmark occurrence cut out of ``text`` and ``n_chars``, where there, set anew.
 
-    Cutting can bring words together that form another window; documents are scanned until none is left.  Rows
-    without a hit, null texts among them, are left as they are.
+    Cutting can bring words together that form another window; documents are scanned until none is left, with a
+    benchmark of several sets until a whole round over them cuts nothing.  Rows without a hit, null texts among them,
+    are left as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_windows(benchmark, window))
-
-    @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        windows, out = shared.value, text.tolist()
-        todo = list(range(len(out)))
-        while todo:
-            again = []
-            for start, shard in _shards([out[i] for i in todo], windows):
-                hits, _ = windows.scan(shard)
-                for k, hit in enumerate(hits):
-                    if len(hit):
-                        i = todo[start + k]
-                        out[i] = _cut(out[i], hit)
-                        again.append(i)
-            todo = again
-        return pd.Series(out, dtype=object)
-
-    cleaned = docs.withColumn("text", clean("text"))
+
+    def cleaner(shared):
+        @F.pandas_udf("string")
+        def clean(text: pd.Series) -> pd.Series:
+            windows, out = shared.value, text.tolist()
+            todo = list(range(len(out)))
+            while todo:
+                again = []
+                for start, shard in _shards([out[i] for i in todo], windows):
+                    hits, _ = windows.scan(shard)
+                    for k, hit in enumerate(hits):
+                        if len(hit):
+                            i = todo[start + k]
+                            out[i] = _cut(out[i], hit)
+                            again.append(i)
+                todo = again
+            return pd.Series(out, dtype=object)
+
+        return clean
+
+    spark, before, cleaned, sets = docs.sparkSession, docs, docs, 0
+    while True:
+        for windows, _ in window_sets(benchmark, window, set_chars):
+            clean = cleaner(spark.sparkContext.broadcast(windows))
+            sets += 1
+            cleaned = (materialise(cleaned) if sets > 1 else cleaned).withColumn("text", clean("text"))
+        if sets == 1:
+            break
+        cleaned = materialise(cleaned)
+        known = lambda df: df.agg(F.sum(F.length("text")), F.count("*")).first()
+        if known(cleaned) == known(before):  # cutting only shortens
+            break
+        before = cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 

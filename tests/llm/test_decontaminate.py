@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from graphloom.llm import decontaminate as d
+from graphloom.llm import sql
 
 
 def words(text):
@@ -76,3 +78,47 @@ def test_removal_leaves_no_window(spark):
         if not brute(before[r.doc_id], items)[4]:
             assert r.text == before[r.doc_id]
         assert r.n_chars == (None if r.text is None else len(r.text))
+
+
+def test_several_sets_of_windows_give_the_same(spark):
+    items, docs = case(3)
+    items += [(3, "w1 w2 w3"), (3, "w4 w5")]  # an id of two texts
+    frame, bench = spark.createDataFrame(docs + docs[:3], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((k, *brute(t, items)) for k, t in docs + docs[:3])
+    for chars in (10**6, 200):
+        assert sorted(map(tuple, d.scan_documents(frame, bench, set_chars=chars).collect())) == want
+    for r in d.remove_spans(frame, bench, set_chars=200).collect():
+        assert not brute(r.text, items)[4]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    items = [(1, "needle " * 12), (2, " ".join(f"w{k}" for k in range(25)))]
+    long = " ".join(["hay"] * 200_000 + ["w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"] + ["needle"] * 15)
+    rows = [(1, long, "x", 0), (1, long, "x", 0), (None, "NEEDLE " * 10, None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, items string, spans int")
+    got = sorted(map(tuple, d.scan_documents(frame, spark.createDataFrame(items, "item_id long, text string")).collect()), key=lambda r: (r[0] is None, r))
+    assert got == [(1, *brute_long(long, items))] * 2 + [(None, *brute("NEEDLE " * 10, items))]
+
+
+def brute_long(text, items):
+    """``brute`` by positions of the windows' first words."""
+    w, hit, found = words(text), set(), set()
+    for item, body in items:
+        ids = words(body)
+        for at in range(len(ids) - 9):
+            part = ids[at : at + 10]
+            for k in (i for i, x in enumerate(w) if x == part[0]):
+                if w[k : k + 10] == part:
+                    hit.update(range(k, k + 10))
+                    found.add(str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def test_whole_table_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    got = d.op9_benchmark_decontamination(spark, sf).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(sql.DECONTAMINATION).fetchall())
