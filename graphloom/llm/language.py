@@ -15,13 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_is, table
+from graphloom.llm.common import fold_is, materialise, slices, table
 
 ORDER = 4
-#: documents of each language that the models are estimated from, about (chosen by a hash of the id)
-TRAINING_ROWS = 1_500
+#: documents of each language that the models are estimated from, and characters in them, at most: whole texts in the
+#: order of a hash of the id while the characters before them are fewer
+TRAINING_ROWS, TRAINING_CHARS = 1_500, 4_000_000
+#: languages that are learnt, at most: those with the most training rows
+LANGUAGES = 500
+#: texts beyond this take no part in the sample (they are scored like any other)
+LONGEST_SAMPLED = 1_000_000
 CHARS_AT_ONCE = 1 << 19
 #: letters below which a text's cross-entropy is no ground for rejection
 FEW = 30
@@ -35,13 +41,26 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def code_runs(text: str | None) -> Iterator[np.ndarray]:
+    """Code points of the lower-cased letters, runs of anything else as one space, a space at either end; in pieces of
+    at most about ``CHARS_AT_ONCE``, however long the text is."""
+    lower, known, last = (text or "").lower(), letters(), None
+    for at in range(0, max(1, len(lower)), CHARS_AT_ONCE):
+        raw = np.frombuffer(lower[at : at + CHARS_AT_ONCE].encode("utf-32-le", "replace"), np.uint32)
+        raw = np.where(known[np.minimum(raw, len(known) - 1)], raw, SPACE).astype(np.uint64)
+        if at == 0:
+            raw = np.r_[np.uint64(SPACE), raw]
+        if at + CHARS_AT_ONCE >= len(lower):
+            raw = np.r_[raw, np.uint64(SPACE)]
+        raw = raw[np.r_[(raw[:1] != SPACE) | (last != SPACE), (raw[1:] != SPACE) | (raw[:-1] != SPACE)]]
+        if len(raw):
+            last = raw[-1]
+            yield raw
+
+
 def codes(text: str | None) -> np.ndarray:
-    """Code points of the lower-cased letters, runs of anything else as one space, a space at either end."""
-    raw = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    known = letters()
-    raw = np.where(known[np.minimum(raw, len(known) - 1)], raw, SPACE)
-    raw = np.r_[np.uint32(SPACE), raw, np.uint32(SPACE)].astype(np.uint64)
-    return raw[np.r_[True, (raw[1:] != SPACE) | (raw[:-1] != SPACE)]]
+    """All of a text's codes at once."""
+    return np.concatenate(list(code_runs(text)))
 
 
 def grams(c: np.ndarray, n: int) -> np.ndarray:
@@ -92,31 +111,27 @@ class LanguageModels:
 
         def flush() -> None:
             if held:
-                pad = np.full(ORDER, SPACE, np.uint64)
-                whole = np.concatenate([x for _, c in held for x in (pad, c)])
-                p = self.log_probs(whole)
-                sizes = np.array([len(c) for _, c in held])
+                p = self.log_probs(np.concatenate([x for _, before, c in held for x in (before, c)]))
+                sizes = np.array([len(c) for _, _, c in held])
                 starts = np.cumsum(np.r_[0, sizes[:-1] + ORDER]) + ORDER
                 bounds = np.stack([starts, starts + sizes], 1).ravel()
                 total = np.add.reduceat(np.concatenate([p, np.zeros((1, p.shape[1]), np.float32)]), bounds, axis=0, dtype=np.float64)[::2]
-                np.add.at(sums, [i for i, _ in held], total)
+                np.add.at(sums, [i for i, _, _ in held], total)
                 held.clear()
 
+        pad = np.full(ORDER, SPACE, np.uint64)
         for i, text in enumerate(texts):
-            c = codes(text)
-            chars[i] = int((c != SPACE).sum())
-            if not chars[i]:
-                continue
-            sums[i] = 0
-            for at in range(0, len(c), CHARS_AT_ONCE):
+            before = pad  # the characters that a run's first ones follow
+            for c in code_runs(text):
+                chars[i] += int((c != SPACE).sum())
                 if n and n + len(c) > CHARS_AT_ONCE:
                     flush()
                     n = 0
-                part = c[at : at + CHARS_AT_ONCE]
-                held.append((i, part))
-                n += len(part)
-            chars[i] = max(1, chars[i])
+                held.append((i, before, c))
+                n += len(c)
+                before = np.r_[before, c[-ORDER:]][-ORDER:]
         flush()
+        sums[chars == 0] = 0
         return -sums / np.maximum(1, chars)[:, None], chars
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,16 +194,16 @@ def _count(rows: DataFrame, langs: list[str]) -> pd.DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, group in pdf.groupby("lang", sort=False):
-                pad = np.full(ORDER, SPACE, np.uint64)
-                c = np.concatenate([x for t in group["text"] for x in (pad, codes(t))])
-                c = c[np.r_[True, (c[1:] != SPACE) | (c[:-1] != SPACE)]]
-                g = np.stack([grams(c, n) for n in range(1, ORDER + 1)])
+                pad, lines = np.full(ORDER, SPACE, np.uint64), [codes(t) for t in group["text"]]  # bounded like the sample
+                c = np.concatenate([x for line in lines for x in (pad, line)])
+                own = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(line), bool)] for line in lines])
                 before = np.r_[np.uint64(SPACE), c[:-1]]
+                g, h = (np.stack([grams(x, n)[own] for n in orders]) for x, orders in ((c, range(1, ORDER + 1)), (before, range(1, ORDER))))
                 rows_, first, k = np.unique(g[ORDER - 1], return_index=True, return_counts=True)
                 out = {"lang": number[lang], "k": k}
                 for n in range(1, ORDER + 1):
                     out[f"g{n}"] = g[n - 1][first].view(np.int64)
-                    out[f"c{n}"] = (grams(before, n - 1)[first] if n > 1 else np.zeros(len(first), np.uint64)).view(np.int64)
+                    out[f"c{n}"] = (h[n - 2][first] if n > 1 else np.zeros(len(first), np.uint64)).view(np.int64)
                 yield pd.DataFrame(out)
 
     names = [f"{x}{n}" for n in range(1, ORDER + 1) for x in "gc"]
@@ -207,20 +222,34 @@ def _count(rows: DataFrame, langs: list[str]) -> pd.DataFrame:
     return out
 
 
+def sample(rows: DataFrame) -> DataFrame:
+    """The training sample of (doc_id, text, lang): bounded in languages, rows and characters, whatever the table's size.
+
+    Only ids and lengths are ranked; of each language Spark keeps the first ``TRAINING_ROWS`` before it shuffles them.
+    """
+    known = rows.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h")).where(F.col("size") <= LONGEST_SAMPLED)
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    by = W.partitionBy("lang").orderBy("h", "doc_id", "size")
+    first = known.join(F.broadcast(common), "lang", "left_semi").withColumn("n", F.row_number().over(by)).where(F.col("n") <= TRAINING_ROWS)
+    before = F.coalesce(F.sum("size").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("before", before).where(F.col("before") < TRAINING_CHARS).select("lang", "doc_id", "size").distinct()
+    here = rows.withColumn("size", F.length("text"))
+    # at most LANGUAGES x TRAINING_ROWS short rows are sent; rows that repeat a chosen one come once
+    return here.join(F.broadcast(first), ["lang", "doc_id", "size"], "left_semi").select("doc_id", "text", "lang").dropDuplicates(["lang", "doc_id", "text"])
+
+
 def fit(docs: DataFrame, train) -> LanguageModels:
-    """Models from the rows of (doc_id, text, lang) for which ``train`` holds, about ``TRAINING_ROWS`` a language.
+    """Models from a bounded ``sample`` of the rows of (doc_id, text, lang) for which ``train`` holds.
 
     Rows without text, language or id take no part.  Without any, every text is ``und``.  Sharpness and the
     rejection bound are set on the same sample.
     """
     rows = docs.select("doc_id", "text", "lang").where(train & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+    chosen = materialise(sample(rows))  # read twice
+    langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not langs:
         return LanguageModels([], np.zeros(0), [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * ORDER, [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (ORDER - 1))
     spark = docs.sparkSession
-    share = spark.createDataFrame([(x, min(1.0, TRAINING_ROWS / sizes[x])) for x in langs], "lang string, share double")
-    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     model = _kneser_ney(_count(chosen.select("text", "lang"), langs), langs)
     shared, number = spark.sparkContext.broadcast(model), {x: k for k, x in enumerate(langs)}
 
@@ -250,8 +279,9 @@ def _predictor(spark: SparkSession, model: LanguageModels):
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
-        lang, score, fits = shared.value.predict(text.tolist())
-        return pd.DataFrame({"lang_pred": lang, "score": score, "accepted": fits})
+        texts = text.tolist()
+        parts = [shared.value.predict(texts[lo:hi]) for lo, hi in slices(texts)] or [shared.value.predict([])]
+        return pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("lang_pred", "score", "accepted"))})
 
     return predict
 

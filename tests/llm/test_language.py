@@ -1,5 +1,8 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import language as lg
 
@@ -39,11 +42,74 @@ def test_probabilities_sum_to_one(spark, model):
 
 
 def test_long_text_in_pieces_scores_like_one_piece(model, monkeypatch):
-    text = "thereof and nothing but the thing " * 300
-    whole, _ = model.cross_entropy([text, "x", text])
-    monkeypatch.setattr(lg, "CHARS_AT_ONCE", 1000)
-    parts, _ = model.cross_entropy([text, "x", text])
-    assert np.allclose(whole, parts, rtol=0.02)
+    text = "thereof, and nothing   but the thing! " * 300 + "  .. "
+    texts = [text, "x", "", None, " ", "12" * 3000, text, "a" * 2001]
+    whole, chars = model.cross_entropy(texts)
+    lines = [lg.codes(t).tolist() for t in texts]
+    for size in (1000, 7, 1):
+        monkeypatch.setattr(lg, "CHARS_AT_ONCE", size)
+        parts, again = model.cross_entropy(texts)
+        assert np.allclose(whole, parts, rtol=1e-6) and (chars == again).all()
+        assert [lg.codes(t).tolist() for t in texts] == lines
+
+
+def brute_log_probs(texts, order, letters):
+    """Interpolated Kneser-Ney by dictionaries: a function of (history, character)."""
+    high, lower = Counter(), [Counter() for _ in range(order)]
+    for text in texts:
+        line = " " * order + text
+        for k in range(order, len(line)):
+            high[line[k - order + 1 : k + 1]] += 1
+    lower[order - 1] = high
+    for n in range(order - 1, 0, -1):
+        for gram in lower[n]:
+            lower[n - 1][gram[1:]] += 1
+
+    def weight(n, context):
+        grams = {g: c for g, c in lower[n - 1].items() if g[:-1] == context}
+        ones, twos = (sum(c == k for c in lower[n - 1].values()) for k in (1, 2))
+        discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        return discount, sum(grams.values()), len(grams)
+
+    def prob(context, char):
+        n = len(context) + 1
+        below = prob(context[1:], char) if context else 1 / letters
+        discount, total, kinds = weight(n, context)
+        if not total:
+            return below
+        return max(lower[n - 1][context + char] - discount, 0) / total + discount * kinds / total * below
+
+    return prob
+
+
+def test_scores_against_brute_force(spark):
+    texts = {"aa": ["abra cadabra", "a cab", "drab bard"], "bb": ["foo of fog", "good dog", "goof off fog"]}
+    rows = [(k * 10 + i, t, lang) for k, (lang, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
+    model = lg.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    asked = ["a fog", "cab", "good bard", "drab dog", "cadabra", "zebra"]
+    entropy, chars = model.cross_entropy(asked)
+    letters = len({c for ts in texts.values() for t in ts for c in f" {t} "}) + 1
+    for k, lang in enumerate(sorted(texts)):
+        prob = brute_log_probs([f" {t} " for t in texts[lang]], lg.ORDER, letters)
+        for text, got, n in zip(asked, entropy[:, k], chars):
+            line = " " * lg.ORDER + f" {text} "
+            want = -sum(np.log(prob(line[i - lg.ORDER + 1 : i], line[i])) for i in range(lg.ORDER, len(line))) / n
+            assert abs(got - want) < 1e-4 * want
+    best = entropy.argmin(1)
+    assert model.predict(asked)[0].tolist() == [sorted(texts)[k] for k in best]
+
+
+def test_sample_is_bounded_whatever_the_table(spark, monkeypatch):
+    monkeypatch.setattr(lg, "TRAINING_ROWS", 7)
+    monkeypatch.setattr(lg, "TRAINING_CHARS", 40)
+    monkeypatch.setattr(lg, "LANGUAGES", 2)
+    rows = [(k, "x" * (1 + k % 9), ["en", "de", "fr"][min(k % 5, 2)]) for k in range(500)] + [(3, "xxxx", "fr")] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lg.sample(frame).collect()
+    by = Counter(r.lang for r in got)
+    assert set(by) == {"fr", "de"} or set(by) == {"fr", "en"}
+    assert max(by.values()) <= 7 and all(sum(len(r.text) for r in got if r.lang == x) < 40 + 9 for x in by)
+    assert sorted(map(tuple, lg.sample(frame.repartition(5)).collect())) == sorted(map(tuple, got))
 
 
 def test_no_training_rows(spark):
