@@ -32,9 +32,9 @@ def test_even_shards_and_few_cuts(spark):
     for r in got:
         where[r.text_crc32][r.shard] += 1
     small = [c for c in where.values() if 1 < sum(c.values()) <= 20]
-    assert sum(len(c) > 1 for c in small) <= 0.15 * len(small)
+    assert sum(len(c) > 1 for c in small) <= 0.08 * len(small)
     hot = where[zlib.crc32(b"hot text")]
-    assert sum(hot.values()) == 500 and len(hot) <= 16
+    assert sum(hot.values()) == 500 and len(hot) <= 12  # units are coarse beside so small a quota
 
 
 def test_tiny_and_empty_tables(spark):
@@ -50,3 +50,28 @@ def test_ranks_are_gapless(spark):
     for r in got:
         by[r.g].append(r.place)
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_result_does_not_depend_on_files(spark):
+    rng = random.Random(8)
+    docs = [(k, f"t{rng.randrange(150)}") for k in range(700)] + [(3, "t1")] * 4 + [(None, None)] * 3 + [(k, "hot") for k in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(sharding.shard_documents(frame.coalesce(1)).collect(), key=str)
+    assert one == sorted(sharding.shard_documents(frame.orderBy("text", F.desc("doc_id")).repartition(7)).collect(), key=str)
+    check(one, docs)
+
+
+def test_a_hot_key_of_many_units(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "UNIT", 5)
+    monkeypatch.setattr(sharding, "BUCKET", 20)
+    monkeypatch.setattr(sharding, "TOGETHER", 3)
+    docs = [(k, "hot" if k % 3 == 0 else f"t{k // 6}") for k in range(1800)]
+    got = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check(got, docs)
+    hot = Counter(r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot"))
+    assert len(hot) <= 8  # six shards at least
+
+
+def test_main_path_has_no_python(spark):
+    plan = sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
