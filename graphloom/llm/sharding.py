@@ -139,7 +139,8 @@ def _propagate(state: DataFrame, shards: int, quota: list[int], turn: int, close
     better = leaves | (F.col("most") > F.col("there")) | ((F.col("most") == F.col("there")) & (F.xxhash64("key", "target") > F.xxhash64("key", "shard")))
     wishes = materialise(shares.join(best, "key").where((F.col("shard") != F.col("target")) & better).select("key", "shard", "target", "there"))
     flow = {(r.shard, r.target): r.n for r in wishes.groupBy("shard", "target").agg(F.sum("there").alias("n")).collect()}
-    rates = _rates(_loads(state, shards), quota, flow)
+    loads = _loads(state, shards)
+    rates = _rates(loads, quota, flow)
     rate = F.element_at(F.array(*(F.lit(r) for r in rates)), F.col("target") + 1)
     # keys that are small beside a shard go whole, others unit by unit
     whole = F.col("members") <= min(UNIT, max(2, max(quota) // 8))
@@ -149,7 +150,8 @@ def _propagate(state: DataFrame, shards: int, quota: list[int], turn: int, close
     after = materialise(moved.select("key", "members", "first", "part", "n", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")))
     release(wishes)
     wished = {b: sum(n for (_, t), n in flow.items() if t == b) for b in range(shards)}
-    return after, [s for s in range(shards) if quota[s] <= 0 or (wished[s] and rates[s] < 0.05)], sum(n * rates[b] for (_, b), n in flow.items())
+    full = [s for s in range(shards) if quota[s] <= 0 or (wished[s] and rates[s] < 0.05) or (s in closed and loads[s] >= 0.95 * quota[s])]
+    return after, full, sum(n * rates[b] for (_, b), n in flow.items())
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

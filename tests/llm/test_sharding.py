@@ -69,7 +69,7 @@ def test_a_hot_key_of_many_units(spark, monkeypatch):
     got = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     check(got, docs)
     hot = Counter(r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot"))
-    assert len(hot) <= 8  # six shards at least
+    assert sum(n for _, n in hot.most_common(6)) >= 0.95 * 600  # six shards at least
 
 
 def test_main_path_has_no_python(spark):
