@@ -1,14 +1,19 @@
 """Language-model scores from Brown class-based bigrams.
 
-The most frequent words are put into classes by exchange clustering of their bigram counts: each word in turn
-moves to the class that raises the likelihood of the class bigrams most.  All other words, seen or not, have one
-of ``RULES`` classes by a rule on their ending; the end of a text is a class of its own.  A token's probability is
-P(class | class before) * P(word | class).  Transitions are smoothed with the class frequencies; inside the rule
-classes counts are discounted and the discounts go to one unknown word.
-
-Counts come from all training texts: one pass counts words, one counts bigrams of clustered words and classes.
-Scoring sends words up to a bounded number, the most frequent, to all tasks; the rarer ones of each text are
-joined with the full word table.
+Every word of the training texts has a class, found by exchange: a word goes to the class that raises the likelihood
+of the class bigrams most.  The most frequent words, and the endings of all others taken as words, are clustered one
+by one, in turns.  Then all other words, each with the counts of the classes before it, move from the class of their
+ending to their own best class, all at once against the same class bigrams, so that this step is spread over the
+cluster however many words there are.
+
+A token's probability is P(class | class before) * P(word | class).  What stands before conditions by the class of its
+symbol: a frequent word's own class, any other word's ending's.  Transitions are smoothed with the class frequencies;
+counts inside a class are discounted, and the discounts go to an unknown word of that class.  The end of a text is a
+class of its own.
+
+Counts come from all training texts: one pass counts words, one the bigrams of symbols, and one, over all texts,
+writes down what each token follows: numbers of the most frequent words, of bounded number, and the other words as
+they are, to be joined with the full word table.
 """
 
 from __future__ import annotations
@@ -19,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_is, materialise, table
+from graphloom.llm.common import fold_is, materialise, release, slices, table
 
 CLUSTERED = 1024
 CLASSES = 64
-RULES = 32
-#: words that every task holds while scoring; the others are joined
+ENDINGS = 256
+#: words that every task knows by number; the others are joined
 HELD = 200_000
 #: distinct words that a counting task holds before it passes them on
 TALLY = 500_000
@@ -36,10 +42,10 @@ SMOOTHING = 20.0
 END = " "
 
 
-def rule(word: bytes) -> int:
-    """Class of a word that is not clustered: a hash of its last letters and of whether a mark follows them."""
+def ending(word: bytes) -> int:
+    """Number of a word's ending: a hash of its last letters and of whether a mark follows them."""
     bare = word.rstrip(b".,;:!?\"')]}%&$#*|")
-    return zlib.crc32(bare[-2:] + (b"|" if len(bare) < len(word) else b"")) % RULES
+    return zlib.crc32(bare[-2:] + (b"|" if len(bare) < len(word) else b"")) % ENDINGS
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,15 +53,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, rule, c) of the column ``text``; the end of a text counts as the word ``END``."""
+    """(word, c) of the column ``text``; the end of a text counts as the word ``END``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter = Counter()
 
         def out() -> pd.DataFrame:
-            words = list(tally)
-            return pd.DataFrame({"word": pd.Series([w.decode() for w in words], dtype=object), "rule": np.array([rule(w) for w in words], np.int32),
-                                 "c": np.array([tally[w] for w in words], np.int64)})
+            return pd.DataFrame({"word": pd.Series([w.decode() for w in tally], dtype=object), "c": np.fromiter(tally.values(), np.int64, len(tally))})
 
         for pdf in batches:
             for text in pdf["text"]:
@@ -67,11 +71,12 @@ def count_words(texts: DataFrame) -> DataFrame:
         if tally:
             yield out()
 
-    return texts.select("text").mapInPandas(count, "word string, rule int, c long").groupBy("word", "rule").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(vocab: DataFrame, most: int) -> list[tuple[str, int, int]]:
-    """(word, rule, c) of at most ``most`` words: all with a count above a threshold, most frequent first."""
+def frequent_words(vocab: DataFrame, most: int) -> list[tuple[str, int]]:
+    """(word, c) of at most ``most`` words: all with a count above a threshold, most frequent first."""
+    vocab = vocab.where(F.col("word") != END)
     sizes, total, least = vocab.where("c > 1").groupBy("c").count().orderBy(F.desc("c")).limit(most).collect(), 0, None
     for r in sizes:
         if total + r["count"] > most:
@@ -81,7 +86,7 @@ def frequent_words(vocab: DataFrame, most: int) -> list[tuple[str, int, int]]:
         found = vocab.orderBy(F.desc("c"), "word").limit(min(most, CLUSTERED)).collect()
     else:
         found = vocab.where(F.col("c") >= least).collect()
-    return sorted(((r.word, r.rule, r.c) for r in found), key=lambda r: (-r[2], r[0]))
+    return sorted(((r.word, r.c) for r in found), key=lambda r: (-r[1], r[0]))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -141,53 +146,39 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, sweeps: int = 6) ->
     return of
 
 
-class Model:
-    """What scoring needs, all of bounded size."""
-
-    def __init__(self, held: list[tuple[str, int, int]], of: np.ndarray, moves: np.ndarray, rule_tokens: np.ndarray, rule_words: np.ndarray, n: int, v: int, discount: float) -> None:
-        words = len(of) - RULES - 1
-        self.number = {w.encode(): k for k, (w, _, _) in enumerate(held)}
-        counts = np.array([c for _, _, c in held], float)
-        self.symbol = np.array([k if k < words else (words + RULES if w == END else words + r) for k, (w, r, _) in enumerate(held)], np.int64)
-        self.of, self.first_rule, self.end = of, words, words + RULES
-        into = moves.sum(0)
-        share = (into + 0.5) / (into.sum() + 0.5 * len(into))
-        self.step = np.log10((moves + SMOOTHING * share) / (moves.sum(1, keepdims=True) + SMOOTHING))
-        self.discount, self.rule_tokens, self.rule_words, self.n, self.v = discount, rule_tokens, rule_words, n, v
-        self.base = np.log10((counts + 1) / (n + v + 1))
-        mass = np.zeros(int(of.max(initial=0)) + 1)
-        clustered = np.flatnonzero(self.symbol < words)
-        np.add.at(mass, of[self.symbol[clustered]], counts[clustered])
-        self.word = np.zeros(len(held))
-        for k, (w, r, c) in enumerate(held):
-            if self.symbol[k] < words:
-                self.word[k] = np.log10(c / mass[of[self.symbol[k]]])
-            elif w != END:
-                self.word[k] = np.log10(max(c - discount, 1e-9) / rule_tokens[r])
-
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers among the held words (-1: not held) and symbols."""
+class Lexicon:
+    """Numbers of the held words (the end of a text is the last) and symbols: core words, endings, the end."""
+
+    def __init__(self, held: list[tuple[str, int]], core: int, ends: int, n: int, v: int) -> None:
+        self.number = {w.encode(): k for k, (w, _) in enumerate(held)}
+        self.held, self.core, self.n, self.v = len(held) + 1, core, n, v
+        self.counts = np.array([*(c for _, c in held), ends], np.float64)
+        self.symbols = core + ENDINGS + 1
+        self.symbol = np.array([*(k if k < core else core + ending(w.encode()) for k, (w, _) in enumerate(held)), self.symbols - 1], np.int64)
+        self.base = np.log10((self.counts + 1) / (n + v + 1))
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers among the held words (-1: not held) and symbols of a text's words and its end."""
         get = self.number.get
         held = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        symbol = self.symbol[held] if len(self.symbol) else np.zeros(len(words), np.int64)
+        symbol = self.symbol[held]
         for k in np.flatnonzero(held < 0):
-            symbol[k] = self.first_rule + rule(words[k])
-        return held, symbol
+            symbol[k] = self.core + ending(words[k])
+        return np.r_[held, self.held - 1], np.r_[symbol, self.symbols - 1]
 
 
-def _bigrams(texts: DataFrame, held: list[tuple[str, int, int]], words: int) -> np.ndarray:
-    """Counts of symbol pairs over all texts; at most (words + RULES + 1) squared numbers come back."""
-    size = words + RULES + 1
-    plain = Model(held, np.arange(size), np.zeros((size, size)), np.ones(RULES), np.ones(RULES), 1, 1, 0.5)
-    shared = texts.sparkSession.sparkContext.broadcast(plain)
+def _bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Counts of symbol pairs over all texts; at most the square of the number of symbols come back."""
+    size = lexicon.symbols
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, total = shared.value, np.zeros(size * size, np.int64)
+        lexicon, total = shared.value, np.zeros(size * size, np.int64)
         for pdf in batches:
             pairs, n = [], 0
             for text in pdf["text"]:
-                symbol = model.symbols(words_of(text))[1]
-                pairs.append(np.r_[model.end, symbol] * size + np.r_[symbol, model.end])
+                symbol = lexicon.read(words_of(text))[1]
+                pairs.append(np.r_[size - 1, symbol[:-1]] * size + symbol)
                 n += len(symbol)
                 if n > 1 << 20:
                     total += np.bincount(np.concatenate(pairs), minlength=size * size)
@@ -204,79 +195,235 @@ def _bigrams(texts: DataFrame, held: list[tuple[str, int, int]], words: int) ->
     return out.reshape(size, size)
 
 
-def train(texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held_words: int = HELD) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``text``, and its word table (word, rule, c)."""
+OCCURRENCES = "row long, doc_id long, n_tokens long, n_known long, base double, codes array<int>, word string, a int, k long, learns boolean, code int"
+
+
+def occurrences(docs: DataFrame, lexicon: Lexicon, of: np.ndarray, learns: Column) -> DataFrame:
+    """What each token follows, in three kinds of rows.
+
+    One row a text: doc_id, n_tokens, n_known and base of its held words, and the codes of its held words: class before
+    times ``lexicon.held`` plus the word's number.  One for each other word in it and class before it: word, a, k.
+    And the counts k of the codes of the texts that the model learns from.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, of))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (lexicon, of), row = shared.value, TaskContext.get().partitionId() << 36
+        tallied, held_codes, n_codes = np.zeros((2, 0), np.int64), [], 0
+
+        def tally() -> np.ndarray:
+            code, n = np.unique(np.concatenate([tallied[0], *held_codes]), return_inverse=True)
+            return np.stack([code, np.bincount(n, weights=np.r_[tallied[1], np.ones(len(n) - tallied.shape[1])], minlength=len(code)).astype(np.int64)])
+
+        def batch_of(n: int, **columns) -> pa.RecordBatch:
+            arrays = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
+            return pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, schema)], schema=schema)
+
+        for batch in batches:
+            ids, texts, learn = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi in slices(texts, 256):
+                tokens, known, bases, codes, tails = [], [], [], [], []
+                for at in range(lo, hi):
+                    words = words_of(texts[at])
+                    held, symbol = lexicon.read(words)
+                    before = of[np.r_[lexicon.symbols - 1, symbol[:-1]]]
+                    mine = held >= 0
+                    own = before[mine] * lexicon.held + held[mine]
+                    tokens.append(len(held))
+                    known.append(int(mine.sum()) - (lexicon.counts[-1] == 0))
+                    bases.append(float(lexicon.base[held[mine]].sum()))
+                    codes.append(own)
+                    if learn[at]:
+                        held_codes.append(own)
+                        n_codes += len(own)
+                    other = np.flatnonzero(~mine)
+                    tails += [(row, w, a, k, learn[at]) for (w, a), k in Counter((words[i], int(before[i])) for i in other).items()]
+                    row += 1
+                sizes = np.array([len(c) for c in codes])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(codes).astype(np.int32)))
+                yield batch_of(hi - lo, row=pa.array(np.arange(row - (hi - lo), row)), doc_id=ids.slice(lo, hi - lo), n_tokens=pa.array(tokens), n_known=pa.array(known), base=pa.array(bases), codes=lists)
+                if tails:
+                    r, w, a, k, l = zip(*tails)
+                    yield batch_of(len(tails), row=pa.array(r), word=pa.array([x.decode() for x in w]), a=pa.array(a), k=pa.array(k), learns=pa.array(l))
+                if n_codes > 1 << 22:
+                    tallied, held_codes, n_codes = tally(), [], 0
+        if held_codes or tallied.size:
+            tallied = tally()
+        for at in range(0, tallied.shape[1], 1 << 17):
+            code, n = tallied[:, at : at + (1 << 17)]
+            yield batch_of(len(code), code=pa.array(code), k=pa.array(n))
+
+    long, text = pa.int64(), pa.string()
+    kinds = {"row": long, "doc_id": long, "n_tokens": long, "n_known": long, "base": pa.float64(), "codes": pa.list_(pa.int32()), "word": text, "a": pa.int32(), "k": long, "learns": pa.bool_(), "code": pa.int32()}
+    schema = pa.schema(list(kinds.items()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learns, F.lit(False)).alias("learns"))
+    return rows.mapInArrow(read, OCCURRENCES)
+
+
+def best_classes(first: np.ndarray, contexts: list, counts: list, moves: np.ndarray, classes: int) -> np.ndarray:
+    """The class each word is best in, of the first ``classes``, by the likelihood of the class bigrams ``moves`` (class
+    before x class), which hold the word in its class ``first``; it follows ``contexts`` so often as ``counts`` say."""
+    sizes = np.array([len(c) for c in contexts])
+    starts = np.cumsum(sizes) - sizes
+    a, n = np.concatenate(contexts).astype(np.int64), np.concatenate(counts).astype(np.float64)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    onto, total = moves[:, :classes], moves[:, :classes].sum(0)
+    one = _f(onto + 1) - _f(onto)
+    gain = one[a]
+    more = np.flatnonzero(n != 1)
+    gain[more] = _f(onto[a[more]] + n[more, None]) - _f(onto[a[more]])
+    own = first[word]
+    here = onto[a, own]
+    gain[np.arange(len(a)), own] = _f(here) - _f(np.maximum(here - n, 0))  # without the word's own counts
+    whole = np.add.reduceat(gain, starts, axis=0)
+    t = np.add.reduceat(n, starts)
+    loss = _f(total + t[:, None]) - _f(total)
+    k = np.arange(len(sizes))
+    loss[k, first] = _f(total[first]) - _f(np.maximum(total[first] - t, 0))
+    return (whole - loss).argmax(1)
+
+
+def _assigned(vectors: DataFrame, key: str, lexicon: Lexicon, of: np.ndarray, moves: np.ndarray, classes: int) -> DataFrame:
+    """(key, c, z, ctx, n) of words (key, v: array of a, k): count, class and counts by class before."""
+    shared = vectors.sparkSession.sparkContext.broadcast((lexicon, of, moves))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, of, moves = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                if key == "word":
+                    first = np.array([of[lexicon.core + ending(w.encode())] for w in part[key]], np.int64)
+                else:
+                    first = of[lexicon.symbol[part[key].to_numpy(np.int64)]]
+                found, ctx, n = first.copy(), part["ctx"].tolist(), part["n"].tolist()
+                move = np.arange(len(part)) if key == "word" else np.flatnonzero(part[key].to_numpy(np.int64) >= lexicon.core)
+                move = move[first[move] < classes]
+                if len(move):  # core words and the end keep their classes
+                    found[move] = best_classes(first[move], [ctx[i] for i in move], [n[i] for i in move], moves, classes)
+                yield part.assign(c=[int(np.sum(x)) for x in n], z=found.astype(np.int32))[[key, "c", "z", "ctx", "n"]]
+
+    kind = vectors.schema[key].dataType.simpleString()
+    lists = vectors.select(key, F.transform("v", lambda x: x["a"]).alias("ctx"), F.transform("v", lambda x: x["k"]).alias("n"))
+    return lists.mapInPandas(assign, f"{key} {kind}, c long, z int, ctx array<int>, n array<long>")
+
+
+class ClassModel:
+    """Class bigrams and word counts by class; ``words`` is the table (word, c, z) of the words that are not held."""
+
+    def __init__(self, lexicon: Lexicon, of: np.ndarray, held_class: np.ndarray, moves: np.ndarray, kinds: np.ndarray, discount: float, words: DataFrame) -> None:
+        self.lexicon, self.of, self.held_class, self.discount, self.words = lexicon, of, held_class, discount, words
+        size = moves.sum(0)
+        share = size / size.sum() if size.sum() else np.r_[np.zeros(len(size) - 1), 1.0]
+        self.step = (moves + SMOOTHING * share) / (moves.sum(1, keepdims=True) + SMOOTHING)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unknown = np.where(size > 0, discount * kinds / size, 0.0)
+            unknown[-1] = 0  # the end is always known
+            follows = self.step @ unknown
+            self.unknown = np.log10(np.where(follows > 0, follows, 1.0 / (lexicon.n + lexicon.v + 1)))
+            self.cell = np.log10(self.step) - np.log10(np.maximum(size, 1))  # of a word counted so often, before its own count
+            self.cell[:, -1] = np.log10(self.step[:, -1])
+            word = np.log10(np.maximum(lexicon.counts - discount, 1e-9))
+            word[-1] = 0.0
+        # what a held word adds behind each class
+        self.held = self.cell[:, held_class] + word
+
+
+def _model(seen: DataFrame, lexicon: Lexicon, of: np.ndarray, bigrams: np.ndarray, discount: float) -> ClassModel:
+    """The model of the ``occurrences`` of the texts it learns from."""
+    classes = int(of[-1])
+    onto = np.zeros((len(of), classes + 1))
+    onto[np.arange(len(of)), of] = 1
+    moves = onto.T @ bigrams @ onto  # all words in the classes of their symbols
+    held = F.lit(lexicon.held)
+    codes = seen.where("code is not null").groupBy("code").agg(F.sum("k").alias("k"))
+    by_number = codes.groupBy((F.col("code") % held).alias("number")).agg(F.collect_list(F.struct(F.floor(F.col("code") / held).cast("int").alias("a"), "k")).alias("v"))
+    others = seen.where("word is not null and learns").groupBy("word", "a").agg(F.sum("k").alias("k")).groupBy("word").agg(F.collect_list(F.struct("a", "k")).alias("v"))
+    numbered = materialise(_assigned(by_number, "number", lexicon, of, moves, classes))
+    words = materialise(_assigned(others, "word", lexicon, of, moves, classes))
+    held_class = of[lexicon.symbol].copy()
+    for r in numbered.select("number", "z").toLocalIterator():
+        held_class[r.number] = r.z
+    after, kinds = np.zeros((classes + 1, classes + 1)), np.zeros(classes + 1)
+    for frame in (numbered, words):  # at most as many rows as there are pairs of classes
+        pairs = frame.select("z", F.explode(F.arrays_zip("ctx", "n")).alias("p")).groupBy("z", F.col("p.ctx").alias("a")).agg(F.sum("p.n").alias("n"))
+        for r in pairs.collect():
+            after[r.a, r.z] += r.n
+        for r in frame.groupBy("z").count().collect():
+            kinds[r.z] += r["count"]
+    return ClassModel(lexicon, of, held_class, after, kinds, discount, words)
+
+
+def _lexicon(texts: DataFrame, clustered: int, classes: int, held_words: int) -> tuple[Lexicon, np.ndarray, np.ndarray, float]:
+    """Held words, classes of symbols, symbol bigrams and discount of the column ``text``."""
     vocab = materialise(count_words(texts))
     n, v, ones, twos = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     held = frequent_words(vocab, held_words)
-    # the end of a text is no clustered word
-    end = [h for h in held if h[0] == END]
-    held = [h for h in held if h[0] != END]
-    words = min(clustered, len(held))
-    held += end or ([(END, rule(END.encode()), n_end[0].c)] if (n_end := vocab.where(F.col("word") == END).collect()) else [])
-    bigrams = _bigrams(texts, held, words)
-    of = exchange(bigrams, words, min(classes, max(1, words)))
-    onto = np.zeros((len(of), int(of.max()) + 1))
-    onto[np.arange(len(of)), of] = 1
-    tokens, kinds = np.zeros(RULES), np.zeros(RULES)
-    for r in vocab.where(F.col("word") != END).groupBy("rule").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():
-        tokens[r.rule], kinds[r.rule] = r.c, r.k
-    for w, r, c in held[:words]:
-        tokens[r] -= c
-        kinds[r] -= 1
-    discount = min(0.95, max(0.3, (ones or 0) / max(1, (ones or 0) + 2 * (twos or 0))))
-    return Model(held, of, onto.T @ bigrams @ onto, tokens, kinds, n, v, discount), vocab
+    ends = vocab.where(F.col("word") == END).select("c").collect()
+    release(vocab)
+    lexicon = Lexicon(held, min(clustered, len(held)), ends[0].c if ends else 0, n, v)
+    bigrams = _bigrams(texts, lexicon)
+    of = exchange(bigrams, lexicon.symbols - 1, min(classes, lexicon.symbols - 1))
+    return lexicon, of, bigrams, min(0.95, max(0.3, (ones or 0) / max(1, (ones or 0) + 2 * (twos or 0))))
+
+
+def _scored(seen: DataFrame, model: ClassModel) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of ``occurrences``."""
+    lexicon = model.lexicon
+    shared = seen.sparkSession.sparkContext.broadcast((model.held.ravel(), model.held.shape[1]))
+
+    @F.pandas_udf("double")
+    def local(codes: pd.Series) -> pd.Series:
+        held, _ = shared.value
+        lists = codes.tolist()
+        out = np.zeros(len(lists))
+        for lo in range(0, len(lists), 512):
+            part = lists[lo : lo + 512]
+            sizes = np.array([len(x) for x in part])  # a text has its end at least
+            out[lo : lo + 512] = np.add.reduceat(held[np.concatenate(part)], np.cumsum(sizes) - sizes)
+        return pd.Series(out)
+
+    own = seen.where("codes is not null").select("row", "doc_id", "n_tokens", "n_known", "base", local("codes").alias("score"))
+    cells = [(a, z, float(model.cell[a, z])) for a in range(len(model.cell)) for z in range(model.cell.shape[1]) if np.isfinite(model.cell[a, z])]
+    cells += [(a, -1, float(x)) for a, x in enumerate(model.unknown)]
+    cells = F.broadcast(seen.sparkSession.createDataFrame(cells, "a int, z int, cell double"))  # the square of the classes
+    tail = seen.where("word is not null").select("row", "word", "a", "k").join(model.words.select("word", "c", "z"), "word", "left").withColumn("z", F.coalesce("z", F.lit(-1)))
+    n = F.lit(float(lexicon.n + lexicon.v + 1))
+    known = F.col("c").isNotNull()
+    tail = tail.join(cells, ["a", "z"]).select(
+        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(known, F.col("k")).otherwise(0).alias("n_known"),
+        (F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / n)).alias("base"),
+        (F.col("k") * (F.col("cell") + F.when(known, F.log10(F.col("c") - model.discount)).otherwise(0.0))).alias("score"),
+    )
+    found = own.unionByName(tail).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
+    )
+    return found.select("doc_id", fold_is(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(lexicon.n)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train(texts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, held_words: int = HELD) -> ClassModel:
+    """The model of all rows of ``text``."""
+    lexicon, of, bigrams, discount = _lexicon(texts, clustered, classes, held_words)
+    seen = materialise(occurrences(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), lexicon, of, F.lit(True)))
+    return _model(seen, lexicon, of, bigrams, discount)
 
 
-def score_documents(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     A null or empty text is its end alone.  Repeated rows are each scored.  Without training texts every token
     is unknown.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(materialise(occurrences(docs, model.lexicon, model.of, F.lit(False))), model)
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each text, of its transitions and held words, and one for each other word in it."""
-        model, row = shared.value, TaskContext.get().partitionId() << 36
-        end = model.number.get(END.encode())
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                out = []
-                part = pdf.iloc[at : at + 256]
-                for doc, known_id, text in zip(part["doc_id"], part["doc_id"].notna(), part["text"]):
-                    words = words_of(text)
-                    held, symbol = model.symbols(words)
-                    cls = model.of[np.r_[model.end, symbol, model.end]]
-                    have = held[held >= 0]
-                    score = model.step[cls[:-1], cls[1:]].sum() + model.word[have].sum()
-                    base = model.base[have].sum() + (model.base[end] if end is not None else np.log10(1 / (model.n + model.v + 1)))
-                    out.append((row, f"{END}{row}", 1, int(doc) if known_id else None, len(words) + 1, len(have) + (end is not None), float(base), float(score), 0))
-                    out += [(row, w.decode(), k, None, 0, 0, 0.0, 0.0, rule(w)) for w, k in Counter(words[i] for i in np.flatnonzero(held < 0)).items()]
-                    row += 1
-                frame = pd.DataFrame(out, columns=["row", "key", "k", "doc_id", "n_tokens", "n_known", "base", "score", "r"])
-                yield frame.astype({"doc_id": "Int64", "key": object})
 
-    parts = docs.select("doc_id", "text").mapInPandas(
-        local, "row long, key string, k long, doc_id long, n_tokens long, n_known long, base double, score double, r int"
-    )
-    own = F.col("n_tokens") > 0
-    joined = parts.join(vocab.select(F.col("word").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rules = F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(k)).alias("w")) for t, k in zip(model.rule_tokens, model.rule_words)))
-    here = rules[F.col("r")]
-    floor = float(1 / (model.n + model.v + 1))
-    inside = F.when(here["t"] > 0, F.when(F.col("c") > 0, F.col("c") - model.discount).otherwise(model.discount * F.greatest(here["w"], F.lit(0.5))) / here["t"]).otherwise(F.lit(floor))
-    base = F.when(own, F.col("base")).otherwise(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(model.n + model.v + 1))))
-    score = F.when(own, F.col("score")).otherwise(F.col("k") * F.log10(inside))
-    found = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(own, F.col("n_known")).otherwise(F.when(F.col("c") > 0, F.col("k")).otherwise(0))).alias("n_known"),
-        F.sum(base).alias("base_score"), F.sum(score).alias("score"),
-    )
-    return found.select("doc_id", fold_is(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
+def train_and_score(docs: DataFrame, learns: Column, clustered: int = CLUSTERED, classes: int = CLASSES, held_words: int = HELD) -> DataFrame:
+    """``score_documents`` with the model of the rows for which ``learns`` holds, in one pass less."""
+    lexicon, of, bigrams, discount = _lexicon(docs.where(learns), clustered, classes, held_words)
+    seen = materialise(occurrences(docs, lexicon, of, learns))
+    return _scored(seen, _model(seen, lexicon, of, bigrams, discount))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learnt = docs.where(F.col("doc_id").isNotNull() & ~fold_is(F.col("doc_id"), 7, 2))
-    return score_documents(docs, *train(learnt))
+    return train_and_score(docs, F.col("doc_id").isNotNull() & ~fold_is(F.col("doc_id"), 7, 2))
