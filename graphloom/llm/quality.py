@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
-from graphloom.llm.common import bounded_labelled, fold_is, table
+from graphloom.llm.common import bounded_labelled, fold_is, slices, table
 from graphloom.llm.toxicity import quantile_edges
 
 #: labelled rows that the model is fitted on, at most
@@ -142,7 +142,8 @@ def score_documents(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(features.matrix(text.tolist(), None)))
+        texts = text.tolist()
+        return pd.Series(np.concatenate([np.zeros(0), *(shared.value.score(features.matrix(texts[lo:hi], None)) for lo, hi in slices(texts, 4096))]))
 
     scored = docs.select("doc_id", fold_is(F.col("doc_id"), 3, 1).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT_AT).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
-from graphloom.llm.common import bounded_labelled, fold_is, table
+from graphloom.llm.common import bounded_labelled, fold_is, slices, table
 
 #: labelled rows that the model is fitted on, at most
 TRAINING_ROWS = 12_000
@@ -101,8 +101,8 @@ class Isotonic:
         return cls(np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks]))
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
-        # the last hundredth keeps the raw order inside a block
-        return 0.99 * np.interp(raw, self.at, self.value) + 0.01 / (1 + np.exp(-raw))
+        # a millionth keeps the raw order inside a block; the rest is the calibrated value
+        return (1 - 1e-6) * np.interp(raw, self.at, self.value) + 1e-6 / (1 + np.exp(-raw))
 
 
 @dataclass
@@ -112,7 +112,8 @@ class ToxicityModel:
     calibrate: Isotonic
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return np.clip(self.calibrate(self.trees.raw(features.matrix(texts, self.learned))), 0, 1)
+        raw = [self.trees.raw(features.matrix(texts[lo:hi], self.learned)) for lo, hi in slices(texts, 4096)]
+        return np.clip(self.calibrate(np.concatenate([np.zeros(0), *raw])), 0, 1)
 
 
 def fit(rows: DataFrame) -> ToxicityModel:

@@ -71,3 +71,34 @@ def test_pipeline_stage_keeps_columns_and_clean_rows(spark):
     model = toxicity.trained(spark, SF)
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
+
+
+@pytest.mark.parametrize("module,columns", [(toxicity, True), (quality, False)])
+def test_query_scores_are_the_models(spark, module, columns):
+    """The query's column against the model applied text by text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(9001, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars int"), allowMissingColumns=True)
+    model = module.trained(spark, "/root/testdata/sf0.001")
+    got = {r.doc_id: r.score for r in module.score_documents(docs, model).collect()}
+    for r in docs.collect():
+        one = model.score([r.text])[0] if columns else model.score(features.matrix([r.text], None))[0]
+        assert abs(got[r.doc_id] - one) < 1e-12
+
+
+def test_trees_and_tables_against_walks_by_hand():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(400, 3)), (rng.random(400) < 0.5).astype(float)
+    trees = toxicity.BoostedTrees.fit(x, y, trees=5, depth=3)
+    for row, raw in zip(x[:50], trees.raw(x[:50])):
+        total = trees.base
+        for f, cut, leaf in zip(trees.feature, trees.above, trees.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > cut[node] else 1)
+            total += trees.rate * leaf[node - len(f)]
+        assert abs(total - raw) < 1e-9
+    model = quality.AdditiveModel.fit(x, y, cycles=8)
+    bin_of = lambda edges, v: sum(v > e for e in edges)
+    for row, score in zip(x[:50], model.score(x[:50])):
+        raw = model.base + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, row))
+        raw += sum(g[bin_of(model.coarse[a], row[a]), bin_of(model.coarse[b], row[b])] for (a, b), g in model.pairs.items())
+        assert abs(1 / (1 + np.exp(-raw)) - score) < 1e-9
