@@ -23,7 +23,7 @@ from graphloom.llm.common import fold_is, materialise, slices, table
 ORDER = 4
 #: documents of each language that the models are estimated from, and characters in them, at most: whole texts in the
 #: order of a hash of the id while the characters before them are fewer
-TRAINING_ROWS, TRAINING_CHARS = 1_500, 4_000_000
+TRAINING_ROWS, TRAINING_CHARS = 1_000, 4_000_000
 #: languages that are learnt, at most: those with the most training rows
 LANGUAGES = 500
 #: texts beyond this take no part in the sample (they are scored like any other)

@@ -54,9 +54,22 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter((digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(k))))), np.uint64, len(words) - k + 1)
 
 
+#: the bits of a byte as eight bytes, in one number
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def _ones(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    """How often each bit is set in the hashes from each of ``starts`` up to the next.
+
+    Eight counters of a byte are added at once, over runs of 255 hashes, which no counter overflows.
+    """
+    sizes = np.diff(np.r_[starts, len(h)])
+    runs = -(-sizes // 255)
+    first = np.cumsum(runs) - runs
+    at = np.repeat(starts, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+    wide = SPREAD[h.astype(">u8").view(np.uint8).reshape(-1, 8)]
+    counts = np.add.reduceat(wide, at, axis=0).view(np.uint8).reshape(-1, 64)
+    return np.add.reduceat(counts, first, axis=0, dtype=np.int32)
 
 
 def fingerprints(texts: list[str | None], k: int, lanes: int = 1) -> np.ndarray:
@@ -585,6 +598,7 @@ def short_prefix_rows(n, similarity: float):
 
 def shared_prefixes(texts: DataFrame, shingle: int, similarity: float, levels: np.ndarray) -> DataFrame:
     """(token, salt, parts, node, n, pos, short): the shingles that two distinct texts or more (node, text) have in their prefixes.
+    They travel packed: ``share`` is parts and salt, ``place`` n, pos and short.
 
     A text's ``n`` shingles are ordered from the rarest cell to the commonest.  Two texts of ``similarity`` or more
     share at least ``similarity * n`` of them, hence one of the first ``n - ceil(similarity * n) + 1``, whatever the
@@ -615,34 +629,36 @@ def shared_prefixes(texts: DataFrame, shingle: int, similarity: float, levels: n
                 at = np.minimum(np.searchsorted(crowded, cell), max(0, len(crowded) - 1))
                 parts = np.where(crowded[at] == cell, crowd[at], 1) if len(crowded) else np.ones(len(cell), np.int32)
                 salt = (_mix(node.view(np.uint64), 3) % parts.astype(np.uint64)).astype(np.int32)
-                yield pd.DataFrame({
-                    "token": every.view(np.int64), "salt": salt, "parts": parts.astype(np.int32), "node": node, "n": np.repeat(size, width).astype(np.int32),
-                    "pos": pos.astype(np.int32), "short": pos < np.repeat(short_prefix_rows(size, similarity), width),
-                })
+                place = np.repeat(size, width) << 32 | pos << 1 | (pos < np.repeat(short_prefix_rows(size, similarity), width))
+                yield pd.DataFrame({"token": every.view(np.int64), "share": parts.astype(np.int64) << 32 | salt, "node": node, "place": place})
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows, sorted by token, salt and node, of tokens with several nodes or parts; only the last row waits for the next batch."""
+        """The rows, sorted by token, share and node, of tokens with several nodes or parts; only the last row waits for the next batch."""
         waiting, linked = None, False  # the last row, and whether the one before it has its token
         for pdf in batches:
             if waiting is not None:
                 pdf = pd.concat([waiting, pdf])
             if not len(pdf):
                 continue
-            token, salt, node = (pdf[c].to_numpy() for c in ("token", "salt", "node"))
-            like = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            token, share, node = (pdf[c].to_numpy() for c in ("token", "share", "node"))
+            like = (token[1:] == token[:-1]) & (share[1:] == share[:-1])
             new = np.r_[True, ~(like & (node[1:] == node[:-1]))]
-            pdf, token, salt = pdf[new], token[new], salt[new]
-            like = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            pdf, token, share = pdf[new], token[new], share[new]
+            like = (token[1:] == token[:-1]) & (share[1:] == share[:-1])
             before, after = np.r_[linked, like], np.r_[like, False]
-            keep = before | after | (pdf["parts"].to_numpy() > 1)
+            keep = before | after | (share >> 32 > 1)
             waiting, linked = pdf.iloc[-1:], bool(before[-1])
             yield pdf[:-1][keep[:-1]]
-        if waiting is not None and (linked or waiting["parts"].iloc[0] > 1):
+        if waiting is not None and (linked or waiting["share"].iloc[0] >> 32 > 1):
             yield waiting
 
-    schema = "token long, salt int, parts int, node long, n int, pos int, short boolean"
-    spread = texts.mapInPandas(prefixes, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    return spread.mapInPandas(repeated, schema)
+    schema = "token long, share long, node long, place long"
+    spread = texts.mapInPandas(prefixes, schema).repartition("token", "share").sortWithinPartitions("token", "share", "node").mapInPandas(repeated, schema)
+    low = F.lit((1 << 32) - 1)
+    return spread.select(
+        "token", F.col("share").bitwiseAND(low).cast("int").alias("salt"), F.shiftright("share", 32).cast("int").alias("parts"), "node",
+        F.shiftright("place", 32).cast("int").alias("n"), F.shiftright(F.col("place").bitwiseAND(low), 1).cast("int").alias("pos"), (F.col("place").bitwiseAND(F.lit(1)) == 1).alias("short"),
+    )
 
 
 def _chain(rows: DataFrame, keys: list[str]) -> DataFrame:
