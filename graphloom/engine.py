@@ -7,77 +7,217 @@ them everything that needs none works.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.operators import analyze, derive, link, search, store, traverse
+from graphloom.functions import paths
+from graphloom.operators import analyze, derive, link, memory, search, store, sync, traverse
 from graphloom.operators.extract import runner
 from graphloom.sources import files, gitlog
 from graphloom.storage import cut
+from graphloom.streaming import changefeed
+
+
+#: stages of an index run, in order
+INDEX_STAGES = ["walk", "parse", "link", "summarise", "embed", "store", "reembed"]
+#: labels that are worked out from all nodes, and what a call's label was before its caller was known
+DERIVED, CALL_LABELS = ("defines", "implements"), ("tests", "constructs")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, embed_fn: Callable[[list[str]], list[list[float]]] | None = None, explain_fn: Callable[[str], str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, embed_fn: Callable[[list[str]], list[list[float]]] | None = None, explain_fn: Callable[[str], str] | None = None,
+                 summarise_fn: Callable[[list[str]], list[tuple[str, list[str]]]] | None = None, on_delta: Callable[[DataFrame], None] | None = None, on_stage: Callable[[str, str], None] | None = None) -> None:
+        """``summarise_fn`` gives a summary and concepts for each text; ``on_delta`` gets the rows of ``delta_rows`` that a run
+        wrote or removed, ``on_stage`` each stage and its state."""
         self.spark, self.store, self.embed_fn, self.explain_fn = spark, store.GraphStore(spark, path), embed_fn, explain_fn
+        self.summarise_fn, self.on_delta, self.on_stage = summarise_fn, on_delta, on_stage
+        self.memory = memory.MemoryStore(spark, f"{path.rstrip('/')}/memory")
+        self.tracker = changefeed.StageTracker(INDEX_STAGES)
 
     # --- indexing ---------------------------------------------------------------------------------------------------
 
-    def index(self, root: str, repo_slug: str, languages: list[str] | None = None, exclude: list[str] | None = None, force: bool = False, reparse: bool = False, fast: bool = False) -> DataFrame:
+    def _stage(self, stage: str, state: str) -> None:
+        self.tracker.move(stage, state)
+        if self.on_stage:
+            self.on_stage(stage, state)
+
+    @contextmanager
+    def _running(self, stage: str, wanted: bool = True):
+        """Run a stage, or mark it skipped; a failure is noted and goes on."""
+        if not wanted:
+            self._stage(stage, "skipped")
+            yield False
+            return
+        self._stage(stage, "running")
+        try:
+            yield True
+        except Exception as e:
+            self.tracker.error(stage, str(e))
+            self._stage(stage, "failed")
+            raise
+        self._stage(stage, "completed")
+
+    def repo_of(self, root: str, repo_slug: str | None = None) -> dict:
+        """slug, remote_url, default_branch and last_commit of a working tree.
+
+        A repository that is stored under its remote keeps its slug; else the slug is the one given, the remote's, or the
+        folder's name.
+        """
+        known = gitlog.identity_of(root)
+        row = {"slug": repo_slug, "remote_url": None, "default_branch": known.get("branch"), "last_commit": known.get("commit")}
+        if known.get("remote"):
+            found = gitlog.identity(self.spark.createDataFrame([(known["remote"],)], "remote string")).first()
+            stored = self.store.find_repo(found.remote_url).orderBy("slug").first()
+            row["remote_url"] = found.remote_url
+            row["slug"] = stored.slug if stored else repo_slug or found.slug or None
+        row["slug"] = row["slug"] or root.rstrip("/").rsplit("/", 1)[-1]
+        return row
+
+    def index(self, root: str, repo_slug: str | None = None, languages: list[str] | None = None, exclude: list[str] | None = None, force: bool = False, reparse: bool = False, fast: bool = False) -> DataFrame:
         """Walk, parse, link and store a repository; (label, processed, resolved, unresolved) of its edges comes back.
 
         Files whose content hash is stored are skipped, unless ``force`` (everything is deleted first) or ``reparse``.
-        Links are made over all nodes of the repository, old and new.  ``fast`` leaves out embedding.
+        Only nodes that are no longer in their file, or whose file is gone, are deleted.  Edges out of parsed files are
+        made anew; of the others those without a target, or whose target has gone, are resolved again over all nodes,
+        and what finds none keeps what the source says, unresolved.  ``fast`` leaves out summaries and embedding.
         """
+        repo = self.repo_of(root, repo_slug)
+        repo_slug = repo["slug"]
+        self.tracker = changefeed.StageTracker(INDEX_STAGES)
         if force:
             self.store.delete_repo(repo_slug)
-        found = files.walk(self.spark, root, languages, exclude)
-        file_nodes = schema.conform(files.file_nodes(found, repo_slug), schema.NODES)
-        old = store.scan_nodes(self.store.nodes, repo_slug)
-        changed = file_nodes if reparse else store.changed_files(file_nodes, old.where(F.col("label") == "file"))
-        todo = found.join(changed.select(F.col("file_path").alias("path")), "path", "left_semi")
-        parsed = cut(runner.parse_files(todo))
-        code = runner.merge_methods(runner.nodes_of(parsed, repo_slug))
-        mods = files.go_mod_nodes(todo, repo_slug)
-        new = schema.conform(changed, schema.NODES).unionByName(schema.conform(code, schema.NODES)).unionByName(schema.conform(mods, schema.NODES))
-        new = cut(store.keep_generated(new, old))
-        touched = todo.select(F.col("path").alias("file_path"))
-        gone = store.stale_nodes(old, found.select(F.col("path").alias("file_path"))).select("repo_slug", "node_id")
-        again = old.join(touched, "file_path", "left_semi").select("repo_slug", "node_id")
-        drop = cut(gone.unionByName(again).distinct())
-        kept = old.join(drop, ["repo_slug", "node_id"], "left_anti")
-        symbols = cut(kept.select("node_id", "label", "name", "qualified", "file_path", "methods").unionByName(new.select("node_id", "label", "name", "qualified", "file_path", "methods")))
-        linked = cut(link.link_all(runner.edges_of(parsed, repo_slug), symbols).withColumn("repo_slug", F.lit(repo_slug)))
-        if not drop.isEmpty():
-            self.store.delete(drop)
-        if self.embed_fn and not fast:
-            new = self._embedded(new, linked)
-        self.store.put_batch(new, linked)
-        self.store.put_repo(self.spark.createDataFrame([(repo_slug, root)], "slug string, path string").withColumn("last_indexed_at", F.current_timestamp()))
+        old, old_edges = self.store.node_table.read(repo_slug), self.store.edge_table.read(repo_slug)
+        with self._running("walk"):
+            found = files.walk(self.spark, root, languages, exclude)
+            file_nodes = schema.conform(files.file_nodes(found, repo_slug), schema.NODES)
+            changed = cut(file_nodes if reparse else store.changed_files(file_nodes, old.where(F.col("label") == "file")))
+            on_disk = cut(file_nodes.select("file_path"))
+            todo = found.join(changed.select(F.col("file_path").alias("path")), "path", "left_semi")
+        with self._running("parse"):
+            parsed = cut(runner.parse_files(todo))
+            self.tracker.counts["parse"] = parsed.count()
+            for r in parsed.where("error <> ''").select("path", "error").limit(changefeed.MOST_ERRORS).collect():
+                self.tracker.error("parse", f"{r.path}: {r.error}")
+            code = runner.merge_methods(runner.nodes_of(parsed, repo_slug))
+            new = schema.conform(changed, schema.NODES).unionByName(schema.conform(code, schema.NODES)).unionByName(schema.conform(files.go_mod_nodes(todo, repo_slug), schema.NODES))
+            new = cut(store.keep_generated(new, old).dropDuplicates(["repo_slug", "node_id"]))
+        with self._running("link"):
+            touched = changed.select("file_path")
+            before = cut(old.join(touched, "file_path", "left_semi").select("node_id", "repo_slug"))  # what stood in the parsed files
+            vanished = before.join(new.select("node_id"), "node_id", "left_anti").select("repo_slug", "node_id")
+            drop = cut(store.stale_nodes(old, on_disk).select("repo_slug", "node_id").unionByName(vanished).distinct())
+            columns = ["node_id", "label", "name", "qualified", "file_path", "methods"]
+            kept = old.join(drop, ["repo_slug", "node_id"], "left_anti").join(new.select("node_id"), "node_id", "left_anti")
+            symbols = cut(kept.select(*columns).unionByName(new.select(*columns)))
+            made_anew = before.select("node_id").union(new.select("node_id")).union(drop.select("node_id")).distinct().withColumnRenamed("node_id", "from_id")
+            others = old_edges.where(~F.col("label").isin(*DERIVED)).join(made_anew, "from_id", "left_anti")
+            dangling = others.join(drop.select(F.col("node_id").alias("to_id"), F.lit(True).alias("__gone")), "to_id", "left")
+            again = F.coalesce(F.col("__gone"), F.lit(False)) | ~F.coalesce(F.col("resolved"), F.lit(True))
+            dangling = cut(dangling.withColumn("__again", again).drop("__gone"))
+            stay = schema.conform(dangling.where(~F.col("__again")), schema.EDGES)
+            raw_label = F.when(F.col("label").isin(*CALL_LABELS), "calls").otherwise(F.col("label"))
+            raw = dangling.where(F.col("__again") & F.col("target").isNotNull()).withColumns({"label": raw_label, "to_id": F.col("target")}).drop("__again", "resolved")
+            fresh = runner.edges_of(parsed, repo_slug)
+            linked = link.link_all(fresh.unionByName(raw, allowMissingColumns=True), symbols).withColumn("repo_slug", F.lit(repo_slug))
+            linked = cut(schema.conform(linked, schema.EDGES))
+        with self._running("summarise", bool(self.summarise_fn) and not fast) as wanted:
+            if wanted:
+                new = cut(self._summarised(new))
+        with self._running("embed", bool(self.embed_fn) and not fast) as wanted:
+            if wanted:
+                new = cut(self._embedded(new))
+        with self._running("store"):
+            removed = cut(self.store.nodes.join(drop, ["repo_slug", "node_id"], "left_semi"))
+            if not drop.isEmpty():
+                self.store.delete(drop, edges=False)
+            self.store.put_nodes(new)
+            self.store.replace_edges(repo_slug, stay.unionByName(linked))
+            row = self.spark.createDataFrame([(repo_slug, root, repo["remote_url"], repo["default_branch"], repo["last_commit"])], "slug string, path string, remote_url string, default_branch string, last_commit string")
+            self.store.put_repo(row.withColumn("last_indexed_at", F.current_timestamp()))
+            self.tracker.counts["store"] = new.count()
+        if self.on_delta:
+            self.on_delta(changefeed.delta_rows(removed, linked.where("false"), "delete").unionByName(changefeed.delta_rows(new, linked)))
+        with self._running("reembed", bool(self.embed_fn) and not fast) as wanted:
+            if wanted:
+                self.reembed(repo_slug, new, linked)
         return link.link_stats(linked)
 
-    def _embedded(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    def _summarised(self, nodes: DataFrame, force: bool = False) -> DataFrame:
+        said = search.summarise_missing(nodes, self.summarise_fn, force=force).select("node_id", F.col("summary").alias("__summary"), F.col("concepts").alias("__concepts"))
+        made = {"summary": F.coalesce("__summary", "summary"), "concepts": F.coalesce("__concepts", "concepts")}
+        return nodes.join(said, "node_id", "left").withColumns(made).select(*nodes.columns)
+
+    def _embedded(self, nodes: DataFrame, force: bool = False) -> DataFrame:
         text = search.context_text(search.embed_budget(2000), F.col("label"), F.col("qualified"), F.col("summary"), F.col("docstring"), F.col("concepts"), F.col("signature"), F.col("body"))
-        made = search.embed_missing(nodes, text, self.embed_fn).withColumnRenamed("embedding", "__new")
+        made = search.embed_missing(nodes, text, self.embed_fn, force=force).withColumnRenamed("embedding", "__new")
         return nodes.join(made, "node_id", "left").withColumn("embedding", F.coalesce("__new", "embedding")).drop("__new").select(*nodes.columns)
 
+    def reembed(self, repo_slug: str, nodes: DataFrame, edges: DataFrame, force: bool = False) -> int:
+        """Vectors for changed nodes and both ends of changed edges that have none, or for all of them with ``force``; how many."""
+        ids = search.to_reembed(nodes, edges)
+        todo = self.store.node_table.read(repo_slug).join(ids, "node_id", "left_semi")
+        todo = cut(todo if force else todo.where("embedding is null"))
+        n = todo.count()
+        if n:
+            self.store.put_nodes(self._embedded(todo, force))
+        return n
+
+    def summarise(self, repo_slug: str, force: bool = False) -> int:
+        """Summaries and concepts of stored nodes that need them (or all, with ``force``); how many nodes have got one."""
+        nodes = self.store.node_table.read(repo_slug)
+        done = cut(self._summarised(nodes, force).join(nodes.select("node_id", F.col("summary").alias("__old")), "node_id").where(~F.col("summary").eqNullSafe(F.col("__old"))).drop("__old"))
+        n = done.count()
+        if n:
+            self.store.put_nodes(done)
+        return n
+
     def index_history(self, root: str, repo_slug: str, first: str | None = None) -> DataFrame:
-        """(key, hash, ts, change) of the files that each commit of a range touched."""
-        commits = gitlog.list_commits(self.spark, root, first).collect()
-        rows = None
-        for c in commits:  # git is asked commit by commit; a range has as many rows as it has changed files
-            part = gitlog.diff_commit(self.spark, root, c["hash"]).select(F.col("path").alias("key"), F.lit(c["hash"]).alias("hash"), F.lit(c["ts"]).alias("ts"), F.sha2("patch", 256).alias("content_hash"), "status")
-            rows = part if rows is None else rows.unionByName(part)
-        return analyze.index_commits(rows)
+        """(key, hash, ts, change) of the nodes that each commit of a range added or modified.
+
+        Every version of a touched file is parsed; stored nodes get their introduced and last modified commits, stored
+        edges the commit that first shows them.
+        """
+        versions = gitlog.file_versions(self.spark, root, first)
+        rows = versions.where("content is not null").withColumn("language", paths.language_of(F.col("path"))).where("language is not null")
+        parsed = cut(runner.parse_files(rows, carry=("hash", "ts", "status")))
+        nodes = parsed.select("hash", "ts", "status", F.explode("nodes").alias("n"))
+        seen = nodes.select(F.col("n.node_id").alias("key"), "hash", "ts", F.sha2(F.coalesce("n.body", F.lit("")), 256).alias("content_hash"), "status").dropDuplicates(["key", "hash"])
+        changes = cut(analyze.index_commits(seen))
+        stored, of = self.store.node_table.read(repo_slug), changes.select(F.col("key").alias("node_id"), "hash", "ts")
+        self.store.put_nodes(analyze.temporal_upsert(stored.join(of, "node_id", "left_semi"), of))
+        edges = parsed.select("hash", "ts", F.explode("edges").alias("e")).groupBy(F.col("e.from_id").alias("from_id"), F.col("e.to_id").alias("target")).agg(F.min(F.struct("ts", "hash")).alias("first"))
+        every = self.store.edge_table.read(repo_slug).join(edges, ["from_id", "target"], "left")
+        dated = every.withColumns({"introduced_commit": F.coalesce("introduced_commit", "first.hash"), "introduced_at": F.coalesce("introduced_at", "first.ts")})
+        self.store.replace_edges(repo_slug, schema.conform(dated, schema.EDGES))
+        return changes
+
+    # --- sync -------------------------------------------------------------------------------------------------------
+
+    def push(self, repo_slug: str, path: str, scope: list[str], secret: str | None = None, remote_manifest: dict | None = None) -> dict | None:
+        """Write a repository's bundle unless the other side has it; the manifest, or None."""
+        return sync.push(self.nodes(repo_slug), self.edges(repo_slug), repo_slug, path, scope, secret, remote_manifest)
+
+    def pull(self, repo_slug: str, path: str, scope: list[str], secret: str | None = None) -> dict[str, int] | None:
+        """Take a verified bundle in; how many nodes were inserted, updated and so on, or None where nothing differs."""
+        taken = sync.pull(self.nodes(repo_slug), self.edges(repo_slug), repo_slug, path, scope, secret)
+        if taken is None:
+            return None
+        nodes, edges, _ = taken
+        nodes, edges = cut(nodes), cut(edges)
+        self.store.put_nodes(nodes.where("action in ('inserted', 'updated')"))
+        self.store.replace_edges(repo_slug, edges)
+        return {r.action: r["count"] for r in nodes.groupBy("action").count().collect()}
 
     # --- questions --------------------------------------------------------------------------------------------------
 
     def nodes(self, repo_slug: str | None = None) -> DataFrame:
-        return store.scan_nodes(self.store.nodes, repo_slug)
+        return self.store.node_table.read(repo_slug)
 
     def edges(self, repo_slug: str | None = None, labels: list[str] | None = None) -> DataFrame:
-        return store.scan_edges(self.store.edges, labels, repo_slug)
+        return self.store.edge_table.read(repo_slug, labels)
 
     def _seed(self, symbol: str, repo_slug: str | None = None) -> DataFrame:
         """(seed_id, node_id) of a symbol; an ambiguous one is an error that names the candidates."""
@@ -110,6 +250,15 @@ class Engine:
     def field_flow(self, symbol: str, field_path: str | None = None, show_mutations: bool = False, max_depth: int = 10, repo_slug: str | None = None) -> DataFrame:
         return analyze.field_flow_chains(self._seed(symbol, repo_slug), self.edges(repo_slug), field_path, max_depth, show_mutations)
 
+    def field_flow_hops(self, symbol: str, field_path: str | None = None, max_depth: int = 10, repo_slug: str | None = None) -> DataFrame:
+        return analyze.field_flow_hops(self._seed(symbol, repo_slug), self.edges(repo_slug), field_path, max_depth)
+
+    def data_flow_context(self, symbol: str, repo_slug: str | None = None) -> DataFrame:
+        return analyze.data_flow_context(self.edges(repo_slug), self.nodes(repo_slug), self._seed(symbol, repo_slug))
+
+    def openapi(self, title: str = "api", version: str = "1.0.0", repo_slug: str | None = None) -> DataFrame:
+        return analyze.openapi(self.api_surface(repo_slug), title, version)
+
     def tests_for(self, symbol: str, direct: bool = False, repo_slug: str | None = None) -> DataFrame:
         return analyze.tests_for(self._seed(symbol, repo_slug), self.edges(repo_slug), self.nodes(repo_slug), direct)
 

@@ -55,6 +55,15 @@ def ellipsis(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
 
 
+def ellipsis_bytes(text: Column, most: int) -> Column:
+    """The first ``most`` bytes of UTF-8, whole characters only, and three dots, where there are more."""
+    raw = F.encode(text, "UTF-8")
+    # after the cut at most three bytes of a divided character stand at the end
+    cut = [F.substring(raw, 1, most - k) for k in range(4)]
+    whole = F.coalesce(*(F.try_validate_utf8(c.cast("string")) for c in cut))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit("...")))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the bytes."""
     return F.floor(F.octet_length(text) / 4).cast("int")

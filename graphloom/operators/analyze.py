@@ -110,6 +110,7 @@ def resolve_interface(ifaces: DataFrame, edges: DataFrame, nodes: DataFrame, bin
 
 # --- API surface ------------------------------------------------------------------------------------------------
 
+#: fixed values: words of authentication middleware
 AUTH_WORDS = ("auth", "jwt", "session", "guard", "token", "bearer", "oauth", "passport")
 #: fixed values: patterns of personal data and their kinds
 PII = {
@@ -161,7 +162,10 @@ def api_surface(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def openapi(surface: DataFrame, title: str = "api", version: str = "1.0.0") -> DataFrame:
-    """One row with the OpenAPI 3.0 document of an API surface, as JSON; of equal path and method the last handler counts."""
+    """One row with the OpenAPI 3.0 document of an API surface, as JSON; of equal path and method the last handler counts.
+
+    A document is one text: a surface is bounded by what a service serves, some ten thousand endpoints at most.
+    """
     operation = F.struct(
         F.col("handler").alias("operationId"), F.col("file").alias("x-file"), F.col("line").alias("x-line"),
         F.transform("auth_chain", lambda a: F.create_map(a, F.array().cast("array<string>"))).alias("security"),
@@ -177,6 +181,7 @@ def openapi(surface: DataFrame, title: str = "api", version: str = "1.0.0") -> D
 
 # --- security -------------------------------------------------------------------------------------------------------
 
+#: fixed values: severities in order, and concepts of endpoints
 SEVERITIES = ("low", "medium", "high", "critical")
 ENDPOINT_CONCEPTS = ("http-handler", "api-handler", "endpoint")
 
@@ -244,20 +249,23 @@ def taint_findings(nodes: DataFrame, edges: DataFrame, rules: tuple[TaintRule, .
 # --- field flow -------------------------------------------------------------------------------------------------
 
 
-def field_flow_chains(seeds: DataFrame, edges: DataFrame, field_path: str | None = None, max_depth: int = 10, only_mutated: bool = False) -> DataFrame:
-    """One chain for each field: (field_path, hops, n_mutations, taint_node, taint_depth).
+def field_flow_hops(seeds: DataFrame, edges: DataFrame, field_path: str | None = None, max_depth: int = 10) -> DataFrame:
+    """Hops of every field's chain, a row each: (field_path, depth, from_id, to_id, label, mutation_type, mutates).
 
-    Walks data_flow, reads and writes; an edge without a field is of ``_default``, which any filter lets pass.  The
-    taint point is the first mutating hop.
+    Walks data_flow, reads and writes; an edge without a field is of ``_default``, which any filter lets pass.
     """
     rows = traverse.field_flow_edges(seeds, edges, field_path, max_depth, ("data_flow", "reads", "writes"))
-    named = rows.withColumn("field_path", F.coalesce("field_path", F.lit("_default")))
-    mutates = F.col("mutation_type").isNotNull() & (F.col("mutation_type") != "none")
-    hop = F.struct("depth", "from_id", "to_id", "label", "mutation_type")
-    out = named.groupBy("field_path").agg(
-        F.sort_array(F.collect_list(hop)).alias("hops"), F.count_if(mutates).alias("n_mutations"),
-        F.min(F.when(mutates, F.struct("depth", "to_id"))).alias("taint"),
-    ).select("field_path", "hops", "n_mutations", F.col("taint.to_id").alias("taint_node"), F.col("taint.depth").alias("taint_depth"))
+    mutates = F.coalesce(F.col("mutation_type") != "none", F.lit(False))
+    return rows.select(F.coalesce("field_path", F.lit("_default")).alias("field_path"), "depth", "from_id", "to_id", "label", "mutation_type", mutates.alias("mutates"))
+
+
+def field_flow_chains(seeds: DataFrame, edges: DataFrame, field_path: str | None = None, max_depth: int = 10, only_mutated: bool = False) -> DataFrame:
+    """One row for each field: (field_path, n_hops, n_mutations, depth, taint_node, taint_depth); its hops are rows of
+    ``field_flow_hops``.  The taint point is the first mutating hop."""
+    hops = field_flow_hops(seeds, edges, field_path, max_depth)
+    out = hops.groupBy("field_path").agg(
+        F.count("*").alias("n_hops"), F.count_if("mutates").alias("n_mutations"), F.max("depth").alias("depth"), F.min(F.when(F.col("mutates"), F.struct("depth", "to_id"))).alias("taint"),
+    ).select("field_path", "n_hops", "n_mutations", "depth", F.col("taint.to_id").alias("taint_node"), F.col("taint.depth").alias("taint_depth"))
     return out.where("n_mutations > 0") if only_mutated else out
 
 

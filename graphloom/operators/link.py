@@ -36,6 +36,11 @@ def suffix_symbols(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _spread(key: Column, *by: str) -> Column:
+    """A join key whose nulls are many values that match nothing: a left join deals them to all tasks."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*by), F.lit(4096)).cast("string")))
+
+
 def resolve_targets(edges: DataFrame, nodes: DataFrame, target: str = "to_id", caller: str = "from_id") -> DataFrame:
     """``edges`` with ``resolved_id`` and ``strategy``: exact name, then same package (targets without dot), then suffix.
 
@@ -46,7 +51,7 @@ def resolve_targets(edges: DataFrame, nodes: DataFrame, target: str = "to_id", c
     callers = nodes.select(F.col("node_id").alias("__caller"), ids.package_of(F.col("qualified")).alias("__package"))
     raw = F.col(target)
     keyed = edges.join(callers, F.col(caller) == F.col("__caller"), "left").withColumns({
-        "__same": F.when(~raw.contains("."), F.concat("__package", F.lit("."), raw)), "__suffix": ids.suffix_of(raw),
+        "__same": _spread(F.when(~raw.contains("."), F.concat("__package", F.lit("."), raw)), target, caller), "__suffix": ids.suffix_of(raw),
     })
     found = (
         keyed.join(exact.withColumnRenamed("symbol", target), target, "left")
@@ -123,7 +128,7 @@ class FieldAccessLinker:
         operand = F.substring_index("to_id", ".", 1)
         other = F.when(operand != "", F.concat(ids.package_of(F.col("__q")), F.lit("."), ids.capitalised(operand)))
         found = (
-            chosen.join(callers, F.col("from_id") == F.col("__id"), "left").withColumns({"__own": own, "__other": other})
+            chosen.join(callers, F.col("from_id") == F.col("__id"), "left").withColumns({"__own": _spread(own, "from_id", "to_id"), "__other": _spread(other, "from_id", "to_id")})
             .join(types.select(F.col("symbol").alias("__own"), F.col("exact_id").alias("__own_id")), "__own", "left")
             .join(types.select(F.col("symbol").alias("__other"), F.col("exact_id").alias("__other_id")), "__other", "left")
         )
@@ -146,7 +151,7 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
 def implements_edges(nodes: DataFrame) -> DataFrame:
     """(label, from_id, to_id): types whose methods cover an interface's, name by name with equal bare signatures.
 
-    Relational division by counting.  Embedded entries (no name) do not count; an interface without other methods
+    Relational division by counting over candidates that have the rarest method.  Embedded entries (no name) do not count; an interface without other methods
     has no implementors; an interface method without signature matches any.  A type is no implementor of itself.
     """
     methods = nodes.where(F.col("label") == "class").select("node_id", F.explode("methods").alias("m")).select(
@@ -155,7 +160,12 @@ def implements_edges(nodes: DataFrame) -> DataFrame:
     wanted = methods.where("receiver = ''").select(F.col("node_id").alias("iface"), "name", F.col("signature").alias("want")).distinct()
     needed = wanted.groupBy("iface").agg(F.count_distinct("name").alias("needed"))
     have = methods.where("receiver <> ''").select(F.col("node_id").alias("type"), "name", "signature").distinct()
-    met = have.join(wanted, "name").where((F.col("want") == "") | (F.col("want") == F.col("signature"))).where("type <> iface")
+    fits = (F.col("want") == "") | (F.col("want") == F.col("signature"))
+    # only types with the interface's rarest method are candidates; a common name like Close pairs nothing
+    held = have.groupBy("name").agg(F.count("*").alias("types"))
+    rarest = wanted.join(held, "name", "left").groupBy("iface").agg(F.min_by("name", F.struct(F.coalesce("types", F.lit(0)), "name")).alias("name"))
+    first = wanted.join(rarest, ["iface", "name"]).join(have, "name").where(fits).where("type <> iface").select("iface", "type").distinct()
+    met = first.join(wanted, "iface").join(have, ["type", "name"]).where(fits)
     full = met.groupBy("type", "iface").agg(F.count_distinct("name").alias("n")).join(needed, "iface").where("n = needed")
     return full.select(F.lit("implements").alias("label"), F.col("type").alias("from_id"), F.col("iface").alias("to_id"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom import schema
 from graphloom.functions import text
+from graphloom.operators.tables import SegmentTable
+from graphloom.storage import cut
 
 
 def within_budget(entries: DataFrame, budget: int, group: list[str], order: list) -> DataFrame:
@@ -25,12 +28,14 @@ def token_totals(memory: DataFrame) -> DataFrame:
 
 
 def truncated_turn(content: Column, most: int = 200) -> Column:
-    """A turn as it is kept without a compressor."""
-    return text.ellipsis(content, most)
+    """A turn as it is kept without a compressor: at most ``most`` bytes of UTF-8 and three dots; a character that the cut
+    would divide goes."""
+    return text.ellipsis_bytes(content, most)
 
 
 #: fixed values: the highest confidence of each kind of source, first match counts
 RELIABILITY = ((("deep_dive", "lookup_node"), 0.95), (("trace", "neighborhood"), 0.90), (("search",), 0.70), (("security", "blast"), 0.85))
+#: fixed values: what denies
 NEGATIONS = ("no ", "not ", "never ", "none ", "without ", "missing ", "lacks ")
 
 
@@ -57,7 +62,8 @@ def similar_pairs(rows: DataFrame, least: float, group: list[str], strict: bool
 
     Pairs are found through shared words, rarest first: two sets whose similarity is above ``least`` share one of
     the first (1 - least) part of their words in any fixed order, so only those are joined on; the exact
-    similarity follows.
+    similarity follows.  The pairs are the result: entries that are all alike give all their pairs, so a group is one
+    session's or one day's entries, not a table.
     """
     sets = rows.select(*group, "entry", text.word_set(F.col("content")).alias("w")).where(F.size("w") > 0)
     sized = sets.withColumn("n", F.size("w"))
@@ -142,8 +148,9 @@ def persistable(evidence: DataFrame, hypotheses: DataFrame, strategy: DataFrame)
 
 def is_redundant(candidates: DataFrame, evidence: DataFrame, least: float = 0.7) -> DataFrame:
     """Candidates (entry, content) that are like some evidence (content), each once."""
+    known = evidence.select("content").distinct()  # equal texts are one; each is named by itself
     every = candidates.select(F.lit(0).alias("g"), F.concat(F.lit("c:"), F.col("entry").cast("string")).alias("entry"), "content").unionByName(
-        evidence.select(F.lit(0).alias("g"), F.concat(F.lit("e:"), F.xxhash64("content").cast("string")).alias("entry"), "content")
+        known.select(F.lit(0).alias("g"), F.concat(F.lit("e:"), F.sha2("content", 256)).alias("entry"), "content")
     )
     pairs = similar_pairs(every, least, ["g"])
     hit = pairs.where(F.col("a").startswith("c:") & F.col("b").startswith("e:")).select(F.expr("substring(a, 3)").alias("entry")).distinct()
@@ -153,3 +160,71 @@ def is_redundant(candidates: DataFrame, evidence: DataFrame, least: float = 0.7)
 def valid_messages(messages: DataFrame) -> DataFrame:
     """Messages of a known role with content, in the order of their session."""
     return messages.where(F.col("role").isin("user", "assistant", "system") & (F.trim("content") != "")).orderBy("session_id", "created_at")
+
+
+class MemoryStore:
+    """Sessions, their messages and memories of three tiers, below a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        table = lambda name, ddl, by: SegmentTable(spark, f"{path}/{name}", ddl, by)
+        self.spark = spark
+        self.session_table = table("sessions", schema.SESSIONS, ("repo_slug", "repo_slug"))
+        self.message_table = table("messages", schema.MESSAGES, ("role", "role"))
+        self.memory_table = table("memories", schema.MEMORY, ("repo_slug", "tier"))
+
+    def _put(self, table: SegmentTable, rows: DataFrame, key: str) -> None:
+        from graphloom.operators.store import upsert
+
+        seen, new = table.version()[0], cut(schema.conform(rows, table.ddl))
+        pairs = table.pairs_of(new)
+        if pairs:
+            table.replace(upsert(table.of_pairs(pairs), new, [key]), pairs, seen)
+
+    def put_sessions(self, sessions: DataFrame) -> None:
+        self._put(self.session_table, sessions, "session_id")
+
+    def add_messages(self, messages: DataFrame) -> None:
+        """Appended; a message of another role than user, assistant or system is an error."""
+        self.message_table.append(cut(schema.require(schema.conform(messages, schema.MESSAGES), "role")))
+
+    def remember(self, memories: DataFrame) -> None:
+        """Replaced by memory_id; a missing token count is a quarter of the bytes."""
+        rows = schema.require(schema.conform(memories, schema.MEMORY), "tier")
+        self._put(self.memory_table, rows.withColumn("token_count", F.coalesce("token_count", text.token_estimate(F.coalesce("content", F.lit(""))))), "memory_id")
+
+    def sessions(self, repo_slug: str | None = None) -> DataFrame:
+        """Newest first."""
+        return self.session_table.read(repo_slug).orderBy(F.desc("created_at"), "session_id")
+
+    def messages(self, session_id: str) -> DataFrame:
+        return valid_messages(self.message_table.read().where(F.col("session_id") == session_id))
+
+    def memories(self, session_id: str) -> DataFrame:
+        """A session's memories, oldest first."""
+        return self.memory_table.read(labels=["session"]).where(F.col("session_id") == session_id).orderBy("created_at", "memory_id")
+
+    def recall(self, query: list[float], k: int = 5, tier: str = "persistent", repo_slug: str | None = None) -> DataFrame:
+        """(memory_id, content, score) of the ``k`` memories of a tier most like a vector, best first."""
+        return recalled(self.memory_table.read(repo_slug, [tier]), query, k)
+
+    def prefix(self, session_id: str, query: list[float], budget: int, k: int = 5, repo_slug: str | None = None) -> DataFrame:
+        """(tier, memory_id, content): a session's memories within a budget of tokens, then the ``k`` best persistent ones."""
+        session = session_context(self.memories(session_id), budget).select("tier", "memory_id", "content")
+        return session.unionByName(self.recall(query, k, repo_slug=repo_slug).select(F.lit("persistent").alias("tier"), "memory_id", "content"))
+
+    def delete_session(self, session_id: str) -> None:
+        """The session, its messages and its memories."""
+        for table in (self.session_table, self.message_table, self.memory_table):
+            here = F.coalesce(F.col("session_id") == session_id, F.lit(False))
+            seen = table.version()[0]
+            pairs = table.pairs_of(table.read().where(here))
+            if pairs:
+                table.replace(cut(table.of_pairs(pairs).where(~here)), pairs, seen)
+
+
+def recalled(memories: DataFrame, query: list[float], k: int = 5) -> DataFrame:
+    """(memory_id, content, score) of the ``k`` memories with a vector that are most like ``query``, ties by id."""
+    from graphloom.operators.search import vector_search
+
+    best = vector_search(memories, query, k, id_column="memory_id")
+    return best.join(memories.select("memory_id", "content"), "memory_id").select("memory_id", "content", "score").orderBy(F.desc("score"), "memory_id")

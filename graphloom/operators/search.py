@@ -205,7 +205,7 @@ def hybrid_query(*args, **kwargs) -> DataFrame:
 
 # --- texts for embedding ------------------------------------------------------------------------------------------
 
-#: characters for each section; the body takes what is left
+#: fixed values: characters for each section; the body takes what is left
 SECTIONS = {"prefix": 200, "summary": 500, "concepts": 100, "signature": 300, "neighbours": 800}
 
 
@@ -246,6 +246,24 @@ def embed_missing(nodes: DataFrame, content: Column, embed_fn: Callable[[list[st
     return texts.select("node_id", "hash").join(done, "hash").select("node_id", "embedding")
 
 
+def summarise_missing(nodes: DataFrame, summarise_fn: Callable[[list[str]], list[tuple[str, list[str]]]], batch: int = 20, force: bool = False) -> DataFrame:
+    """(node_id, summary, concepts) for the nodes that need a summary (all functions and classes with a body, with
+    ``force``): each distinct body is described once, in batches, and what was said is given to every node that has it."""
+    need = needs_summary(F.col("label"), F.col("summary"), F.col("docstring"), F.col("body"), F.col("name"), F.col("start_line"), F.col("end_line"))
+    todo = nodes.where(F.col("label").isin("function", "class") & (F.coalesce(F.trim("body"), F.lit("")) != "") if force else need)
+    texts = todo.select("node_id", F.col("body").alias("text"), F.sha2("body", 256).alias("hash"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                said = summarise_fn(part["text"].tolist())
+                yield pd.DataFrame({"hash": part["hash"].astype(object).to_numpy(), "summary": [x for x, _ in said], "concepts": [list(c) for _, c in said]})
+
+    done = texts.select("hash", "text").dropDuplicates(["hash"]).mapInPandas(run, "hash string, summary string, concepts array<string>")
+    return texts.select("node_id", "hash").join(done, "hash").select("node_id", "summary", "concepts")
+
+
 def to_reembed(stored_nodes: DataFrame, stored_edges: DataFrame) -> DataFrame:
     """Ids whose text may have changed: stored nodes and both ends of stored edges."""
     return stored_nodes.select("node_id").union(stored_edges.select("from_id")).union(stored_edges.select("to_id")).distinct()
@@ -264,17 +282,22 @@ def idf(n: int, df: int) -> float:
 # --- approximate search -------------------------------------------------------------------------------------------
 
 
-def approximate_search(nodes: DataFrame, query: list[float], k: int = 10, id_column: str = "node_id", column: str = "embedding", tables: int = 8, bucket: float = 1.5, least: int = 3, seed: int = 7) -> DataFrame:
-    """Up to ``k`` nodes like ``vector_search`` gives, from random-projection buckets of the normalised vectors.
+def bucket_index(nodes: DataFrame, dim: int, id_column: str = "node_id", column: str = "embedding", tables: int = 8, bucket: float = 1.5, seed: int = 7) -> DataFrame:
+    """(id, embedding, b0, b1, ...): vectors of ``dim`` components with the number of their slab, of width ``bucket``, across
+    each of ``tables`` random directions.  Stored, it is the index that ``approximate_search`` reads."""
+    rows = nodes.where((F.size(column) == dim) & (vectors.norm(F.col(column)) > 0))
+    return rows.select(id_column, F.col(column).alias("embedding"), *(b.cast("int").alias(f"b{k}") for k, b in enumerate(bucket_columns(F.col(column), dim, tables, bucket, seed))))
+
+
+def approximate_search(index: DataFrame, query: list[float], k: int = 10, id_column: str = "node_id", tables: int = 8, bucket: float = 1.5, least: int = 3, seed: int = 7) -> DataFrame:
+    """Up to ``k`` nodes like ``vector_search`` gives, from a ``bucket_index`` made with the same parameters.
 
-    A bucket is a slab of width ``bucket`` across a random direction.  Every row is compared with the query's slab in each
-    of ``tables`` directions and scored only if it shares ``least`` of them or more, so a few of the best may be missing.
-    The exact scan is the contract; stored with the rows, the bucket numbers make this a filter that reaches the scan.
+    Only rows that share ``least`` slabs or more with the query are scored, so a few of the best may be missing: the
+    numbers are compared at the scan, where a row's vector is read only if they agree.  The exact scan is the contract.
     """
     mine = bucket_numbers(query, tables, bucket, seed)
-    rows = nodes.where((F.size(column) == len(query)) & (vectors.norm(F.col(column)) > 0))
-    shared = sum((b == F.lit(m)).cast("int") for b, m in zip(bucket_columns(F.col(column), len(query), tables, bucket, seed), mine))
-    return vector_scores(rows.where(shared >= least), query, id_column, column).orderBy(F.desc("score"), id_column).limit(k)
+    shared = sum((F.col(f"b{t}") == F.lit(m)).cast("int") for t, m in enumerate(mine))
+    return vector_scores(index.where(shared >= least), query, id_column).orderBy(F.desc("score"), id_column).limit(k)
 
 
 def _directions(dim: int, tables: int, seed: int) -> list[list[float]]:

@@ -1,18 +1,18 @@
 """The graph store: scans, lookups, upserts, cascading deletes and the change log, on Parquet.
 
-Frames are transformed by pure functions; ``GraphStore`` keeps them in a folder, partitioned by repository and
-label, and rewrites only the partitions that a change touches.
+Frames are transformed by pure functions; ``GraphStore`` keeps them in ``SegmentTable``s by repository and label:
+edges are appended, other changes rewrite only the (repository, label) pairs that they touch.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.operators.tables import SegmentTable
+from graphloom.storage import cut
 
 
 def scan_nodes(nodes: DataFrame, repo_slug: str | None = None, labels: list[str] | None = None, file_path: str | None = None,
@@ -63,9 +63,10 @@ def resolve_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows of both by key, the new one where both have it; of several new rows the last by ``order``."""
+    """Rows of both by key, the new one where both have it; of several new rows the last by ``order``, ties by content."""
     ranked = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)), allowMissingColumns=True)
-    by = [F.col("__batch").desc(), *([F.col(order).desc()] if order else [])]
+    content = F.xxhash64(*(c for c, t in ranked.dtypes if c != "__batch" and "map<" not in t))
+    by = [F.col("__batch").desc(), *([F.col(order).desc()] if order else []), content]
     return ranked.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("__n = 1").drop("__n", "__batch")
 
 
@@ -94,11 +95,18 @@ def changed_files(files: DataFrame, stored: DataFrame) -> DataFrame:
     return files.join(known, ["repo_slug", "file_path"], "left").where(~F.col("content_hash").eqNullSafe(F.col("__old"))).drop("__old")
 
 
-def keep_generated(parsed: DataFrame, stored: DataFrame, columns: tuple[str, ...] = ("summary", "concepts", "embedding")) -> DataFrame:
-    """Freshly parsed nodes with the stored values of generated columns where they have none."""
-    old = stored.select("repo_slug", "node_id", *(F.col(c).alias(f"__{c}") for c in columns))
+#: what a generated value was made from: where it differs the value is out of date
+MADE_FROM = ("body", "signature", "docstring")
+
+
+def keep_generated(parsed: DataFrame, stored: DataFrame, columns: tuple[str, ...] = ("summary", "concepts", "embedding"), made_from: tuple[str, ...] = MADE_FROM) -> DataFrame:
+    """Freshly parsed nodes with the stored values of generated columns where they have none and are otherwise the same."""
+    old = stored.select("repo_slug", "node_id", *(F.col(c).alias(f"__{c}") for c in (*columns, *made_from)))
     joined = parsed.join(old, ["repo_slug", "node_id"], "left")
-    return joined.select(*(F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in parsed.columns))
+    same = F.lit(True)
+    for c in made_from:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return joined.select(*(F.coalesce(F.col(c), F.when(same, F.col(f"__{c}"))).alias(c) if c in columns else F.col(c) for c in parsed.columns))
 
 
 def changes_since(log: DataFrame, since, limit: int = 1000, order: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -132,55 +140,68 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, ddl: str) -> DataFrame:
-        """The table's current version: the newest folder that its pointer names."""
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], ddl)
-        return schema.conform(self.spark.read.schema(ddl).parquet(f"{self.path}/{name}/{versions[-1]}"), ddl)
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _versions(self, name: str) -> list[str]:
-        fs, path = self._fs()
-        folder = path(f"{self.path}/{name}")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(n for n in names if fs.exists(path(f"{self.path}/{name}/{n}/_SUCCESS")))
-
-    def _write(self, name: str, df: DataFrame, by: list[str]) -> None:
-        """A new version, complete once its success marker is there; the one before last is removed."""
-        versions = self._versions(name)
-        number = int(versions[-1].split("-")[0]) + 1 if versions else 0
-        df.repartition(*by).write.partitionBy(*by).parquet(f"{self.path}/{name}/{number:08d}-{uuid.uuid4().hex[:8]}")
-        fs, path = self._fs()
-        for old in versions[:-1]:
-            fs.delete(path(f"{self.path}/{name}/{old}"), True)
+        table = lambda name, ddl, by=("repo_slug", "label"): SegmentTable(spark, f"{self.path}/{name}", ddl, by)
+        self.node_table, self.edge_table = table("nodes", schema.NODES), table("edges", schema.EDGES)
+        self.repo_table = table("repos", schema.REPOS, ("slug", "slug"))
 
     @property
     def nodes(self) -> DataFrame:
-        return self._read("nodes", schema.NODES)
+        return self.node_table.read()
 
     @property
     def edges(self) -> DataFrame:
-        return self._read("edges", schema.EDGES)
+        return self.edge_table.read()
 
     @property
     def repos(self) -> DataFrame:
-        return self._read("repos", schema.REPOS + ", part string").drop("part")
+        return self.repo_table.read()
+
+    # --- the change log -------------------------------------------------------------------------------------------
+
+    def _logged(self, op: str, kind: str, rows: DataFrame) -> None:
+        """One entry for each row, appended; ``streaming.changefeed.read_changes`` follows the folder."""
+        id_, other = ("node_id", F.lit(None).cast("string")) if kind == "node" else ("from_id", F.col("to_id"))
+        entries = rows.select(F.current_timestamp().alias("ts"), F.lit(kind).alias("kind"), F.lit(op).alias("op"), "repo_slug", "label", F.col(id_).alias("id"), other.alias("other"))
+        entries.write.mode("append").parquet(f"{self.path}/log")
+
+    def log(self) -> DataFrame:
+        """The change log (ts, kind, op, repo_slug, label, id, other)."""
+        from graphloom.storage import file_system
+
+        fs, at = file_system(self.spark, f"{self.path}/log")
+        return self.spark.read.schema(schema.LOG).parquet(f"{self.path}/log") if fs.exists(at) else self.spark.createDataFrame([], schema.LOG)
+
+    def changes(self, since, limit: int = 1000) -> DataFrame:
+        return changes_since(self.log(), since, limit, ("ts", "kind", "id"))
+
+    # --- writing --------------------------------------------------------------------------------------------------
 
     def put_nodes(self, nodes: DataFrame) -> None:
-        """Full replacement by (repo_slug, node_id)."""
-        self._write("nodes", upsert(self.nodes, schema.conform(nodes, schema.NODES), ["repo_slug", "node_id"]), ["repo_slug", "label"])
+        """Full replacement by (repo_slug, node_id); only the pairs of repository and label that come are rewritten."""
+        new = cut(schema.conform(nodes, schema.NODES))
+        pairs = self.node_table.pairs_of(new)
+        if pairs:
+            seen = self.node_table.version()[0]
+            self.node_table.replace(upsert(self.node_table.of_pairs(pairs), new, ["repo_slug", "node_id"]), pairs, seen)
+            self._logged("put", "node", new)
 
     def put_edges(self, edges: DataFrame) -> None:
         """Appended: equal edges add up."""
-        self._write("edges", self.edges.unionByName(schema.conform(edges, schema.EDGES)), ["repo_slug", "label"])
+        new = cut(schema.conform(edges, schema.EDGES))
+        if not new.isEmpty():
+            self.edge_table.append(new)
+            self._logged("put", "edge", new)
+
+    def replace_edges(self, repo_slug: str, edges: DataFrame) -> None:
+        """All edges of a repository anew; entries are logged for those that come or go."""
+        seen = self.edge_table.version()[0]
+        new, old = cut(schema.conform(edges, schema.EDGES)), self.edge_table.read(repo_slug)
+        ends = ["repo_slug", "label", "from_id", "to_id"]
+        come, gone = cut(new.join(old.select(*ends).distinct(), ends, "left_anti")), cut(old.join(new.select(*ends).distinct(), ends, "left_anti"))
+        pairs = [(s["repo"], s["label"]) for s in self.edge_table.version()[1] if s["repo"] == repo_slug]
+        self.edge_table.replace(new, pairs, seen)
+        self._logged("delete", "edge", gone)
+        self._logged("put", "edge", come)
 
     def put_batch(self, nodes: DataFrame, edges: DataFrame) -> None:
         """Nodes, then edges, as their ends must be there first."""
@@ -188,8 +209,9 @@ class GraphStore:
         self.put_edges(edges)
 
     def put_repo(self, repo: DataFrame) -> None:
-        rows = upsert(self.repos, schema.conform(repo, schema.REPOS), ["slug"])
-        self._write("repos", rows.withColumn("part", F.lit("all")), ["part"])
+        new = cut(schema.conform(repo, schema.REPOS))
+        pairs = self.repo_table.pairs_of(new)
+        self.repo_table.replace(upsert(self.repo_table.of_pairs(pairs), new, ["slug"]), pairs)
 
     def list_repos(self) -> DataFrame:
         return self.repos.orderBy("slug")
@@ -197,25 +219,46 @@ class GraphStore:
     def find_repo(self, remote_url: str) -> DataFrame:
         return self.repos.where(F.col("remote_url") == remote_url)
 
-    def delete(self, gone: DataFrame) -> None:
-        """Nodes of ``gone`` (repo_slug, node_id) and all edges at them."""
-        keys = gone.select("repo_slug", "node_id").distinct()
-        nodes = self.nodes.join(keys, ["repo_slug", "node_id"], "left_anti")
-        edges = self.edges
-        for end in ("from_id", "to_id"):
-            edges = edges.join(keys.withColumnRenamed("node_id", end), ["repo_slug", end], "left_anti")
-        edges = schema.conform(edges, schema.EDGES)
-        nodes = schema.conform(nodes, schema.NODES)
-        self._write("edges", edges, ["repo_slug", "label"])
-        self._write("nodes", nodes, ["repo_slug", "label"])
+    # --- deleting -------------------------------------------------------------------------------------------------
+
+    def delete(self, gone: DataFrame, edges: bool = True) -> None:
+        """Nodes of ``gone`` (repo_slug, node_id) and, with ``edges``, all edges at them."""
+        keys, seen_edges, seen_nodes = cut(gone.select("repo_slug", "node_id").distinct()), self.edge_table.version()[0], self.node_table.version()[0]
+        if edges:
+            at_either = None
+            for end in ("from_id", "to_id"):
+                hit = self.edges.join(keys.withColumnRenamed("node_id", end), ["repo_slug", end], "left_semi")
+                at_either = hit if at_either is None else at_either.unionByName(hit)
+            at_either = cut(at_either.select("repo_slug", "label", "from_id", "to_id"))
+            pairs = self.edge_table.pairs_of(at_either)
+            if pairs:
+                rows = self.edge_table.of_pairs(pairs)
+                for end in ("from_id", "to_id"):
+                    rows = rows.join(keys.withColumnRenamed("node_id", end), ["repo_slug", end], "left_anti")
+                self.edge_table.replace(rows, pairs, seen_edges)
+                self._logged("delete", "edge", at_either.distinct())
+        hit = cut(self.nodes.join(keys, ["repo_slug", "node_id"], "left_semi").select("repo_slug", "label", "node_id"))
+        pairs = self.node_table.pairs_of(hit)
+        if pairs:
+            self.node_table.replace(self.node_table.of_pairs(pairs).join(keys, ["repo_slug", "node_id"], "left_anti"), pairs, seen_nodes)
+            self._logged("delete", "node", hit)
 
     def delete_file(self, repo_slug: str, file_path: str) -> None:
         self.delete(scan_nodes(self.nodes, repo_slug, file_path=file_path))
 
     def delete_repo(self, repo_slug: str) -> None:
-        self.delete(scan_nodes(self.nodes, repo_slug))
-        self._write("repos", self.repos.where(F.col("slug") != repo_slug).withColumn("part", F.lit("all")), ["part"])
+        """The repository's own segments go as a whole; nothing else is read."""
+        none = self.spark.createDataFrame([], schema.NODES), self.spark.createDataFrame([], schema.EDGES), self.spark.createDataFrame([], schema.REPOS)
+        for table, rows in zip((self.node_table, self.edge_table, self.repo_table), none):
+            pairs = [(s["repo"], s["label"]) for s in table.version()[1] if s["repo"] == repo_slug]
+            if pairs:
+                table.replace(rows, pairs)
 
     def delete_edges_of(self, repo_slug: str, node_id: str) -> None:
-        keep = (F.col("repo_slug") != repo_slug) | (F.col("from_id") != node_id) & (F.col("to_id") != node_id)
-        self._write("edges", self.edges.where(keep), ["repo_slug", "label"])
+        here = (F.col("from_id") == node_id) | (F.col("to_id") == node_id)
+        seen = self.edge_table.version()[0]
+        hit = cut(self.edge_table.read(repo_slug).where(here))
+        pairs = self.edge_table.pairs_of(hit)
+        if pairs:
+            self.edge_table.replace(self.edge_table.of_pairs(pairs).where(~here), pairs, seen)
+            self._logged("delete", "edge", hit)

@@ -23,17 +23,15 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *(part(c) for c in columns)), 256)
 
 
-def set_hash(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+def set_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """(hash, n): a hash of the rows whatever their order, repeats counted.
 
-    Row hashes are sorted inside ``buckets`` by their first byte and hashed; those hashes are hashed in order.  No
-    task holds more than its bucket's rows.
+    The row hashes are added up in four parts of 60 bits, and count and sums are hashed: partial sums are all that moves.
     """
     rows = df.select(row_hash(df, columns).alias("h"))
-    key = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets
-    inside = rows.groupBy(key.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    whole = inside.agg(F.sort_array(F.collect_list(F.struct("b", "h"))).alias("l"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return whole.select(F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256).alias("hash"), "n")
+    part = lambda k: F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
+    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(part(k)), F.lit(0).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)))
+    return sums.select(F.sha2(F.concat_ws(":", "n", *(F.col(f"s{k}").cast("string") for k in range(4))), 256).alias("hash"), "n")
 
 
 NODE_KEYS = ["node_id", "label", "qualified", "file_path", "content_hash"]
@@ -105,3 +103,29 @@ def delta(local: DataFrame, remote_hashes: DataFrame, keys: list[str], hash_colu
 
 def needs_pull(local_manifest: dict | None, remote_manifest: dict) -> bool:
     return local_manifest is None or local_manifest.get("hash") != remote_manifest["hash"]
+
+
+def push(nodes: DataFrame, edges: DataFrame, repo_slug: str, path: str, scope: list[str], secret: str | None = None, remote_manifest: dict | None = None) -> dict | None:
+    """Export a repository that the scope lets through, unless the other side's manifest has its hash already; the new
+    manifest, or None where nothing was to be sent."""
+    if not in_scope(repo_slug, scope):
+        raise PermissionError(f"{repo_slug} is not in scope")
+    if remote_manifest is not None and remote_manifest.get("hash") == manifest(skeleton(nodes), edges, repo_slug).first()["hash"]:
+        return None
+    return export_bundle(nodes, edges, repo_slug, path, secret)
+
+
+def pull(nodes: DataFrame, edges: DataFrame, repo_slug: str, path: str, scope: list[str], secret: str | None = None) -> tuple[DataFrame, DataFrame, dict] | None:
+    """(nodes with ``action``, edges, manifest) after a verified bundle at ``path`` is taken in, newest first; None where
+    the local manifest has the bundle's hash.  Edges of both sides stay, equal ones once."""
+    if not in_scope(repo_slug, scope):
+        raise PermissionError(f"{repo_slug} is not in scope")
+    spark = nodes.sparkSession
+    remote = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    if not needs_pull(manifest(skeleton(nodes), edges, repo_slug).first().asDict(), remote):
+        return None
+    theirs, their_edges, remote = read_bundle(spark, path, secret)
+    merged = merge_import(nodes, theirs, ["repo_slug", "node_id"])
+    keys = [c for c in EDGE_KEYS if c in edges.columns]
+    new = their_edges.join(edges.select(*keys).distinct(), keys, "left_anti")
+    return merged, edges.unionByName(new, allowMissingColumns=True), remote

@@ -145,20 +145,20 @@ def _(t):
     return traverse.traverse(_all(g.nodes(t), "supplier"), g.calls(t), ["calls"], "reverse", 3).select("node_id", "hop")
 
 
-@query("trace_multi_label", _bfs_sql("SELECT * FROM tests", "SELECT node_id FROM nodes WHERE label = 'orders'", 2) + """, by_tests AS (SELECT node_id, hop, 'tests' AS label FROM hops),
-walk2 AS (SELECT node_id, 0 AS hop FROM seeds UNION SELECT e.to_id, w.hop + 1 FROM walk2 w JOIN calls e ON e.from_id = w.node_id WHERE w.hop < 2),
+@query("trace_multi_label", _bfs_sql("SELECT * FROM tests", "SELECT node_id FROM nodes WHERE label = 'orders'", 5) + """, by_tests AS (SELECT node_id, hop, 'tests' AS label FROM hops),
+walk2 AS (SELECT node_id, 0 AS hop FROM seeds UNION SELECT e.to_id, w.hop + 1 FROM walk2 w JOIN calls e ON e.from_id = w.node_id WHERE w.hop < 5),
 by_calls AS (SELECT node_id, CAST(min(hop) AS INTEGER) AS hop, 'calls' AS label FROM walk2 GROUP BY node_id HAVING min(hop) > 0)
 SELECT * FROM by_tests UNION ALL SELECT * FROM by_calls WHERE node_id NOT IN (SELECT node_id FROM by_tests)""")
 def _(t):
     edges = g.calls(t).unionByName(g.tests(t))
-    return traverse.traverse(_all(g.nodes(t), "orders"), edges, ["tests", "calls"], "forward", 2).select("node_id", "hop", "label")
+    return traverse.traverse(_all(g.nodes(t), "orders"), edges, ["tests", "calls"], "forward").select("node_id", "hop", "label")
 
 
-@query("trace_cyclic_d3", _bfs_sql("SELECT DISTINCT from_id, to_id FROM flows", "SELECT DISTINCT from_id AS seed_id, from_id AS node_id FROM flows", 3, keep_seed=True) + "SELECT seed_id, node_id, hop FROM hops")
+@query("trace_cyclic_d4", _bfs_sql("SELECT DISTINCT from_id, to_id FROM flows", "SELECT DISTINCT from_id AS seed_id, from_id AS node_id FROM flows", 4, keep_seed=True) + "SELECT seed_id, node_id, hop FROM hops")
 def _(t):
     flows = g.flows(t)
     seeds = flows.select(F.col("from_id").alias("seed_id"), F.col("from_id").alias("node_id")).distinct()
-    return traverse.traverse(seeds, flows.select("label", "from_id", "to_id", "call_site").distinct(), ["data_flow"], "forward", 3).select("seed_id", "node_id", "hop")
+    return traverse.traverse(seeds, flows.select("label", "from_id", "to_id", "call_site").distinct(), ["data_flow"], "forward", 4).select("seed_id", "node_id", "hop")
 
 
 @query("trace_both_directions", _bfs_sql("SELECT from_id, to_id FROM defines UNION ALL SELECT to_id, from_id FROM defines", "SELECT node_id FROM nodes WHERE label = 'nation'", 2) + "SELECT node_id, hop FROM hops")
@@ -166,15 +166,23 @@ def _(t):
     return traverse.traverse(_all(g.nodes(t), "nation"), g.defines(t), ["defines"], "both", 2).select("node_id", "hop")
 
 
-@query("neighbors_1hop", """, r AS (
-  SELECT from_id AS node_id, 'callees' AS kind, to_id AS other_id FROM calls JOIN nodes p ON p.node_id = from_id AND p.label = 'part' UNION ALL
-  SELECT to_id, 'callers', from_id FROM calls JOIN nodes p ON p.node_id = to_id AND p.label = 'part'),
-s AS (SELECT r.*, n.qualified AS other_qualified, row_number() OVER (PARTITION BY r.node_id, kind ORDER BY n.qualified, other_id) AS rn FROM r JOIN nodes n ON n.node_id = other_id)
-SELECT node_id, kind, other_id, other_qualified FROM s WHERE rn <= 30""")
+@query("neighbors_1hop", """, every AS (
+  SELECT 'calls' AS label, from_id, to_id, NULL AS detail, NULL AS arg FROM calls UNION ALL SELECT 'data_flow', from_id, to_id, 'f' || from_id, 'a' || to_id FROM defines
+  UNION ALL SELECT 'reads', from_id, to_id, 'r' || to_id, NULL FROM tests UNION ALL SELECT 'writes', to_id, from_id, 'w' || from_id, NULL FROM tests),
+r AS (SELECT from_id AS node_id, 'callees' AS kind, to_id AS other_id, NULL AS detail FROM every WHERE label = 'calls' UNION ALL SELECT to_id, 'callers', from_id, NULL FROM every WHERE label = 'calls'
+  UNION ALL SELECT from_id, 'sinks', to_id, detail FROM every WHERE label = 'data_flow' UNION ALL SELECT to_id, 'sources', from_id, arg FROM every WHERE label = 'data_flow'
+  UNION ALL SELECT from_id, label, to_id, detail FROM every WHERE label IN ('reads', 'writes')),
+s AS (SELECT r.*, n.qualified AS other_qualified, row_number() OVER (PARTITION BY r.node_id, kind ORDER BY n.qualified, other_id, detail NULLS FIRST) AS rn FROM r JOIN nodes n ON n.node_id = other_id)
+SELECT node_id, kind, other_id, other_qualified, detail FROM s WHERE rn <= CASE WHEN kind IN ('callees', 'callers') THEN 30 ELSE 20 END""")
 def _(t):
     nodes = g.nodes(t)
-    edges = g.calls(t).withColumn("props", F.lit(None).cast("map<string,string>"))
-    return traverse.neighbour_rows(edges, nodes, _all(nodes, "part")).select("node_id", "kind", "other_id", "other_qualified")
+    prop = lambda k, c: F.create_map(F.lit(k), c)
+    none = F.lit(None).cast("map<string,string>")
+    flow = g.defines(t).select(F.lit("data_flow").alias("label"), "from_id", "to_id", F.create_map(F.lit("field_path"), F.concat(F.lit("f"), "from_id"), F.lit("arg_expr"), F.concat(F.lit("a"), "to_id")).alias("props"))
+    reads = g.tests(t).select(F.lit("reads").alias("label"), "from_id", "to_id", prop("field", F.concat(F.lit("r"), "to_id")).alias("props"))
+    writes = g.tests(t).select(F.lit("writes").alias("label"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), prop("field", F.concat(F.lit("w"), "from_id")).alias("props"))
+    edges = g.calls(t).select("label", "from_id", "to_id", none.alias("props")).unionByName(flow).unionByName(reads).unionByName(writes)
+    return traverse.neighbour_rows(edges, nodes, nodes)
 
 
 BLAST = _bfs_sql("SELECT * FROM calls", "SELECT node_id FROM nodes WHERE label = 'supplier'", 3, True)
@@ -186,12 +194,26 @@ def _(t):
     return analyze.blast_radius(_all(nodes, "supplier"), g.calls(t), nodes)
 
 
-@query("field_flow_chains", """, f AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id, field_path, mutation_type NULLS FIRST) AS rn FROM flows)
-SELECT field_path, count(*) AS n_hops, CAST(count(mutation_type) AS BIGINT) AS n_mutations, min(CASE WHEN mutation_type IS NOT NULL THEN to_id END) AS taint_node FROM f WHERE rn <= 50 GROUP BY field_path""")
+FLOW_WALK = """, numbered AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id, field_path, mutation_type NULLS FIRST) AS rn FROM flows),
+f AS (SELECT * FROM numbered WHERE rn <= 50),
+reach AS (SELECT 'user:' || c_custkey AS node, 0 AS d FROM customer WHERE c_nationkey = 3 UNION SELECT f.to_id, reach.d + 1 FROM reach JOIN f ON f.from_id = reach.node WHERE reach.d < 10),
+nearest AS (SELECT node, min(d) AS d FROM reach GROUP BY node), hops AS (SELECT CAST(n.d + 1 AS INTEGER) AS depth, f.* FROM nearest n JOIN f ON f.from_id = n.node WHERE n.d < 10)
+"""
+
+
+def _flow_seeds(t: Tables) -> DataFrame:
+    return t.customer.where("c_nationkey = 3").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("node_id"))
+
+
+@query("field_flow_hops", FLOW_WALK + "SELECT field_path, depth, from_id, to_id, mutation_type, mutation_type IS NOT NULL AS mutates FROM hops")
 def _(t):
-    flows = g.flows(t)
-    chains = analyze.field_flow_chains(flows.select(F.col("from_id").alias("node_id")), flows, max_depth=1)
-    return chains.select("field_path", F.size("hops").cast("long").alias("n_hops"), "n_mutations", "taint_node")
+    return analyze.field_flow_hops(_flow_seeds(t), g.flows(t)).select("field_path", "depth", "from_id", "to_id", "mutation_type", "mutates")
+
+
+@query("field_flow_chains", FLOW_WALK + """SELECT field_path, count(*) AS n_hops, count(mutation_type) AS n_mutations, max(depth) AS depth, (min(struct_pack(depth := depth, to_id := to_id)) FILTER (mutation_type IS NOT NULL)).to_id AS taint_node, min(depth) FILTER (mutation_type IS NOT NULL) AS taint_depth
+FROM hops GROUP BY field_path""")
+def _(t):
+    return analyze.field_flow_chains(_flow_seeds(t), g.flows(t))
 
 
 @query("find_mutations", " SELECT from_id, to_id, field_path, mutation_type FROM flows WHERE mutation_type IS NOT NULL AND to_id IN (SELECT 'user:' || c_custkey FROM customer) ORDER BY 1, 2, 3, 4 LIMIT 100")
@@ -239,19 +261,31 @@ def _(t):
     return analyze.diff_impact(_diffs(t), g.calls(t), as_code).select("node_id", "qualified", "hop", "role")
 
 
-@query("tests_for", """, d AS (SELECT DISTINCT from_id AS node_id FROM tests), n AS (SELECT d.node_id, qualified FROM d JOIN nodes USING (node_id)) SELECT min(node_id) AS node_id, qualified, CAST(1 AS INTEGER) AS hop FROM n GROUP BY qualified""")
+@query("tests_for", """, chain AS (SELECT from_id, to_id FROM tests UNION ALL SELECT to_id, 'supplier:' || l_suppkey FROM tests JOIN lineitem ON 'part:' || l_partkey = to_id AND 'orders:' || l_orderkey = from_id),
+seeds AS (SELECT node_id FROM nodes WHERE label = 'supplier'),
+walk AS (SELECT node_id, 0 AS hop FROM seeds UNION SELECT e.from_id, w.hop + 1 FROM walk w JOIN chain e ON e.to_id = w.node_id WHERE w.hop < 5),
+hops AS (SELECT node_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY node_id HAVING min(hop) > 0)
+SELECT node_id, qualified, hop FROM hops JOIN nodes USING (node_id)""")
+def _(t):
+    nodes, tests = g.nodes(t), g.tests(t)
+    further = tests.join(t.lineitem.select(F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")).alias("from_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("to_id"), "l_suppkey"), ["from_id", "to_id"])
+    further = further.select("label", F.col("to_id").alias("from_id"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("to_id"), "call_site")
+    return analyze.tests_for(_all(nodes, "supplier"), tests.unionByName(further), nodes)
+
+
+@query("tests_for_direct", """, d AS (SELECT DISTINCT from_id AS node_id FROM tests), n AS (SELECT d.node_id, qualified FROM d JOIN nodes USING (node_id)) SELECT min(node_id) AS node_id, qualified, CAST(1 AS INTEGER) AS hop FROM n GROUP BY qualified""")
 def _(t):
     nodes = g.nodes(t)
     return analyze.tests_for(_all(nodes, "part"), g.tests(t), nodes, direct=True)
 
 
-@query("subjects_for", _bfs_sql("SELECT * FROM tests", "SELECT DISTINCT from_id AS node_id FROM tests", 2) + """, w2 AS (SELECT node_id, 0 AS hop FROM seeds UNION SELECT e.to_id, w.hop + 1 FROM w2 w JOIN calls e ON e.from_id = w.node_id WHERE w.hop < 2),
+@query("subjects_for", _bfs_sql("SELECT * FROM tests", "SELECT DISTINCT from_id AS node_id FROM tests", 5) + """, w2 AS (SELECT node_id, 0 AS hop FROM seeds UNION SELECT e.to_id, w.hop + 1 FROM w2 w JOIN calls e ON e.from_id = w.node_id WHERE w.hop < 5),
 every AS (SELECT node_id, hop, 0 AS o FROM hops UNION ALL SELECT node_id, CAST(min(hop) AS INTEGER), 1 FROM w2 GROUP BY node_id HAVING min(hop) > 0),
 first AS (SELECT node_id, arg_min(hop, o) AS hop FROM every GROUP BY node_id)
 SELECT node_id, qualified, hop FROM first JOIN nodes USING (node_id)""")
 def _(t):
     nodes, tests = g.nodes(t), g.tests(t)
-    return analyze.subjects_for(tests.select(F.col("from_id").alias("node_id")).distinct(), tests.unionByName(g.calls(t)), nodes, 2)
+    return analyze.subjects_for(tests.select(F.col("from_id").alias("node_id")).distinct(), tests.unionByName(g.calls(t)), nodes)
 
 
 # --- linkers ------------------------------------------------------------------------------------------------------
@@ -311,16 +345,18 @@ def _(t):
     return link.defines_edges(code.unionByName(files))
 
 
-@query("implements_division", """, have AS (SELECT DISTINCT 'supplier:' || l_suppkey AS type, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49),
-want AS (SELECT DISTINCT 'brand:' || p_brand AS iface, p_type AS name FROM part WHERE p_size >= 48),
+@query("implements_division", """, have AS (SELECT DISTINCT 'supplier:' || l_suppkey AS type, 'm' || l_partkey % 997 AS name FROM lineitem),
+want AS (SELECT DISTINCT 'customer:' || o_custkey AS iface, 'm' || o_orderkey % 997 AS name FROM orders),
 needed AS (SELECT iface, count(*) AS n FROM want GROUP BY iface),
 met AS (SELECT type, iface, count(*) AS n FROM have JOIN want USING (name) GROUP BY type, iface)
 SELECT 'implements' AS label, type AS from_id, iface AS to_id FROM met JOIN needed USING (iface) WHERE met.n = needed.n""")
 def _(t):
-    method = lambda receiver: F.sort_array(F.collect_set(F.struct(F.col("p_type").alias("name"), F.concat(F.lit("f[T any] ("), F.col("p_type"), F.lit(")")).alias("signature"), F.lit(receiver).alias("receiver"))))
-    li = t.lineitem.where("l_quantity >= 49").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    types = li.groupBy(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("node_id")).agg(method("T").alias("methods"))
-    ifaces = t.part.where("p_size >= 48").groupBy(F.concat(F.lit("brand:"), F.col("p_brand")).alias("node_id")).agg(method("").alias("methods"))
+    def methods(rows: DataFrame, node: str, key: str, number: str, receiver: str) -> DataFrame:
+        name = F.concat(F.lit("m"), (F.col(number) % 997).cast("string"))
+        made = F.struct(name.alias("name"), F.concat(F.lit("f[T any] ("), name, F.lit(")")).alias("signature"), F.lit(receiver).alias("receiver"))
+        return rows.groupBy(F.concat(F.lit(f"{node}:"), F.col(key).cast("string")).alias("node_id")).agg(F.sort_array(F.collect_set(made)).alias("methods"))
+
+    types, ifaces = methods(t.lineitem, "supplier", "l_suppkey", "l_partkey", "T"), methods(t.orders, "customer", "o_custkey", "o_orderkey", "")
     return link.implements_edges(types.unionByName(ifaces).withColumn("label", F.lit("class")))
 
 
@@ -483,9 +519,7 @@ def _(t):
     return s.select("method", "path", "handler", "file", "line", F.array_join("auth_chain", ",").alias("auth"), "has_auth", F.array_join("responses", ",").alias("responses"), F.array_join(F.transform("pii", lambda p: p["kind"]), ",").alias("pii"))
 
 
-@query("pii_detect", """SELECT doc_id, CASE WHEN contains(lower(text), 'email') THEN 'email' WHEN contains(lower(text), 'phone') OR contains(lower(text), 'mobile') THEN 'phone' WHEN contains(lower(text), 'ssn') OR contains(lower(text), 'social_security') OR contains(lower(text), 'tax_id') THEN 'ssn'
-  WHEN contains(lower(text), 'password') OR contains(lower(text), 'passwd') OR contains(lower(text), 'secret') OR contains(lower(text), 'token') OR contains(lower(text), 'api_key') THEN 'credential' WHEN contains(lower(text), 'credit_card') OR contains(lower(text), 'card_number') OR contains(lower(text), 'cvv') THEN 'financial'
-  WHEN contains(lower(text), 'date_of_birth') OR contains(lower(text), 'dob') OR contains(lower(text), 'birth_date') THEN 'personal' WHEN contains(lower(text), 'address') OR contains(lower(text), 'street') OR contains(lower(text), 'zip_code') OR contains(lower(text), 'postal') THEN 'address' END AS kind FROM documents""", graph=False)
+@query("pii_detect", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{kind}'" for w, kind in analyze.PII.items()) + " END AS kind FROM documents", graph=False)
 def _(t):
     return t.documents.select("doc_id", analyze.pii_kind(F.col("text")).alias("kind"))
 
@@ -498,13 +532,28 @@ def _(t):
     return analyze.auth_gaps(nodes, g.calls(t))
 
 
-@query("taint_findings", None)
+def _taint_sql() -> str:
+    """For each rule: nodes without its sanitizers, from the targets of tainted arguments, five hops on, to its sinks."""
+    parts, union = [], []
+    has = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")" if words else "false"
+    for k, rule in enumerate(analyze.TAINT_RULES):
+        parts.append(f""", open{k} AS (SELECT f.from_id, f.to_id, f.arg FROM uses f LEFT JOIN named a ON a.node_id = f.from_id LEFT JOIN named b ON b.node_id = f.to_id
+  WHERE NOT coalesce({has('a.q', rule.sanitizers)}, false) AND NOT coalesce({has('b.q', rule.sanitizers)}, false)),
+walk{k} AS (SELECT DISTINCT to_id AS node_id, 0 AS hop FROM open{k} WHERE {has('arg', rule.sources)} UNION SELECT o.to_id, w.hop + 1 FROM walk{k} w JOIN open{k} o ON o.from_id = w.node_id WHERE w.hop < 5)""")
+        union.append(f"SELECT node_id, q AS sink, CAST(min(hop) AS INTEGER) AS hop, '{rule.category}' AS category, '{rule.severity}' AS severity FROM walk{k} JOIN named USING (node_id) WHERE {has('q', rule.sinks)} GROUP BY node_id, q")
+    return """, named AS (SELECT 'user:' || c_custkey AS node_id, CASE c_custkey % 10 WHEN 0 THEN 'db.Query.' WHEN 1 THEN 'Escape.' WHEN 2 THEN 'os.Open.' WHEN 3 THEN 'exec.Command.' WHEN 4 THEN 'w.Write.' ELSE 'f.' END || c_custkey AS q FROM customer),
+uses AS (SELECT from_id, to_id, CASE WHEN mutation_type IS NOT NULL THEN CASE field_path WHEN 'f0' THEN 'req.Body' WHEN 'f1' THEN 'os.Args' WHEN 'f2' THEN 'c.Param' ELSE 'x' END ELSE 'x' END AS arg FROM flows)""" + "".join(parts) + " " + " UNION ALL ".join(union)
+
+
+@query("taint_findings", _taint_sql())
 def _(t):
-    tainted = F.try_element_at("props", F.lit("mutation_type")).isNotNull()
-    users = g.flows(t).withColumn("props", F.create_map(F.lit("arg_expr"), F.when(tainted, "req.Body").otherwise("x")))
-    key = F.col("c_custkey").cast("string")
-    nodes = t.customer.select(F.concat(F.lit("user:"), key).alias("node_id"), F.concat(F.when(F.col("c_custkey") % 10 == 0, "db.Query.").when(F.col("c_custkey") % 10 == 1, "Escape.").otherwise("f."), key).alias("qualified"))
-    return analyze.taint_findings(nodes, users, max_depth=3)
+    of = lambda k: F.try_element_at("props", F.lit(k))
+    source = F.when(of("field_path") == "f0", "req.Body").when(of("field_path") == "f1", "os.Args").when(of("field_path") == "f2", "c.Param").otherwise("x")
+    users = g.flows(t).withColumn("props", F.create_map(F.lit("arg_expr"), F.when(of("mutation_type").isNotNull(), source).otherwise("x")))
+    key = F.col("c_custkey")
+    called = F.when(key % 10 == 0, "db.Query.").when(key % 10 == 1, "Escape.").when(key % 10 == 2, "os.Open.").when(key % 10 == 3, "exec.Command.").when(key % 10 == 4, "w.Write.").otherwise("f.")
+    nodes = t.customer.select(F.concat(F.lit("user:"), key.cast("string")).alias("node_id"), F.concat(called, key.cast("string")).alias("qualified"))
+    return analyze.taint_findings(nodes, users)
 
 
 # --- history ------------------------------------------------------------------------------------------------------
@@ -565,7 +614,7 @@ def _(t):
     return memory.token_totals(_turns(t))
 
 
-@query("turn_truncate", "SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text ELSE substring(text, 1, 200) || '...' END AS kept FROM conversations", graph=False)
+@query("turn_truncate", """SELECT conv_id, turn, CASE WHEN strlen(text) <= 200 THEN text ELSE (SELECT string_agg(c, '' ORDER BY i) FROM (SELECT i, c, sum(strlen(c)) OVER (ORDER BY i) AS upto FROM (SELECT unnest(range(1, least(length(text), 200) + 1)) AS i, substr(text, i, 1) AS c)) WHERE upto <= 200) || '...' END AS kept FROM conversations""", graph=False)
 def _(t):
     return t.conversations.select("conv_id", "turn", memory.truncated_turn(F.col("text")).alias("kept"))
 
@@ -602,9 +651,16 @@ def _(t):
 # --- sync, store ----------------------------------------------------------------------------------------------------
 
 
-@query("bundle_manifest", " SELECT 'all' AS repo_slug, (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM calls) AS edge_count")
+def _set_hash_sql(table: str, columns: list[str]) -> str:
+    parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    sums = " || ':' || ".join(f"CAST(coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR)" for k in range(4))
+    return f"(SELECT sha256(count(*) || ':' || {sums}) FROM (SELECT sha256(concat_ws('|', {parts})) AS h FROM {table}))"
+
+
+@query("bundle_manifest", " SELECT 'all' AS repo_slug, (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM calls) AS edge_count, sha256("
+       + _set_hash_sql("nodes", ["node_id", "label", "qualified", "file_path"]) + " || " + _set_hash_sql("(SELECT 'calls' AS label, from_id, to_id FROM calls)", ["label", "from_id", "to_id"]) + ") AS hash")
 def _(t):
-    return sync.manifest(g.nodes(t), g.calls(t), "all").select("repo_slug", "node_count", "edge_count")
+    return sync.manifest(g.nodes(t), g.calls(t), "all")
 
 
 @query("import_merge", """WITH a AS (SELECT c_custkey AS node_id, c_mktsegment AS content_hash, c_acctbal AS at FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NEW' END AS content_hash, 5000.0 AS at FROM customer WHERE c_custkey % 5 <> 0)

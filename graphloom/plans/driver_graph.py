@@ -2,7 +2,7 @@
 
 regions, nations, customers, suppliers, parts and orders are nodes; foreign keys are edges: defines (region to nation
 to customer and supplier), calls (customer to order to part to supplier), tests (urgent order to part), and
-data_flow from the user of an error event of a high value to the user of the next one in its hour.
+data_flow from the user of an error event to the user of the next one in its day.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def tests(t: Tables) -> DataFrame:
 
 
 def flows(t: Tables) -> DataFrame:
-    """data_flow edges with props; an event's hour bounds the window."""
-    e = t.events.where("event_type = 'error' and value > 60")
+    """data_flow edges with props; an event's day bounds the window."""
+    e = t.events.where("event_type = 'error'")
     w = W.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")
     nxt = e.select("event_id", "ts", "user_id", "value", F.lead("user_id").over(w).alias("to_user")).where("to_user is not null")
     kind = F.when(F.col("value") > 120, "overwrite")
@@ -109,5 +109,5 @@ defines AS (
 tests AS (SELECT DISTINCT 'orders:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')),
 flows AS (
   SELECT 'user:' || user_id AS from_id, 'user:' || to_user AS to_id, 'f' || event_id % 5 AS field_path, CASE WHEN value > 120 THEN 'overwrite' END AS mutation_type
-  FROM (SELECT *, lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS to_user FROM events WHERE event_type = 'error' AND value > 60) WHERE to_user IS NOT NULL
+  FROM (SELECT *, lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS to_user FROM events WHERE event_type = 'error') WHERE to_user IS NOT NULL
 )"""

@@ -9,13 +9,18 @@ NODES = """node_id string, label string, name string, qualified string, file_pat
 visibility string, signature string, docstring string, body string, summary string, concepts array<string>, content_hash string,
 start_line int, end_line int, methods array<struct<name:string,signature:string,receiver:string>>, embedding array<float>,
 introduced_commit string, introduced_at timestamp, last_modified_commit string, last_modified_at timestamp, removed_commit string"""
-EDGES = """label string, from_id string, to_id string, call_site string, call_type string, is_dynamic boolean,
+#: ``target`` is what the source says, ``to_id`` what it was resolved to, the same where it was not
+EDGES = """label string, from_id string, to_id string, target string, resolved boolean, call_site string, call_type string, is_dynamic boolean,
 props map<string,string>, introduced_commit string, introduced_at timestamp, removed_commit string, repo_slug string"""
 REPOS = "slug string, path string, remote_url string, default_branch string, last_commit string, languages array<string>, last_indexed_at timestamp, created_at timestamp"
 COMMITS = "repo_slug string, hash string, message string, author string, ts timestamp, files array<string>, indexed boolean"
 DIFFS = "repo_slug string, hash string, path string, old_path string, status string, additions int, deletions int, patch string"
 MEMORY = "memory_id string, tier string, session_id string, repo_slug string, content string, concepts array<string>, embedding array<float>, token_count int, created_at timestamp"
 
+SESSIONS = "session_id string, repo_slug string, title string, created_at timestamp, updated_at timestamp"
+MESSAGES = "session_id string, message_id string, role string, content string, created_at timestamp"
+LOG = "ts timestamp, kind string, op string, repo_slug string, label string, id string, other string"
+
 NODE_LABELS = ("function", "class", "file", "module")
 EDGE_LABELS = ("calls", "imports", "defines", "inherits", "uses", "constructs", "tests", "data_flow", "reads", "writes", "route", "control_flow", "data_dep", "implements")
 #: metadata keys that hold numbers

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
+from graphloom.storage import new_folder
 
 LOG_FORMAT = "%H|%an|%at|%s"
 PATCH_LIMIT = 10_000
@@ -96,6 +97,54 @@ def commit_info(spark: SparkSession, repo: str, commit: str) -> DataFrame:
     return rows.select("hash", "author", F.timestamp_seconds("at").alias("ts"), "message", "files")
 
 
+def identity_of(repo: str) -> dict[str, str | None]:
+    """Remote, branch and last commit of a working tree; empty outside of git or without git."""
+    try:
+        known = {"branch": _git(repo, "rev-parse", "--abbrev-ref", "HEAD").strip(), "commit": _git(repo, "rev-parse", "HEAD").strip()}
+    except (subprocess.CalledProcessError, FileNotFoundError):
+        return {}
+    try:
+        known["remote"] = _git(repo, "config", "--get", "remote.origin.url").strip() or None
+    except subprocess.CalledProcessError:
+        known["remote"] = None
+    return known
+
+
+#: versions of files that are read from git before they are written out
+VERSIONS_AT_ONCE = 500
+
+
+def file_versions(spark: SparkSession, repo: str, first: str | None = None, last: str = "HEAD") -> DataFrame:
+    """(hash, author, message, ts, path, status, content) of every file that each commit of a range touched.
+
+    git runs on the driver, commit by commit; what it says goes to the shared folder in runs of bounded number.
+    """
+    folder, held, written = new_folder(spark), [], False
+    ddl = "hash string, author string, message string, at long, path string, status string, content binary"
+
+    def flush() -> None:
+        nonlocal written
+        if held or not written:
+            spark.createDataFrame(held, ddl).write.mode("append").parquet(folder)
+            held.clear()
+            written = True
+
+    span = f"{first}..{last}" if first else last
+    for line in _git(repo, "log", "--reverse", f"--format={LOG_FORMAT}", span).splitlines():
+        commit, author, at, message = line.split("|", 3)
+        for change in _git(repo, "show", "--name-status", "-M", "--format=", commit).splitlines():
+            parts = change.split("\t")
+            if len(parts) < 2:
+                continue
+            status = {"A": "added", "D": "deleted", "R": "renamed", "C": "added"}.get(parts[0][:1], "modified")
+            content = None if status == "deleted" else subprocess.run(["git", "-C", repo, "show", f"{commit}:{parts[-1]}"], capture_output=True, check=True).stdout
+            held.append((commit, author, message, int(at), parts[-1], status, content))
+            if len(held) >= VERSIONS_AT_ONCE:
+                flush()
+    flush()
+    return spark.read.schema(ddl).parquet(folder).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+
+
 def identity(repos: DataFrame) -> DataFrame:
     """Rows with a raw ``remote`` get remote_url and slug."""
     return repos.withColumns({"remote_url": paths.remote_url(F.col("remote")), "slug": paths.remote_slug(F.col("remote"))})

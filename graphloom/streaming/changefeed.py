@@ -65,6 +65,14 @@ def live_entries(entries: DataFrame, as_of, minutes: int = 30) -> DataFrame:
     return newest.where(F.col("ts") > F.lit(as_of) - F.make_dt_interval(mins=F.lit(minutes)))
 
 
+def delta_rows(nodes: DataFrame, edges: DataFrame, op: str = "put") -> DataFrame:
+    """Changed nodes and edges as a client sees them: (op, kind, id, label, name, file_path, start_line, from_id, to_id)."""
+    none = F.lit(None).cast("string")
+    a = nodes.select(F.lit(op).alias("op"), F.lit("node").alias("kind"), F.col("node_id").alias("id"), "label", F.coalesce("qualified", "name").alias("name"), "file_path", F.col("start_line").cast("int").alias("start_line"), none.alias("from_id"), none.alias("to_id"))
+    b = edges.select(F.lit(op).alias("op"), F.lit("edge").alias("kind"), F.concat("from_id", F.lit(">"), "label", F.lit(">"), "to_id").alias("id"), "label", none.alias("name"), none.alias("file_path"), F.lit(None).cast("int").alias("start_line"), "from_id", "to_id")
+    return a.unionByName(b)
+
+
 STAGES = ("pending", "running", "completed", "failed", "skipped")
 MOST_ERRORS = 50
 

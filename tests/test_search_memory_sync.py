@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.storage import cut
 from graphloom.operators import memory, search, sync
 
 
@@ -136,10 +137,11 @@ def test_import_newest_wins(spark):
 
 def test_approximate_search_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    index = cut(search.bucket_index(rows, rows.select(F.size("embedding")).first()[0], id_column="vec_id"))
     met, of = 0, 0
     for q in (0, 7, 42):
         v = list(rows.where(F.col("vec_id") == q).first().embedding)
         want = {r.vec_id for r in search.vector_search(rows, v, 5, id_column="vec_id").collect()}
-        got = {r.vec_id for r in search.approximate_search(rows, v, 5, id_column="vec_id").collect()}
+        got = {r.vec_id for r in search.approximate_search(index, v, 5, id_column="vec_id").collect()}
         met, of = met + len(want & got), of + len(want)
     assert met >= 0.8 * of
