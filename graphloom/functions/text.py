@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,35 +95,110 @@ def bare_signature(signature: Column, nesting: int = 4) -> Column:
     return F.trim(F.regexp_replace(signature, r"\s+", " "))
 
 
-# --- English stemming (the Porter2 rules most words need), for prose fields only ---------------------------------
+# --- English stemming: the published Porter2 (Snowball English) rules ----------------------------------------------
+
+VOWELS = "aeiouy"
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+#: fixed values of the published algorithm: words with a stem of their own, words left alone, prefixes that set the first region
+SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+SAME = frozenset("sky news howe atlas cosmos bias andes".split())
+SAME_AFTER_PLURAL = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+FIRST_REGIONS = ("gener", "commun", "arsen")
+STEP_2 = (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"),
+          ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"))
+STEP_3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")
+
+
+def _region(word: str, start: int) -> int:
+    """The place after the first consonant that follows a vowel, from ``start`` on."""
+    for i in range(start + 1, len(word)):
+        if word[i] not in VOWELS and word[i - 1] in VOWELS:
+            return i + 1
+    return len(word)
 
-_VOWEL = re.compile("[aeiouy]")
+
+def _short_end(w: str) -> bool:
+    """Whether a word ends in a short syllable."""
+    if len(w) == 2:
+        return w[0] in VOWELS and w[1] not in VOWELS
+    return len(w) > 2 and w[-1] not in VOWELS + "wxY" and w[-2] in VOWELS and w[-3] not in VOWELS
 
 
 def stem(word: str) -> str:
-    """A light suffix stemmer: plurals, -ed, -ing, -ly and common derivations."""
-    w = word
-    if len(w) <= 3:
+    """Stem of a lower-case English word."""
+    if len(word) <= 2:
+        return word
+    w = word.lstrip("'")
+    if w in SPECIAL:
+        return SPECIAL[w]
+    if w in SAME:
         return w
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ied", "i")):
+    w = "".join("Y" if c == "y" and (i == 0 or w[i - 1] in VOWELS) else c for i, c in enumerate(w))  # a y that is a consonant
+    prefix = next((p for p in FIRST_REGIONS if w.startswith(p)), None)
+    r1 = len(prefix) if prefix else _region(w, 0)
+    r2 = _region(w, r1)
+    for end in ("'s'", "'s", "'"):
         if w.endswith(end):
-            w = w[: -len(end)] + new
+            w = w[: -len(end)]
+            break
+    # plurals
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith(("us", "ss")):
+        pass
+    elif w.endswith("s") and any(c in VOWELS for c in w[:-2]):
+        w = w[:-1]
+    if w in SAME_AFTER_PLURAL:
+        return w
+    # past and present forms
+    end = next((e for e in ("eedly", "ingly", "edly", "eed", "ing", "ed") if w.endswith(e)), None)
+    if end in ("eed", "eedly"):
+        if len(w) - len(end) >= r1:
+            w = w[: -len(end)] + "ee"
+    elif end and any(c in VOWELS for c in w[: -len(end)]):
+        w = w[: -len(end)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w.endswith(DOUBLES):
+            w = w[:-1]
+        elif r1 >= len(w) and _short_end(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWELS:
+        w = w[:-1] + "i"
+    for end, new in STEP_2:
+        if w.endswith(end):
+            if len(w) - len(end) >= r1:
+                w = w[: -len(end)] + new
             break
     else:
-        if w.endswith("s") and not w.endswith(("ss", "us")):
+        if w.endswith("ogi") and len(w) - 3 >= r1 and w[-4:-3] == "l":
             w = w[:-1]
-    for end in ("ingly", "edly", "ing", "ed"):
-        root = w[: -len(end)]
-        if w.endswith(end) and _VOWEL.search(root):
-            w = root + "e" if root.endswith(("at", "bl", "iz")) else root[:-1] if len(root) > 2 and root[-1] == root[-2] and root[-1] not in "lsz" else root
+        elif w.endswith("li") and len(w) - 2 >= r1 and w[-3:-2] in tuple("cdeghkmnrt"):
+            w = w[:-2]
+    for end, new in STEP_3:
+        if w.endswith(end):
+            if len(w) - len(end) >= r1:
+                w = w[: -len(end)] + new
             break
-    if len(w) > 2 and w.endswith("y") and w[-2] not in "aeiou":
-        w = w[:-1] + "i"
-    for end, new in (("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ization", "ize"), ("ation", "ate"), ("alism", "al"), ("ement", ""), ("ness", ""), ("ment", ""), ("li", "")):
-        if w.endswith(end) and len(w) - len(end) > 2:
-            w = w[: -len(end)] + new
+    else:
+        if w.endswith("ative") and len(w) - 5 >= r2:
+            w = w[:-5]
+    for end in STEP_4:
+        if w.endswith(end):
+            if len(w) - len(end) >= r2:
+                w = w[: -len(end)]
             break
-    return w[:-1] if w.endswith("e") and len(w) > 4 else w
+    else:
+        if w.endswith("ion") and len(w) - 3 >= r2 and w[-4:-3] in ("s", "t"):
+            w = w[:-3]
+    if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _short_end(w[:-1])):
+        w = w[:-1]
+    elif w.endswith("l") and len(w) - 1 >= r2 and w[-2:-1] == "l":
+        w = w[:-1]
+    return w.lower()
 
 
 def stems(tokens: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vectors
+from graphloom.storage import cut
 
 RRF_K = 60
 K1, B = 1.2, 0.75
@@ -91,8 +92,10 @@ def bm25_scores(docs: DataFrame, id_column: str, fields: dict[str, Column], term
 
 def text_search(docs: DataFrame, query: str, k: int = 10, id_column: str = "node_id", fields: dict[str, Column] | None = None) -> DataFrame:
     """The ``k`` best documents for a query, best first, ties by id."""
-    fields = fields or {"name": text.code_tokens(F.coalesce("name", F.lit(""))), "qualified": text.code_tokens(F.coalesce("qualified", F.lit(""))), "docstring": text.word_tokens(F.coalesce("docstring", F.lit("")))}
-    return bm25_scores(docs, id_column, fields, query_terms(query)).orderBy(F.desc("score"), id_column).limit(k)
+    fields = fields or {"name": text.code_tokens(F.coalesce("name", F.lit(""))), "qualified": text.code_tokens(F.coalesce("qualified", F.lit(""))), "docstring": text.stems(text.word_tokens(F.coalesce("docstring", F.lit(""))))}
+    # prose is stemmed, names are not: each term is looked for as it stands and by its stem
+    terms = query_terms(query)
+    return bm25_scores(docs, id_column, fields, [*terms, *(text.stem(t) for t in terms)]).orderBy(F.desc("score"), id_column).limit(k)
 
 
 def query_terms(query: str) -> list[str]:
@@ -173,7 +176,8 @@ def hybrid_stages(nodes: DataFrame, edges: DataFrame, centrality: DataFrame, que
     """The hybrid query, stage by stage: vector_hit, fts_hit, fused, expanded, reranked, done.
 
     Zero means the default.  Each arm fetches twice ``top_k``; the path prefix is applied after the rerank and
-    before the last cut.  Nothing runs until a stage's frame is used.
+    before the last cut.  A stage runs when its frame is used or, from ``fused`` on, when it is reached: the few fused
+    rows are written down, as the later stages read them several times.
     """
     top_k, min_score = top_k or DEFAULT_TOP_K, min_score or DEFAULT_MIN_SCORE
     if labels:
@@ -182,7 +186,7 @@ def hybrid_stages(nodes: DataFrame, edges: DataFrame, centrality: DataFrame, que
     yield "vector_hit", by_vector
     by_text = text_search(nodes, query, 2 * top_k, fields=fields)
     yield "fts_hit", by_text
-    fused = fuse([ranked(by_vector), ranked(by_text)], centrality=centrality)
+    fused = cut(fuse([ranked(by_vector), ranked(by_text)], centrality=centrality))
     yield "fused", fused
     grown = expand(fused, edges)
     yield "expanded", grown
