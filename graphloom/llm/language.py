@@ -225,12 +225,15 @@ def _count(rows: DataFrame, langs: list[str]) -> pd.DataFrame:
 def sample(rows: DataFrame) -> DataFrame:
     """The training sample of (doc_id, text, lang): bounded in languages, rows and characters, whatever the table's size.
 
-    Only ids and lengths are ranked; of each language Spark keeps the first ``TRAINING_ROWS`` before it shuffles them.
+    Only ids and lengths are ranked, and of a large language only those of the smallest hashes.
     """
     known = rows.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h")).where(F.col("size") <= LONGEST_SAMPLED)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    by = W.partitionBy("lang").orderBy("h", "doc_id", "size")
-    first = known.join(F.broadcast(common), "lang", "left_semi").withColumn("n", F.row_number().over(by)).where(F.col("n") <= TRAINING_ROWS)
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # hashes below a bound that about half as many again have: no language's rows all come together to be ranked
+    bound = F.least(F.lit(1.0), 1.5 * TRAINING_ROWS / F.col("count")) * float(1 << 62)
+    near = known.join(F.broadcast(common), "lang").where(F.pmod("h", F.lit(1 << 62)) < bound).drop("count")
+    by = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 62)), "doc_id", "size")
+    first = near.withColumn("n", F.row_number().over(by)).where(F.col("n") <= TRAINING_ROWS)
     before = F.coalesce(F.sum("size").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = first.withColumn("before", before).where(F.col("before") < TRAINING_CHARS).select("lang", "doc_id", "size").distinct()
     here = rows.withColumn("size", F.length("text"))

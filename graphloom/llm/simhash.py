@@ -632,9 +632,16 @@ def shared_prefixes(texts: DataFrame, shingle: int, similarity: float, levels: n
                 place = np.repeat(size, width) << 32 | pos << 1 | (pos < np.repeat(short_prefix_rows(size, similarity), width))
                 yield pd.DataFrame({"token": every.view(np.int64), "share": parts.astype(np.int64) << 32 | salt, "node": node, "place": place})
 
+    def near(n, pos, short, node, m, at, brief, other) -> np.ndarray:
+        """Whether pairs of rows of a token can be alike by their places in it."""
+        first = (n < m) | ((n == m) & (node < other))
+        most = np.minimum(n - pos, m - at)
+        return np.where(first, short, brief) & (most >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows, sorted by token, share and node, of tokens with several nodes or parts; only the last row waits for the next batch."""
-        waiting, linked = None, False  # the last row, and whether the one before it has its token
+        """The rows, sorted by token, share, size and node, of tokens with several nodes or parts, each with two others that
+        it can be like: the row before it, and the first of its token and size class.  Only the last row waits."""
+        waiting, linked, known, anchor = None, False, None, None
         for pdf in batches:
             if waiting is not None:
                 pdf = pd.concat([waiting, pdf])
@@ -643,44 +650,58 @@ def shared_prefixes(texts: DataFrame, shingle: int, similarity: float, levels: n
             token, share, node = (pdf[c].to_numpy() for c in ("token", "share", "node"))
             like = (token[1:] == token[:-1]) & (share[1:] == share[:-1])
             new = np.r_[True, ~(like & (node[1:] == node[:-1]))]
-            pdf, token, share = pdf[new], token[new], share[new]
+            pdf = pdf[new]
+            token, share, node, place = (pdf[c].to_numpy() for c in ("token", "share", "node", "place"))
+            n, pos, short = place >> 32, (place & ((1 << 32) - 1)) >> 1, (place & 1).astype(bool)
             like = (token[1:] == token[:-1]) & (share[1:] == share[:-1])
             before, after = np.r_[linked, like], np.r_[like, False]
+            size = np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity))
+            starts = np.r_[True, ~(like & (size[1:] == size[:-1]))]
+            lead = np.maximum.accumulate(np.where(starts, np.arange(len(n)), 0))
+            whose = [x[lead] for x in (n, pos, short, node)]
+            if known is not None:  # the row that waited: its others are known, its run began before
+                for x, v in zip(whose, anchor):
+                    x[lead == 0] = v
+            one, two, leads = node.copy(), node.copy(), starts.copy()
+            up = np.flatnonzero(like) + 1
+            ok = near(n[up], pos[up], short[up], node[up], n[up - 1], pos[up - 1], short[up - 1], node[up - 1])
+            one[up[ok]] = node[up[ok] - 1]
+            ok = ~starts & near(n, pos, short, node, *whose)
+            two[ok] = whose[3][ok]
+            if known is not None:
+                one[0], two[0], leads[0] = known
             keep = before | after | (share >> 32 > 1)
-            waiting, linked = pdf.iloc[-1:], bool(before[-1])
-            yield pdf[:-1][keep[:-1]]
+            out = pdf.assign(one=one, two=two, leads=leads)
+            waiting, linked, known, anchor = pdf.iloc[-1:], bool(before[-1]), (one[-1], two[-1], leads[-1]), [x[-1] for x in whose]
+            last = out.iloc[-1:]
+            yield out[:-1][keep[:-1]]
         if waiting is not None and (linked or waiting["share"].iloc[0] >> 32 > 1):
-            yield waiting
+            yield last
 
     schema = "token long, share long, node long, place long"
-    spread = texts.mapInPandas(prefixes, schema).repartition("token", "share").sortWithinPartitions("token", "share", "node").mapInPandas(repeated, schema)
+    spread = texts.mapInPandas(prefixes, schema).repartition("token", "share").sortWithinPartitions("token", "share", "place", "node")
+    spread = spread.mapInPandas(repeated, schema + ", one long, two long, leads boolean")
     low = F.lit((1 << 32) - 1)
     return spread.select(
         "token", F.col("share").bitwiseAND(low).cast("int").alias("salt"), F.shiftright("share", 32).cast("int").alias("parts"), "node",
         F.shiftright("place", 32).cast("int").alias("n"), F.shiftright(F.col("place").bitwiseAND(low), 1).cast("int").alias("pos"), (F.col("place").bitwiseAND(F.lit(1)) == 1).alias("short"),
+        "one", "two", "leads",
     )
 
 
-def _chain(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of each group, by size, with the one before them and the middle one: structs here, before, middle."""
-    of = W.partitionBy(*keys)
-    by = of.orderBy("n", "node")
-    here = F.struct("node", "n")
-    rows = rows.withColumns({"rank": F.row_number().over(by), "all": F.count("*").over(of), "here": here, "before": F.lag(here).over(by)})
-    return rows.withColumn("middle", F.max(F.when(F.col("rank") == F.floor((F.col("all") + 1) / 2), F.col("here"))).over(of))
-
-
 def neighbour_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """A first proposal (a, b): in each token's texts, ordered by size, neighbours and the pairs with the middle one.
-
-    A token dealt to several parts is chained in each, then the parts' middles are.
+    """A first proposal (a, b): in each token's texts, ordered by size, neighbours and the pairs with the first of a size
+    class.  Of a token dealt to several parts those first ones are chained too: one row for each part and class.
     """
-    rows = _chain(prefixes, ["token", "salt"])
-    middles = rows.where("parts > 1 and here = middle").select("token", "node", "n")
-    rows = rows.select("here", "before", "middle").unionByName(_chain(middles, ["token"]).select("here", "before", "middle"))
-    ends = rows.select("here", F.explode(F.array("before", "middle")).alias("there")).where("there is not null and here.node <> there.node")
-    alike = F.least("here.n", "there.n") >= similarity * F.greatest("here.n", "there.n") - 1e-9
-    return ends.where(alike).select(F.least("here.node", "there.node").alias("a"), F.greatest("here.node", "there.node").alias("b")).distinct()
+    ends = prefixes.select("node", F.explode(F.array("one", "two")).alias("there"))
+    firsts = prefixes.where("parts > 1 and leads")
+    by = W.partitionBy("token").orderBy("n", "node")
+    here = F.struct("node", "n")
+    chained = firsts.select("node", "n", F.lag(here).over(by).alias("before"), F.first(here).over(by).alias("first"))
+    chained = chained.select("node", "n", F.explode(F.array("before", "first")).alias("t")).where("t is not null")
+    alike = F.least("n", "t.n") >= similarity * F.greatest("n", "t.n") - 1e-9
+    ends = ends.union(chained.where(alike).select("node", F.col("t.node").alias("there"))).where("node <> there")
+    return ends.select(F.least("node", "there").alias("a"), F.greatest("node", "there").alias("b")).distinct()
 
 
 def apart_pairs(prefixes: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
@@ -690,7 +711,7 @@ def apart_pairs(prefixes: DataFrame, part: DataFrame, similarity: float) -> Data
     common, at most all from it on.  Of two components of a token's texts one is not its largest, so texts of the
     largest meet only those of the others, never each other.  A token dealt to parts meets the smaller side in each.
     """
-    rows = materialise(prefixes.join(part, "node", "left").select("token", "salt", "parts", "node", "n", "pos", "short", F.coalesce("component", "node").alias("g")))
+    rows = materialise(prefixes.select("token", "salt", "parts", "node", "n", "pos", "short").join(part, "node", "left").select("token", "salt", "parts", "node", "n", "pos", "short", F.coalesce("component", "node").alias("g")))
     main = rows.groupBy("token", "g").count().groupBy("token").agg(F.max(F.struct("count", "g")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
     open_ = rows.join(main.select("token", F.col("m.g").alias("main")), "token").withColumn("few", F.col("g") != F.col("main"))
     open_ = materialise(open_.select("token", "salt", "parts", "node", "n", "pos", "short", "g", "few"))
@@ -740,6 +761,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     text_of = docs.select(node.alias("node"), "doc_id", "text")
     prefixes = materialise(shared_prefixes(text_of.select("node", "text"), shingle, similarity, shingle_levels(scanned)))
 
+    # rows that repeat both id and text: few, or none
+    again = rows.groupBy("node", "doc_id").count().where("count > 1").select(F.col("node").alias("__again"), F.col("doc_id").alias("__again_id"))
+    again = materialise(again.join(named, (F.col("__again") == named["node"]) & F.col("__again_id").eqNullSafe(named["least"]), "left_semi"))
+    repeats = not again.isEmpty()
+
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         known = lru_cache(64)(lambda text: shingle_set(text, shingle))
@@ -755,8 +781,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         # one row of each text: copies are told apart by their ids, so those of one text never meet in a task
         chosen = materialise(ends.join(named.select("node", "least"), "node"))
         theirs = (text_of["node"] == chosen["node"]) & text_of["doc_id"].eqNullSafe(chosen["least"])
-        texts = text_of.join(chosen, theirs, "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        texts = materialise(texts)
+        texts = text_of.join(chosen, theirs, "left_semi").select("node", "text")
+        texts = materialise(texts.dropDuplicates(["node"]) if repeats else texts)
         return (
             pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -773,15 +799,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     stay = materialise(groups.groupBy("g").agg(chosen.alias("s")).select(F.col("s.node").alias("__node"), F.col("s.least").alias("__least")))
     kept = docs.withColumns({"__node": node, "__id": F.col("doc_id")})
     kept = kept.join(stay, (kept["__node"] == stay["__node"]) & kept["__id"].eqNullSafe(stay["__least"]), "left_semi")
-    # rows that repeat both id and text: few, or none
-    again = rows.groupBy("node", "doc_id").count().where("count > 1").select(F.col("node").alias("__again"), F.col("doc_id").alias("__again_id"))
-    again = materialise(again.join(stay, (F.col("__again") == F.col("__node")) & F.col("__again_id").eqNullSafe(F.col("__least")), "left_semi"))
     release(scanned, prefixes, proposed)
-    if again.isEmpty():
+    if not repeats:
         return kept.drop("__node", "__id")
-    repeats = (kept["__node"] == again["__again"]) & kept["__id"].eqNullSafe(again["__again_id"])
-    once = kept.join(again, repeats, "left_semi").dropDuplicates(["__node", "__id"])
-    return kept.join(again, repeats, "left_anti").unionByName(once).drop("__node", "__id")
+    same = (kept["__node"] == again["__again"]) & kept["__id"].eqNullSafe(again["__again_id"])
+    once = kept.join(again, same, "left_semi").dropDuplicates(["__node", "__id"])
+    return kept.join(again, same, "left_anti").unionByName(once).drop("__node", "__id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
