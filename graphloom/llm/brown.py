@@ -190,8 +190,16 @@ def _bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
             yield pd.DataFrame({"code": code, "n": total[code]})
 
     out = np.zeros(size * size)
-    got = texts.select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out[got["code"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    pairs = texts.select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # rows of the matrix come packed, so that the driver never holds them as objects
+    by_row = pairs.groupBy(F.floor(F.col("code") / size).alias("a")).agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("n"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"codes": [np.asarray(c, np.int64).tobytes() for c in pdf["codes"]], "n": [np.asarray(n, np.int64).tobytes() for n in pdf["n"]]})
+
+    for r in by_row.mapInPandas(pack, "codes binary, n binary").toLocalIterator():
+        out[np.frombuffer(r.codes, np.int64)] = np.frombuffer(r.n, np.int64)
     return out.reshape(size, size)
 
 
@@ -212,8 +220,11 @@ def occurrences(docs: DataFrame, lexicon: Lexicon, of: np.ndarray, learns: Colum
         tallied, held_codes, n_codes = np.zeros((2, 0), np.int64), [], 0
 
         def tally() -> np.ndarray:
-            code, n = np.unique(np.concatenate([tallied[0], *held_codes]), return_inverse=True)
-            return np.stack([code, np.bincount(n, weights=np.r_[tallied[1], np.ones(len(n) - tallied.shape[1])], minlength=len(code)).astype(np.int64)])
+            new = np.stack(np.unique(np.concatenate([np.zeros(0, np.int64), *held_codes]), return_counts=True))
+            if not tallied.size:
+                return new
+            code, at = np.unique(np.r_[tallied[0], new[0]], return_inverse=True)
+            return np.stack([code, np.bincount(at, weights=np.r_[tallied[1], new[1]], minlength=len(code)).astype(np.int64)])
 
         def batch_of(n: int, **columns) -> pa.RecordBatch:
             arrays = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
@@ -325,8 +336,7 @@ class ClassModel:
             self.cell[:, -1] = np.log10(self.step[:, -1])
             word = np.log10(np.maximum(lexicon.counts - discount, 1e-9))
             word[-1] = 0.0
-        # what a held word adds behind each class
-        self.held = self.cell[:, held_class] + word
+        self.word = word  # what a held word's own count adds to its class's cell
 
 
 def _model(seen: DataFrame, lexicon: Lexicon, of: np.ndarray, bigrams: np.ndarray, discount: float) -> ClassModel:
@@ -370,17 +380,18 @@ def _lexicon(texts: DataFrame, clustered: int, classes: int, held_words: int) ->
 def _scored(seen: DataFrame, model: ClassModel) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of ``occurrences``."""
     lexicon = model.lexicon
-    shared = seen.sparkSession.sparkContext.broadcast((model.held.ravel(), model.held.shape[1]))
+    shared = seen.sparkSession.sparkContext.broadcast((model.cell, model.held_class.astype(np.int16), model.word))
 
     @F.pandas_udf("double")
     def local(codes: pd.Series) -> pd.Series:
-        held, _ = shared.value
+        cell, held_class, word = shared.value
         lists = codes.tolist()
         out = np.zeros(len(lists))
         for lo in range(0, len(lists), 512):
             part = lists[lo : lo + 512]
             sizes = np.array([len(x) for x in part])  # a text has its end at least
-            out[lo : lo + 512] = np.add.reduceat(held[np.concatenate(part)], np.cumsum(sizes) - sizes)
+            before, number = np.divmod(np.concatenate(part), len(word))
+            out[lo : lo + 512] = np.add.reduceat(cell[before, held_class[number]] + word[number], np.cumsum(sizes) - sizes)
         return pd.Series(out)
 
     own = seen.where("codes is not null").select("row", "doc_id", "n_tokens", "n_known", "base", local("codes").alias("score"))
