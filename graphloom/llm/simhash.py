@@ -190,8 +190,14 @@ def walk(keys: np.ndarray, cut: int | None, bits: int, budget: int, accept, fore
     """
     n = len(keys)
 
+    ones: dict[int, np.ndarray] = {}
+
     def middle(lo, hi, depth):
         """Where the keys of a node turn from bit 0 to bit 1 at ``depth``."""
+        if n <= 1 << 19:  # counts of ones up to each key, for each depth: faster, and of bounded size
+            if depth not in ones:
+                ones[depth] = np.r_[0, np.cumsum((keys >> np.uint64(63 - depth)) & ONE)].astype(np.int32)
+            return hi - (ones[depth][hi] - ones[depth][lo])
         prefix = (keys[lo] >> np.uint64(64 - depth)) << ONE if depth else np.zeros(len(lo), np.uint64)
         return np.clip(np.searchsorted(keys, (prefix | ONE) << np.uint64(63 - depth)), lo, hi)
 
