@@ -203,3 +203,13 @@ def test_near_duplicates_of_nothing_and_repeated_rows(spark):
     rows = [(1, "a b c", 1), (1, "a b c", 2), (2, "a b c", 3), (None, "z", 4), (None, "z", 5), (3, None, 6)]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, least long")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == [(False, 1, "a b c"), (False, 3, ""), (True, 0, "z")]
+
+
+def test_query_columns_of_any_name_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = [(1, long, "a", 1, 2), (2, long + " tail", "b", 1, 2), (3, "short one", "c", 1, 2), (3, "short one", "c", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n int, component long")
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()}
+    prints = {d: f"{brute_fingerprint(t, 3):016x}" for d, t, *_ in rows}
+    near = (int(prints[1], 16) ^ int(prints[2], 16)).bit_count() <= 2
+    assert got == {(1, prints[1], 1), (2, prints[2], 1 if near else 2), (3, prints[3], 3)}
