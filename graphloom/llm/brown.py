@@ -39,6 +39,8 @@ HELD = 200_000
 #: distinct words that a counting task holds before it passes them on
 TALLY = 500_000
 SMOOTHING = 20.0
+#: words of a text that are not held up to which they go on one by one
+FEW_OTHERS = 256
 END = " "
 
 
@@ -55,15 +57,15 @@ def words_of(text: str | None) -> list[bytes]:
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) of the column ``text``; the end of a text counts as the word ``END``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": pd.Series([w.decode() for w in tally], dtype=object), "c": np.fromiter(tally.values(), np.int64, len(tally))})
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_text(list(tally)), pa.array(np.fromiter(tally.values(), np.int64, len(tally)))], names=["word", "c"])
 
-        for pdf in batches:
-            for text in pdf["text"]:
-                tally.update(words_of(text))
+        for batch in batches:
+            for text in batch.column(0):
+                tally.update(words_of(text.as_py()))
                 tally[END.encode()] += 1
                 if len(tally) > TALLY:
                     yield out()
@@ -71,7 +73,19 @@ def count_words(texts: DataFrame) -> DataFrame:
         if tally:
             yield out()
 
-    return texts.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _text(words: list[bytes]) -> pa.Array:
+    """Words, which are UTF-8, as an array of texts."""
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
+class _Numbers(dict):
+    """Numbers of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 def frequent_words(vocab: DataFrame, most: int) -> list[tuple[str, int]]:
@@ -150,7 +164,7 @@ class Lexicon:
     """Numbers of the held words (the end of a text is the last) and symbols: core words, endings, the end."""
 
     def __init__(self, held: list[tuple[str, int]], core: int, ends: int, n: int, v: int) -> None:
-        self.number = {w.encode(): k for k, (w, _) in enumerate(held)}
+        self.number = _Numbers({w.encode(): k for k, (w, _) in enumerate(held)})
         self.held, self.core, self.n, self.v = len(held) + 1, core, n, v
         self.counts = np.array([*(c for _, c in held), ends], np.float64)
         self.symbols = core + ENDINGS + 1
@@ -159,11 +173,10 @@ class Lexicon:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers among the held words (-1: not held) and symbols of a text's words and its end."""
-        get = self.number.get
-        held = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        held = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         symbol = self.symbol[held]
-        for k in np.flatnonzero(held < 0):
-            symbol[k] = self.core + ending(words[k])
+        other = np.flatnonzero(held < 0)
+        symbol[other] = np.fromiter((self.core + ending(words[k]) for k in other.tolist()), np.int64, len(other))
         return np.r_[held, self.held - 1], np.r_[symbol, self.symbols - 1]
 
 
@@ -233,7 +246,8 @@ def occurrences(docs: DataFrame, lexicon: Lexicon, of: np.ndarray, learns: Colum
         for batch in batches:
             ids, texts, learn = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for lo, hi in slices(texts, 256):
-                tokens, known, bases, codes, tails = [], [], [], [], []
+                tokens, known, bases, codes = [], [], [], []
+                tail_words, tail_rows = [], []  # words that are not held; row, class before, count and whether it is learnt from
                 for at in range(lo, hi):
                     words = words_of(texts[at])
                     held, symbol = lexicon.read(words)
@@ -248,15 +262,21 @@ def occurrences(docs: DataFrame, lexicon: Lexicon, of: np.ndarray, learns: Colum
                         held_codes.append(own)
                         n_codes += len(own)
                     other = np.flatnonzero(~mine)
-                    tails += [(row, w, a, k, learn[at]) for (w, a), k in Counter((words[i], int(before[i])) for i in other).items()]
+                    if len(other) <= FEW_OTHERS:
+                        tail_words += [words[i] for i in other.tolist()]
+                        tail_rows.append(np.stack([np.full(len(other), row), before[other], np.ones(len(other), np.int64), np.full(len(other), int(learn[at]))]))
+                    else:  # a long text may repeat a word at will: its repeats are counted here
+                        found = Counter(zip([words[i] for i in other.tolist()], before[other].tolist()))
+                        tail_words += [w for w, _ in found]
+                        tail_rows.append(np.array([[row, a, k, int(learn[at])] for (_, a), k in found.items()]).T)
                     row += 1
                 sizes = np.array([len(c) for c in codes])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(codes).astype(np.int32)))
                 yield batch_of(hi - lo, row=pa.array(np.arange(row - (hi - lo), row)), doc_id=ids.slice(lo, hi - lo), n_tokens=pa.array(tokens), n_known=pa.array(known), base=pa.array(bases), codes=lists)
-                if tails:
-                    r, w, a, k, l = zip(*tails)
-                    yield batch_of(len(tails), row=pa.array(r), word=pa.array([x.decode() for x in w]), a=pa.array(a), k=pa.array(k), learns=pa.array(l))
-                if n_codes > 1 << 22:
+                if tail_words:
+                    r, a, k, l = np.concatenate(tail_rows, axis=1)
+                    yield batch_of(len(r), row=pa.array(r), word=_text(tail_words), a=pa.array(a), k=pa.array(k), learns=pa.array(l.astype(bool)))
+                if n_codes > 1 << 20:
                     tallied, held_codes, n_codes = tally(), [], 0
         if held_codes or tallied.size:
             tallied = tally()
