@@ -245,7 +245,7 @@ def _(t):
     return analyze.resolve_interface(t.spark.createDataFrame([("iface",)], "node_id string"), made.unionByName(g.calls(t)), g.nodes(t), True)
 
 
-@query("openapi", """WITH r AS (SELECT 'GET' AS method, '/b' || p_size % 5 AS path, 'h' || p_partkey AS handler, 'f.go' AS file, p_partkey AS line FROM part),
+@query("api_document", """WITH r AS (SELECT 'GET' AS method, '/b' || p_size % 5 AS path, 'h' || p_partkey AS handler, 'f.go' AS file, p_partkey AS line FROM part),
 l AS (SELECT path, lower(method) AS method, arg_max(handler, lpad(handler, 20, ' ')) AS any_handler, max(handler) AS handler FROM r GROUP BY 1, 2) SELECT path, handler, length(path) > 0 AS ok FROM l""", graph=False)
 def _(t):
     surface = t.part.select(F.lit("GET").alias("method"), F.concat(F.lit("/b"), (F.col("p_size") % 5).cast("string")).alias("path"), F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("handler"), F.lit("f.go").alias("file"), F.col("p_partkey").cast("int").alias("line"), F.array(F.lit("jwt")).alias("auth_chain"))
