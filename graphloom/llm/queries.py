@@ -9,6 +9,7 @@ from graphloom.llm import sql
 #: query name -> module of this package that defines it
 NAMES = {
     "op10_lm_scoring": "brown",
+    "op13_filter_audit": "filter_audit",
     "op1_toxicity": "toxicity",
     "op2_exact_topk": "topk",
     "op3_quality_classifier": "quality",
@@ -36,4 +37,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator over whole tables."""
-    return {"op2_exact_topk": sql.EXACT_TOPK, "op9_benchmark_decontamination": sql.DECONTAMINATION}
+    return {"op2_exact_topk": sql.EXACT_TOPK, "op9_benchmark_decontamination": sql.DECONTAMINATION, "op13_filter_audit": sql.FILTER_AUDIT}
