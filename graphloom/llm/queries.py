@@ -9,6 +9,7 @@ from graphloom.llm import sql
 #: query name -> module of this package that defines it
 NAMES = {
     "op10_lm_scoring": "brown",
+    "op11_media_columns": "media",
     "op13_filter_audit": "filter_audit",
     "op1_toxicity": "toxicity",
     "op2_exact_topk": "topk",
