@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.adjacency import SENT_FRONTIER, Adjacency
 from graphloom.storage import cut, release
 
 EAGER_FROM = 3
 DEFAULT_DEPTH = 5
-#: rows of a frontier up to which it is sent to all tasks, so that the edges stay where they are
-SENT_FRONTIER = 200_000
 
 
 def oriented(edges: DataFrame, direction: str = "forward", labels: list[str] | None = None) -> DataFrame:
     """(src, dst, label, call_site) of the chosen labels: forward, reverse or both ways."""
+    edges = edges.where("from_id is not null and to_id is not null")
     if labels:
         edges = edges.where(F.col("label").isin(*labels))
     site = F.col("call_site") if "call_site" in edges.columns else F.lit(None).cast("string")
@@ -31,25 +31,29 @@ def oriented(edges: DataFrame, direction: str = "forward", labels: list[str] | N
     return {"forward": ahead, "reverse": back}.get(direction) if direction != "both" else ahead.unionByName(back)
 
 
-def _bfs(seeds: DataFrame, steps: DataFrame, depth: int, labels: list[str] | None = None) -> DataFrame:
+def _bfs(seeds: DataFrame, edges: DataFrame | Adjacency, direction: str, wanted: list[str], depth: int, labels: list[str] | None = None) -> DataFrame:
     """Rows (seed_id, node_id, hop, parent_id, label, call_site) reached from ``seeds`` (seed_id, node_id).
 
-    With ``labels`` each of them is walked by itself and a node comes once for each.
+    With ``labels`` each of them is walked by itself and a node comes once for each.  Stored edges are read where they lie.
     """
+    stored = isinstance(edges, Adjacency)
     keys = ["seed_id", "walk"]
     none = F.lit(None).cast("string")
     eager = depth >= EAGER_FROM
     frontier = seeds.select("seed_id", F.explode(F.array(*map(F.lit, labels or ["*"]))).alias("walk"), "node_id")
-    at = steps.withColumnRenamed("label", "edge_label")
-    if eager:  # the edges are made once, however many levels read them
-        at, frontier = cut(at), cut(frontier.distinct())
+    at = None if stored else oriented(edges, direction, wanted).withColumnRenamed("label", "edge_label")
+    if eager:
+        frontier = cut(frontier.distinct())
+        if not stored:  # the edges are made once, however many levels read them
+            at = cut(at)
     visited = frontier.select(*keys, "node_id")
     out, rows_ahead = None, frontier.count() if eager else None
     for hop in range(1, depth + 1):
         ahead = frontier.select(*keys, F.col("node_id").alias("src"))
-        if eager and rows_ahead <= SENT_FRONTIER:
-            ahead = F.broadcast(ahead)
-        met = at.join(ahead, "src")
+        if stored:
+            met = edges.step(ahead, direction, wanted, rows_ahead)
+        else:
+            met = at.join(F.broadcast(ahead) if eager and rows_ahead <= SENT_FRONTIER else ahead, "src")
         if labels:
             met = met.where(F.col("walk") == F.col("edge_label"))
         best = met.groupBy(*keys, F.col("dst").alias("node_id")).agg(F.min(F.struct("src", "edge_label", "call_site")).alias("via"))
@@ -63,28 +67,27 @@ def _bfs(seeds: DataFrame, steps: DataFrame, depth: int, labels: list[str] | Non
         out = rows if out is None else out.unionByName(rows)
         frontier = new.select(*keys, "node_id")
         visited = visited.unionByName(frontier)
-    if eager:
+    if eager and not stored:
         release(at)
     if out is None:
         out = frontier.where("false").select("seed_id", "node_id", F.lit(0).alias("hop"), none.alias("parent_id"), none.alias("label"), none.alias("call_site"))
     return out
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, labels: list[str] = ("calls",), direction: str = "forward", max_depth: int = DEFAULT_DEPTH,
+def traverse(seeds: DataFrame, edges: DataFrame | Adjacency, labels: list[str] = ("calls",), direction: str = "forward", max_depth: int = DEFAULT_DEPTH,
              mode: str = "per_label", nodes: DataFrame | None = None, target_labels: list[str] | None = None) -> DataFrame:
     """(seed_id, node_id, hop, parent_id, label, call_site): nodes reachable from ``seeds`` (seed_id, node_id).
 
     ``per_label`` walks each label by itself and keeps, for a node reached along several, the first in the order
-    of ``labels``; ``mixed`` walks all together.  A depth of 0 or less is the default.  ``target_labels`` (with
+    of ``labels``; ``mixed`` walks all together.  Edges are a frame or a stored adjacency.  A depth of 0 or less is the default.  ``target_labels`` (with
     ``nodes``) restricts what is emitted.  Null ends never match.
     """
     labels = list(labels) or ["calls"]
     depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
-    steps = oriented(edges, direction, labels)
     if mode == "mixed" or len(labels) == 1:
-        out = _bfs(seeds, steps, depth)
+        out = _bfs(seeds, edges, direction, labels, depth)
     else:
-        walked = _bfs(seeds, steps, depth, labels)
+        walked = _bfs(seeds, edges, direction, labels, depth, labels)
         order = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
         first = F.min_by(F.struct("hop", "parent_id", "label", "call_site"), F.struct(order, "hop"))
         out = walked.groupBy("seed_id", "node_id").agg(first.alias("f")).select("seed_id", "node_id", "f.*")
@@ -120,11 +123,13 @@ def neighbour_rows(edges: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFra
     wanted = of.select(F.col("node_id").alias("center"))
     kinds = [("callees", "calls", "from_id", "to_id", None), ("callers", "calls", "to_id", "from_id", None), ("sinks", "data_flow", "from_id", "to_id", "field_path"),
              ("sources", "data_flow", "to_id", "from_id", "arg_expr"), ("reads", "reads", "from_id", "to_id", "field"), ("writes", "writes", "from_id", "to_id", "field")]
-    rows = None
-    for kind, label, here, there, prop in kinds:
+    # one scan: an edge gives a row for each kind that its label stands for
+    def as_kind(kind, label, here, there, prop):
         detail = F.try_element_at("props", F.lit(prop)) if prop else F.lit(None).cast("string")
-        part = edges.where(F.col("label") == label).select(F.col(here).alias("center"), F.lit(kind).alias("kind"), F.col(there).alias("other_id"), detail.alias("detail"))
-        rows = part if rows is None else rows.unionByName(part)
+        return F.when(F.col("label") == label, F.struct(F.col(here).alias("center"), F.lit(kind).alias("kind"), F.col(there).alias("other_id"), detail.alias("detail")))
+
+    known = edges.where(F.col("label").isin(*sorted({k[1] for k in kinds})))
+    rows = known.select(F.explode(F.array_compact(F.array(*(as_kind(*k) for k in kinds)))).alias("e")).select("e.*")
     found = rows.join(wanted, "center", "left_semi").join(
         nodes.where("qualified is not null").select(F.col("node_id").alias("other_id"), F.col("qualified").alias("other_qualified")), "other_id"
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import ann
-from graphloom.plans.catalogue import query
+from graphloom.operators import adjacency, analyze, ann
+from graphloom.plans import driver_graph as g
+from graphloom.plans.catalogue import BLAST, OVERLAP, _all, _bfs_sql, _diffs, query
 from graphloom.storage import new_folder
 
 # --- vectors by cell ----------------------------------------------------------------------------------------------------
@@ -18,3 +19,20 @@ def _(t):
     asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     rows = ann.recall(index.search_many(asked), ann.exact_many(t.embeddings, asked, id_column="vec_id"), "vec_id")
     return rows.select("queries", "expected", (F.col("recall") >= 0.9).alias("recall_is_enough"))
+
+
+# --- adjacency on disk ------------------------------------------------------------------------------------------------
+
+
+@query("blast_radius_stored", BLAST + "SELECT h.node_id, qualified, file_path, hop FROM hops h JOIN nodes n ON n.node_id = h.node_id")
+def _(t):
+    nodes, stored = g.nodes(t), adjacency.save(g.calls(t), new_folder(t.spark))
+    return analyze.blast_radius(_all(nodes, "supplier"), stored, nodes).select("node_id", "qualified", "file_path", "hop")
+
+
+@query("diff_impact_stored", OVERLAP + _bfs_sql("SELECT * FROM calls", "SELECT node_id FROM changed", 3, True) + """SELECT node_id, CAST(0 AS INTEGER) AS hop, 'changed' AS role FROM changed UNION ALL
+SELECT h.node_id, h.hop, 'affected' FROM hops h WHERE h.node_id IN (SELECT node_id FROM nodes) AND h.node_id NOT IN (SELECT node_id FROM changed)""")
+def _(t):
+    nodes, stored = g.nodes(t), adjacency.save(g.calls(t), new_folder(t.spark))
+    as_code = nodes.withColumn("label", F.when(F.col("label") == "part", "function").otherwise(F.col("label")))
+    return analyze.diff_impact(_diffs(t), stored, as_code).select("node_id", "hop", "role")
