@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import ids, paths
-from graphloom.operators import link, traverse
+from graphloom.operators import link, ranges, traverse
 from graphloom.storage import cut
 
 # --- trace and blast radius -----------------------------------------------------------------------------------------
@@ -48,24 +48,12 @@ def diff_ranges(diffs: DataFrame) -> DataFrame:
     return diffs.select(path.alias("file_path"), F.explode_outer(paths.hunks(F.coalesce("patch", F.lit("")))).alias("h")).select("file_path", "h.start", "h.end")
 
 
-def overlapping(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Nodes whose lines meet a range of their file: an equi join on the path with the overlap as residual.
-
-    A node without an end ends where it starts; one without lines, and a range without lines, always match.
-    """
-    start, end = F.coalesce("start_line", F.lit(0)), F.coalesce("end_line", F.lit(0))
-    end = F.when(end == 0, start).otherwise(end)
-    lines = ranges.select(F.col("file_path").alias("__path"), F.col("start").alias("__lo"), F.col("end").alias("__hi")).distinct()
-    hit = ((start == 0) & (end == 0)) | F.col("__lo").isNull() | ((start <= F.col("__hi")) & (end >= F.col("__lo")))
-    return nodes.join(lines, (F.col("file_path") == F.col("__path")) & hit, "left_semi")
-
-
 def diff_impact(diffs: DataFrame, edges: DataFrame, nodes: DataFrame, labels: list[str] = ("calls",), max_depth: int = 0) -> DataFrame:
     """(node_id, qualified, file_path, hop, role): changed symbols (hop 0) and what depends on them, production or test.
 
     One search from all changed symbols at once; a changed symbol is not affected by itself or others.
     """
-    changed = cut(overlapping(nodes.where(F.col("label").isin("function", "class")), diff_ranges(diffs)).select("node_id", "qualified", "file_path"))
+    changed = cut(ranges.overlapping(nodes.where(F.col("label").isin("function", "class")), diff_ranges(diffs)).select("node_id", "qualified", "file_path"))
     hit = blast_radius(changed.select("node_id"), edges, nodes, labels, max_depth).join(changed.select("node_id"), "node_id", "left_anti")
     test = F.coalesce(F.col("file_path").contains("_test.go"), F.lit(False))
     rows = changed.select("node_id", "qualified", "file_path", F.lit(0).alias("hop"), F.lit("changed").alias("role"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.functions import text
+from graphloom.functions.joins import spread
 from graphloom.operators.tables import SegmentTable
 from graphloom.storage import cut
 
@@ -78,13 +79,44 @@ def similar_pairs(rows: DataFrame, least: float, group: list[str], strict: bool
     return out.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
 
 
+def similar_classes(rows: DataFrame, least: float, group: list[str], strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, members, links) of entries (group, entry, content) that are similar.
+
+    A class is the entries of one group with equal word sets; its smallest entry stands for it.  ``classes`` has (group,
+    class_id, n_members, n_links, least): how many other classes are similar, and the smallest entry of the class and those.
+    ``members`` has (group, entry) and those columns of its class, ``links`` (group, a, b, similarity) of classes, a before b.  All pairs of
+    entries follow from links and members (``expanded``); here equal entries, however many, are one row and a membership.
+    Entries without words are in no class.
+    """
+    sets = rows.select(*group, "entry", "content", text.word_set(F.col("content")).alias("w")).where(F.size("w") > 0).withColumn("set", F.sha2(F.array_join(F.array_sort("w"), " "), 256))
+    found = cut(sets.groupBy(*group, "set").agg(F.min("entry").alias("class_id"), F.min_by("content", "entry").alias("content"), F.count("*").alias("n_members")))
+    links = cut(similar_pairs(found.select(*group, F.col("class_id").alias("entry"), "content"), least, group, strict))
+    ends = links.select(*group, F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("other")))).alias("e"))
+    near = ends.select(*group, "e.*").groupBy(*group, "class_id").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
+    classes = found.join(near, [*group, "class_id"], "left").select(*group, "set", "class_id", "n_members", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.least("class_id", "other").alias("least"))
+    total = found.agg(F.sum("n_members")).first()[0] or 0
+    keyed = classes.withColumn("__n", F.col("n_members"))
+    members = spread(sets.select(*group, "set", "entry"), keyed, [*group, "set"], "__n", total)
+    return classes.drop("set"), members.drop("set"), links
+
+
+def expanded(members: DataFrame, links: DataFrame, group: list[str]) -> DataFrame:
+    """(group, a, b) of all similar pairs of entries, a before b: as many rows as that are, for groups where those are few."""
+    one = members.select(*group, F.col("entry").alias("x"), F.col("class_id").alias("cx"))
+    two = members.select(*group, F.col("entry").alias("y"), F.col("class_id").alias("cy"))
+    within = one.join(two.withColumnRenamed("cy", "cx"), [*group, "cx"]).where("x < y").select(*group, F.col("x").alias("a"), F.col("y").alias("b"))
+    across = links.select(*group, F.col("a").alias("cx"), F.col("b").alias("cy")).join(one, [*group, "cx"]).join(two, [*group, "cy"])
+    return within.unionByName(across.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def validate(evidence: DataFrame, goal: str, group: list[str]) -> DataFrame:
     """Evidence (entry, content, source and four scores) with clamped and capped scores and its ``priority``.
 
     Novelty is at most 0.1 after a similar earlier entry, relevance at most 0.5 without a word of the goal, confidence
     at most what the source allows.
     """
-    repeats = similar_pairs(evidence, 0.8, group).select(*group, F.col("b").alias("entry")).distinct().withColumn("repeat", F.lit(True))
+    _, members, _ = similar_classes(evidence, 0.8, group)
+    repeats = members.where(F.col("entry") > F.col("least")).select(*group, "entry").withColumn("repeat", F.lit(True))
     words = [w for w in goal.lower().split() if len(w.encode()) > 3]
     on_goal = F.lit(False)
     for w in words:
@@ -148,13 +180,14 @@ def persistable(evidence: DataFrame, hypotheses: DataFrame, strategy: DataFrame)
 
 def is_redundant(candidates: DataFrame, evidence: DataFrame, least: float = 0.7) -> DataFrame:
     """Candidates (entry, content) that are like some evidence (content), each once."""
-    known = evidence.select("content").distinct()  # equal texts are one; each is named by itself
-    every = candidates.select(F.lit(0).alias("g"), F.concat(F.lit("c:"), F.col("entry").cast("string")).alias("entry"), "content").unionByName(
-        known.select(F.lit(0).alias("g"), F.concat(F.lit("e:"), F.sha2("content", 256)).alias("entry"), "content")
+    name = lambda kind: F.concat(F.lit(kind), F.sha2("content", 256))
+    # equal texts are one on either side
+    every = candidates.select("content").distinct().select(F.lit(0).alias("g"), name("c:").alias("entry"), "content").unionByName(
+        evidence.select("content").distinct().select(F.lit(0).alias("g"), name("e:").alias("entry"), "content")
     )
     pairs = similar_pairs(every, least, ["g"])
-    hit = pairs.where(F.col("a").startswith("c:") & F.col("b").startswith("e:")).select(F.expr("substring(a, 3)").alias("entry")).distinct()
-    return candidates.join(hit, candidates["entry"].cast("string") == hit["entry"], "left_semi")
+    hit = pairs.where(F.col("a").startswith("c:") & F.col("b").startswith("e:")).select(F.expr("substring(a, 3)").alias("__hash")).distinct()
+    return candidates.withColumn("__hash", F.sha2("content", 256)).join(hit, "__hash", "left_semi").drop("__hash")
 
 
 def valid_messages(messages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import ids, paths, text, vectors
-from graphloom.operators import analyze, derive, link, memory, search, store, sync, traverse
+from graphloom.operators import analyze, derive, link, memory, ranges, search, store, sync, traverse
 from graphloom.plans import driver_graph as g
 from graphloom.plans.driver_graph import Tables
 from graphloom.streaming import changefeed
@@ -250,7 +250,7 @@ OVERLAP = PATCH_SQL + """, changed AS (SELECT DISTINCT n.node_id, n.qualified, n
 
 @query("diff_impact_overlap", OVERLAP + "SELECT node_id, qualified, file_path FROM changed")
 def _(t):
-    return analyze.overlapping(store.scan_nodes(g.nodes(t), labels=["part"]), analyze.diff_ranges(_diffs(t))).select("node_id", "qualified", "file_path")
+    return ranges.overlapping(store.scan_nodes(g.nodes(t), labels=["part"]), analyze.diff_ranges(_diffs(t))).select("node_id", "qualified", "file_path")
 
 
 @query("diff_impact_blast", OVERLAP + _bfs_sql("SELECT * FROM calls", "SELECT node_id FROM changed", 3, True) + """SELECT node_id, qualified, CAST(0 AS INTEGER) AS hop, 'changed' AS role FROM changed UNION ALL

@@ -4,7 +4,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import analyze, derive, link, store, traverse
+from graphloom.operators import analyze, derive, link, ranges, store, traverse
 
 NODE = "node_id string, label string, name string, qualified string, file_path string, start_line int, end_line int"
 
@@ -105,7 +105,7 @@ def test_diff_impact(spark):
     got = {(r.node_id, r.hop, r.role) for r in analyze.diff_impact(diffs, edges, nodes).collect()}
     assert got == {("login", 0, "changed"), ("none", 0, "changed"), ("old", 0, "changed"), ("h", 1, "affected"), ("t", 2, "test")}
     edge = frame(spark, [("pkg/auth.go", None, "renamed", "@@ -1 +50,1 @@")], DIFF)
-    assert {r.node_id for r in analyze.overlapping(nodes, analyze.diff_ranges(edge)).collect()} == {"far", "none"}
+    assert {r.node_id for r in ranges.overlapping(nodes, analyze.diff_ranges(edge)).collect()} == {"far", "none"}
 
 
 def test_call_resolution_and_labels(spark):
