@@ -18,6 +18,8 @@ from graphloom.storage import cut
 BLOCK, SHARDS, LEVELS = 1024, 64, 16
 #: a (term, level) with more postings than this and than a hundred-thousandth of all is split: at most 100,000 are
 HOT, MOST_HOT = 8192, 100_000
+#: documents up to which a search names the blocks that may hold them
+MOST_NAMED = 1000
 
 
 @dataclass
@@ -37,54 +39,77 @@ class TextIndex:
         shards = sorted({int(r[0]) for r in self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term")).select(shard_of(F.col("term"))).collect()})
         return self.table("dictionary").where(F.col("shard").isin(shards) & F.col("term").isin(*terms)).orderBy("field", "term", F.desc("level")).collect()
 
-    def blocks(self, chosen: list[tuple[str, str, int]]) -> DataFrame:
-        """Blocks of the chosen (field, term, lowest level): folders by shard, row groups by term, rows by level."""
-        shards = F.array_distinct(F.array(*(shard_of(F.lit(t)) for _, t, _ in chosen)))
-        shards = [int(x) for x in self.spark.range(1).select(shards).first()[0]]
-        wanted = F.lit(False)
-        for name, term, level in chosen:
-            wanted = wanted | ((F.col("field") == name) & (F.col("term") == term) & (F.col("level") >= level))
-        return self.table("postings").where(F.col("shard").isin(shards) & F.col("term").isin(*sorted({t for _, t, _ in chosen})) & wanted)
-
-    def _scores(self, chosen: list[tuple[str, str, int]], weights: dict[tuple[str, str], float]) -> DataFrame:
+    def blocks(self, wanted: list[tuple[str, str, int, list[int] | None]]) -> DataFrame:
+        """Blocks of (field, term, level, block numbers or None for all): folders by shard, row groups by term."""
+        shards = [int(x) for x in self.spark.range(1).select(F.array_distinct(F.array(*(shard_of(F.lit(w[1])) for w in wanted)))).first()[0]]
+        some = F.lit(False)
+        for name, term, level, numbers in wanted:
+            one = (F.col("field") == name) & (F.col("term") == term) & (F.col("level") == level)
+            some = some | (one if numbers is None else one & F.col("block").isin(numbers))
+        return self.table("postings").where(F.col("shard").isin(shards) & F.col("term").isin(*sorted({w[1] for w in wanted})) & some)
+
+    def _scores(self, wanted: list, weights: dict[tuple[str, str], float]) -> DataFrame:
+        if not wanted:
+            return self._none()
         weight = F.element_at(F.create_map(*(x for (f, t), w in weights.items() for x in (F.lit(f + "\n" + t), F.lit(w)))), F.concat("field", F.lit("\n"), "term"))
-        rows = self.blocks(chosen).select(F.explode(F.arrays_zip("ids", "impacts")).alias("p"), weight.alias("weight"))
-        return rows.groupBy(F.col("p.ids").alias(self.id_column)).agg(F.sum(F.col("p.impacts") * F.col("weight")).alias("score"))
+        rows = self.blocks(wanted).select(F.explode(F.arrays_zip("ids", "impacts")).alias("p"), weight.alias("weight"))
+        return rows.select(F.col("p.ids").alias(self.id_column), (F.col("p.impacts") * F.col("weight")).alias("score"))
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(self.id_column).agg(F.sum("score").alias("score"))
+
+    def _none(self) -> DataFrame:
+        return self.table("postings").select(F.explode("ids").alias(self.id_column), F.lit(0.0).alias("score")).where("false")
 
     def search(self, terms: list[str], k: int = 10) -> DataFrame:
         """(id, score): the ``k`` best by BM25 over all fields, best first, ties by id, as ``bm25_scores`` gives them.
 
-        The highest levels give ``k`` documents and so a score that the answer reaches.  Levels whose postings cannot get
-        there, with the most that all other terms can add, are not read: no document of the answer lies in them.
+        The highest levels give ``k`` documents and so a score that the answer reaches.  Terms that all together cannot reach it
+        find no document by themselves.  Of the others, levels that cannot reach it with the most that all terms can add are
+        not read: no document of the answer lies in them.  What the first kind of terms adds is read for the documents found,
+        from the blocks that their hashes name.
         """
         terms = list(dict.fromkeys(terms))
         found = self.levels(terms) if terms else []
-        empty = self.table("postings").select(F.explode("ids").alias(self.id_column), F.lit(0.0).alias("score")).where("false")
         if not found or k < 1:
-            return empty
+            return self._none()
         weights = {(r.field, r.term): r.weight for r in found}
         most: dict[tuple[str, str], float] = {}
         for r in found:
             most[r.field, r.term] = max(most.get((r.field, r.term), 0.0), r.weight * r.most)
-        every = sum(most.values())
-        # first the levels with the highest scores, until they hold k postings of one term
-        first, held, reached = [], {}, 0.0
+        every, reached = sum(most.values()), self._reached(found, weights, k)
+        light, adds = set(), 0.0
+        for key in sorted(most, key=lambda x: (most[x], x)):
+            if adds + most[key] >= reached:
+                break
+            light.add(key)
+            adds += most[key]
+        heavy = [(r.field, r.term, r.level, None) for r in found if (r.field, r.term) not in light and r.weight * r.most + every - most[r.field, r.term] >= reached]
+        partial = self._summed(self._scores(heavy, weights))
+        if light:
+            near = cut(partial.where(F.col("score") >= reached - adds))
+            rest = self._scores(self._holding(near, [r for r in found if (r.field, r.term) in light]), weights)
+            partial = self._summed(near.unionByName(rest.join(near.select(self.id_column), self.id_column, "left_semi")))
+        return partial.select(self.id_column, F.round("score", DIGITS).alias("score")).orderBy(F.desc("score"), self.id_column).limit(k)
+
+    def _reached(self, found: list, weights: dict, k: int) -> float:
+        """A score that the ``k`` best have, less what rounding may hide: from the levels with the highest scores, until they
+        hold ``k`` postings of one term."""
+        first, held = [], {}
         for r in sorted(found, key=lambda r: (-r.weight * r.most, r.field, r.term)):
-            first.append((r.field, r.term, r.level))
+            first.append((r.field, r.term, r.level, None))
             held[r.field, r.term] = held.get((r.field, r.term), 0) + r.n
             if held[r.field, r.term] >= k:
-                best = self._scores(first, weights).orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count("*")).first()
-                reached = best[0] if best[1] == k else 0.0
-                break
-        margin = 10.0**-DIGITS  # scores are rounded before they are ranked
-        lowest: dict[tuple[str, str], int] = {}
-        for r in found:
-            bound = r.weight * r.most + every - most[r.field, r.term]
-            if bound >= reached - margin:
-                lowest[r.field, r.term] = min(r.level, lowest.get((r.field, r.term), r.level))
-        chosen = [(f, t, level) for (f, t), level in sorted(lowest.items())]
-        scores = self._scores(chosen, weights).select(self.id_column, F.round("score", DIGITS).alias("score"))
-        return scores.orderBy(F.desc("score"), self.id_column).limit(k)
+                best = self._summed(self._scores(first, weights)).orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count("*")).first()
+                return best[0] - 10.0**-DIGITS if best[1] == k else 0.0
+        return 0.0
+
+    def _holding(self, near: DataFrame, levels: list) -> list:
+        """The blocks of ``levels`` that may hold documents of ``near``: named by their hashes where they are few."""
+        if near.count() > MOST_NAMED:
+            return [(r.field, r.term, r.level, None) for r in levels]
+        hashes = [r[0] for r in near.select(F.xxhash64(self.id_column)).collect()]
+        return [(r.field, r.term, r.level, sorted({h % r.parts for h in hashes})) for r in levels if hashes]
 
 
 def shard_of(term: Column) -> Column:
@@ -111,14 +136,14 @@ def build(docs: DataFrame, id_column: str, fields: dict[str, Column], path: str)
     sizes = cut(rows.groupBy("field", "term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("most"), F.first("docs").alias("docs")))
     df = sizes.groupBy("field", "term").agg(F.sum("n").alias("df"))
     weight = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    dictionary = sizes.join(df, ["field", "term"]).select("field", "term", "level", weight.alias("weight"), "most", "n", shard_of(F.col("term")).alias("shard"))
+    dictionary = sizes.join(df, ["field", "term"]).select("field", "term", "level", weight.alias("weight"), "most", "n", F.ceil(F.col("n") / BLOCK).alias("parts"), shard_of(F.col("term")).alias("shard"))
     key = ["field", "term", "level"]
     bound = max(HOT, (sizes.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
     dealt = sizes.select(*key, "n", F.ceil(F.col("n") / BLOCK).alias("parts"))
     hot = F.broadcast(dealt.where(F.col("n") > bound).drop("n"))
     cold = rows.join(hot.select(*key), key, "left_anti").join(dealt.where(F.col("n") <= bound).drop("n"), key)
     blocks = rows.join(hot, key).unionByName(cold).groupBy(*key, F.pmod(F.xxhash64(id_column), "parts").alias("block")).agg(F.collect_list(F.struct(id_column, "impact")).alias("p"))
-    stored = blocks.select("field", "term", "level", F.col(f"p.{id_column}").alias("ids"), F.col("p.impact").alias("impacts"), shard_of(F.col("term")).alias("shard"))
+    stored = blocks.select("field", "term", "level", "block", F.col(f"p.{id_column}").alias("ids"), F.col("p.impact").alias("impacts"), shard_of(F.col("term")).alias("shard"))
     for name, frame in (("postings", stored), ("dictionary", dictionary)):
         frame.repartitionByRange("shard", "term", "level").sortWithinPartitions("shard", "term", F.desc("level")).write.partitionBy("shard").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
         ddl = ", ".join(f"{c} {t}" for c, t in frame.dtypes)
