@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import table
+from graphloom.llm.common import materialise, table
 
 FILTERS = "ABCDE"
 A, B, C, D, E = 1, 2, 4, 8, 16
@@ -223,7 +223,8 @@ def fail_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows meet by (text, id) first and by text only after rows of one part, mask and label are added up, so copies of one
     text are never gathered.
     """
-    each = with_labels(scanned(docs).groupBy("digest", "doc_id", "part", "mask").agg(F.count("*").alias("n")), labels)
+    # texts are scanned once; the few bytes a row that are left are read by both branches below
+    each = with_labels(materialise(scanned(docs)).groupBy("digest", "doc_id", "part", "mask").agg(F.count("*").alias("n")), labels)
     groups = each.groupBy("digest", "part", "mask", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("doc_id").alias("least"),
         # null ids are neither smaller nor larger than others
