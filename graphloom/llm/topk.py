@@ -30,12 +30,18 @@ ROWS_AT_ONCE = 1024
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): components as floor(scale * x).  Rows with a null id, vector or component, or one that is not
-    finite, are left out; an empty vector stays and scores 0."""
+    finite, are left out; an empty vector stays and scores 0.  A component with no place in 64 bits is an error."""
     whole = F.transform("embedding", lambda x: x.cast("double"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     )
-    return vectors.select("vec_id", "embedding").where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(whole, lambda x: F.floor(x * scale)).alias("v"))
+    most = float(1 << 63)
+
+    def floored(x: Column) -> Column:
+        # floor() of a double beyond 64 bits would be the largest long
+        return F.when((x * scale >= most) | (x * scale < -most), F.raise_error(F.lit("a component has no place in 64 bits")).cast("long")).otherwise(F.floor(x * scale))
+
+    return vectors.select("vec_id", "embedding").where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(whole, floored).alias("v"))
 
 
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
@@ -80,6 +86,14 @@ def _pairs(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit numbers; an error where one has no place in 64 bits."""
+    out = a + b
+    if len(out) and (((a ^ out) & (b ^ out)) < 0).any():
+        raise OverflowError("a score has no place in 64 bits")
+    return out
+
+
 def _lengths(a: np.ndarray) -> np.ndarray:
     return np.sqrt((a.astype(np.float64) ** 2).sum(1))
 
@@ -186,10 +200,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
                     i, j, score = code // size, code % size, np.zeros(len(code), np.int64)
                     for (lo, hi), (have, local) in zip(spans, given):
                         known = np.searchsorted(code, have)
-                        score[known] += local
+                        score[known] = _added(score[known], local)
                         missing = np.ones(len(code), bool)
                         missing[known] = False
-                        score[missing] += _pairs(q[:, lo:hi], i[missing], c[:, lo:hi], j[missing])
+                        score[missing] = _added(score[missing], _pairs(q[:, lo:hi], i[missing], c[:, lo:hi], j[missing]))
                     stay = score >= cutoff[i]
                     best.add(*_expanded(members, ids, i[stay], j[stay], score[stay]))
             out = [(int(a), int(v), int(s)) for a, b in zip(ids, best.held) for s, v in b]

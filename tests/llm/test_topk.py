@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import sql, topk
@@ -67,3 +68,20 @@ def test_whole_table_against_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert sorted(con.sql(sql.EXACT_TOPK).fetchall()) == sorted(tuple(r) for r in topk.op2_exact_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [1.0, 0.0]), (1, [1e30, 1.0]), (2, [1.0, 1.0])], [(0, [1.0, 0.0]), (1, [1e17, 1.0])], [(0, [1.0, 0.0]), (1, [-1e18, 1.0])],
+    # each half has a place in 64 bits, the sum has not
+    [(0, [2.0**27, 2.0**27]), (1, [2.0**19, 2.0**19])],
+])
+def test_what_64_bits_cannot_hold_is_an_error(spark, rows):
+    with pytest.raises(Exception, match="64 bits|too large|OverflowError"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+
+
+def test_sums_at_the_edge_of_64_bits():
+    top = np.array([2**62, -(2**62), 5], np.int64)
+    assert topk._added(top, np.array([2**62 - 1, -(2**62), 6], np.int64)).tolist() == [2**63 - 1, -(2**63), 11]
+    with pytest.raises(OverflowError):
+        topk._added(top, top)
