@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.storage import cut as materialise
 from graphloom.storage import new_folder, release
 
-__all__ = ["ascii_lower", "bounded_labelled", "fold_is", "join_spread", "materialise", "new_folder", "release", "slices", "table"]
+__all__ = ["ascii_lower", "bounded_labelled", "fold_is", "join_spread", "materialise", "new_folder", "release", "slices", "table", "unused"]
 
 #: a key with more rows than this and than a ten-thousandth of all rows is joined by itself
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
@@ -47,6 +47,14 @@ def join_spread(rows: DataFrame, keyed: DataFrame, key: str, members: str, total
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it: for a column that is added and dropped again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_is(doc_id: Column, mod: int, value: int) -> Column:
     """Whether crc32(doc_id as text) mod ``mod`` is ``value``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == value, F.lit(False))

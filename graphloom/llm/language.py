@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_is, materialise, slices, table
+from graphloom.llm.common import fold_is, materialise, slices, table, unused
 
 ORDER = 4
-#: documents of each language that the models are estimated from, and characters in them, at most: whole texts in the
-#: order of a hash of the id while the characters before them are fewer
-TRAINING_ROWS, TRAINING_CHARS = 1_000, 4_000_000
+#: documents of each language that the models are estimated from, and characters in them, at most: texts in the order of a
+#: hash of the id while the characters before them are fewer.  All languages together share a budget of characters.
+TRAINING_ROWS, TRAINING_CHARS, TOTAL_CHARS = 1_000, 4_000_000, 16_000_000
 #: languages that are learnt, at most: those with the most training rows
 LANGUAGES = 500
-#: texts beyond this take no part in the sample (they are scored like any other)
+#: characters of a text that take part in the sample, at most, from its middle (scored is every text as a whole)
 LONGEST_SAMPLED = 1_000_000
 CHARS_AT_ONCE = 1 << 19
 #: letters below which a text's cross-entropy is no ground for rejection
@@ -37,7 +37,7 @@ _letters: list[np.ndarray] = []
 
 def letters() -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x32000)] + [False]))
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _letters[0]
 
 
@@ -227,18 +227,25 @@ def sample(rows: DataFrame) -> DataFrame:
 
     Only ids and lengths are ranked, and of a large language only those of the smallest hashes.
     """
-    known = rows.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h")).where(F.col("size") <= LONGEST_SAMPLED)
+    whole = F.length("text")
+    part = F.when(whole > LONGEST_SAMPLED, F.substring(F.col("text"), F.expr(f"cast((length(text) - {LONGEST_SAMPLED}) div 2 + 1 as int)"), F.lit(LONGEST_SAMPLED))).otherwise(F.col("text"))
+    rows = rows.select("lang", "doc_id", part.alias("text"))
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    # ids, not rows, are counted and ranked: a language whose rows repeat few ids is learnt from those
+    known = rows.groupBy("lang", "doc_id").agg(F.max(F.length("text")).alias("size")).withColumn("h", hash_)
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    # hashes below a bound that about half as many again have: no language's rows all come together to be ranked
+    share = F.least(F.lit(TRAINING_CHARS), F.floor(F.lit(TOTAL_CHARS) / F.count("*").over(W.partitionBy())))
+    common = common.withColumn("share", share)  # at most LANGUAGES rows
+    # hashes below a bound that about half as many again have: no language's ids all come together to be ranked
     bound = F.least(F.lit(1.0), 1.5 * TRAINING_ROWS / F.col("count")) * float(1 << 62)
-    near = known.join(F.broadcast(common), "lang").where(F.pmod("h", F.lit(1 << 62)) < bound).drop("count")
-    by = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 62)), "doc_id", "size")
+    near = known.join(F.broadcast(common), "lang").where(F.col("h") < bound).drop("count")
+    by = W.partitionBy("lang").orderBy("h", "doc_id")
     first = near.withColumn("n", F.row_number().over(by)).where(F.col("n") <= TRAINING_ROWS)
     before = F.coalesce(F.sum("size").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = first.withColumn("before", before).where(F.col("before") < TRAINING_CHARS).select("lang", "doc_id", "size").distinct()
-    here = rows.withColumn("size", F.length("text"))
-    # at most LANGUAGES x TRAINING_ROWS short rows are sent; rows that repeat a chosen one come once
-    return here.join(F.broadcast(first), ["lang", "doc_id", "size"], "left_semi").select("doc_id", "text", "lang").dropDuplicates(["lang", "doc_id", "text"])
+    first = first.withColumn("before", before).where(F.col("before") < F.col("share")).select("lang", "doc_id", "size")
+    # at most LANGUAGES x TRAINING_ROWS short rows are sent; of an id's rows the longest text counts, equal ones once
+    here = rows.join(F.broadcast(first), ["lang", "doc_id"]).where(F.length("text") == F.col("size"))
+    return here.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, train) -> LanguageModels:
@@ -295,15 +302,22 @@ def trained(spark: SparkSession, sf_dir: str) -> LanguageModels:
 
 
 def identify(docs: DataFrame, model: LanguageModels) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and accepted for every row; null and letterless texts are ``und``, score 0."""
+    """doc_id, held_out, lang_pred, score and accepted for every row; null and letterless texts are ``und``, score 0.
+
+    Of languages that fit a text alike the first by name is predicted.  Repeated rows are predicted each, equal texts alike;
+    an empty table gives no rows.
+    """
     found = docs.select("doc_id", _predictor(docs.sparkSession, model)("text").alias("p"))
     return found.select("doc_id", fold_is(F.col("doc_id"), 3, 1).alias("held_out"), "p.lang_pred", "p.score", "p.accepted")
 
 
 def drop_unidentified(docs: DataFrame, model: LanguageModels) -> DataFrame:
-    """``docs`` without rows that no model accepts (no letters, or unlike every language); all columns stay."""
-    predict = _predictor(docs.sparkSession, model)
-    return docs.withColumn("__language", predict(F.col("text"))).where("__language.accepted").drop("__language")
+    """``docs`` without rows that no model accepts (no letters, or unlike every language); all columns stay, whatever their names.
+
+    Repeated rows go or stay together; an empty table stays empty.
+    """
+    predict, name = _predictor(docs.sparkSession, model), unused(docs, "__language")
+    return docs.withColumn(name, predict(F.col("text"))).where(F.col(name)["accepted"]).drop(name)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,23 @@ def test_no_training_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     got = lg.identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), lg.fit(none, lg.F.lit(True))).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
+
+
+def test_a_language_of_few_ids_and_one_of_long_texts_are_learnt(spark, monkeypatch):
+    """20,000 rows of one id; texts beyond the longest that is sampled whole; letters of the last planes."""
+    monkeypatch.setattr(lg, "LONGEST_SAMPLED", 2000)
+    few = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("mata kule " * 20).alias("text"), F.lit("xx").alias("lang"))
+    rest = [(100 + k, "the house is of wood and stone " * 10, "en") for k in range(40)] + [(300 + k, "zwölf boxkämpfer jagen " * 400, "de") for k in range(3)]
+    docs = few.unionByName(spark.createDataFrame(rest, few.schema))
+    chosen = lg.sample(docs).collect()
+    assert {r.lang for r in chosen} == {"xx", "en", "de"} and [r.doc_id for r in chosen if r.lang == "xx"] == [7]
+    assert max(len(r.text) for r in chosen) == 2000
+    model = lg.fit(docs, F.lit(True))
+    asked = spark.createDataFrame([(1, "kule mata kule"), (2, "boxkämpfer jagen zwölf"), (3, "\U00031350\U00031351")], "doc_id long, text string")
+    assert [r.lang_pred for r in lg.identify(asked, model).orderBy("doc_id").collect()][:2] == ["xx", "de"]
+    assert lg.letters()[0x31350] and len(lg.codes("\U00031350")) == 3
+
+
+def test_stage_keeps_columns_of_any_name(spark, model):
+    docs = spark.createDataFrame([(1, "the house and the river of the town", "mine", 5)], "doc_id long, text string, __language string, accepted int")
+    assert lg.drop_unidentified(docs, model).collect() == docs.collect()
