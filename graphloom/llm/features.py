@@ -85,11 +85,11 @@ def toxic(text: str, words: list[str], counted: Counter, learned: dict[str, floa
     total = sum(hits.values())
     directed = 0
     if total:
-        person = [i for i, x in enumerate(words) if x.strip(STRIP).lower() in SECOND_PERSON]
-        at = np.array(person)
-        for i, x in enumerate(words):
-            if x in hits and len(at):
-                directed += bool((np.abs(at - i) <= REACH).any())
+        persons = {x for x in counted if x.strip(STRIP).lower() in SECOND_PERSON}
+        at, of = (np.array([i for i, x in enumerate(words) if x in chosen], np.int64) for chosen in (persons, hits))
+        if len(at):  # the first second person that is not too far before a hit
+            near = at[np.minimum(np.searchsorted(at, of - REACH), len(at) - 1)]
+            directed = int((np.abs(near - of) <= REACH).sum())
     return [total / w, np.log1p(total), len(hits), directed / w, hidden / w, weight / w, most, stems / w, most_stem, len(STARRED.findall(text)) / w if "*" in text or "#" in text or "@" in text else 0.0]
 
 

@@ -137,7 +137,10 @@ def trained(spark: SparkSession, sf_dir: str) -> AdditiveModel:
 
 
 def score_documents(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row; a null or empty text is scored as an empty one."""
+    """doc_id, held_out, score and predicted for every row; a null or empty text is scored as an empty one.
+
+    Repeated rows are scored each, equal texts alike; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
-from graphloom.llm.common import bounded_labelled, fold_is, slices, table
+from graphloom.llm.common import bounded_labelled, fold_is, slices, table, unused
 
 #: labelled rows that the model is fitted on, at most
 TRAINING_ROWS = 12_000
@@ -145,16 +145,22 @@ def trained(spark: SparkSession, sf_dir: str) -> ToxicityModel:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row; a null or empty text is scored as an empty one."""
+    """doc_id, held_out, score and predicted for every row; a null or empty text is scored as an empty one.
+
+    Repeated rows are scored each, equal texts alike; an empty table gives no rows.
+    """
     score = score_column(docs.sparkSession, model)(F.col("text"))
     scored = docs.select("doc_id", fold_is(F.col("doc_id"), 4, 2).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= REJECT_AT).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` without the rows that score ``REJECT_AT`` or more; all columns stay."""
-    score = score_column(docs.sparkSession, model)
-    return docs.withColumn("__toxicity", score(F.col("text"))).where(F.col("__toxicity") < REJECT_AT).drop("__toxicity")
+    """``docs`` without the rows that score ``REJECT_AT`` or more; all columns stay, whatever their names.
+
+    Repeated rows go or stay together; an empty table stays empty.
+    """
+    score, name = score_column(docs.sparkSession, model), unused(docs, "__toxicity")
+    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) < REJECT_AT).drop(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

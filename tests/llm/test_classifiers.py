@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,21 @@ def test_trees_and_tables_against_walks_by_hand():
         raw = model.base + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, row))
         raw += sum(g[bin_of(model.coarse[a], row[a]), bin_of(model.coarse[b], row[b])] for (a, b), g in model.pairs.items())
         assert abs(1 / (1 + np.exp(-raw)) - score) < 1e-9
+
+
+def test_directed_insults_of_a_long_hostile_text_take_linear_time():
+    text = "you idiot " * 40_000 + "far " * 50 + "idiot"
+    words = text.split()
+    at = [i for i, w in enumerate(words) if w == "you"]
+    want = sum(any(abs(i - k) <= features.REACH for k in at[max(0, i // 2 - 9) : i // 2 + 9]) for i, w in enumerate(words) if w == "idiot")
+    began = time.time()
+    row = features.matrix([text, "idiot " * 8 + "you", "idiot"], {})
+    assert time.time() - began < 5
+    directed = len(features.SURFACE) + features.TOXIC.index("directed")
+    assert row[:, directed].tolist() == pytest.approx([want / len(words), 6 / 9, 0])
+
+
+def test_stage_keeps_a_column_of_its_own_name(spark):
+    docs = spark.createDataFrame([(1, "a quiet text", 0.5)], "doc_id long, text string, __toxicity double")
+    model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
+    assert toxicity.drop_toxic(docs, model).columns == docs.columns
