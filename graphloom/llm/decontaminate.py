@@ -21,8 +21,8 @@ from graphloom.llm.common import materialise, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHARD_WORDS = 1 << 22
-#: characters of the items whose windows a task holds at once, about; a larger benchmark goes round in several sets
-SET_CHARS = 80_000_000
+#: characters of the items whose windows a task holds at once, at most about; a larger benchmark goes round in several sets
+SET_CHARS = 4_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -122,21 +122,24 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = 10) -> None:
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        names = sorted({str(item) for item, _ in items})
+        place = {x: k for k, x in enumerate(names)}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                found.setdefault(tuple(ids[at : at + window]), set()).add(str(item))
-        self.items = sorted(set().union(*found.values())) if found else []
-        place = {x: k for k, x in enumerate(self.items)}
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.patterns = np.zeros((len(found), int(self.lengths.max(initial=0))), np.int64)
-        for k, w in enumerate(found):
-            self.patterns[k, self.patterns.shape[1] - len(w) :] = w
-        self.items_of = [np.array(sorted(place[x] for x in names)) for names in found.values()]
-        self.widths = np.array([len(x) for x in self.items_of], np.int64)
-        self.flat = np.concatenate(self.items_of) if found else np.zeros(0, np.int64)
-        self.first = np.r_[0, np.cumsum(self.widths)[:-1]].astype(np.int64) if found else np.zeros(0, np.int64)
+            words = words_of(text)
+            if not words:
+                continue
+            ids = np.zeros(max(window, len(words)), np.int32)  # a shorter item stands at the end of its row, after zeros
+            ids[len(ids) - len(words) :] = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owners.append(np.full(len(rows[-1]), place[str(item)], np.int32))
+        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(of.ravel().astype(np.int64) * max(1, len(names)) + np.concatenate(owners))
+        self.flat = pairs % max(1, len(names))
+        self.widths = np.bincount(pairs // max(1, len(names)), minlength=len(self.patterns)).astype(np.int64)
+        self.first = np.cumsum(self.widths) - self.widths
+        self.lengths = (self.patterns > 0).sum(1)
+        self.items = names
 
     def scan(self, docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per document of word numbers: the positions of hit words, and the numbers of the items that occur."""
@@ -185,14 +188,33 @@ def _split(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return names, np.split(values, first[1:])
 
 
+def item_pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text): items beyond ``most`` characters in runs of words of about that many, which overlap by one word less
+    than a window, so that each window lies whole in one of them."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, text in zip(pdf["item_id"], pdf["text"]):
+                words = words_of(text)
+                step = max(window, most * len(words) // max(1, sum(map(len, words)) + len(words)))
+                for at in range(0, max(1, len(words) - window + 1), step):
+                    yield pd.DataFrame({"item_id": [item], "text": [b" ".join(words[at : at + step + window - 1]).decode("utf-8", "replace")]})
+
+    long = F.length("text") > most
+    return items.where(~long).unionByName(items.where(long).mapInPandas(split, "item_id string, text string"))
+
+
 def window_sets(benchmark: DataFrame, window: int = 10, set_chars: int = SET_CHARS) -> Iterator[tuple[Windows, bool]]:
     """Windows of the benchmark, a stated query set, in sets of items of about ``set_chars`` characters at most, and
     whether a set is the last.
 
-    Items without id or text take no part; repeated items count once.  An item is never split.
+    Items without id or text take no part; repeated items count once.  An item longer than a quarter of a set is split
+    between its words.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     sets = max(1, -(-2 * (items.agg(F.sum(F.length("text"))).first()[0] or 0) // set_chars)) if set_chars else 1
+    if sets > 1:
+        items = materialise(item_pieces(items, window, max(1, set_chars // 4)))
     for k in range(sets):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(sets)) == k) if sets > 1 else items
         yield Windows([tuple(r) for r in mine.collect()], window), k == sets - 1

@@ -122,3 +122,26 @@ def test_whole_table_against_sql(spark):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     got = d.op9_benchmark_decontamination(spark, sf).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(sql.DECONTAMINATION).fetchall())
+
+
+def test_long_items_are_split_and_sets_stay_small(spark):
+    rng = np.random.default_rng(1)
+    words = [f"word{k}" for k in rng.integers(0, 5000, 40_000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "a few words only"), (3, " ".join(words[100:130]))], "item_id string, text string")
+    pieces = d.item_pieces(items, 10, 20_000).collect()
+    assert len(pieces) > 10 and max(len(r.text) for r in pieces) < 30_000
+    whole, parts = d.Windows([("1", " ".join(words))]), d.Windows([(r.item_id, r.text) for r in pieces if r.item_id == "1"])
+    named = lambda w: {tuple(x[x > 0].tolist()) for x in w.patterns}
+    back = {v: k for k, v in parts.number.items()}
+    assert {tuple(whole.number[back[x]] for x in p) for p in named(parts)} == named(whole)
+    docs = spark.createDataFrame([(1, " ".join(words[95:140])), (2, "quite a few words only here"), (3, "none of it")], "doc_id long, text string")
+    for chars in (10_000, 4_000_000):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in d.scan_documents(docs, items, set_chars=chars).collect()}
+        assert got == {1: (45, 2), 2: (4, 1), 3: (0, 0)}
+
+
+def test_windows_of_a_full_set_are_small():
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 30_000, 150_000))
+    windows = d.Windows([("x", text)])
+    assert sum(x.nbytes for x in (windows.patterns, windows.flat, windows.widths, windows.first, windows.lengths)) < 80 * len(windows.patterns)
