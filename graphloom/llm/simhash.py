@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.llm.common import join_spread, materialise, release, slices, table
+from graphloom.llm.common import join_spread, materialise, release, slices, table, unused
 from graphloom.llm.components import connected_components
 
 ONE = np.uint64(1)
@@ -285,17 +285,23 @@ class Tops:
         return out
 
 
-def trie_leaves(keys: DataFrame, bits: int, leaf_rows: int, step: int = 12) -> dict[int, list[tuple[int, int]]]:
+#: counts that a round of ``trie_leaves`` brings to the driver, about
+COUNTED = 1 << 17
+
+
+def trie_leaves(keys: DataFrame, bits: int, leaf_rows: int, tries: int = 1, counted: int = COUNTED) -> dict[int, list[tuple[int, int]]]:
     """Leaves (prefix, depth) of the top of each trie: each holds at most ``leaf_rows`` keys or is ``bits`` deep.
 
-    ``keys`` has the trie's number in ``t`` and a long ``key`` whose top ``bits`` bits count.  Each round counts the
-    children, ``step`` bits further down, of the prefixes that are still too full.
+    ``keys`` has the trie's number in ``t``, below ``tries``, and a long ``key`` whose top ``bits`` bits count.  Each round
+    counts the descendants of the prefixes that are still too full, as many bits further down as give about ``counted``
+    counts, one bit at least: they come to the driver, and too full prefixes are at most all keys / ``leaf_rows`` a trie.
     """
     spark = keys.sparkSession
     leaves: dict[int, list[tuple[int, int]]] = {}
     open_, depth = None, 0
     while open_ is None or open_:
-        deeper = min(bits, depth + step)
+        step = max(1, (counted // max(1, tries if open_ is None else len(open_))).bit_length() - 1)
+        deeper = min(bits, depth + min(step, 12))
         at = keys.select("t", F.shiftrightunsigned("key", 64 - deeper).alias("p"))
         if depth:
             full = spark.createDataFrame(open_, "t int, q long")  # as many prefixes as there are keys / leaf_rows, at most
@@ -355,7 +361,7 @@ def dealt(rows: DataFrame, keys_of: list[Column], bits: int, budget: int, leaf_r
     width = bits // turns
     tries = [F.struct(F.lit(k * turns + r).alias("t"), F.lit(r * width).alias("by"), _rotated(s, r * width, bits).alias("key")) for k, s in enumerate(keys_of) for r in range(turns)]
     keys = rows.select("*", F.explode(F.array(*tries)).alias("__k")).select(*rows.columns, "__k.*")
-    tops = Tops(trie_leaves(keys.select("t", "key"), bits, leaf_rows), len(tries), width if turns > 1 else 0, budget)
+    tops = Tops(trie_leaves(keys.select("t", "key"), bits, leaf_rows, len(tries)), len(tries), width if turns > 1 else 0, budget)
     shared = rows.sparkSession.sparkContext.broadcast(tops)  # a few numbers for each of a bounded number of leaves
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -577,21 +583,45 @@ def scan_texts(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     return docs.select("doc_id", "node", "other", "text").mapInArrow(scan, f"doc_id {kind}, node long, other long, l array<long>, piece int, counts binary")
 
 
-def shingle_levels(scanned: DataFrame) -> np.ndarray:
-    """How common the shingles of each cell are, from 0 to 255 on a logarithmic scale; ``CELLS`` bytes."""
+def shingle_levels(scanned: DataFrame, fan: int = 64) -> np.ndarray:
+    """How common the shingles of each cell are, from 0 to 255 on a logarithmic scale; ``CELLS`` bytes.
+
+    Counts of a piece are added up in rounds, about ``fan`` rows at a time, so no task holds those of all scans.
+    """
 
-    def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CELLS // PIECES, np.int64)
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CELLS // PIECES, np.uint64)
         for c in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "levels": [np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8).tobytes()]})
+        return pdf.iloc[:1][["piece"]].assign(counts=zlib.compress(np.minimum(total, np.uint64((1 << 32) - 1)).astype(np.uint32).tobytes(), 1))
 
+    parts = scanned.where("piece is not null").select("piece", "counts")
+    most = parts.groupBy("piece").count().agg(F.max("count")).first()[0] or 0
+    while most > fan:
+        most = -(-most // fan)
+        parts = parts.groupBy("piece", F.pmod(F.xxhash64("counts"), F.lit(most)).alias("block")).applyInPandas(lambda key, pdf: add(pdf), "piece int, counts binary")
     out = np.zeros((PIECES, CELLS // PIECES), np.uint8)
-    for r in scanned.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(level, "piece int, levels binary").toLocalIterator():
-        out[r.piece] = np.frombuffer(r.levels, np.uint8)
+    for r in parts.groupBy("piece").applyInPandas(add, "piece int, counts binary").toLocalIterator():
+        total = np.frombuffer(zlib.decompress(r.counts), np.uint32).astype(np.float64)
+        out[r.piece] = np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8)
     return out.ravel()
 
 
+def with_text(pairs: DataFrame, texts: DataFrame, end: str, other: str, name: str, total: int) -> DataFrame:
+    """``pairs`` with the text of the node at ``end``, as ``name``.
+
+    A leader of very many pairs is dealt to several tasks by the ``other`` end, and its text copied once for each of them;
+    such leaders, at most ten thousand, are sent as numbers.
+    """
+    bound = max(SPREAD_ROWS, total // 10_000)
+    crowds = pairs.groupBy(F.col(end).alias("__node")).agg(F.count("*").alias("__n")).where(F.col("__n") > bound).select("__node", F.ceil(F.col("__n") / bound).alias("__parts"))
+    crowds = F.broadcast(crowds)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = pairs.join(crowds, pairs[end] == F.col("__node"), "left").withColumn("__salt", F.pmod(F.xxhash64(other), parts)).drop("__node", "__parts")
+    copied = texts.join(crowds, texts["node"] == F.col("__node"), "left").select(F.col("node").alias(end), F.col("text").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__salt"))
+    return dealt.join(copied, [end, "__salt"]).drop("__salt")
+
+
 def prefix_rows(n, similarity: float):
     """How many of a text's ``n`` shingles, rarest first, must hold one that it shares with an alike text of its size or less."""
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
@@ -789,11 +819,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         theirs = (text_of["node"] == chosen["node"]) & text_of["doc_id"].eqNullSafe(chosen["least"])
         texts = text_of.join(chosen, theirs, "left_semi").select("node", "text")
         texts = materialise(texts.dropDuplicates(["node"]) if repeats else texts)
-        return (
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .where(alike("ta", "tb")).select("a", "b")
-        )
+        total = pairs.count()
+        both = with_text(with_text(pairs, texts, "a", "b", "ta", total), texts, "b", "a", "tb", total)
+        return both.where(alike("ta", "tb")).select("a", "b")
 
     proposed = materialise(fingerprint_pairs(named, similarity, lanes, slice_bits, slice_budget, leaf_rows).union(neighbour_pairs(prefixes, similarity)).distinct())
     links = materialise(compared(proposed))
@@ -803,14 +831,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     chosen = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node")))
     groups = named.join(part.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("component", "node").alias("g"))
     stay = materialise(groups.groupBy("g").agg(chosen.alias("s")).select(F.col("s.node").alias("__node"), F.col("s.least").alias("__least")))
-    kept = docs.withColumns({"__node": node, "__id": F.col("doc_id")})
-    kept = kept.join(stay, (kept["__node"] == stay["__node"]) & kept["__id"].eqNullSafe(stay["__least"]), "left_semi")
+    node_name, id_name = unused(docs, "__node"), unused(docs, "__id")
+    kept = docs.withColumns({node_name: node, id_name: F.col("doc_id")})
+    kept = kept.join(stay, (kept[node_name] == stay["__node"]) & kept[id_name].eqNullSafe(stay["__least"]), "left_semi")
     release(scanned, prefixes, proposed)
     if not repeats:
-        return kept.drop("__node", "__id")
-    same = (kept["__node"] == again["__again"]) & kept["__id"].eqNullSafe(again["__again_id"])
-    once = kept.join(again, same, "left_semi").dropDuplicates(["__node", "__id"])
-    return kept.join(again, same, "left_anti").unionByName(once).drop("__node", "__id")
+        return kept.drop(node_name, id_name)
+    same = (kept[node_name] == again["__again"]) & kept[id_name].eqNullSafe(again["__again_id"])
+    once = kept.join(again, same, "left_semi").dropDuplicates([node_name, id_name])
+    return kept.join(again, same, "left_anti").unionByName(once).drop(node_name, id_name)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

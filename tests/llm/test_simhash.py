@@ -213,3 +213,27 @@ def test_query_columns_of_any_name_and_very_long_texts(spark):
     prints = {d: f"{brute_fingerprint(t, 3):016x}" for d, t, *_ in rows}
     near = (int(prints[1], 16) ^ int(prints[2], 16)).bit_count() <= 2
     assert got == {(1, prints[1], 1), (2, prints[2], 1 if near else 2), (3, prints[3], 3)}
+
+
+def test_leaves_do_not_depend_on_how_many_counts_a_round_brings(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, int(x)) for t in range(3) for x in rng.integers(-(1 << 62), 1 << 62, 300)] + [(0, int(x)) for x in rng.integers(0, 1 << 50, 300)]
+    keys = spark.createDataFrame(rows, "t int, key long")
+    want = simhash.trie_leaves(keys, 32, 20, 3)
+    assert {k: sorted(v) for k, v in simhash.trie_leaves(keys, 32, 20, 3, counted=16).items()} == {k: sorted(v) for k, v in want.items()}
+    assert sum(len(v) for v in want.values()) > 40
+
+
+def test_cell_counts_are_added_up_in_rounds(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").alias("node"), F.col("id").alias("other"), F.concat(F.lit("one two three four five "), F.col("id").cast("string")).alias("text")).repartition(9)
+    scanned = simhash.materialise(simhash.scan_texts(docs, 5, 1))
+    assert (simhash.shingle_levels(scanned, fan=2) == simhash.shingle_levels(scanned)).all()
+    assert (simhash.shingle_levels(scanned.where("false")) == 0).all()
+
+
+def test_a_leader_of_many_pairs_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPREAD_ROWS", 10)
+    pairs = spark.range(1, 200).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(5, 6)], "a long, b long"))
+    texts = spark.range(200).select(F.col("id").alias("node"), F.concat(F.lit("t"), "id").alias("text"))
+    got = simhash.with_text(simhash.with_text(pairs, texts, "a", "b", "ta", 200), texts, "b", "a", "tb", 200)
+    assert sorted((r.a, r.b) for r in got.where("ta = concat('t', a) and tb = concat('t', b)").collect()) == sorted((r.a, r.b) for r in pairs.collect())
