@@ -64,6 +64,10 @@ JUNK_WORDS = re.compile(
     r"contentinfo|complementary|alert|dialog|alertdialog|form|tags|meta|byline|outbrain|taboola)(?:s|\d+)?(?![a-z])"
 )
 COMMENT_WORDS = re.compile(r"(?<![a-z])(?:comments?|replies|reply|respond|discussion|disqus|responses?)(?![a-z])")
+#: names that say what a layout has, or has not, beside an element's text
+LAYOUT = re.compile(r"(?<![a-z])(?:has|with|no|without)\s+[a-z]+")
+#: names that wrappers and blocks of articles bear as often as junk does: prose within an article, or a name for text, outweighs them
+WEAK = frozenset("widget social share sharing side rail meta byline tag header masthead banner alert skip".split())
 TEXT_WORDS = re.compile(r"(?<![a-z])(?:article|content|post|entry|main|story|body|text|prose|blog|page|single)(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACES = re.compile(r"\s+")
@@ -185,44 +189,81 @@ def parse(source: str | None) -> Page:
 FEATURES = ["bias", "junk_words", "comment_words", "text_words", "hidden", "own_text", "long_own_text", "link_density", "subtree_text", "sentences", "short", "copyright", "many_links", "in_junk", "in_article"] + [f"is_{k}" for k in KINDS]
 
 
-def called_junk(page: Page, total: np.ndarray) -> list[bool]:
-    """Elements whose tag or names call all that stands in them junk; ``total`` is the text below each element.
+def named(words: str) -> tuple[bool, bool, bool]:
+    """Whether names call an element junk, whether only weakly, and whether they call it comments."""
+    if not words:
+        return False, False, False
+    bare = LAYOUT.sub(" ", words)
+    found = [re.sub(r"\d+$", "", x) for x in JUNK_WORDS.findall(bare)]
+    return bool(found), bool(found) and all(x in WEAK or x.removesuffix("s") in WEAK for x in found), bool(COMMENT_WORDS.search(bare))
+
+
+def called_junk(page: Page, total: np.ndarray, of_links: np.ndarray, stops: np.ndarray) -> list[bool]:
+    """Elements whose tag or names call all that stands in them junk; of the text below each element ``total`` is the length,
+    ``of_links`` that of links, ``stops`` the number of sentences and clauses.
 
     The names of the page's frame (``html``, ``body``, ``main``, an ``article`` that is no comment) say nothing about
-    its text, nor do those of a wrapper: an element with the better part of the page's text that has a main heading,
-    ``main`` or ``article`` in it, or without which hardly any text would be left that nothing calls junk.
+    its text, nor do weak names of prose in an article or of what is named text as well, nor the names of a wrapper: an
+    element with the better part of the page's prose (text that is neither links nor comments) that has a main heading,
+    ``main`` or ``article`` in it, or the text where hardly any prose would be left that nothing calls junk.
     """
     n = len(page.tags)
-    called = [False] * n
+    called, comment, article_up = [False] * n, [False] * n, [False] * n
     for k in range(1, n):
-        tag, words = page.tags[k], page.words[k]
-        comment = bool(words and COMMENT_WORDS.search(words))
-        if tag in FRAME or tag == "article" and not (comment and not TEXT_WORDS.search(words)):
+        tag, words, up = page.tags[k], page.words[k], page.parent[k]
+        by_name, weak, comment[k] = named(words)
+        text_named = bool(words and TEXT_WORDS.search(words))
+        article_up[k] = article_up[up] or page.tags[up] == "main" or page.tags[up] == "article" and not comment[up]
+        if tag in FRAME or tag == "article" and not (comment[k] and not text_named):
             continue
-        called[k] = tag in JUNK_TAGS or comment or bool(words and JUNK_WORDS.search(words))
-    every = float(total[0])
-    if not any(called) or not every:
+        if by_name and weak and tag not in JUNK_TAGS and not comment[k]:
+            prose = total[k] >= 30 and of_links[k] < 0.3 * total[k] and stops[k] >= 2
+            by_name = not (text_named or article_up[k] and prose)
+        called[k] = tag in JUNK_TAGS or comment[k] or by_name
+    if not any(called) or not total[0]:
         return called
-    heading, article, inner = [False] * n, [False] * n, np.zeros(n)  # of what stands below; text below called elements
+    # what leads a page, and what is a list of comments: one without a main heading
+    leads_below, text_below = [False] * n, [False] * n
+    for k in range(n - 1, 0, -1):
+        tag, up = page.tags[k], page.parent[k]
+        leads_below[up] = leads_below[up] or leads_below[k] or tag in ("h1", "main")
+        text_below[up] = text_below[up] or text_below[k] or bool(page.words[k] and TEXT_WORDS.search(page.words[k])) and not called[k]
+    aside = np.zeros(n)  # text of comments below
+    for k in range(n - 1, 0, -1):
+        aside[page.parent[k]] += total[k] if called[k] and comment[k] and not leads_below[k] else aside[k]
+    # links within comments are taken off once, with the comments
+    prose = np.maximum(0, total - np.where(aside > 0, np.maximum(aside, of_links), of_links))
+    if not prose[0]:
+        prose = total
+    every = float(prose[0])
+    heading, article, inner = [False] * n, [False] * n, np.zeros(n)  # of what stands below; prose below called elements
     for k in range(n - 1, 0, -1):
         tag, up = page.tags[k], page.parent[k]
-        inner[up] += total[k] if called[k] else inner[k]
-        if not called[k] or total[k] >= LEAST_SHARE * every:
+        inner[up] += prose[k] if called[k] else inner[k]
+        if not called[k] or prose[k] >= LEAST_SHARE * every:
             heading[up] = heading[up] or heading[k] or tag in ("h1", "main")
             article[up] = article[up] or article[k] or tag == "article"
-    free, inside = every - float(inner[0]), [False] * n
-    for k in range(1, n):
-        inside[k] = inside[page.parent[k]]
-        if inside[k] or not called[k]:
-            continue
-        share = float(total[k]) / every
-        # a list of comments may hold articles of its own
-        leads = heading[k] or (article[k] and not (page.words[k] and COMMENT_WORDS.search(page.words[k])))
-        if share >= LEAST_SHARE and leads or share >= 0.5 and free < 0.05 * every:
-            called[k] = False
-            free += float(total[k] - inner[k])
-        else:
-            inside[k] = True
+    free = every - float(inner[0])
+
+    def pardon(fits) -> None:
+        nonlocal free
+        inside = [False] * n
+        for k in range(1, n):
+            inside[k] = inside[page.parent[k]]
+            if inside[k] or not called[k]:
+                continue
+            # a list of comments may hold articles of its own
+            leads = heading[k] or (article[k] and not comment[k])
+            if fits(k, float(prose[k]) / every, leads):
+                called[k] = False
+                free += float(prose[k] - inner[k])
+            else:
+                inside[k] = True
+
+    pardon(lambda k, share, leads: share >= LEAST_SHARE and leads)
+    # where all prose is called junk, what holds a heading, an article or something named text is the text; else the most of it
+    pardon(lambda k, share, leads: free < 0.05 * every and share >= 0.1 and not comment[k] and (leads or text_below[k]))
+    pardon(lambda k, share, leads: free < 0.05 * every and share >= 0.5)
     return called
 
 
@@ -245,7 +286,7 @@ def features(page: Page) -> np.ndarray:
         for x in whole:
             x[page.parent[k]] += x[k]
     total, of_links, all_stops, all_links = whole
-    called = called_junk(page, total)
+    called = called_junk(page, total, of_links, all_stops)
     for k in range(1, n):
         up, tag = page.parent[k], page.tags[k]
         junk[k] = junk[up] or called[k]
@@ -253,8 +294,9 @@ def features(page: Page) -> np.ndarray:
     x = np.zeros((n, len(FEATURES)))
     for k in range(n):
         words = page.words[k]
+        by_name, weak, comment = named(words)
         x[k, :15] = [
-            1, bool(words and JUNK_WORDS.search(words)), bool(words and COMMENT_WORDS.search(words)), bool(words and TEXT_WORDS.search(words)), page.hidden[k],
+            1, by_name and not weak, comment, bool(words and TEXT_WORDS.search(words)), page.hidden[k],
             own[k] > 0, min(1, own[k] / 200), of_links[k] / max(1, total[k]), min(1, np.log1p(total[k]) / 8), min(1, all_stops[k] / 5),
             0 < total[k] < 25, marks[k] > 0, min(1, all_links[k] / 8), junk[k], article[k],
         ]
@@ -446,6 +488,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[Page, np.ndarray]
         for _ in range(rng.choice([0, 0, 1, 2])):  # junk inside the article: between its blocks
             cut = rng.choice([m.end() for m in re.finditer(r"</(?:p|h1|h2|ul|div|table|figure|blockquote)>", body)] or [len(body)])
             body = f"{body[:cut]}<x-junk>{_junk(rng, True)}</x-junk>{body[cut:]}"
+        if rng.random() < 0.2:  # blocks of a page builder, or an article in parts named after what stands beside or below it
+            name = rng.choice(["elementor-widget elementor-widget-text-editor", "row with-sidebar", "social-section", "widget widget-text", "side-by-side", "wp-block-group has-share"])
+            body = "".join(f'<div class="{name}">{part}</div>' if "<x-junk>" not in part else part for part in re.split(r"(?<=</p>)(?=<p>)", body))
+            body = f"<article>{body}</article>" if rng.random() < 0.7 else f"<main>{body}</main>"
         opening, closing = rng.choice([
             ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<article class="post">', "</article>"), ('<div class="content">', "</div>"),
             ('<div id="main-content">', "</div>"), ('<div class="entry-content">', "</div>"), ('<section class="story">', "</section>"), ('<div class="article-body">', "</div>"),
@@ -457,6 +503,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[Page, np.ndarray]
         ])] if rng.random() < 0.9 else []
         before += [_junk(rng, False) for _ in range(rng.choice([0, 1, 1, 2]))]
         after = [_junk(rng, False) for _ in range(rng.choice([0, 1, 2]))]
+        if rng.random() < 0.15:  # far more comments than text
+            after.insert(0, f"<section class='{rng.choice(['comments', 'comment-list', 'comments-area'])}'>" + "".join(f'<div class="comment"><p>{w(20, 60)}</p></div>' for _ in range(rng.randint(6, 15))) + "</section>")
         if rng.random() < 0.9:
             after.append(rng.choice([f"<footer>&copy; {w(1, 3)} &middot; {w(3, 14)}</footer>", f"<footer><p>{w(5, 25)}</p><ul>{_links(rng, 3)}</ul></footer>", f'<div class="footer"><p>&copy; {w(3, 20)}</p></div>']))
         rng.shuffle(before)

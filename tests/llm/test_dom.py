@@ -115,3 +115,27 @@ def test_deep_pages_are_extracted_in_time(model):
 
 def test_quotes_in_tags():
     assert [t for _, t in dom.parse("<p title=\"a > b\">one</p> <p title='>'>two</p> <p title=\"open>three</p> <a>four</a>").text if t.strip("\0 ")] == ["one", "two", "three", "four"]
+
+
+NAV = "<nav><ul>" + "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(7)) + "</ul></nav>"
+FOOT = "<footer><p>&copy; 2024 Someone, all rights reserved.</p></footer>"
+PARTS = ["First paragraph of the piece, with a few words in it, and more of them.", "Second paragraph, which says a little more than the first one did.", "Third, no longer than those before it, but as good.", "The fourth paragraph ends the piece, as all pieces end."]
+COMMENTS = "<section class='comments'><h3>12 comments</h3>" + "".join(f"<div class='comment'><p>Comment {k}: I do not agree with what was said here, and I say so at some length, as one does.</p></div>" for k in range(12)) + "</section>"
+BLOCKS = {
+    "comments beside a wrapper": ("<div class='content has-sidebar'><h1>A title</h1>" + "".join(f"<p>{x}</p>" for x in PARTS) + "</div>" + COMMENTS, True),
+    "comments beside a wrapped article": ("<div class='content has-sidebar'><article><h1>A title</h1>" + "".join(f"<p>{x}</p>" for x in PARTS) + "</article></div>" + COMMENTS, True),
+    "rows": ("<article>" + "".join(f"<div class='row with-sidebar'><p>{x}</p></div>" for x in PARTS) + "</article>", False),
+    "rows without an article": ("<main>" + "".join(f"<div class='row with-sidebar'><p>{x}</p></div>" for x in PARTS) + "</main>", False),
+    "sections": ("<article>" + "".join(f"<div class='social-section'><p>{x}</p></div>" for x in PARTS) + "</article>", False),
+    "page builder in an article": ("<article>" + "".join(f"<div class='elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'><p>{x}</p></div></div>" for x in PARTS) + "</article>", False),
+    "page builder in main": ("<main><h1>A title</h1>" + "".join(f"<div class='elementor-widget elementor-widget-text-editor'><p>{x}</p></div>" for x in PARTS) + "</main>", True),
+    "a column named after its side": ("<div class='promo'><p>Buy this thing today, it is the best of all things, and cheap.</p><p>Everybody has one by now, and so should you, before they are all gone, which will be soon, as they are that good and that cheap, we say.</p><p>No other thing is like it, trust us, and order now.</p></div>"
+                                      "<div class='sidebar-right'><div class='content'>" + "".join(f"<p>{x}</p>" for x in PARTS) + "</div></div>", False),
+}
+
+
+@pytest.mark.parametrize("name", BLOCKS)
+def test_articles_under_everyday_names(model, name):
+    body, titled = BLOCKS[name]
+    want = " ".join((["A title"] if titled else []) + PARTS)
+    assert model.extract([f"<html><body>{NAV}{body}{FOOT}</body></html>"]) == [want]
