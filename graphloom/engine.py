@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
-from graphloom.functions import paths
+from graphloom.functions import ids, paths
 from graphloom.operators import analyze, derive, link, memory, search, store, sync, traverse
 from graphloom.operators.extract import runner
 from graphloom.sources import files, gitlog
@@ -81,8 +81,9 @@ class Engine:
 
         Files whose content hash is stored are skipped, unless ``force`` (everything is deleted first) or ``reparse``.
         Only nodes that are no longer in their file, or whose file is gone, are deleted.  Edges out of parsed files are
-        made anew; of the others those without a target, or whose target has gone, are resolved again over all nodes,
-        and what finds none keeps what the source says, unresolved.  ``fast`` leaves out summaries and embedding.
+        made anew; of the others those without a target, or whose target has gone, or whose name has other candidates than
+        before, are resolved again over all nodes, and what finds none keeps what the source says, unresolved: edges are
+        those of a full index.  ``fast`` leaves out summaries and embedding.
         """
         repo = self.repo_of(root, repo_slug)
         repo_slug = repo["slug"]
@@ -115,8 +116,15 @@ class Engine:
             made_anew = before.select("node_id").union(new.select("node_id")).union(drop.select("node_id")).distinct().withColumnRenamed("node_id", "from_id")
             others = old_edges.where(~F.col("label").isin(*DERIVED)).join(made_anew, "from_id", "left_anti")
             dangling = others.join(drop.select(F.col("node_id").alias("to_id"), F.lit(True).alias("__gone")), "to_id", "left")
-            again = F.coalesce(F.col("__gone"), F.lit(False)) | ~F.coalesce(F.col("resolved"), F.lit(True))
-            dangling = cut(dangling.withColumn("__again", again).drop("__gone"))
+            # names that have other candidates than before: those of all nodes in parsed or vanished files, as they were and are
+            stood = old.join(before.select("node_id").union(drop.select("node_id")).distinct(), "node_id", "left_semi")
+            moved = cut(stood.select("label", "qualified").unionByName(new.select("label", "qualified")).where("qualified <> ''").select("label", ids.suffix_of(F.col("qualified")).alias("__suffix")).distinct())
+            dangling = dangling.withColumn("__suffix", ids.suffix_of(F.col("target"))).join(moved.select("__suffix", F.lit(True).alias("__moved")).distinct(), "__suffix", "left").drop("__suffix")
+            # what is read and written is looked for by its type
+            types = not moved.where(F.col("label") == "class").isEmpty()
+            again = F.coalesce("__gone", F.lit(False)) | ~F.coalesce(F.col("resolved"), F.lit(True)) | F.coalesce("__moved", F.lit(False)) | (F.lit(types) & F.col("label").isin("reads", "writes"))
+            again = again & (F.col("target").isNotNull() | F.coalesce("__gone", F.lit(False)) | ~F.coalesce(F.col("resolved"), F.lit(True)))
+            dangling = cut(dangling.withColumn("__again", again).drop("__gone", "__moved"))
             stay = schema.conform(dangling.where(~F.col("__again")), schema.EDGES)
             raw_label = F.when(F.col("label").isin(*CALL_LABELS), "calls").otherwise(F.col("label"))
             raw = dangling.where(F.col("__again") & F.col("target").isNotNull()).withColumns({"label": raw_label, "to_id": F.col("target")}).drop("__again", "resolved")

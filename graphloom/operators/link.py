@@ -151,22 +151,26 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
 def implements_edges(nodes: DataFrame) -> DataFrame:
     """(label, from_id, to_id): types whose methods cover an interface's, name by name with equal bare signatures.
 
-    Relational division by counting over candidates that have the rarest method.  Embedded entries (no name) do not count; an interface without other methods
+    Candidates are the types with the interface's rarest method; one row a candidate then compares the two method sets.  Embedded entries (no name) do not count; an interface without other methods
     has no implementors; an interface method without signature matches any.  A type is no implementor of itself.
     """
     methods = nodes.where(F.col("label") == "class").select("node_id", F.explode("methods").alias("m")).select(
         "node_id", F.col("m.name").alias("name"), F.coalesce(F.col("m.receiver"), F.lit("")).alias("receiver"), text.bare_signature(F.coalesce(F.col("m.signature"), F.lit(""))).alias("signature")
     ).where("name <> ''")
     wanted = methods.where("receiver = ''").select(F.col("node_id").alias("iface"), "name", F.col("signature").alias("want")).distinct()
-    needed = wanted.groupBy("iface").agg(F.count_distinct("name").alias("needed"))
     have = methods.where("receiver <> ''").select(F.col("node_id").alias("type"), "name", "signature").distinct()
     fits = (F.col("want") == "") | (F.col("want") == F.col("signature"))
     # only types with the interface's rarest method are candidates; a common name like Close pairs nothing
     held = have.groupBy("name").agg(F.count("*").alias("types"))
     rarest = wanted.join(held, "name", "left").groupBy("iface").agg(F.min_by("name", F.struct(F.coalesce("types", F.lit(0)), "name")).alias("name"))
     first = wanted.join(rarest, ["iface", "name"]).join(have, "name").where(fits).where("type <> iface").select("iface", "type").distinct()
-    met = first.join(wanted, "iface").join(have, ["type", "name"]).where(fits)
-    full = met.groupBy("type", "iface").agg(F.count_distinct("name").alias("n")).join(needed, "iface").where("n = needed")
+    named = lambda name, signature: F.concat(name, F.lit("\0"), signature)
+    asked = wanted.groupBy("iface", "name").agg(F.collect_set("want").alias("wants")).groupBy("iface").agg(F.collect_list(F.struct("name", "wants")).alias("asked"))
+    sets = have.groupBy("type").agg(F.collect_set("name").alias("names"), F.collect_set(named(F.col("name"), F.col("signature"))).alias("shapes"))
+    covered = F.forall("asked", lambda m: F.array_contains("names", m["name"]) & (
+        F.array_contains(m["wants"], "") | F.arrays_overlap("shapes", F.transform(m["wants"], lambda w: named(m["name"], w)))
+    ))
+    full = first.join(asked, "iface").join(sets, "type").where(covered)
     return full.select(F.lit("implements").alias("label"), F.col("type").alias("from_id"), F.col("iface").alias("to_id"))
 
 

@@ -185,13 +185,19 @@ class GraphStore:
             self.node_table.replace(upsert(self.node_table.of_pairs(pairs), new, ["repo_slug", "node_id"]), pairs, seen)
             self._logged("put", "node", new)
 
-    def put_edges(self, edges: DataFrame) -> None:
-        """Appended: equal edges add up."""
+    def put_edges(self, edges: DataFrame, batch: str | None = None) -> None:
+        """Appended: equal edges add up, but for those of a ``batch`` that comes again, which replaces itself."""
         new = cut(schema.conform(edges, schema.EDGES))
         if not new.isEmpty():
-            self.edge_table.append(new)
+            self.edge_table.append(new, batch)
             self._logged("put", "edge", new)
 
+    def stream_edges(self, batch: DataFrame) -> None:
+        """The edge sink of ``write_graph``: a batch (``batch_id``) that is run again after a failure is stored once."""
+        number = batch.select("batch_id").first()
+        if number is not None:
+            self.put_edges(batch.drop("batch_id"), f"stream-{number[0]}")
+
     def replace_edges(self, repo_slug: str, edges: DataFrame) -> None:
         """All edges of a repository anew; entries are logged for those that come or go."""
         seen = self.edge_table.version()[0]

@@ -518,61 +518,15 @@ def _(t):
     return changefeed.live_entries(t.events.select(F.col("user_id").alias("key"), "ts"), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
 
 
-@query("stage_states", "SELECT * FROM (VALUES ('walk', 'completed', 0), ('parse', 'failed', 1), ('link', 'skipped', 0), ('store', 'pending', 0)) AS t(stage, state, n_errors)", graph=False)
-def _(t):
-    tracker = changefeed.StageTracker(["walk", "parse", "link", "store"])
-    for stage, to in (("walk", "running"), ("walk", "completed"), ("parse", "running"), ("parse", "failed"), ("link", "skipped")):
-        tracker.move(stage, to)
-    tracker.error("parse", "no")
-    return tracker.rows(t.spark).select("stage", "state", F.size("errors").alias("n_errors"))
-
-
-# --- extraction -------------------------------------------------------------------------------------------------------
-
-PYTHON = "def f{k}(x, y):\n    z = g{s}(x.a)\n    x.b = z\n    if y:\n        return h(z)\n    return y\n"
-GO = "func F{k}(x *T, y int) int {{\n\tz := G{s}(x.A)\n\tx.B = z\n\tif y > 0 {{\n\t\treturn H(z)\n\t}}\n\treturn y\n}}\n"
-TYPESCRIPT = "export function f{k}(x, y) {{\n  const z = g{s}(x.a);\n  x.b = z;\n  if (y) {{\n    return h(z);\n  }}\n  return y;\n}}\n"
-
-
-def _sources(t: Tables, language: str, head: str, body: str, end: str) -> DataFrame:
-    """A file for each brand with a function for each of its parts, in the order of their keys."""
-    pieces, made = body.replace("{{", "{").replace("}}", "}").split("{k}"), None
-    first, rest = pieces[0], pieces[1].split("{s}")
-    made = F.concat(F.lit(first), F.col("p_partkey").cast("string"), F.lit(rest[0]), F.col("p_size").cast("string"), F.lit(rest[1]))
-    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
-    parts = t.part.groupBy(brand.alias("brand")).agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey"), made.alias("m")))).alias("l"))
-    content = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["m"]), "\n"))
-    path = F.concat(F.col("brand"), F.lit(end))
-    return parts.select(path.alias("path"), F.lit(language).alias("language"), F.encode(content, "UTF-8").alias("content"))
-
-
-def _numbered(lines: int, head: int, module: str) -> str:
-    return f"WITH p AS (SELECT lower(replace(p_brand, '#', '')) AS brand, p_partkey AS k, p_size AS s, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) * {lines} + {head} AS pos FROM part), q AS (SELECT *, {module} AS module FROM p) "
-
-
-def _facts(parsed: DataFrame) -> DataFrame:
-    """Functions and edges as (label, of, what, line, detail)."""
-    nodes = parsed.select(F.explode("nodes").alias("n")).where("n.label = 'function'").select(F.lit("function").alias("label"), F.col("n.qualified").alias("of"), F.col("n.signature").alias("what"), F.col("n.start_line").cast("string").alias("line"), F.col("n.end_line").cast("string").alias("detail"))
-    prop = lambda k: F.try_element_at("e.props", F.lit(k))
-    edges = parsed.select(F.explode("edges").alias("e")).where(F.col("e.label").isin("calls", "reads", "writes", "control_flow", "data_dep"))
-    detail = F.when(F.col("e.label") == "control_flow", F.concat_ws(" ", prop("branch_type"), prop("from_line"), prop("to_line"))).when(F.col("e.label") == "data_dep", F.concat_ws(" ", prop("var_name"), prop("def_line"), prop("use_line"), prop("def_type"))).otherwise(F.lit(""))
-    what = F.when(F.col("e.label").isin("control_flow", "data_dep"), F.lit("")).otherwise(F.col("e.to_id"))
-    return nodes.unionByName(edges.select(F.col("e.label").alias("label"), F.col("e.from_id").alias("of"), what.alias("what"), F.substring_index("e.call_site", ":", -1).alias("line"), detail.alias("detail")))
-
-
-def _facts_sql(name: str, signature: str, last: int, g_: str, h: str, read: str, write: str) -> str:
-    """What the sources say, by lines counted from a function's first: 1 call, 2 write, 3 branch, 4 and ``last`` - 1 or so returns."""
-    back = 6 if last == 7 else 5
-    fn = f"'function:' || module || '⋅{name}' || k"
-    edge = lambda label, what, line, detail="''": f"SELECT '{label}', {fn}, {what}, CAST(pos + {line} AS VARCHAR), {detail} FROM q"
-    flow = lambda kind, a, b: edge("control_flow", "''", a, f"'{kind} ' || (pos + {a}) || ' ' || (pos + {b})")
-    use = lambda v, d, u, kind: edge("data_dep", "''", u, f"'{v} ' || (pos + {d}) || ' ' || (pos + {u}) || ' {kind}'")
-    return " UNION ALL ".join([
-        f"SELECT 'function' AS label, module || '.{name}' || k AS \"of\", {signature} AS what, CAST(pos AS VARCHAR) AS line, CAST(pos + {last} AS VARCHAR) AS detail FROM q",
-        edge("calls", f"'{g_}' || s", 1), edge("calls", f"'{h}'", 4), edge("reads", f"'{read}'", 1), edge("writes", f"'{write}'", 2),
-        flow("sequential", 1, 2), flow("sequential", 2, 3), flow("sequential", 3, back), flow("if_true", 3, 4), flow("return", 4, 4), flow("return", back, back),
-        use("x", 0, 1, "parameter"), use("z", 1, 2, "return_value"), use("x", 0, 2, "parameter"), use("y", 0, 3, "parameter"), use("z", 1, 4, "return_value"), use("y", 0, back, "parameter"),
-    ])
+@query("stage_states", """WITH m AS (SELECT user_id, event_type AS stage, list(CASE event_id % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' WHEN 3 THEN 'skipped' ELSE 'running' END ORDER BY ts, event_id) AS log FROM events GROUP BY user_id, event_type),
+f AS (SELECT *, list_reduce(list_prepend('pending 0', log), lambda s, x: CASE
+  WHEN split_part(s, ' ', 1) = 'pending' AND x IN ('running', 'skipped') OR split_part(s, ' ', 1) = 'running' AND x IN ('completed', 'failed') THEN x || ' ' || split_part(s, ' ', 2)
+  ELSE split_part(s, ' ', 1) || ' ' || (CAST(split_part(s, ' ', 2) AS INT) + 1) END) AS last FROM m)
+SELECT user_id, stage, split_part(last, ' ', 1) AS state, CAST(len(log) AS BIGINT) AS n_moves, CAST(split_part(last, ' ', 2) AS BIGINT) AS n_refused FROM f""", graph=False)
+def _(t):
+    """Every user's event types as stages, their events as moves: states after all of them."""
+    to = F.element_at(F.array(*map(F.lit, ("running", "completed", "failed", "skipped", "running"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return changefeed.stage_states(t.events.select("user_id", F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("seq"), to.alias("to")), ["user_id", "stage"])
 
 
 @query("extract_python", _numbered(7, 1, "brand") + _facts_sql("f", "'def f' || k || '(x, y)'", 5, "g", "h", "x.a", "x.b"), graph=False)

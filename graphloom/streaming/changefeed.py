@@ -28,7 +28,7 @@ def write_graph(stream: DataFrame, write_nodes: Callable[[DataFrame], None], wri
     """Each batch of changes (``kind`` node or edge) goes to the sinks, nodes first.
 
     A batch that is run again after a failure is written again: the node sink replaces by key; the edge sink gets the
-    batch number in ``batch_id`` to drop what it has.
+    batch number in ``batch_id``, by which ``GraphStore.stream_edges`` replaces what it has of that batch.
     """
 
     def both(batch: DataFrame, number: int) -> None:
@@ -73,6 +73,22 @@ def delta_rows(nodes: DataFrame, edges: DataFrame, op: str = "put") -> DataFrame
     return a.unionByName(b)
 
 
+#: what a state may become
+MOVES = {"pending": ("running", "skipped"), "running": ("completed", "failed")}
+
+
+def stage_states(moves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, n_moves, n_refused) of stages whose moves (keys, ts, seq, to) were logged.
+
+    Every stage begins as pending; moves are taken in the order of time and ``seq``, and one that its state does not allow is
+    refused and changes nothing.  A stage's log is a handful of rows and is folded as an array.
+    """
+    step = "case " + " ".join(f"when s.state = '{state}' and x.to in ({', '.join(repr(t) for t in to)}) then named_struct('state', x.to, 'refused', s.refused)" for state, to in MOVES.items())
+    fold = f"aggregate(log, named_struct('state', 'pending', 'refused', 0L), (s, x) -> {step} else named_struct('state', s.state, 'refused', s.refused + 1L) end)"
+    logs = moves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "to"))).alias("log"))
+    return logs.select(*keys, F.size("log").cast("long").alias("n_moves"), F.expr(fold).alias("f")).select(*keys, "f.state", "n_moves", F.col("f.refused").alias("n_refused"))
+
+
 STAGES = ("pending", "running", "completed", "failed", "skipped")
 MOST_ERRORS = 50
 
@@ -86,8 +102,7 @@ class StageTracker:
         self.counts = dict.fromkeys(stages, 0)
 
     def move(self, stage: str, to: str) -> None:
-        allowed = {"pending": ("running", "skipped"), "running": ("completed", "failed")}
-        if to not in allowed.get(self.state[stage], ()):
+        if to not in MOVES.get(self.state[stage], ()):
             raise ValueError(f"{stage}: {self.state[stage]} cannot become {to}")
         self.state[stage] = to
 

@@ -209,3 +209,36 @@ def test_sessions_messages_and_memories(spark, tmp_path):
     assert [r.memory_id for r in m.prefix("s1", [0.0, 1.0], 25).collect()] == ["w0", "w1", "w2", "p6", "p5", "p4", "p3", "p2"]
     m.delete_session("s1")
     assert m.messages("s1").count() == 0 and m.memories("s1").count() == 0 and m.sessions().count() == 1 and m.recall([1.0, 0.0], 9).count() == 7
+
+
+def edges_of(engine):
+    return sorted((r.label, r.from_id, r.to_id, r.resolved) for r in engine.store.edges.select("label", "from_id", "to_id", "resolved").collect())
+
+
+def test_an_incremental_index_gives_the_edges_of_a_full_one(spark, tmp_path, tmp_path_factory):
+    """A new file brings another candidate for a name that was resolved: edges out of files that did not change follow."""
+    (tmp_path / "a.py").write_text("def caller():\n    return helper()\n")
+    (tmp_path / "zz.py").write_text("def helper():\n    return 1\n")
+    engine = Engine(spark, str(tmp_path_factory.mktemp("g")))
+    engine.index(str(tmp_path), "o/r", fast=True).collect()
+    (tmp_path / "b.py").write_text("def helper():\n    return 2\n")
+    engine.index(str(tmp_path), "o/r", fast=True).collect()
+    full = Engine(spark, str(tmp_path_factory.mktemp("g")))
+    full.index(str(tmp_path), "o/r", fast=True).collect()
+    assert edges_of(engine) == edges_of(full)
+    assert ("calls", "function:a⋅caller", "function:b⋅helper", True) in edges_of(engine)
+
+
+def test_a_writer_that_died_locks_nothing(spark, tmp_path):
+    table = tables.SegmentTable(spark, str(tmp_path / "t"), "repo_slug string, label string, x int", ("repo_slug", "label"))
+    row = spark.createDataFrame([("o/r", "a", 1)], "repo_slug string, label string, x int")
+    table.append(row)
+    base = table.version()[0]
+    (tmp_path / "t" / f"version-{base + 1:08d}").write_text("")  # made by a writer that died before it wrote
+    (tmp_path / "t" / ".writing-left").write_text("[")
+    table.append(row)
+    table.append(row)
+    assert table.read().count() == 3 and table.version()[0] == base + 2
+    for _ in range(2):  # a batch that is run again replaces itself
+        table.append(row, "stream-4")
+    assert table.read().count() == 4
