@@ -6,6 +6,7 @@ them everything that needs none works.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.functions import ids, paths
-from graphloom.operators import analyze, derive, link, memory, search, store, sync, traverse
+from graphloom.operators import adjacency, analyze, derive, link, lookup, memory, search, store, sync, traverse
 from graphloom.operators.extract import runner
 from graphloom.sources import files, gitlog
-from graphloom.storage import cut
+from graphloom.storage import cut, file_system
 from graphloom.streaming import changefeed
 
 
@@ -36,6 +37,31 @@ class Engine:
         self.summarise_fn, self.on_delta, self.on_stage = summarise_fn, on_delta, on_stage
         self.memory = memory.MemoryStore(spark, f"{path.rstrip('/')}/memory")
         self.tracker = changefeed.StageTracker(INDEX_STAGES)
+        self._organised: tuple[tuple[int, int], str, adjacency.Adjacency] | None = None
+
+    # --- organised copies -------------------------------------------------------------------------------------------
+
+    def _versions(self) -> tuple[int, int]:
+        return self.store.node_table.version()[0], self.store.edge_table.version()[0]
+
+    def organise(self) -> None:
+        """Copies of the stored graph for questions over all of it: nodes sorted by id with filters of names, edges bucketed by
+        either end.  They answer while the store stays at the version that they were made from; after a write questions
+        read the store itself until the next call."""
+        before, path = self._organised, f"{self.store.path}/organised-{uuid.uuid4().hex}"
+        versions = self._versions()
+        lookup.save(self.nodes(), f"{path}/nodes")
+        self._organised = versions, path, adjacency.save(self.edges(), f"{path}/edges")
+        if before:
+            before[2].drop()
+            fs, at = file_system(self.spark, before[1])
+            fs.delete(at, True)
+
+    def _at_hand(self, repo_slug: str | None = None) -> tuple[str, adjacency.Adjacency] | None:
+        """Folder of the nodes and the adjacency, where they stand for the graph that is asked."""
+        if repo_slug is not None or self._organised is None or self._organised[0] != self._versions():
+            return None
+        return f"{self._organised[1]}/nodes", self._organised[2]
 
     # --- indexing ---------------------------------------------------------------------------------------------------
 
@@ -238,10 +264,12 @@ class Engine:
         return self.spark.createDataFrame([(symbol, r.node_id) for r in found], "seed_id string, node_id string")
 
     def lookup(self, symbol: str, repo_slug: str | None = None) -> DataFrame:
-        return store.find_by_qualified(self.nodes(repo_slug), symbol)
+        at_hand = self._at_hand(repo_slug)
+        return lookup.find(self.spark, at_hand[0], symbol) if at_hand else store.find_by_qualified(self.nodes(repo_slug), symbol)
 
     def show_node(self, node_id: str) -> DataFrame:
-        return self.store.nodes.where(F.col("node_id") == node_id)
+        at_hand = self._at_hand()
+        return lookup.by_id(self.spark, at_hand[0], [node_id]) if at_hand else self.store.nodes.where(F.col("node_id") == node_id)
 
     def neighborhood(self, symbol: str, repo_slug: str | None = None) -> DataFrame:
         return traverse.neighbours(self.edges(repo_slug), self.nodes(repo_slug), self._seed(symbol, repo_slug))
@@ -250,10 +278,12 @@ class Engine:
         return analyze.trace(self._seed(symbol, repo_slug), self.edges(repo_slug), self.nodes(repo_slug), list(labels), direction, max_depth, sites=True)
 
     def blast(self, symbol: str, max_depth: int = 0, repo_slug: str | None = None) -> DataFrame:
-        return analyze.blast_radius(self._seed(symbol, repo_slug), self.edges(repo_slug), self.nodes(repo_slug), max_depth=max_depth)
+        at_hand = self._at_hand(repo_slug)
+        return analyze.blast_radius(self._seed(symbol, repo_slug), at_hand[1] if at_hand else self.edges(repo_slug), self.nodes(repo_slug), max_depth=max_depth)
 
     def diff_impact(self, diffs: DataFrame, repo_slug: str | None = None) -> DataFrame:
-        return analyze.diff_impact(diffs, self.edges(repo_slug), self.nodes(repo_slug))
+        at_hand = self._at_hand(repo_slug)
+        return analyze.diff_impact(diffs, at_hand[1] if at_hand else self.edges(repo_slug), self.nodes(repo_slug))
 
     def field_flow(self, symbol: str, field_path: str | None = None, show_mutations: bool = False, max_depth: int = 10, repo_slug: str | None = None) -> DataFrame:
         return analyze.field_flow_chains(self._seed(symbol, repo_slug), self.edges(repo_slug), field_path, max_depth, show_mutations)

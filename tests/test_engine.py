@@ -242,3 +242,19 @@ def test_a_writer_that_died_locks_nothing(spark, tmp_path):
     for _ in range(2):  # a batch that is run again replaces itself
         table.append(row, "stream-4")
     assert table.read().count() == 4
+
+
+def test_organised_copies_answer_like_the_store(spark, tmp_path, tmp_path_factory):
+    (tmp_path / "a.py").write_text("def caller():\n    return helper()\n\n\ndef helper():\n    return 1\n")
+    engine = Engine(spark, str(tmp_path_factory.mktemp("g")))
+    engine.index(str(tmp_path), "o/r", fast=True).collect()
+    ask = lambda: (engine.show_node("function:a⋅helper").select("node_id", "name").collect(), engine.lookup("helper").select("node_id").collect(), engine.lookup("a.caller").select("node_id").collect(), engine.blast("helper").collect())
+    plain = ask()
+    engine.organise()
+    assert engine._at_hand() and ask() == plain and plain[0] and plain[1] and plain[3]
+    assert "organised-" in engine.show_node("function:a⋅helper").inputFiles()[0]
+    (tmp_path / "b.py").write_text("from a import helper\n\n\ndef other():\n    return helper()\n")
+    engine.index(str(tmp_path), "o/r", fast=True).collect()
+    assert engine._at_hand() is None and {r.qualified for r in engine.blast("helper").collect()} == {"a.caller", "b.other"}
+    engine.organise()
+    assert engine._at_hand() and {r.qualified for r in engine.blast("helper").collect()} == {"a.caller", "b.other"}
