@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, release, table
+from graphloom.llm.common import HOT_KEYS, HOT_ROWS, join_spread, materialise, release, table
 
 UNIT = 1_000
 BUCKET = 1_000
@@ -74,7 +74,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS) ->
     # units: the documents of a key by their first label, large ones in parts
     first = _hash_of(["row"], shards).cast("int")
     parts = F.ceil(F.col("members") / (UNIT * shards))
-    linked = materialise(docs.join(members, "key").select("row", "key", "members", first.alias("first"), _hash_of([F.lit(1), "row"], parts).alias("part")))
+    linked = materialise(join_spread(docs, members.withColumn("__n", F.col("members")), "key", "__n", total).select("row", "key", "members", first.alias("first"), _hash_of([F.lit(1), "row"], parts).alias("part")))
     units = materialise(linked.groupBy("key", "members", "first", "part").agg(F.count("*").alias("n")).withColumn("shard", F.col("first")))
     # keys that are large beside a shard find their shards first, the others then share out what is left
     large = F.col("members") > max(2, min(quota) // 8)
@@ -91,7 +91,9 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS) ->
     placed = materialise(placed.select("row", "key", "shard", "place", (F.col("place") < limit).alias("stays")))
     stay = placed.where("stays").select("row", "shard", F.col("place").alias("slot"))
     # unlinked rows are those without a key or of a key with one member
-    alone = docs.join(members.select("key"), "key", "left_anti").select("row", F.lit(None).cast("string").alias("key"), (buckets + _hash_of(["row"], buckets)).alias("bucket"))
+    hot = F.col("members") > max(HOT_ROWS, total // HOT_KEYS)  # at most HOT_KEYS keys, which are sent to the rows
+    others = docs.join(F.broadcast(members.where(hot).select("key")), "key", "left_anti").join(members.where(~hot).select("key"), "key", "left_anti")
+    alone = others.select("row", F.lit(None).cast("string").alias("key"), (buckets + _hash_of(["row"], buckets)).alias("bucket"))
     # what a shard had no room for comes first, key by key, so that it stays together where the room allows
     over = placed.where("not stays").select("row", "key", _hash_of(["key"], buckets).alias("bucket"))
     fillers = alone.unionByName(over).withColumn("all", F.lit(0))

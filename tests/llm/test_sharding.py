@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import sharding
+from graphloom.llm import common, sharding
 
 
 def check(got, docs, shards=16):
@@ -75,3 +75,12 @@ def test_a_hot_key_of_many_units(spark, monkeypatch):
 def test_main_path_has_no_python(spark):
     plan = sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_hot_keys_are_joined_by_themselves_with_the_same_rows(spark, monkeypatch):
+    """A third of all rows equal, and very long texts: hot keys go another way to the same shards."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy").when(F.col("id") % 50 == 1, F.repeat(F.lit("long "), 40_000)).otherwise(F.concat(F.lit("t"), F.col("id") % 350)).alias("text"))
+    want = sorted(map(tuple, sharding.shard_documents(docs, 5).collect()))
+    monkeypatch.setattr(sharding, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    assert sorted(map(tuple, sharding.shard_documents(docs, 5).collect())) == want and len(want) == 600
