@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.operators import adjacency, analyze, ann, history, lookup, memory, merkle, textindex
 from graphloom.plans import driver_graph as g
-from graphloom.plans.catalogue import BLAST, OVERLAP, PAIRS, _all, _bfs_sql, _diffs, _evidence, query
+from graphloom.plans.catalogue import BLAST, FLOW_WALK, OVERLAP, PAIRS, _all, _bfs_sql, _diffs, _evidence, _flow_seeds, query
 from graphloom.storage import new_folder
 from graphloom.streaming import changefeed, degrees, registry
 
@@ -154,3 +154,12 @@ SELECT user_id, day, entry, class_id, n_members, coalesce(n_links, 0) AS n_links
 def _(t):
     _, members, _ = memory.similar_classes(_evidence(t), 0.4, ["user_id", "day"])
     return members.select("user_id", "day", "entry", "class_id", "n_members", "n_links")
+
+
+# --- branches of walks --------------------------------------------------------------------------------------------------
+
+
+@query("field_flow_of_one_field", FLOW_WALK.replace("FROM flows)", "FROM flows WHERE field_path = 'f1' OR field_path IS NULL)") + "SELECT field_path, depth, from_id, to_id, mutation_type, mutation_type IS NOT NULL AS mutates FROM hops")
+def _(t):
+    """Hops over edges of one field or of none."""
+    return analyze.field_flow_hops(_flow_seeds(t), g.flows(t), "f1").select("field_path", "depth", "from_id", "to_id", "mutation_type", "mutates")
