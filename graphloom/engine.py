@@ -125,7 +125,7 @@ class Engine:
             todo = found.join(changed.select(F.col("file_path").alias("path")), "path", "left_semi")
         with self._running("parse"):
             parsed = cut(runner.parse_files(todo))
-            self.tracker.counts["parse"] = parsed.count()
+            self.tracker.counts["parse"] = parsed.where("part = 0").count()
             for r in parsed.where("error <> ''").select("path", "error").limit(changefeed.MOST_ERRORS).collect():
                 self.tracker.error("parse", f"{r.path}: {r.error}")
             code = runner.merge_methods(runner.nodes_of(parsed, repo_slug))
