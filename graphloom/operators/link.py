@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import ids, text
+from graphloom.storage import cut
 
 
 class EdgeLinker(Protocol):
@@ -148,30 +149,44 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
     return found.select(F.lit("defines").alias("label"), F.coalesce("class_id", "file_id").alias("from_id"), F.col("node_id").alias("to_id")).where("from_id is not null")
 
 
+#: words of 64 bits that say which types of a block have a method
+WORDS = 16
+
+
 def implements_edges(nodes: DataFrame) -> DataFrame:
     """(label, from_id, to_id): types whose methods cover an interface's, name by name with equal bare signatures.
 
-    Candidates are the types with the interface's rarest method; one row a candidate then compares the two method sets.  Embedded entries (no name) do not count; an interface without other methods
+    Types are numbered and lie in blocks; a method has, for each block that knows it, the set of its types as bits.  An
+    interface meets the blocks that have its rarest method, and there the sets of all its methods are intersected: a row
+    stands for up to 1,024 types, and no two sets of names are compared.  Embedded entries (no name) do not count; an interface without other methods
     has no implementors; an interface method without signature matches any.  A type is no implementor of itself.
     """
     methods = nodes.where(F.col("label") == "class").select("node_id", F.explode("methods").alias("m")).select(
         "node_id", F.col("m.name").alias("name"), F.coalesce(F.col("m.receiver"), F.lit("")).alias("receiver"), text.bare_signature(F.coalesce(F.col("m.signature"), F.lit(""))).alias("signature")
     ).where("name <> ''")
-    wanted = methods.where("receiver = ''").select(F.col("node_id").alias("iface"), "name", F.col("signature").alias("want")).distinct()
-    have = methods.where("receiver <> ''").select(F.col("node_id").alias("type"), "name", "signature").distinct()
-    fits = (F.col("want") == "") | (F.col("want") == F.col("signature"))
-    # only types with the interface's rarest method are candidates; a common name like Close pairs nothing
+    wanted = methods.where("receiver = ''").select(F.col("node_id").alias("iface"), "name", F.col("signature").alias("want"))
+    have = cut(methods.where("receiver <> ''").select(F.col("node_id").alias("type"), "name", "signature").distinct())
+    types = cut(have.select("type").distinct().withColumn("n", F.monotonically_increasing_id()))  # dense in each partition
+    size, words = 64 * WORDS, [f"w{k}" for k in range(WORDS)]
+    shapes = F.explode(F.array_distinct(F.array(F.lit(""), "signature"))).alias("want")  # "" stands for any signature
+    placed = have.join(types, "type").select("name", shapes, F.expr(f"n div {size}").alias("block"), F.expr(f"cast(n % {size} as int)").alias("bit"))
+    sets = placed.groupBy("name", "want", "block").agg(*(F.expr(f"bit_or(if(bit div 64 = {k}, shiftleft(1L, bit % 64), 0L))").alias(w) for k, w in enumerate(words)))
+    sets = cut(sets)
+
+    wants = F.when(F.array_contains("wants", ""), F.array(F.lit(""))).otherwise(F.col("wants")).alias("wants")
+    asked = cut(wanted.groupBy("iface", "name").agg(F.collect_set("want").alias("wants")).select("iface", "name", wants))
+    # only blocks with the interface's rarest method are met; a common name like Close meets none by itself
     held = have.groupBy("name").agg(F.count("*").alias("types"))
-    rarest = wanted.join(held, "name", "left").groupBy("iface").agg(F.min_by("name", F.struct(F.coalesce("types", F.lit(0)), "name")).alias("name"))
-    first = wanted.join(rarest, ["iface", "name"]).join(have, "name").where(fits).where("type <> iface").select("iface", "type").distinct()
-    named = lambda name, signature: F.concat(name, F.lit("\0"), signature)
-    asked = wanted.groupBy("iface", "name").agg(F.collect_set("want").alias("wants")).groupBy("iface").agg(F.collect_list(F.struct("name", "wants")).alias("asked"))
-    sets = have.groupBy("type").agg(F.collect_set("name").alias("names"), F.collect_set(named(F.col("name"), F.col("signature"))).alias("shapes"))
-    covered = F.forall("asked", lambda m: F.array_contains("names", m["name"]) & (
-        F.array_contains(m["wants"], "") | F.arrays_overlap("shapes", F.transform(m["wants"], lambda w: named(m["name"], w)))
-    ))
-    full = first.join(asked, "iface").join(sets, "type").where(covered)
-    return full.select(F.lit("implements").alias("label"), F.col("type").alias("from_id"), F.col("iface").alias("to_id"))
+    rarest = asked.join(held, "name", "left").groupBy("iface").agg(F.min_by(F.struct("name", "wants"), F.struct(F.coalesce("types", F.lit(0)), "name")).alias("r"), F.count("*").alias("needed"))
+    first = rarest.select("iface", "needed", "r.name", F.explode("r.wants").alias("want")).join(sets.select("name", "want", "block"), ["name", "want"]).select("iface", "needed", "block").distinct()
+    met = asked.join(first, "iface").select("iface", "needed", "block", "name", (F.size("wants") > 1).alias("several"), F.explode("wants").alias("want")).join(sets, ["name", "want", "block"])
+    either = met.where("several").groupBy("iface", "needed", "block", "name").agg(*(F.bit_or(w).alias(w) for w in words))
+    each = met.where(~F.col("several")).select("iface", "needed", "block", "name", *words).unionByName(either)
+    full = each.groupBy("iface", "needed", "block").agg(F.count("*").alias("names"), *(F.bit_and(w).alias(w) for w in words)).where("names = needed")
+    found = full.select("iface", "block", F.posexplode(F.array(*words)).alias("word", "bits")).where("bits <> 0")
+    bits = F.expr("explode(filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1L) = 1L))").alias("bit")
+    pairs = found.select("iface", "block", "word", bits).select("iface", F.expr(f"block * {size} + word * 64 + bit").alias("n")).join(types, "n")
+    return pairs.where("type <> iface").select(F.lit("implements").alias("label"), F.col("type").alias("from_id"), F.col("iface").alias("to_id"))
 
 
 LINKERS: list[EdgeLinker] = [CallLinker(), DataFlowLinker(), FieldAccessLinker(), RouteLinker()]

@@ -212,3 +212,30 @@ def test_store_round_trip(spark, tmp_path):
     assert [r.node_id for r in s.nodes.collect()] == ["A"] and s.edges.count() == 0
     s.delete_file("r", "batch.go")
     assert s.nodes.count() == 0
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_a_search_for_hops_alone_finds_the_same_nodes(spark, depth):
+    pairs = [(f"n{k}", f"n{(k * 7 + j) % 40}") for k in range(40) for j in (1, 3)]
+    edges = edges_of(spark, pairs).unionByName(edges_of(spark, [("n1", "n30"), ("n30", "n2")], "tests"))
+    seeds = frame(spark, [("s", "n0"), ("t", "n1"), ("t", "n5")], "seed_id string, node_id string")
+    for labels, mode in ((["calls"], "per_label"), (["tests", "calls"], "per_label"), (["tests", "calls"], "mixed")):
+        whole = traverse.traverse(seeds, edges, labels, "forward", depth, mode)
+        lean = traverse.traverse(seeds, edges, labels, "forward", depth, mode, via=False)
+        assert "parent_id" not in lean.columns and "call_site" not in lean.columns
+        assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, whole.select(*lean.columns).collect()))
+
+
+def test_interfaces_meet_types_of_several_blocks(spark):
+    shape = "node_id string, label string, methods array<struct<name:string,signature:string,receiver:string>>"
+    types = [(f"t{k}", "class", [("Run", "(int)" if k % 2 else "(string)", "T")] + ([("Close", "()", "T")] if k % 3 == 0 else [])) for k in range(1500)]
+    ifaces = [("any", "class", [("Run", "", ""), ("Close", "()", "")]), ("odd", "class", [("Run", "(int)", "")]),
+              ("either", "class", [("Run", "(int)", ""), ("Run", "(string)", ""), ("Close", "", "")]), ("none", "class", [("Run", "", ""), ("Stop", "", "")]), ("self", "class", [("Run", "(int)", ""), ("Run", "(int)", "S")])]
+    plan = link.implements_edges(frame(spark, types + ifaces, shape))
+    got = {}
+    for r in plan.collect():
+        assert r.label == "implements" and r.from_id not in got.setdefault(r.to_id, set())
+        got[r.to_id].add(r.from_id)
+    thirds, odd = {f"t{k}" for k in range(0, 1500, 3)}, {f"t{k}" for k in range(1, 1500, 2)}
+    assert got == {"any": thirds, "either": thirds, "odd": odd | {"self"}, "self": odd}
+    assert "array_contains" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no sets of names are compared
