@@ -94,6 +94,10 @@ def _(t):
     return t.spark.read.schema(ddl).parquet(out).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("seen").cast("timestamp_ntz").alias("seen"), "n")
 
 
+#: lines in a file of a change log, about
+LOG_ROWS = 1_000_000
+
+
 @query("degrees_live", """WITH e AS (SELECT 'orders:' || l_orderkey AS a, 'part:' || l_partkey AS b FROM lineitem WHERE l_returnflag <> 'R'),
 d AS (SELECT a AS node_id, 0 AS i, 1 AS o FROM e UNION ALL SELECT b, 1, 0 FROM e)
 SELECT node_id, CAST(sum(i) AS BIGINT) AS call_count, CAST(sum(o) AS BIGINT) AS callee_count, CAST(count(*) AS BIGINT) AS centrality FROM d GROUP BY node_id""", graph=False)
@@ -102,9 +106,10 @@ def _(t):
     log = new_folder(t.spark)
     ends = F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")).alias("from_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("to_id")
     ops = F.explode(F.when(F.col("l_returnflag") == "R", F.array(F.lit("put"), F.lit("delete"))).otherwise(F.array(F.lit("put"))))
-    t.lineitem.select(ops.alias("op"), F.lit("calls").alias("label"), *ends, F.col("l_shipdate").cast("timestamp").alias("ts")).repartition(3).write.parquet(log)
+    files = 3 * max(1, round(t.lineitem.count() / (3 * LOG_ROWS)))  # three batches, of as many files as their lines need
+    t.lineitem.select(ops.alias("op"), F.lit("calls").alias("label"), *ends, F.col("l_shipdate").cast("timestamp").alias("ts")).repartition(files).write.parquet(log)
     live = degrees.LiveDegrees(t.spark, new_folder(t.spark))
-    changes = changefeed.read_changes(t.spark, log, "op string, label string, from_id string, to_id string, ts timestamp", files_per_trigger=1)
+    changes = changefeed.read_changes(t.spark, log, "op string, label string, from_id string, to_id string, ts timestamp", files_per_trigger=files // 3)
     changes.writeStream.foreachBatch(live.apply).option("checkpointLocation", new_folder(t.spark)).trigger(availableNow=True).start().awaitTermination()
     return live.current()
 

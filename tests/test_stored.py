@@ -221,3 +221,14 @@ def test_pairs_follow_from_classes(spark):
     df = spark.createDataFrame([(k % 2, k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(0, 4)))) for k in range(50)], "g int, entry long, content string")
     _, members, links = memory.similar_classes(df, 0.4, ["g"])
     assert rows(memory.expanded(members, links, ["g"])) == rows(memory.similar_pairs(df, 0.4, ["g"]).select("g", "a", "b"))
+
+
+def test_a_large_change_log_has_batches_of_several_files(spark, monkeypatch):
+    from graphloom.plans import catalogue, stored
+
+    seen, read = [], stored.changefeed.read_changes
+    monkeypatch.setattr(stored, "LOG_ROWS", 500)
+    monkeypatch.setattr(stored.changefeed, "read_changes", lambda *a, **b: seen.append(b["files_per_trigger"]) or read(*a, **b))
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = catalogue.queries()["degrees_live"](spark, "/root/testdata/sf0.001")
+    assert got.agg(F.sum("callee_count")).first()[0] == lines.where("l_returnflag <> 'R'").count() and seen == [round(lines.count() / 1500)]
