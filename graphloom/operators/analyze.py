@@ -31,7 +31,7 @@ def blast_radius(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, labels: l
     """
     depth = min(max_depth if max_depth > 0 else BLAST_DEPTH, BLAST_CAP)
     start = seeds.select(F.lit("*").alias("seed_id"), "node_id")
-    hops = traverse.min_hop(traverse.traverse(start, edges, labels, "reverse", depth))
+    hops = traverse.min_hop(traverse.traverse(start, edges, labels, "reverse", depth, via=False))
     found = hops.join(nodes.select("node_id", "qualified", "file_path"), "node_id")
     return found.select("node_id", "qualified", ids.package_of(F.col("qualified")).alias("module"), "file_path", "hop").orderBy("hop", "qualified", "node_id")
 
@@ -66,14 +66,14 @@ def diff_impact(diffs: DataFrame, edges: DataFrame, nodes: DataFrame, labels: li
 def tests_for(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, direct: bool = False) -> DataFrame:
     """(node_id, qualified, hop): tests that reach ``seeds`` (node_id) over tests edges, at one hop or up to five."""
     start = seeds.select(F.lit("*").alias("seed_id"), "node_id")
-    hops = traverse.min_hop(traverse.traverse(start, edges, ["tests"], "reverse", 1 if direct else 5))
+    hops = traverse.min_hop(traverse.traverse(start, edges, ["tests"], "reverse", 1 if direct else 5, via=False))
     return _nearest_by_name(hops.join(nodes.select("node_id", "qualified"), "node_id"))
 
 
 def subjects_for(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, max_depth: int = 5) -> DataFrame:
     """(node_id, qualified, hop): what the tests ``seeds`` exercise over tests and calls edges, tests themselves left out."""
     start = seeds.select(F.lit("*").alias("seed_id"), "node_id")
-    hops = traverse.min_hop(traverse.traverse(start, edges, ["tests", "calls"], "forward", max_depth))
+    hops = traverse.min_hop(traverse.traverse(start, edges, ["tests", "calls"], "forward", max_depth, via=False))
     named = hops.join(nodes.select("node_id", "qualified", "file_path", "name"), "node_id")
     return _nearest_by_name(named.where(~ids.looks_like_test(F.col("file_path"), F.col("name"))))
 
@@ -88,10 +88,10 @@ def resolve_interface(ifaces: DataFrame, edges: DataFrame, nodes: DataFrame, bin
     """(node_id, qualified, role): types that implement ``ifaces`` (node_id) and, with ``bindings``, who builds or calls
     them within two hops."""
     start = ifaces.select(F.lit("*").alias("seed_id"), "node_id")
-    types = traverse.min_hop(traverse.traverse(start, edges, ["implements"], "reverse", 1)).select("node_id")
+    types = traverse.min_hop(traverse.traverse(start, edges, ["implements"], "reverse", 1, via=False)).select("node_id")
     out = types.withColumn("role", F.lit("implementation"))
     if bindings:
-        sites = traverse.min_hop(traverse.traverse(types.select(F.lit("*").alias("seed_id"), "node_id"), edges, ["constructs", "calls"], "reverse", 2))
+        sites = traverse.min_hop(traverse.traverse(types.select(F.lit("*").alias("seed_id"), "node_id"), edges, ["constructs", "calls"], "reverse", 2, via=False))
         out = out.unionByName(sites.select("node_id", F.lit("binding").alias("role")))
     return out.join(nodes.select("node_id", "qualified"), "node_id").select("node_id", "qualified", "role").orderBy("role", "qualified", "node_id")
 
