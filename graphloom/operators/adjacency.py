@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import cut, release
+
 #: edges in a bucket, about, and buckets at most
 BUCKET_EDGES, MOST_BUCKETS = 2_000_000, 20_000
 #: an end with more than a ten-thousandth of all edges, and more than this, is a hub: at most ten thousand are
@@ -67,6 +69,7 @@ def save(edges: DataFrame, path: str, buckets: int | None = None) -> Adjacency:
     spark = edges.sparkSession
     site = F.col("call_site") if "call_site" in edges.columns else F.lit(None).cast("string")
     rows = edges.where("from_id is not null and to_id is not null").select("label", "from_id", "to_id", site.cast("string").alias("call_site"))
+    rows = cut(rows)  # read for the count, and for the hubs and the others of either end: made once
     total = rows.count()
     buckets = buckets or max(1, min(MOST_BUCKETS, math.ceil(total / BUCKET_EDGES)), min(total // 10_000, spark.sparkContext.defaultParallelism))
     tables = {}
@@ -78,6 +81,7 @@ def save(edges: DataFrame, path: str, buckets: int | None = None) -> Adjacency:
         cold = rows.join(hubs, end, "left_anti").select(*COLUMNS)
         # dealt like the buckets first, so each task writes one file
         cold.repartition(buckets, end).write.bucketBy(buckets, end).sortBy(end).option("path", f"{path}/by_{end}").saveAsTable(name)
+    release(rows)
     spark.createDataFrame([(json.dumps({"buckets": buckets}),)], "value string").coalesce(1).write.text(f"{path}/about")
     return Adjacency(spark, path, buckets, tables)
 

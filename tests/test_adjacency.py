@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import adjacency, traverse
 from graphloom.storage import new_folder
@@ -59,3 +60,18 @@ def test_no_step_moves_the_edges(spark, edges):
         assert "adjacency_to_id" in plan and moved(plan) == [], plan
     # what the same step over a frame does
     assert "Exchange hashpartitioning(src" in traverse.oriented(edges, "reverse").join(ahead.hint("shuffle_merge"), "src")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_to_store_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def end(k):
+        made.add(1)
+        return f"b{k % 7}"
+
+    edges = spark.range(200).select(F.lit("calls").alias("label"), F.concat(F.lit("a"), "id").alias("from_id"), end("id").alias("to_id"))
+    stored = adjacency.save(edges, f"{tmp_path}/once")
+    assert made.value <= 400  # an id is read for the filter and the row, at most
+    assert stored.step(spark.createDataFrame([("b3",)], "src string"), "reverse", ["calls"]).count() == 29
+    stored.drop()
