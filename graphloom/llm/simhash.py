@@ -7,7 +7,7 @@ hashes.  Lane 0 is that 64-bit fingerprint; further lanes mix the same hashes ag
 Self-join: fingerprints form a binary trie.  Pairs of trie nodes are walked down together, the bits in which
 they differ add up, and a pair is dropped once they exceed the budget.  The top of the trie (its leaves hold a
 bounded share of the fingerprints) is known to the driver; each pair of leaves within the budget is one group that a
-task walks to the bottom.  With more than one leaf the trie is built budget + 1 times, each time with another block
+task walks to the bottom.  With more than a few leaves the trie is built budget + 1 times, each time with another block
 of the bits on top: two fingerprints within the budget agree in one whole block, so only leaves that agree in the
 top block are paired and a fingerprint goes to few groups however many leaves there are.  Inside a task, ranges that
 are already one component need no further walk, so groups of thousands of near copies cost about their size; a task
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -349,6 +350,15 @@ def _rotated(key: Column, by: int, bits: int) -> Column:
     return turned if bits == 64 else turned.bitwiseAND(F.lit(-(1 << (64 - bits))))
 
 
+def turns_of(total: int, leaf_rows: int, budget: int) -> int:
+    """How many times a trie of ``total`` keys is built: once while that sends a key to no more groups than turns would.
+
+    A turn walks nearly all of a trie again as long as its top is much shallower than a block of bits.
+    """
+    depth = max(0, -(-total // leaf_rows) - 1).bit_length()
+    return 1 if sum(comb(depth, k) for k in range(budget + 1)) <= budget + 1 else budget + 1
+
+
 def dealt(rows: DataFrame, keys_of: list[Column], bits: int, budget: int, leaf_rows: int, join, schema: str) -> DataFrame:
     """``join(rows of one group, the second leaf's first key or None)`` of every pair of leaves.
 
@@ -357,7 +367,7 @@ def dealt(rows: DataFrame, keys_of: list[Column], bits: int, budget: int, leaf_r
     """
     total = rows.count()
     leaf_rows = max(leaf_rows, total // LEAVES)
-    turns = budget + 1 if total > leaf_rows else 1
+    turns = turns_of(total, leaf_rows, budget)
     width = bits // turns
     tries = [F.struct(F.lit(k * turns + r).alias("t"), F.lit(r * width).alias("by"), _rotated(s, r * width, bits).alias("key")) for k, s in enumerate(keys_of) for r in range(turns)]
     keys = rows.select("*", F.explode(F.array(*tries)).alias("__k")).select(*rows.columns, "__k.*")

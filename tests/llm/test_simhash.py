@@ -85,6 +85,18 @@ def test_trie_links_do_not_depend_on_the_leaves(spark):
         assert {k: got.get(k, k) for k in want} == want
 
 
+def test_tries_of_few_leaves_are_built_once(spark, monkeypatch):
+    rng, tries, leaves_of = random.Random(3), [], simhash.trie_leaves
+    keys = list({k ^ 1 << rng.randrange(63) for k in (rng.getrandbits(63) for _ in range(50)) for _ in range(4)})
+    want = brute_components(keys, lambda a, b: (a ^ b).bit_count() <= 3)
+    monkeypatch.setattr(simhash, "trie_leaves", lambda k, bits, rows, n: tries.append(n) or leaves_of(k, bits, rows, n))
+    frame = spark.createDataFrame([(k,) for k in keys], "key long")
+    for leaf_rows in (60, 3):
+        got = {r.node: r.component for r in connected_components(simhash.trie_links(frame, 3, leaf_rows)).collect()}
+        assert {k: got.get(k, k) for k in keys} == want
+    assert tries == [1, 4]
+
+
 def test_components_against_brute_force(spark):
     docs = sample_docs(150) + [(400, None), (401, " "), (402, "one\nword"), (402, "one word"), (None, "one word")]
     got = simhash.simhash_components(spark.createDataFrame(docs, "doc_id long, text string"), leaf_rows=8).collect()
