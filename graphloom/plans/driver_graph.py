@@ -13,16 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.functions.joins import dealt
+
 
 class Tables:
     """Lazily read tables of a folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._rows: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def rows(self, name: str) -> int:
+        """Rows of a table, which its files' footers tell."""
+        if name not in self._rows:
+            self._rows[name] = getattr(self, name).count()
+        return self._rows[name]
+
 
 def _id(label: str, key: str):
     return F.concat(F.lit(f"{label}:"), F.col(key).cast("string"))
@@ -51,8 +60,11 @@ def nodes(t: Tables) -> DataFrame:
     ])
 
 
-def _edge(df: DataFrame, label: str, a: str, ka: str, b: str, kb: str, distinct: bool = False) -> DataFrame:
-    keys = df.select(ka, kb).distinct() if distinct else df.select(ka, kb)  # repeats go while the keys are numbers
+def _edge(df: DataFrame, label: str, a: str, ka: str, b: str, kb: str, distinct_of: int | None = None) -> DataFrame:
+    """Edges between the keys of ``df``; each once where ``distinct_of`` says how many rows it has at most."""
+    keys = df.select(ka, kb)
+    if distinct_of is not None:  # repeats go while the keys are numbers
+        keys = dealt(keys, distinct_of, ka, kb).distinct()
     out = keys.select(F.lit(label).alias("label"), _id(a, ka).alias("from_id"), _id(b, kb).alias("to_id"))
     return out.withColumn("call_site", F.concat("from_id", F.lit(":"), F.lit("1")))
 
@@ -60,7 +72,7 @@ def _edge(df: DataFrame, label: str, a: str, ka: str, b: str, kb: str, distinct:
 def calls(t: Tables) -> DataFrame:
     li = t.lineitem
     return reduce(DataFrame.unionByName, [
-        _edge(t.orders, "calls", "customer", "o_custkey", "orders", "o_orderkey"), _edge(li, "calls", "orders", "l_orderkey", "part", "l_partkey", True), _edge(li, "calls", "part", "l_partkey", "supplier", "l_suppkey", True),
+        _edge(t.orders, "calls", "customer", "o_custkey", "orders", "o_orderkey"), _edge(li, "calls", "orders", "l_orderkey", "part", "l_partkey", t.rows("lineitem")), _edge(li, "calls", "part", "l_partkey", "supplier", "l_suppkey", t.rows("lineitem")),
     ])
 
 
@@ -72,7 +84,7 @@ def defines(t: Tables) -> DataFrame:
 
 def tests(t: Tables) -> DataFrame:
     urgent = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey")
-    return _edge(t.lineitem.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"), "tests", "orders", "l_orderkey", "part", "l_partkey", True)
+    return _edge(t.lineitem.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"), "tests", "orders", "l_orderkey", "part", "l_partkey", t.rows("lineitem"))
 
 
 def flows(t: Tables) -> DataFrame:
