@@ -211,7 +211,7 @@ class MemoryStore:
         seen, new = table.version()[0], cut(schema.conform(rows, table.ddl))
         pairs = table.pairs_of(new)
         if pairs:
-            table.replace(upsert(table.of_pairs(pairs), new, [key]), pairs, seen)
+            table.replace(upsert(table.of_pairs(pairs), new, [key]), pairs, seen, new.count())
 
     def put_sessions(self, sessions: DataFrame) -> None:
         self._put(self.session_table, sessions, "session_id")

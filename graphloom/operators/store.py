@@ -182,7 +182,7 @@ class GraphStore:
         pairs = self.node_table.pairs_of(new)
         if pairs:
             seen = self.node_table.version()[0]
-            self.node_table.replace(upsert(self.node_table.of_pairs(pairs), new, ["repo_slug", "node_id"]), pairs, seen)
+            self.node_table.replace(upsert(self.node_table.of_pairs(pairs), new, ["repo_slug", "node_id"]), pairs, seen, new.count())
             self._logged("put", "node", new)
 
     def put_edges(self, edges: DataFrame, batch: str | None = None) -> None:
@@ -205,7 +205,7 @@ class GraphStore:
         ends = ["repo_slug", "label", "from_id", "to_id"]
         come, gone = cut(new.join(old.select(*ends).distinct(), ends, "left_anti")), cut(old.join(new.select(*ends).distinct(), ends, "left_anti"))
         pairs = [(s["repo"], s["label"]) for s in self.edge_table.version()[1] if s["repo"] == repo_slug]
-        self.edge_table.replace(new, pairs, seen)
+        self.edge_table.replace(new, pairs, seen, new.count())
         self._logged("delete", "edge", gone)
         self._logged("put", "edge", come)
 
@@ -217,7 +217,7 @@ class GraphStore:
     def put_repo(self, repo: DataFrame) -> None:
         new = cut(schema.conform(repo, schema.REPOS))
         pairs = self.repo_table.pairs_of(new)
-        self.repo_table.replace(upsert(self.repo_table.of_pairs(pairs), new, ["slug"]), pairs)
+        self.repo_table.replace(upsert(self.repo_table.of_pairs(pairs), new, ["slug"]), pairs, new=new.count())
 
     def list_repos(self) -> DataFrame:
         return self.repos.orderBy("slug")

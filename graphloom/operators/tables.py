@@ -19,6 +19,8 @@ from graphloom import schema
 from graphloom.storage import file_system
 
 KEPT = 3
+#: rows that a task writes, about: it sorts them by (repository, label)
+ROWS_A_TASK = 200_000
 
 
 class ConcurrentWrite(RuntimeError):
@@ -97,13 +99,18 @@ class SegmentTable:
 
     # --- writing --------------------------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame) -> list[dict]:
-        """New segments with the rows of ``df``; a large (repository, label) is spread over several files."""
+    def _write(self, df: DataFrame, most: int) -> list[dict]:
+        """New segments with the rows of ``df``, ``most`` at most; a large (repository, label) is spread over several files."""
         name = f"segment-{uuid.uuid4().hex}"
         names = list(dict.fromkeys(self.by))
         keys = [F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("-")).alias(f"__{c}") for c in names]
         rows = schema.conform(df, self.ddl).select("*", *keys)
-        rows.hint("rebalance", *(f"__{c}" for c in names)).write.partitionBy(*(f"__{c}" for c in names)).parquet(f"{self.path}/{name}")
+        parts, by = -(-most // ROWS_A_TASK), [f"__{c}" for c in names]
+        if parts > 1:  # shuffled rows are packed so well that those of a part of the usual size are too many to sort
+            rows = rows.repartitionByRange(parts, *by, F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind)))
+        else:
+            rows = rows.hint("rebalance", *by)
+        rows.write.partitionBy(*(f"__{c}" for c in names)).parquet(f"{self.path}/{name}")
         fs, at = file_system(self.spark, f"{self.path}/{name}")
         found = [([], name, at)]
         for _ in names:  # folders name=value, one level for each column
@@ -115,17 +122,21 @@ class SegmentTable:
         """Rows beside those that are there; rows that came under the same name of a ``batch`` are replaced."""
         base, segments = self.version()
         kept = [s for s in segments if batch is None or s.get("batch") != batch]
-        new = self._write(df)
+        new = self._write(df, df.count())
         self._commit(base, kept + ([{**s, "batch": batch} for s in new] if batch is not None else new))
 
-    def replace(self, df: DataFrame, pairs: list[tuple[str, str]], seen: int | None = None) -> None:
-        """``df`` in place of all rows of these (repository, label) pairs; ``seen`` is the version that ``df`` was made from."""
+    def replace(self, df: DataFrame, pairs: list[tuple[str, str]], seen: int | None = None, new: int = 0) -> None:
+        """``df`` in place of all rows of these (repository, label) pairs; ``seen`` is the version that ``df`` was made from.
+
+        ``df`` has at most ``new`` rows more than the pairs had: their files' footers tell how many those are.
+        """
         base, segments = self.version()
         if seen is not None and seen != base:
             raise ConcurrentWrite(f"{self.path} went from version {seen} to {base}")
         gone = set(pairs)
-        kept = [s for s in segments if (s["repo"], s["label"]) not in gone]
-        self._commit(base, kept + self._write(df))
+        kept, old = [s for s in segments if (s["repo"], s["label"]) not in gone], [s for s in segments if (s["repo"], s["label"]) in gone]
+        most = new + (self.rows_of(old).count() if old else 0)
+        self._commit(base, kept + self._write(df, most))
 
     def pairs_of(self, df: DataFrame) -> list[tuple[str, str]]:
         """The (repository, label) pairs of rows: as many as there are labels in a few repositories."""

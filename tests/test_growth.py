@@ -1,6 +1,9 @@
 """Parts of exchanges grow with the rows."""
 
+from pyspark.sql import functions as F
+
 from graphloom.functions import joins
+from graphloom.operators import store, tables
 from graphloom.plans import driver_graph as g
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +16,18 @@ def test_edges_are_made_in_as_many_parts_as_the_rows_need(spark, monkeypatch):
     t = g.Tables(spark, SF)
     assert g.tests(t).rdd.getNumPartitions() == -(-t.rows("lineitem") // 500) > 4
     assert sorted((r.from_id, r.to_id) for r in g.tests(t).unionByName(g.calls(t)).collect()) == want
+
+
+def test_a_large_label_is_written_by_as_many_tasks_as_its_rows_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    s = store.GraphStore(spark, str(tmp_path / "store"))
+    edges = [("calls", f"a{k % 7}", f"b{k}", f"r{k % 10 // 9}") for k in range(1000)]
+    frame = spark.createDataFrame(edges, "label string, from_id string, to_id string, repo_slug string")
+    s.put_edges(frame)
+    files = lambda: {r[0]: r[1] for r in s.edges.groupBy(F.input_file_name()).count().collect()}
+    assert len(files()) >= 10 and max(files().values()) <= 200
+    s.delete(spark.createDataFrame([("r0", "a3")], "repo_slug string, node_id string"))
+    s.put_edges(frame.where("to_id = 'b5'"))
+    want = sorted([e for e in edges if e[1] != "a3" or e[3] != "r0"] + [e for e in edges if e[2] == "b5"])
+    assert sorted(tuple(r) for r in s.edges.select("label", "from_id", "to_id", "repo_slug").collect()) == want
+    assert max(files().values()) <= 200
