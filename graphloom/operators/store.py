@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.functions.joins import dealt
 from graphloom.operators.tables import SegmentTable
 from graphloom.storage import cut
 
@@ -203,9 +204,12 @@ class GraphStore:
         seen = self.edge_table.version()[0]
         new, old = cut(schema.conform(edges, schema.EDGES)), self.edge_table.read(repo_slug)
         ends = ["repo_slug", "label", "from_id", "to_id"]
-        come, gone = cut(new.join(old.select(*ends).distinct(), ends, "left_anti")), cut(old.join(new.select(*ends).distinct(), ends, "left_anti"))
+        added = new.count()
+        by_ends = lambda df: dealt(df, max(added, old.count()), *ends)
+        without = lambda rows, other: cut(by_ends(rows).join(by_ends(other.select(*ends)).distinct(), ends, "left_anti"))
+        come, gone = without(new, old), without(old, new)
         pairs = [(s["repo"], s["label"]) for s in self.edge_table.version()[1] if s["repo"] == repo_slug]
-        self.edge_table.replace(new, pairs, seen, new.count())
+        self.edge_table.replace(new, pairs, seen, added)
         self._logged("delete", "edge", gone)
         self._logged("put", "edge", come)
 

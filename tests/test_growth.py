@@ -31,3 +31,17 @@ def test_a_large_label_is_written_by_as_many_tasks_as_its_rows_need(spark, tmp_p
     want = sorted([e for e in edges if e[1] != "a3" or e[3] != "r0"] + [e for e in edges if e[2] == "b5"])
     assert sorted(tuple(r) for r in s.edges.select("label", "from_id", "to_id", "repo_slug").collect()) == want
     assert max(files().values()) <= 200
+
+
+def test_edges_of_a_repository_are_compared_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 50)
+    parts, dealt = [], store.dealt
+    monkeypatch.setattr(store, "dealt", lambda df, rows, *keys: parts.append(dealt(df, rows, *keys).rdd.getNumPartitions()) or dealt(df, rows, *keys))
+    s = store.GraphStore(spark, str(tmp_path / "store"))
+    frame = lambda ks: spark.createDataFrame([("calls", f"a{k}", f"b{k}", "r") for k in ks], "label string, from_id string, to_id string, repo_slug string")
+    s.put_edges(frame(range(400)))
+    s.replace_edges("r", frame(range(100, 450)))
+    assert min(parts) == 8
+    assert sorted(int(r.to_id[1:]) for r in s.edges.collect()) == list(range(100, 450))
+    log = {(r.op, int(r.id[1:])) for r in s.log().collect()}
+    assert log == {("put", k) for k in range(450)} | {("delete", k) for k in range(100)}
