@@ -59,13 +59,19 @@ def similar_to(nodes: DataFrame, node_id, query: list[float], k: int = 10, other
 
 
 def postings(docs: DataFrame, id_column: str, fields: dict[str, Column]) -> DataFrame:
-    """Inverted index (id, field, term, tf, length) of token columns."""
+    """Inverted index (id, field, term, tf, length, head) of token columns; ``head`` holds for one posting of a document's field.
+
+    Tokens are made once and counted inside each row, as runs of equal ones in their order: nothing is moved.
+    """
     parts = None
     for field, tokens in fields.items():
-        part = docs.select(F.col(id_column), F.lit(field).alias("field"), tokens.alias("t")).where(F.size("t") > 0)
-        part = part.select(id_column, "field", F.size("t").alias("length"), F.explode("t").alias("term"))
+        part = docs.select(F.col(id_column), F.lit(field).alias("field"), F.sort_array(tokens).alias("t"))
+        runs = F.array_compact(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i)))
+        part = part.select(id_column, "field", "t", F.size("t").alias("length"), runs.alias("at"))
+        one = lambda i, j: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", j + 1), "length") - i).cast("long").alias("tf"), (j == 0).alias("head"))
+        part = part.select(id_column, "field", "length", F.explode(F.transform("at", one)).alias("p")).select(id_column, "field", "p.term", "p.tf", "length", "p.head")
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy(id_column, "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return parts
 
 
 def bm25_scores(docs: DataFrame, id_column: str, fields: dict[str, Column], terms: list[str]) -> DataFrame:

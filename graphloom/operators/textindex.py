@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.search import B, DIGITS, K1, postings
-from graphloom.storage import cut
+from graphloom.storage import cut, release
 
 #: postings of a block, about; folders that terms are dealt to by hash; impact levels of a term
 BLOCK, SHARDS, LEVELS = 1024, 64, 16
@@ -124,30 +125,32 @@ def build(docs: DataFrame, id_column: str, fields: dict[str, Column], path: str)
     hash of the document, so no task holds all of them.
     """
     spark = docs.sparkSession
-    every = postings(docs, id_column, fields)
-    lengths = None
-    for name, tokens in fields.items():
-        part = docs.select(F.lit(name).alias("field"), F.size(tokens).alias("length")).where("length > 0")
-        lengths = part if lengths is None else lengths.unionByName(part)
-    totals = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))  # a row a field
+    every = cut(postings(docs, id_column, fields))  # tokens are made once, however often postings are read
+    totals = cut(every.where("head").groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean")))  # a row a field
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     level = F.least(F.lit(LEVELS - 1), F.floor(F.col("impact") / (K1 + 1) * LEVELS)).cast("int")
     rows = every.join(F.broadcast(totals), "field").select(id_column, "field", "term", "docs", impact.alias("impact")).withColumn("level", level)
-    sizes = cut(rows.groupBy("field", "term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("most"), F.first("docs").alias("docs")))
-    df = sizes.groupBy("field", "term").agg(F.sum("n").alias("df"))
+    key = ["term", "level", "field"]  # what tells most first: rows are sorted by it
+    sizes = cut(rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("impact").alias("most"), F.first("docs").alias("docs")))
+    # a folder's terms come together once: counted, sorted and written there
+    dictionary = sizes.withColumn("shard", shard_of(F.col("term"))).repartition("shard").withColumn("df", F.sum("n").over(W.partitionBy("shard", "term", "field")))
     weight = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    dictionary = sizes.join(df, ["field", "term"]).select("field", "term", "level", weight.alias("weight"), "most", "n", F.ceil(F.col("n") / BLOCK).alias("parts"), shard_of(F.col("term")).alias("shard"))
-    key = ["field", "term", "level"]
+    dictionary = dictionary.select("field", "term", "level", weight.alias("weight"), "most", "n", F.ceil(F.col("n") / BLOCK).alias("parts"), "shard")
     bound = max(HOT, (sizes.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
-    dealt = sizes.select(*key, "n", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    hot = F.broadcast(dealt.where(F.col("n") > bound).drop("n"))
-    cold = rows.join(hot.select(*key), key, "left_anti").join(dealt.where(F.col("n") <= bound).drop("n"), key)
-    blocks = rows.join(hot, key).unionByName(cold).groupBy(*key, F.pmod(F.xxhash64(id_column), "parts").alias("block")).agg(F.collect_list(F.struct(id_column, "impact")).alias("p"))
+    hot = F.broadcast(sizes.where(F.col("n") > bound).select(*key, F.ceil(F.col("n") / BLOCK).alias("parts")))
+    # postings of a hot key are dealt before they move, all others come together, and are dealt where their key has several blocks
+    block = F.coalesce(F.pmod(F.xxhash64(id_column), "parts"), F.lit(0))
+    met = rows.join(hot, key, "left").groupBy(*key, block.alias("block"), F.col("parts").isNotNull().alias("dealt")).agg(F.collect_list(F.struct(id_column, "impact")).alias("p"))
+    met = met.select(*key, "block", "p", F.when(F.col("dealt"), F.lit(1)).otherwise(F.ceil(F.size("p") / BLOCK)).cast("long").alias("parts"))
+    split = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda b: F.struct(b.alias("block"), F.filter("p", lambda x: F.pmod(F.xxhash64(x[id_column]), F.col("parts")) == b).alias("p")))
+    whole = F.array(F.struct("block", "p"))
+    blocks = met.select(*key, F.explode(F.when(F.col("parts") == 1, whole).otherwise(split)).alias("b")).select(*key, "b.*").where(F.size("p") > 0)
     stored = blocks.select("field", "term", "level", "block", F.col(f"p.{id_column}").alias("ids"), F.col("p.impact").alias("impacts"), shard_of(F.col("term")).alias("shard"))
-    for name, frame in (("postings", stored), ("dictionary", dictionary)):
-        frame.repartitionByRange("shard", "term", "level").sortWithinPartitions("shard", "term", F.desc("level")).write.partitionBy("shard").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
+    for name, frame in (("postings", stored.repartitionByRange("shard", "term", "level")), ("dictionary", dictionary)):
+        frame.sortWithinPartitions("shard", "term", F.desc("level")).write.partitionBy("shard").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
         ddl = ", ".join(f"{c} {t}" for c, t in frame.dtypes)
         spark.createDataFrame([(ddl,)], "value string").coalesce(1).write.text(f"{path}/{name}_schema")
+    release(every, totals, sizes)
     return TextIndex(spark, path, id_column)
 
 

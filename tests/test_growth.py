@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.functions import joins
-from graphloom.operators import store, tables
+from graphloom.operators import search, store, tables, textindex
 from graphloom.plans import driver_graph as g
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,32 @@ def test_edges_of_a_repository_are_compared_in_parts(spark, tmp_path, monkeypatc
     assert sorted(int(r.to_id[1:]) for r in s.edges.collect()) == list(range(100, 450))
     log = {(r.op, int(r.id[1:])) for r in s.log().collect()}
     assert log == {("put", k) for k in range(450)} | {("delete", k) for k in range(100)}
+
+
+def test_an_index_makes_tokens_once_and_moves_none_to_count_them(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(1, "b a b b"), (2, ""), (3, None), (4, "a")]
+    docs = spark.createDataFrame(rows, "id long, words string").coalesce(1)
+
+    def note(text):
+        seen.add(1)
+        return text.split() if text is not None else None
+
+    tokens = F.udf(note, "array<string>").asNondeterministic()(F.col("words"))
+    found = search.postings(docs, "id", {"every": tokens})
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.term, r.tf, r.length, r.head) for r in found.collect()) == [(1, "a", 1, 4, True), (1, "b", 3, 4, False), (4, "a", 1, 1, True)]
+    seen.value = 0
+    textindex.build(docs, "id", {"every": tokens}, str(tmp_path / "index"))
+    assert seen.value == len(rows)
+
+
+def test_postings_of_a_term_are_dealt_to_its_blocks_hot_or_not(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK", 8)
+    monkeypatch.setattr(textindex, "HOT", 50)
+    docs = spark.range(200).select(F.col("id"), F.array(F.lit("hot"), F.when(F.col("id") % 5 == 0, "cold").otherwise("rest")).alias("t"))
+    index = textindex.build(docs, "id", {"every": F.col("t")}, str(tmp_path / "index"))
+    rows = index.table("postings").select("term", "block", F.explode("ids").alias("id"), F.xxhash64("id").alias("h")).collect()
+    parts = {(r.term): r.parts for r in index.table("dictionary").collect()}
+    assert parts == {"hot": 25, "cold": 5, "rest": 20}
+    assert len(rows) == 400 and all(r.block == r.h % parts[r.term] for r in rows)
