@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.functions import joins
-from graphloom.operators import search, store, tables, textindex
+from graphloom.operators import search, store, tables, textindex, traverse
 from graphloom.plans import driver_graph as g
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,18 @@ def test_postings_of_a_term_are_dealt_to_its_blocks_hot_or_not(spark, tmp_path,
     parts = {(r.term): r.parts for r in index.table("dictionary").collect()}
     assert parts == {"hot": 25, "cold": 5, "rest": 20}
     assert len(rows) == 400 and all(r.block == r.h % parts[r.term] for r in rows)
+
+
+def test_an_edge_moves_once_to_each_end_and_gives_the_same_neighbours(spark):
+    nodes = [("a", "A"), ("b", "B"), ("b", "B2"), ("c", None), ("d", "D"), ("e", "E")]
+    of = ["a", "b", "c", "c", "x", "e"]
+    props = {"field_path": "p", "arg_expr": "q", "field": "f"}
+    ends = [("a", "b"), ("b", "a"), ("c", "a"), ("a", "c"), ("x", "d"), ("d", "x"), ("a", "a"), ("b", "b"), ("a", "b"), (None, "a"), ("a", None), ("z", "e"), ("e", "d")]
+    edges = [(label, a, b, p) for label in ("calls", "data_flow", "reads", "writes", "other") for a, b in ends for p in (props, None)]
+    kinds = [("callees", "calls", 1, 2, None), ("callers", "calls", 2, 1, None), ("sinks", "data_flow", 1, 2, "field_path"), ("sources", "data_flow", 2, 1, "arg_expr"), ("reads", "reads", 1, 2, "field"), ("writes", "writes", 1, 2, "field")]
+    want = [(e[here], kind, e[there], name, (e[3] or {}).get(prop)) for e in edges for kind, label, here, there, prop in kinds if e[0] == label and e[here] in of for node, name in nodes if node == e[there] and name]
+    found = traverse.neighbour_rows(
+        spark.createDataFrame(edges, "label string, from_id string, to_id string, props map<string,string>"), spark.createDataFrame(nodes, "node_id string, qualified string"), spark.createDataFrame([(x,) for x in of], "node_id string"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # edges meet their ends before each becomes two rows
