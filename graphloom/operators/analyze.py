@@ -10,14 +10,26 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ids, paths
 from graphloom.operators import link, ranges, traverse
+from graphloom.operators.adjacency import SENT_FRONTIER
 from graphloom.storage import cut
 
 # --- trace and blast radius -----------------------------------------------------------------------------------------
 
 
 def trace(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, labels: list[str] = ("calls",), direction: str = "forward", max_depth: int = 5, sites: bool = False) -> DataFrame:
-    """Hops from ``seeds`` (seed_id, node_id), one for each qualified name, the nearest."""
-    out = traverse.first_by_qualified(traverse.traverse(seeds, edges, labels, direction, max_depth), nodes)
+    """Hops from ``seeds`` (seed_id, node_id), one for each qualified name, the nearest.
+
+    The hops of a deep search are counted; names and call sites of a bounded number of them are looked up without moving all
+    nodes and edges.
+    """
+    hops = traverse.traverse(seeds, edges, labels, direction, max_depth)
+    if (max_depth if max_depth > 0 else traverse.DEFAULT_DEPTH) >= traverse.EAGER_FROM:
+        hops = cut(hops)
+        if hops.count() <= SENT_FRONTIER:
+            reached = F.broadcast(hops.select("node_id").distinct())
+            nodes = nodes.join(reached, "node_id", "left_semi")
+            edges = edges.join(reached.withColumnRenamed("node_id", "from_id"), "from_id", "left_semi")
+    out = traverse.first_by_qualified(hops, nodes)
     return link.first_call_site(out, edges) if sites else out
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.functions import joins
-from graphloom.operators import search, store, tables, textindex, traverse
+from graphloom.operators import analyze, search, store, tables, textindex, traverse
 from graphloom.plans import driver_graph as g
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +89,15 @@ def test_an_edge_moves_once_to_each_end_and_gives_the_same_neighbours(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # edges meet their ends before each becomes two rows
+
+
+def test_names_and_sites_are_looked_up_for_the_nodes_of_a_small_search_alone(spark, monkeypatch):
+    edges = spark.createDataFrame([("calls", f"n{k}", f"n{k + 1}", f"n{k}.go:{9 - s}") for k in range(40) for s in range(2)], "label string, from_id string, to_id string, call_site string")
+    nodes = spark.createDataFrame([(f"n{k}", f"q{k // 2}" if k % 3 else None) for k in range(40)], "node_id string, qualified string")
+    seeds = spark.createDataFrame([("s", "n1")], "seed_id string, node_id string")
+    want = [("n2", 1, "q1", "n2.go:8"), ("n3", 2, None, "n3.go:8"), ("n4", 3, "q2", "n4.go:8"), ("n6", 5, None, "n6.go:8")]
+    for most, moved in ((200_000, 2), (0, 0)):
+        monkeypatch.setattr(analyze, "SENT_FRONTIER", most)
+        found = analyze.trace(seeds, edges, nodes, sites=True)
+        assert sorted((r.node_id, r.hop, r.qualified, r.caller_site) for r in found.collect()) == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == moved
