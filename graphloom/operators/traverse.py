@@ -18,6 +18,8 @@ from graphloom.storage import cut, release
 
 EAGER_FROM = 3
 DEFAULT_DEPTH = 5
+#: seeds beyond which a search for hops alone moves sets of them, and words of 64 seeds in a set
+MANY_SEEDS, WORDS = 64, 4
 
 
 def oriented(edges: DataFrame, direction: str = "forward", labels: list[str] | None = None) -> DataFrame:
@@ -49,7 +51,11 @@ def _bfs(seeds: DataFrame, edges: DataFrame | Adjacency, direction: str, wanted:
     if eager:
         frontier = cut(frontier.distinct())
         if not stored:  # the edges are made once, however many levels read them
-            at = cut(at)
+            at = cut(at if via or labels else at.distinct())
+        if not stored and not via and not labels:
+            numbered = cut(frontier.select("seed_id").distinct().withColumn("n", F.monotonically_increasing_id()))  # dense in each partition
+            if numbered.count() > MANY_SEEDS:
+                return _reached_sets(frontier, numbered, at, depth)
     visited = frontier.select(*keys, "node_id")
     out, rows_ahead = None, frontier.count() if eager else None
     for hop in range(1, depth + 1):
@@ -88,6 +94,41 @@ def _bfs(seeds: DataFrame, edges: DataFrame | Adjacency, direction: str, wanted:
     return out
 
 
+def _reached_sets(starts: DataFrame, numbered: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(seed_id, node_id, hop) reached from ``starts`` (seed_id, node_id), distinct ones, over ``edges`` (src, dst).
+
+    ``numbered`` (seed_id, n) gives each seed a number.  A row stands for a node and up to 256 seeds as bits: these rows are
+    written and moved, and become one for each seed in the last step, after which nothing is moved.
+    """
+    size, words = 64 * WORDS, [f"w{k}" for k in range(WORDS)]
+    block, bit = F.expr(f"n div {size}"), F.expr(f"cast(n % {size} as int)")
+    placed = starts.join(numbered.withColumnRenamed("seed_id", "__seed"), F.col("seed_id").eqNullSafe(F.col("__seed"))).select(block.alias("block"), "node_id", bit.alias("bit"))
+    one = (F.expr(f"bit_or(if(bit div 64 = {k}, shiftleft(1L, bit % 64), 0L))").alias(w) for k, w in enumerate(words))
+    frontier = cut(placed.groupBy("block", "node_id").agg(*one))
+    visited, levels = frontier, []
+    for hop in range(1, depth + 1):
+        met = frontier.join(edges, frontier["node_id"] == edges["src"]).select("block", F.col("dst").alias("node_id"), *words, *(F.lit(0).cast("long").alias(f"seen_{w}") for w in words))
+        seen = visited.select("block", "node_id", *(F.lit(0).cast("long").alias(w) for w in words), *(F.col(w).alias(f"seen_{w}") for w in words))
+        reached = met.unionByName(seen).groupBy("block", "node_id").agg(*(F.bit_or(w).alias(w) for w in (*words, *(f"seen_{w}" for w in words))))
+        new = reached.select("block", "node_id", *(F.col(w).bitwiseAND(F.bitwise_not(F.col(f"seen_{w}"))).alias(w) for w in words))
+        new = new.where(" or ".join(f"{w} <> 0" for w in words))
+        if hop < depth:
+            new = cut(new)
+            if new.isEmpty():
+                break
+        levels.append(new.withColumn("hop", F.lit(hop)))
+        frontier, visited = new, visited.unionByName(new)
+    if not levels:
+        return starts.where("false").select("seed_id", "node_id", F.lit(0).alias("hop"))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    names = numbered.select(block.alias("block"), bit.alias("bit"), "seed_id").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bit", "seed_id"))).alias("names"))
+    bits = found.join(names, "block").select("node_id", "hop", "names", F.posexplode(F.array(*words)).alias("word", "bits")).where("bits <> 0")
+    each = F.expr("explode(filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1L) = 1L))").alias("bit")
+    return bits.select("node_id", "hop", "names", "word", each).select(F.expr("names[word * 64 + bit]").alias("seed_id"), "node_id", "hop")
+
+
 def traverse(seeds: DataFrame, edges: DataFrame | Adjacency, labels: list[str] = ("calls",), direction: str = "forward", max_depth: int = DEFAULT_DEPTH,
              mode: str = "per_label", nodes: DataFrame | None = None, target_labels: list[str] | None = None, via: bool = True) -> DataFrame:
     """(seed_id, node_id, hop, parent_id, label, call_site): nodes reachable from ``seeds`` (seed_id, node_id).

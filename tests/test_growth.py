@@ -101,3 +101,25 @@ def test_names_and_sites_are_looked_up_for_the_nodes_of_a_small_search_alone(spa
         found = analyze.trace(seeds, edges, nodes, sites=True)
         assert sorted((r.node_id, r.hop, r.qualified, r.caller_site) for r in found.collect()) == want
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == moved
+
+
+def test_many_seeds_are_searched_as_sets_with_the_same_rows(spark):
+    """Of a search for hops alone from many seeds no row of a seed and a node is moved; before, each level moved all of them."""
+    edges = [(f"n{k % 90}", f"n{(k * k + 7 * k) % 100}") for k in range(300)] + [("n1", "n1"), (None, "n2"), ("n3", None), ("n4", "n5"), ("n4", "n5")]
+    rows = spark.createDataFrame([("calls", a, b) for a, b in edges], "label string, from_id string, to_id string")
+    starts = [(f"n{k}", f"n{k}") for k in range(100)] + [("n0", "n50"), (None, "n7"), ("x", "nowhere"), ("y", None)]
+    seeds = spark.createDataFrame(starts + starts[:3], "seed_id string, node_id string")
+    found = traverse.traverse(seeds, rows, ["calls"], "forward", 4, via=False)
+    ahead, want = {}, set()
+    for a, b in edges:
+        if a is not None and b is not None:
+            ahead.setdefault(a, set()).add(b)
+    for seed in {s for s, _ in starts}:
+        seen = level = {n for s, n in starts if s == seed}
+        for hop in range(1, 5):
+            level = {b for a in level for b in ahead.get(a, ())} - seen
+            seen = seen | level
+            want |= {(seed, n, hop) for n in level}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Aggregate [seed_id" not in found._jdf.queryExecution().optimizedPlan().toString()
