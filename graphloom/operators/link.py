@@ -6,8 +6,12 @@ raw text.  ``EdgeLinker`` is the extension point: anything with ``name``, ``labe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,16 +153,80 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
     return found.select(F.lit("defines").alias("label"), F.coalesce("class_id", "file_id").alias("from_id"), F.col("node_id").alias("to_id")).where("from_id is not null")
 
 
-#: words of 64 bits that say which types of a block have a method
-WORDS = 16
+#: words of 64 bits that say which types of a block have a method; blocks and interfaces that a cell has, about
+WORDS, CELL_BLOCKS, CELL_IFACES = 16, 32, 200_000
+#: words of sets that a task holds at once beside those of its cell, and that it turns into pairs at once
+SETS_AT_ONCE, PAIRED = 1 << 22, 1 << 13
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(type, iface) of rows (cell, kind, block, id, name, longs) in the order of cell and kind.
+
+    0: the set of a block's types that have method ``id``; 1: the name of a block's type ``id``; 2: an interface with its
+    methods, (number, method id) by number, where one of those with a number will do.
+    """
+    cell, sets, names, ready = None, [], [], None
+
+    def table() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Sorted method ids, a row of sets for each and one of zeros, and the types' names by their place in a row."""
+        blocks = np.unique(np.concatenate([x[0] for x in names]))
+        ids = np.unique(np.concatenate([x[1] for x in sets])) if sets else np.zeros(0, np.int64)
+        bits = np.zeros((len(ids) + 1, len(blocks), WORDS), np.uint64)
+        for block, method, words in sets:
+            bits[np.searchsorted(ids, method), np.searchsorted(blocks, block)] = words
+        place = np.concatenate([np.searchsorted(blocks, b) * 64 * WORDS + i for b, i, _ in names])
+        at = np.zeros(len(blocks) * 64 * WORDS, np.int64)
+        at[place] = np.arange(len(place))
+        return ids, bits.reshape(len(ids) + 1, -1), pa.concat_arrays([x[2] for x in names]).take(pa.array(at))
+
+    def pairs(ifaces: pa.Array, flat: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, bits, types = ready
+        number, method = flat[::2], flat[1::2]
+        row = np.searchsorted(ids, method)
+        row[(row == len(ids)) | (ids[np.minimum(row, len(ids) - 1)] != method if len(ids) else True)] = len(ids)
+        step, first = max(1, SETS_AT_ONCE // bits.shape[1]), 0
+        while first < len(ifaces):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + step, side="right")) - 1)
+            lo, hi = starts[first], starts[last]
+            new = np.r_[True, np.diff(number[lo:hi]) != 0]
+            new[starts[first:last] - lo] = True
+            held = np.flatnonzero(new)
+            either = np.bitwise_or.reduceat(bits[row[lo:hi]], held, axis=0) if len(held) < hi - lo else bits[row[lo:hi]]
+            both = np.bitwise_and.reduceat(either, np.searchsorted(held, starts[first:last] - lo), axis=0)
+            i, w = np.nonzero(both)
+            for at in range(0, len(i), PAIRED):
+                own, word = i[at : at + PAIRED], w[at : at + PAIRED]
+                k, bit = np.nonzero(np.unpackbits(both[own, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                out = pa.RecordBatch.from_arrays([types.take(pa.array(64 * word[k] + bit)), ifaces.take(pa.array(first + own[k]))], ["type", "iface"])
+                yield out.filter(pc.not_equal(out.column(0), out.column(1)))
+            first = last
+
+    for batch in batches:
+        cells, kinds = (batch.column(c).to_numpy() for c in (0, 1))
+        cuts = np.r_[0, np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1, len(cells)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if lo == hi:
+                continue
+            if cells[lo] != cell:
+                cell, sets, names, ready = cells[lo], [], [], None
+            block, id_, name, longs = (batch.column(c).slice(lo, hi - lo) for c in (2, 3, 4, 5))
+            if kinds[lo] == 0:
+                sets.append((block.to_numpy(), id_.to_numpy(), longs.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)))
+            elif kinds[lo] == 1:
+                names.append((block.to_numpy(), id_.to_numpy(), name))
+            elif names:  # without types a cell has no pairs
+                ready = ready or table()
+                sizes = pc.list_value_length(longs).to_numpy() // 2
+                yield from pairs(name, longs.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)])
 
 
 def implements_edges(nodes: DataFrame) -> DataFrame:
     """(label, from_id, to_id): types whose methods cover an interface's, name by name with equal bare signatures.
 
-    Types are numbered and lie in blocks; a method has, for each block that knows it, the set of its types as bits.  An
-    interface meets the blocks that have its rarest method, and there the sets of all its methods are intersected: a row
-    stands for up to 1,024 types, and no two sets of names are compared.  Embedded entries (no name) do not count; an interface without other methods
+    Types are numbered and lie in blocks; a method has, for each block that knows it, the set of its types as bits.  Interfaces
+    and blocks are dealt to the cells of a grid: a task holds the sets of some blocks and intersects those of each interface's
+    methods as it comes.  An interface is moved once for about 32,768 types, a set once for about 200,000 interfaces, and no row of
+    a type and an interface is.  Embedded entries (no name) do not count; an interface without other methods
     has no implementors; an interface method without signature matches any.  A type is no implementor of itself.
     """
     methods = nodes.where(F.col("label") == "class").select("node_id", F.explode("methods").alias("m")).select(
@@ -168,25 +236,38 @@ def implements_edges(nodes: DataFrame) -> DataFrame:
     have = cut(methods.where("receiver <> ''").select(F.col("node_id").alias("type"), "name", "signature").distinct())
     types = cut(have.select("type").distinct().withColumn("n", F.monotonically_increasing_id()))  # dense in each partition
     size, words = 64 * WORDS, [f"w{k}" for k in range(WORDS)]
+    block, bit = F.expr(f"n div {size}").alias("block"), F.expr(f"cast(n % {size} as int)").alias("bit")
     shapes = F.explode(F.array_distinct(F.array(F.lit(""), "signature"))).alias("want")  # "" stands for any signature
-    placed = have.join(types, "type").select("name", shapes, F.expr(f"n div {size}").alias("block"), F.expr(f"cast(n % {size} as int)").alias("bit"))
+    placed = have.join(types, "type").select("name", shapes, block, bit)
     sets = placed.groupBy("name", "want", "block").agg(*(F.expr(f"bit_or(if(bit div 64 = {k}, shiftleft(1L, bit % 64), 0L))").alias(w) for k, w in enumerate(words)))
     sets = cut(sets)
+    known = cut(sets.select("name", "want").distinct().withColumn("id", F.monotonically_increasing_id()))
 
     wants = F.when(F.array_contains("wants", ""), F.array(F.lit(""))).otherwise(F.col("wants")).alias("wants")
-    asked = cut(wanted.groupBy("iface", "name").agg(F.collect_set("want").alias("wants")).select("iface", "name", wants))
-    # only blocks with the interface's rarest method are met; a common name like Close meets none by itself
-    held = have.groupBy("name").agg(F.count("*").alias("types"))
-    rarest = asked.join(held, "name", "left").groupBy("iface").agg(F.min_by(F.struct("name", "wants"), F.struct(F.coalesce("types", F.lit(0)), "name")).alias("r"), F.count("*").alias("needed"))
-    first = rarest.select("iface", "needed", "r.name", F.explode("r.wants").alias("want")).join(sets.select("name", "want", "block"), ["name", "want"]).select("iface", "needed", "block").distinct()
-    met = asked.join(first, "iface").select("iface", "needed", "block", "name", (F.size("wants") > 1).alias("several"), F.explode("wants").alias("want")).join(sets, ["name", "want", "block"])
-    either = met.where("several").groupBy("iface", "needed", "block", "name").agg(*(F.bit_or(w).alias(w) for w in words))
-    each = met.where(~F.col("several")).select("iface", "needed", "block", "name", *words).unionByName(either)
-    full = each.groupBy("iface", "needed", "block").agg(F.count("*").alias("names"), *(F.bit_and(w).alias(w) for w in words)).where("names = needed")
-    found = full.select("iface", "block", F.posexplode(F.array(*words)).alias("word", "bits")).where("bits <> 0")
-    bits = F.expr("explode(filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1L) = 1L))").alias("bit")
-    pairs = found.select("iface", "block", "word", bits).select("iface", F.expr(f"block * {size} + word * 64 + bit").alias("n")).join(types, "n")
-    return pairs.where("type <> iface").select(F.lit("implements").alias("label"), F.col("type").alias("from_id"), F.col("iface").alias("to_id"))
+    asked = wanted.groupBy("iface", "name").agg(F.collect_set("want").alias("wants")).select("iface", "name", wants)
+    each = asked.select("iface", "name", F.explode("wants").alias("want")).join(known, ["name", "want"], "left")
+    # an interface with a method that no type has is left out
+    each = each.groupBy("iface", "name").agg(F.collect_list("id").alias("ids")).groupBy("iface").agg(F.collect_list("ids").alias("l"), F.min(F.size("ids")).alias("fewest")).where("fewest > 0")
+    longs = F.flatten(F.transform("l", lambda ids, k: F.flatten(F.transform(ids, lambda x: F.array(k.cast("long"), x)))))
+    ifaces = cut(each.select("iface", longs.alias("longs")))
+
+    many = -(-ifaces.count() // CELL_IFACES) or 1
+    groups = -(-types.select(block).distinct().count() // CELL_BLOCKS) or 1
+    many = max(many, -(-nodes.sparkSession.sparkContext.defaultParallelism // groups))
+    none, group = F.lit(None), F.pmod(F.xxhash64("block"), F.lit(groups))
+    over = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def side(kind: int, rows: DataFrame, id_, name, longs) -> DataFrame:
+        """Rows of types or their sets, once for every part of the interfaces."""
+        return rows.select(group.alias("group"), over(many).alias("part"), "block", id_.cast("long").alias("id"), name.cast("string").alias("name"), longs.cast("array<long>").alias("longs")).select((F.col("part") * groups + F.col("group")).alias("cell"), F.lit(kind).alias("kind"), "block", "id", "name", "longs")
+
+    dealt = side(0, sets.join(known, ["name", "want"]).drop("name"), F.col("id"), none, F.array(*words))
+    dealt = dealt.unionByName(side(1, types.select("type", block, bit), F.col("bit"), F.col("type"), none))
+    part = F.pmod(F.xxhash64("iface"), F.lit(many))
+    asking = ifaces.select(part.alias("part"), over(groups).alias("group"), F.col("iface").alias("name"), "longs")
+    dealt = dealt.unionByName(asking.select((F.col("part") * groups + F.col("group")).alias("cell"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("id"), "name", "longs"))
+    pairs = dealt.repartition(many * groups, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_met, "type string, iface string")
+    return pairs.select(F.lit("implements").alias("label"), F.col("type").alias("from_id"), F.col("iface").alias("to_id"))
 
 
 LINKERS: list[EdgeLinker] = [CallLinker(), DataFlowLinker(), FieldAccessLinker(), RouteLinker()]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.functions import joins
-from graphloom.operators import analyze, search, store, tables, textindex, traverse
+from graphloom.operators import analyze, link, search, store, tables, textindex, traverse
 from graphloom.plans import driver_graph as g
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,31 @@ def test_many_seeds_are_searched_as_sets_with_the_same_rows(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Aggregate [seed_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interface_division_moves_no_row_of_a_type_and_an_interface(spark, monkeypatch):
+    """Sets and interfaces meet in cells; before, pairs, and methods for each interface and block, were shuffled."""
+    import random
+
+    monkeypatch.setattr(link, "CELL_IFACES", 5)
+    monkeypatch.setattr(link, "CELL_BLOCKS", 1)
+    rng = random.Random(3)
+    shape = lambda: (f"m{rng.randrange(4)}", rng.choice(["()", "(x int)", None]))
+    kinds = {f"t{k}": [(*shape(), "T") for _ in range(rng.randrange(1, 5))] for k in range(1100)}
+    kinds |= {f"i{k}": [(*shape(), "") for _ in range(rng.randrange(1, 4))] for k in range(12)}
+    kinds |= {"odd": [("none", "()", ""), ("m1", "()", "")], "both": [("m1", "()", "T"), ("m1", "()", "")], "empty": [("", "()", "")]}
+    rows = [(name, "class", [{"name": n, "signature": s, "receiver": r} for n, s, r in ms]) for name, ms in kinds.items()]
+    nodes = spark.createDataFrame(rows, "node_id string, label string, methods array<struct<name:string,signature:string,receiver:string>>")
+    want = set()
+    for iface, asked in kinds.items():
+        asked = [(n, s or "") for n, s, r in asked if r == "" and n]
+        wants = {n: {s for m, s in asked if m == n} for n, _ in asked}
+        for name, ms in kinds.items():
+            has = [(n, s or "") for n, s, r in ms if r]
+            if wants and name != iface and all(any(n == m and ("" in w or s in w) for m, s in has) for n, w in wants.items()):
+                want.add((name, iface))
+    found = link.implements_edges(nodes)
+    got = [(r.from_id, r.to_id) for r in found.collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan.split("MapInArrow")[0] for x in ("Join", "Aggregate", "Repartition"))
